@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import mixing, sharding, simhash
+from emberline.llm import decontaminate, embedding, html_text, mixing, pii, sharding, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,46 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document, and whether it is rejected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
+    out = toxicity.score(docs, chain)
+    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the archives give it back."""
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark item it covers best, and all it contains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leak = F.col("leak")
+    out = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    share = F.coalesce(leak["coverage"], F.lit(0.0))
+    return out.select("doc_id", leak["item_id"].alias("item_id"), share.alias("coverage"), F.coalesce(leak["items"], F.array().cast("array<bigint>")).alias("items"), (share >= decontaminate.COVERAGE).alias("contaminated"))
+
+
+def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates in place of personal data."""
+    out = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key="emberline")
+    return out.select("doc_id", F.size("found").cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.col("found.kind"))).alias("kinds"), "text")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, 8 shards by rows."""
     out = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
@@ -32,7 +72,13 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_mix": op3_mix,
+    "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
+    "op6_html": op6_html,
+    "op7_decontaminate": op7_decontaminate,
     "op8_shard": op8_shard,
+    "op9_embedding": op9_embedding,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}
