@@ -28,7 +28,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     out = toxicity.score(docs, chain)
-    return out.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+    return out.select("doc_id", "p_low_quality", "p_toxic", toxicity.rejected(chain).alias("toxic"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

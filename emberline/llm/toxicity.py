@@ -20,17 +20,16 @@ from emberline.llm.arrow import widened
 #: labelled documents used for fitting, at most
 MAX_TRAIN = 8_000
 FOLDS = 3
-RIDGE = 1.0
-THRESHOLD = 0.5
+RIDGE = 0.1
 #: letters of a stem
-STEM = 5
+STEMS = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> set[str]:
     """The distinct words of a whole text, and the stems of the longer ones."""
     words = set(_WORD.findall((text or "").lower()))
-    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
@@ -106,12 +105,16 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RI
 
 @dataclass
 class Chain:
-    """Word weights by category; links: weights of the earlier categories' logits; bias."""
+    """Word weights by category; links: weights of the earlier categories' logits; bias.
+
+    threshold: the probability of the last category from which a text is rejected.
+    """
 
     categories: list[str]
     words: dict[str, tuple[float, ...]]
     links: list[list[float]]
     bias: list[float]
+    threshold: float
 
     def logits(self, words: set[str]) -> list[float]:
         sums, get = list(self.bias), self.words.get
@@ -125,6 +128,19 @@ class Chain:
         return sums
 
 
+def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
+    """The probability at which F0.5 is highest on out-of-fold logits, midway to the next one; 0.5 without positives."""
+    if not y.any():
+        return 0.5
+    order = np.argsort(-logits, kind="stable")
+    z, hits = logits[order], np.cumsum(y[order])
+    quality = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
+    quality[:-1][z[:-1] == z[1:]] = -1.0  # equal logits stay together
+    k = int(np.argmax(quality))
+    cut = (z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 1
+    return float(1 / (1 + np.exp(-cut)))
+
+
 def fit_chain(texts: list[set[str]], labels: np.ndarray, folds: np.ndarray, categories: list[str], ridge: float = RIDGE) -> Chain:
     """labels: a column of 0 or 1 for each category; words of one text only are left out."""
     counts: dict[str, int] = {}
@@ -138,15 +154,14 @@ def fit_chain(texts: list[set[str]], labels: np.ndarray, folds: np.ndarray, cate
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
         apart = np.zeros(len(texts))
-        if k < len(categories) - 1:
-            for f in np.unique(folds):
-                fit, held = folds != f, folds == f
-                w = fit_logistic(rows.take(fit), dense[fit], y[fit], ridge)
-                apart[held] = rows.take(held).dot(w[: rows.width]) + dense[held] @ w[rows.width : -1] + w[-1]
+        for f in np.unique(folds):
+            fit, held = folds != f, folds == f
+            w = fit_logistic(rows.take(fit), dense[fit], y[fit], ridge)
+            apart[held] = rows.take(held).dot(w[: rows.width]) + dense[held] @ w[rows.width : -1] + w[-1]
         w = fit_logistic(rows, dense, y, ridge)
         weights.append(w[: rows.width]), links.append(w[rows.width : -1].tolist()), bias.append(float(w[-1]))
         dense = np.column_stack([dense, apart])
-    return Chain(categories, {w: tuple(float(x[i]) for x in weights) for w, i in vocabulary.items()}, links, bias)
+    return Chain(categories, {w: tuple(float(x[i]) for x in weights) for w, i in vocabulary.items()}, links, bias, best_threshold(apart, y))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = MAX_TRAIN, folds: int = FOLDS, ridge: float = RIDGE) -> Chain:
@@ -194,5 +209,10 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, out)
 
 
+def rejected(chain: Chain):
+    """Condition on scored rows: the last category reaches the chain's threshold."""
+    return F.col(f"p_{chain.categories[-1]}") >= chain.threshold
+
+
 #: The chain of the label tables: poor quality first, then toxicity.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
