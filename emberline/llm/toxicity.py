@@ -21,6 +21,8 @@ from emberline.llm.arrow import widened
 MAX_TRAIN = 8_000
 FOLDS = 3
 RIDGE = 0.1
+#: with few labels the out-of-fold scores say little about thresholds below this
+LEAST_THRESHOLD = 0.1
 #: letters of a stem
 STEMS = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -138,7 +140,7 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
     quality[:-1][z[:-1] == z[1:]] = -1.0  # equal logits stay together
     k = int(np.argmax(quality))
     cut = (z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 1
-    return float(1 / (1 + np.exp(-cut)))
+    return max(LEAST_THRESHOLD, float(1 / (1 + np.exp(-cut))))
 
 
 def fit_chain(texts: list[set[str]], labels: np.ndarray, folds: np.ndarray, categories: list[str], ridge: float = RIDGE) -> Chain:
