@@ -7,8 +7,8 @@ while fitting, so a later model learns from what the earlier one will really say
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +28,11 @@ STEMS = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> set[str]:
-    """The distinct words of a whole text, and the stems of the longer ones."""
+def features(text: str | None) -> np.ndarray:
+    """Checksums of the distinct words of a whole text, and of the stems of the longer ones."""
     words = set(_WORD.findall((text or "").lower()))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
+    words = words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words))
 
 
 @dataclass
@@ -107,27 +108,31 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RI
 
 @dataclass
 class Chain:
-    """Word weights by category; links: weights of the earlier categories' logits; bias.
+    """Weights of each feature (ids, in order) by category; links: of the earlier logits; bias.
 
     threshold: the probability of the last category from which a text is rejected.
     """
 
     categories: list[str]
-    words: dict[str, tuple[float, ...]]
+    ids: np.ndarray
+    weights: np.ndarray
     links: list[list[float]]
     bias: list[float]
     threshold: float
 
-    def logits(self, words: set[str]) -> list[float]:
-        sums, get = list(self.bias), self.words.get
-        for w in words:
-            weights = get(w)
-            if weights is not None:
-                for k, x in enumerate(weights):
-                    sums[k] += x
+    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+        """A row of logits for each text's features."""
+        sizes = [len(t) for t in texts]
+        row = np.repeat(np.arange(len(texts)), sizes)
+        told = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+        at = np.searchsorted(self.ids, told)
+        known = np.flatnonzero(at < len(self.ids))
+        known = known[self.ids[at[known]] == told[known]]
+        out = np.zeros((len(texts), len(self.categories)))
         for k, link in enumerate(self.links):
-            sums[k] += sum(a * b for a, b in zip(link, sums, strict=False))
-        return sums
+            out[:, k] = np.bincount(row[known], weights=self.weights[at[known], k], minlength=len(texts)) + self.bias[k]
+            out[:, k] += out[:, :k] @ np.array(link)
+        return out
 
 
 def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
@@ -143,15 +148,14 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return max(LEAST_THRESHOLD, float(1 / (1 + np.exp(-cut))))
 
 
-def fit_chain(texts: list[set[str]], labels: np.ndarray, folds: np.ndarray, categories: list[str], ridge: float = RIDGE) -> Chain:
-    """labels: a column of 0 or 1 for each category; words of one text only are left out."""
-    counts: dict[str, int] = {}
-    for t in texts:
-        for w in t:
-            counts[w] = counts.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in counts.items() if c > 1))}
-    idx = [sorted(vocabulary[w] for w in t if w in vocabulary) for t in texts]
-    rows = Rows(np.array([i for x in idx for i in x], np.int64), np.r_[0, np.cumsum([len(x) for x in idx])].astype(np.int64), len(vocabulary))
+def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, categories: list[str], ridge: float = RIDGE) -> Chain:
+    """labels: a column of 0 or 1 for each category; features of one text only are left out."""
+    told = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+    ids, at, counts = np.unique(told, return_inverse=True, return_counts=True)
+    place = np.cumsum(counts > 1) - 1
+    keep = (counts > 1)[at]
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[keep]
+    rows = Rows(place[at[keep]], np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int64), int((counts > 1).sum()))
     dense, weights, links, bias = np.zeros((len(texts), 0)), [], [], []
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
@@ -163,7 +167,7 @@ def fit_chain(texts: list[set[str]], labels: np.ndarray, folds: np.ndarray, cate
         w = fit_logistic(rows, dense, y, ridge)
         weights.append(w[: rows.width]), links.append(w[rows.width : -1].tolist()), bias.append(float(w[-1]))
         dense = np.column_stack([dense, apart])
-    return Chain(categories, {w: tuple(float(x[i]) for x in weights) for w, i in vocabulary.items()}, links, bias, best_threshold(apart, y))
+    return Chain(categories, ids[counts > 1], np.column_stack(weights), links, bias, best_threshold(apart, y))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = MAX_TRAIN, folds: int = FOLDS, ridge: float = RIDGE) -> Chain:
@@ -179,14 +183,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_tr
 
     def run(batches):
         for b in batches:
-            texts = [" ".join(sorted(words_of(t.as_py()))) for t in b.column("text")]
-            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            told = [np.sort(features(t.as_py())).tobytes() for t in b.column("text")]
+            yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(told, pa.binary()))
 
-    # at most max_train rows of a few numbers are broadcast, and as many word sets come back
+    # at most max_train rows of a few numbers are broadcast, and as many lists of features come back
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    found = found.mapInArrow(run, found.schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    texts = [set(t.split()) for t in found["text"]]
-    y = found[[f"c{i}" for i in range(len(marks))]].to_numpy()
+    schema = ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in found.schema)
+    found = sorted({r["doc_id"]: r for r in found.mapInArrow(run, schema).collect()}.values(), key=lambda r: r["doc_id"])
+    texts = [np.frombuffer(r["text"], np.uint32) for r in found]
+    y = np.array([[r[f"c{i}"] for i in range(len(marks))] for r in found]).reshape(len(found), len(marks))
     place = np.random.default_rng(0).permutation(len(texts)) % folds
     return fit_chain(texts, y, place, list(categories), ridge)
 
@@ -203,9 +208,9 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            logits = [chain.logits(words_of(t.as_py())) for t in b.column(b.schema.get_field_index(text_col))]
+            p = 1 / (1 + np.exp(-np.clip(chain.logits([features(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))]), -35, 35)))
             for k, n in enumerate(names):
-                b = b.append_column(n, pa.array([1 / (1 + math.exp(-max(-35.0, min(35.0, z[k])))) for z in logits], pa.float64()))
+                b = b.append_column(n, pa.array(np.ascontiguousarray(p[:, k])))
             yield b
 
     return docs.mapInArrow(run, out)
