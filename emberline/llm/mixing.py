@@ -55,7 +55,7 @@ OUT = "doc_id long, unit long, source string, words long, chunk long, chance dou
 
 
 def _round_chunk(seed: int, level: int, last: bool):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["words", "unit", "doc_id"], kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed}:{level}:{key[0]}:{key[1]}")
         rounded, at, p = pivot(rows["words"].tolist(), rows["chance"].tolist(), rng)
@@ -131,6 +131,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: int = 7,
     return out.select("doc_id", "unit", "size", "source", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"))
 
 
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies."""
+    chosen = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("unit").alias("_unit"), "copies").where("copies > 0").distinct()
+    names = {k: options[k] for k in ("id_col", "text_col", "source_col") if k in options}
+    same = F.col(names.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_id")) & (unit_key(**names) == F.col("_unit"))
+    taken = docs.join(stage(chosen.withColumnRenamed("copies", "_copies"), "copies"), same)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+
+
 def unit_key(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
     """The hash that, with the id, names a unit of equal rows."""
     return F.xxhash64(F.col(id_col).cast("long"), source_col, text_col)

@@ -75,8 +75,8 @@ def split_evenly(n: int, parts: int) -> list[int]:
     return [n // parts + (i < n % parts) for i in range(parts)]
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_260, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for each row of docs.
+def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_260, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) for each row of docs, and its columns `carry`.
 
     Law `rows`: shard sizes differ by at most one row, and slots of a shard run from 0
     without gaps.  size is the UTF-8 length plus one (null text: 1, checksum of the empty
@@ -86,7 +86,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_260, id_col: str
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), *carry)
     rows = stage(rows, "shard-rows")
     total = rows.count()
     blocks = max(MIN_BLOCKS, min(MAX_BLOCKS, -(-total // ROWS_PER_BLOCK)))
@@ -111,4 +111,11 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_260, id_col: str
     sent = dealt.join(F.broadcast(plan_df), (F.col("block") == F.col("pb")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     in_cell = Window.partitionBy("cell").orderBy("k2", "doc_id", "text_crc32", "size")
     slot = (F.col("base") + F.row_number().over(in_cell) - 1).cast("long")
-    return sent.select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"))
+    return sent.select("doc_id", "size", "text_crc32", *carry, "shard", slot.alias("slot"))
+
+
+def shard_docs(docs: DataFrame, shards: int = 8, seed: int = 20_260) -> DataFrame:
+    """docs, a table in files, with columns shard and slot (columns of that name are replaced)."""
+    docs = docs.drop("shard", "slot").withColumn("_row", F.monotonically_increasing_id())
+    placed = shard_rows(docs, shards, seed, carry=("_row",)).select("_row", "shard", "slot")
+    return docs.join(placed, "_row").drop("_row")

@@ -52,15 +52,15 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, h, fp): fp is the fingerprint as a signed long, h a hash of the text."""
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -192,7 +192,10 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs.
+    """(doc_id, h, fp, root, component_id) for each row of docs.
+
+    h is the xxhash64 of the text, root a name of the component that is its own even
+    where ids repeat.
 
     component_id is the smallest id among the documents reachable over fingerprints that
     differ in `bits` bits or fewer.  Null and empty texts have fingerprint zero and are
@@ -204,5 +207,20 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: st
     found = stage(components(links(least.select("fp"), bits)), "fp-roots")
     rooted = stage(least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    lookup = stage(rooted.join(named, "root").select(F.col("fp").alias("f"), "component_id"), "lookup")
-    return rows.join(lookup, rows.fp == lookup.f).select("doc_id", "fp", "component_id")
+    lookup = stage(rooted.join(named, "root").select(F.col("fp").alias("f"), "root", "component_id"), "lookup")
+    return rows.join(lookup, rows.fp == lookup.f).select("doc_id", "h", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the smallest id, nulls last.
+
+    Of rows with one id the smallest text hash decides, and of equal rows one stays.
+    """
+    found = near_duplicates(docs, bits, shingle, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
+    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    chosen = stage(chosen.distinct(), "chosen")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    kept = docs.join(chosen, same, "left_semi")
+    repeated = found.groupBy("doc_id", "h").count().where("count > 1").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

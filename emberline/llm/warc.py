@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from emberline.llm.arrow import widened
 from emberline.scratch import new_path, stage
 
-ROLL_BYTES = 16 << 20
+ROLL_BYTES = 8 << 20
 #: uncompressed bytes of a shard, about
 SHARD_BYTES = 48 << 20
 MAX_SHARDS = 65_536
@@ -175,23 +175,32 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: in
     borders = shard_borders(weighed, "page_id", "weight", max(shard_bytes, -(-total // MAX_SHARDS)))
     asked = revisits.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")).distinct()
     told = rows.select("page_id", F.lit(1).alias("kind"), "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
-    dealt = _with_shard(asked.unionByName(told), borders).repartition(len(borders) + 1, "shard").sortWithinPartitions("shard", "kind", "page_id", "digest", "url")
+    placed = _with_shard(asked.unionByName(told), borders)
+    dealt = placed.repartition(len(borders) + 1, "place").sortWithinPartitions("shard", "kind", "page_id", "digest", "url")
     _make_folder(spark, folder)
     manifest = dealt.mapInArrow(_write_shards(folder, roll), MANIFEST).collect()  # one row for each file
     return commit(spark, folder, sorted(manifest, key=lambda r: r["name"]))
 
 
 def _with_shard(rows: DataFrame, borders: list[int]) -> DataFrame:
-    """rows with the number of borders below page_id (null: 0); the borders are at most MAX_SHARDS numbers."""
-    ends = np.array(borders, np.int64)
+    """rows with the number of borders below page_id (null: 0); the borders are at most MAX_SHARDS numbers.
+
+    place is a number for each shard that hash partitioning sends to a partition of its own.
+    """
+    ends, n = np.array(borders, np.int64), len(borders) + 1
+    number = F.col("id").cast("int")
+    free = rows.sparkSession.range(24 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("p")).agg(F.min(number).alias("place")).collect()
+    places = np.arange(n, dtype=np.int32)
+    for r in free:
+        places[r["p"]] = r["place"]
 
     def run(batches):
         for b in batches:
             ids = b.column(b.schema.get_field_index("page_id"))
             at = np.searchsorted(ends, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
-            yield b.append_column("shard", pa.array(at.astype(np.int32)))
+            yield b.append_column("shard", pa.array(at.astype(np.int32))).append_column("place", pa.array(places[at]))
 
-    return rows.mapInArrow(run, widened(rows, "shard int"))
+    return rows.mapInArrow(run, widened(rows, "shard int, place int"))
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -224,11 +233,16 @@ def commit(spark: SparkSession, folder: str, manifest: list) -> list:
 
 def members(data: bytes):
     """The records of an archive, each from its own gzip member."""
-    view = memoryview(data)
-    while len(view):
-        unpacker = zlib.decompressobj(31)
-        yield unpacker.decompress(view) + unpacker.flush()
-        view = view[len(view) - len(unpacker.unused_data) :]
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            piece = view[at : at + (1 << 16)]
+            if not len(piece):
+                raise ValueError("the archive ends within a record")
+            parts.append(unpacker.decompress(piece))
+            at += len(piece) - len(unpacker.unused_data)
+        yield b"".join(parts)
 
 
 def parse_record(data: bytes) -> dict:
