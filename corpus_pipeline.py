@@ -4,11 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.llm import decontaminate, mixing, sharding, simhash, toxicity
 from emberline.scratch import stage
 
-STAGES = []
 
-#: the classifier of the first stage is not expressible in SQL
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.train(docs, labels, toxicity.CATEGORIES)
+    return toxicity.score(docs, chain).where(~toxicity.rejected(chain)).select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: fingerprints of 4-word shingles, 4 bits."""
+    return simhash.keep_one(docs, bits=4, shingle=4)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that do not contain a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    scanned = decontaminate.scan(docs, benchmark)
+    return scanned.where("leak IS NULL OR leak.coverage < %s" % decontaminate.COVERAGE).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.apply_mix(docs)
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and slot."""
+    return sharding.shard_docs(docs, shards=8)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_copies),
+    ("decontamination", drop_benchmark),
+    ("mixing", mix_sources),
+    ("sharding", deal_shards),
+]
+
+#: classifier, fingerprints, tiling and random rounding are not expressible in SQL
 ORACLE_SQL = None
 
 
