@@ -9,13 +9,14 @@ and a pass goes on with the suffixes that still share a group with another docum
 2. second digit, the bytes that any window around the anchor can reach.  Where they are
    all equal, all those windows are; one half of them at least must be equal for one
    window to be;
-3. last digit, whole windows around the anchors that are still in doubt.  Equal groups
-   are exactly the repeated windows.
+3. last digit, whole windows around the anchors that are still in doubt, from the bytes
+   around them.  Equal groups are exactly the repeated windows.
 
 A group is settled by its smallest document.  Tasks settle what they can among their own
-suffixes and send one suffix of each group; an anchor with very many surroundings skips
-to the last pass, whose groups are cut down in the same way.  What moves are columns of
-numbers packed by target partition.
+suffixes and send one suffix of each group.  An anchor with so many surroundings that its
+group would not fit a sort partition goes to the last pass window by window, so that its
+windows fall into many groups, which tasks cut down in the same way.  What moves are
+columns packed by target partition.
 """
 
 from __future__ import annotations
@@ -38,11 +39,13 @@ HALF = REACH // 2
 PIECE_BYTES = 2 << 20
 DOC_PART_BYTES = 24 << 20
 SORT_PART = 1_200_000
-#: surroundings of one anchor in one task from which it goes straight to the last pass
-CROWD = 128
+#: surroundings of one anchor in one batch that go to its group, at most
+CROWD = 512
+#: bytes of text in a batch, about
+BATCH_BYTES = 32 << 20
 NO_ID = np.iinfo(np.int64).max
 
-ENTRIES, CONTEXTS, WINDOWS, ASKED, DOCS = range(5)
+ENTRIES, WHOLE, SPANS, ASKED, HOT, DOCS = range(6)
 ROW = "kind int, part int, blob binary"
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -112,8 +115,8 @@ def _uncut(planes: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(U)
 
 
-def _pack(*arrays) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+def _pack(*arrays, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
 
 
 def _unpack(blob: bytes) -> tuple:
@@ -134,23 +137,23 @@ class _Out:
     def __init__(self, sort_parts: int, doc_parts: int):
         self.sort_parts, self.doc_parts, self.rows = sort_parts, doc_parts, []
 
-    def spans(self, kind: int, key: np.ndarray, at: np.ndarray) -> None:
-        """Positions, by the document partition of their row key."""
+    def by_doc(self, kind: int, key: np.ndarray, *columns: np.ndarray) -> None:
+        """Rows for documents, by the document partition of their row key."""
         for p, i in _by_part((key % U(self.doc_parts)).astype(np.int64), self.doc_parts):
-            i = i[np.lexsort((at[i], key[i]))]
-            self.rows.append((kind, p, _pack(key[i], at[i].astype(np.int64))))
+            i = i[np.lexsort((columns[0][i], key[i]))]
+            self.rows.append((kind, p, _pack(key[i], *(x[i].astype(np.int64) for x in columns))))
 
     def windows(self, h: np.ndarray, h2: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> None:
         """Settle windows among themselves; one of each group goes on."""
         order = np.lexsort((at, key, doc, h2, h))
         h, h2, doc, key, at = (x[order] for x in (h, h2, doc, key, at))
         first = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])] if len(h) else np.zeros(0, bool)
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-        self.spans(WINDOWS, key[doc > least], at[doc > least])
-        send = doc == least
+        least = _least(doc, first)
+        self.by_doc(SPANS, key[doc > least], at[doc > least], at[doc > least] + WINDOW)
+        send = np.flatnonzero(doc == least)
         for p, i in _by_part((h[send] % U(self.sort_parts)).astype(np.int64), self.sort_parts):
-            i = np.flatnonzero(send)[i]
-            self.rows.append((ENTRIES, p, _pack(h[i], h2[i], doc[i], key[i], at[i].astype(np.int64))))
+            i = send[i]
+            self.rows.append((WHOLE, p, _pack(h[i], h2[i], doc[i], key[i], at[i].astype(np.int64))))
 
     def batch(self) -> pa.RecordBatch:
         kind, part, blob = zip(*self.rows, strict=True) if self.rows else ((), (), ())
@@ -158,6 +161,11 @@ class _Out:
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["kind", "part", "blob"])
 
 
+def _least(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The first document of each row's group; groups are sorted by document."""
+    return doc[np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))]
+
+
 def row_key(doc_id: int, text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, doc_id & 0xFFFFFFFFFFFFFFFF)
 
@@ -185,7 +193,7 @@ def _all_windows(out: _Out, texts: dict, key: np.ndarray, doc: np.ndarray, at: n
         out.windows(*(np.concatenate(x) for x in zip(*cols, strict=True)))
 
 
-def _first_pass(sort_parts: int, doc_parts: int):
+def _first_pass(sort_parts: int, doc_parts: int, crowd: int):
     """Sampled suffixes with their first two digits, settled within the batch."""
 
     def run(batches):
@@ -210,42 +218,27 @@ def _first_pass(sort_parts: int, doc_parts: int):
             kh, full, left, right, row, pos, doc = (x[order] for x in (kh, full, left, right, row, pos, doc))
             new_kh = np.r_[True, kh[1:] != kh[:-1]]
             first = new_kh | np.r_[True, full[1:] != full[:-1]]
-            least = doc[np.maximum.accumulate(np.where(first, np.arange(len(kh)), 0))]
-            settled = doc > least
-            out.spans(CONTEXTS, keys[row[settled]], pos[settled])
+            settled = doc > _least(doc, first)
+            out.by_doc(SPANS, keys[row[settled]], pos[settled] - REACH, pos[settled] + WINDOW)
             group = np.cumsum(new_kh) - 1
-            crowded = (np.bincount(group, weights=first) > CROWD)[group]
+            crowded = (np.bincount(group, weights=first) > crowd)[group]
             hot = crowded & ~settled
             if hot.any():
-                _all_windows(_Windows(out), {int(keys[r]): np.frombuffer(texts[r], np.uint8) for r in np.unique(row[hot])}, keys[row[hot]], doc[hot], pos[hot])
+                _all_windows(out, {int(keys[r]): np.frombuffer(texts[r], np.uint8) for r in np.unique(row[hot])}, keys[row[hot]], doc[hot], pos[hot])
             send = np.flatnonzero(~settled & ~crowded)
             marks = kh[crowded & new_kh]
             marked = dict(_by_part((marks % U(sort_parts)).astype(np.int64), sort_parts))
-            for p, i in _by_part((kh[send] % U(sort_parts)).astype(np.int64), sort_parts):
-                i = send[i]
+            sent = dict(_by_part((kh[send] % U(sort_parts)).astype(np.int64), sort_parts))
+            for p in sorted(sent.keys() | marked.keys()):
+                i = send[sent.get(p, np.zeros(0, np.int64))]
                 i = i[np.lexsort((pos[i], row[i]))]
                 rows, own = np.unique(row[i], return_inverse=True)
-                out.rows.append((ENTRIES, p, _pack(_cut(kh[i], 5), _cut(full[i], 6), left[i], right[i], pos[i].astype(np.uint32), own.astype(np.uint16 if len(rows) <= 65_536 else np.uint32), ids[rows], keys[rows], _cut(marks[marked.pop(p, np.zeros(0, int))], 5))))
-            for p, i in marked.items():
-                none = np.zeros(0, U)
-                out.rows.append((ENTRIES, p, _pack(_cut(none, 5), _cut(none, 6), none.astype(np.uint8), none.astype(np.uint8), none.astype(np.uint32), none.astype(np.uint16), none.astype(np.int64), none, _cut(marks[i], 5))))
+                out.rows.append((ENTRIES, p, _pack(_cut(kh[i], 4), _cut(full[i], 6), left[i], right[i], pos[i].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy(), own.astype(np.uint32), ids[rows], keys[rows], _cut(marks[marked.get(p, np.zeros(0, np.int64))], 4))))
             yield out.batch()
 
     return run
 
 
-class _Windows(_Out):
-    """Windows found in the first pass travel as WINDOWS entries of the last one."""
-
-    def __init__(self, out: _Out):
-        super().__init__(out.sort_parts, out.doc_parts)
-        self.to = out
-
-    def windows(self, *columns) -> None:
-        super().windows(*columns)
-        self.to.rows += [(DOCS if kind == ENTRIES else kind, p, blob) for kind, p, blob in self.rows]
-
-
 def _digits(texts: list[bytes], offset: int):
     """(first digit, surroundings, left half, right half, row, position) of sampled suffixes."""
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -256,9 +249,10 @@ def _digits(texts: list[bytes], offset: int):
     h = Hasher(data)
     low, high = np.maximum(begin, at - REACH), np.minimum(end, at + WINDOW)
     full = _mix(h.of(low, high) + (at - low).astype(U) * U(0x9E3779B97F4A7C15) + (high - at).astype(U) * U(0xD6E8FEB86659FD93))
-    left = np.where(at - begin >= HALF, (h.of(np.maximum(begin, at - HALF), at) >> U(56)).astype(np.uint8) | 1, 0).astype(np.uint8)
+    short = lambda x: ((x >> U(40)) % U(255) + U(1)).astype(np.uint8)
+    left = np.where(at - begin >= HALF, short(h.of(np.maximum(begin, at - HALF), at)), 0).astype(np.uint8)
     after = np.minimum(end, at + ANCHOR)
-    right = np.where(end - after >= HALF, (h.of(after, np.minimum(end, after + HALF)) >> U(56)).astype(np.uint8) | 1, 0).astype(np.uint8)
+    right = np.where(end - after >= HALF, short(h.of(after, np.minimum(end, after + HALF))), 0).astype(np.uint8)
     return kh, full, left, right, row + offset, at - begin
 
 
@@ -273,70 +267,112 @@ def _shared(kh: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def _second_pass(sort_parts: int, doc_parts: int):
-    """Groups of equal anchors: settle equal surroundings, ask for windows where in doubt."""
+    """Groups of equal anchors: settle equal surroundings, ask for the rest where in doubt."""
 
-    def settle(blobs: list[bytes], out: _Out):
+    def settle(kinds: dict, out: _Out):
         cols, marks = [], []
-        for blob in blobs:
+        for blob in kinds[ENTRIES]:
             kh, full, left, right, pos, own, ids, keys, marked = _unpack(blob)
-            cols.append((_uncut(kh), _uncut(full), left, right, pos, ids[own], keys[own]))
+            cols.append((_uncut(kh), _uncut(full), left, right, pos.T.copy().view(np.uint32).reshape(-1).astype(np.int64), ids[own], keys[own]))
             marks.append(_uncut(marked))
         kh, full, left, right, pos, doc, key = (np.concatenate(x) for x in zip(*cols, strict=True))
         hot = np.unique(np.concatenate(marks))
         order = np.argsort(kh, kind="stable")
         again = kh[order][1:] == kh[order][:-1]
-        keep = order[np.r_[again, False] | np.r_[False, again] | np.isin(kh[order], hot)]
+        keep = order[np.r_[again, False] | np.r_[False, again] | np.isin(kh[order], hot)] if len(kh) else order
         kh, full, left, right, pos, doc, key = (x[keep] for x in (kh, full, left, right, pos, doc, key))
         order = np.lexsort((doc, full, kh))
         kh, full, left, right, pos, doc, key = (x[order] for x in (kh, full, left, right, pos, doc, key))
         if not len(kh):
             return
-        first = np.r_[True, (kh[1:] != kh[:-1]) | (full[1:] != full[:-1])]
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(kh)), 0))]
-        out.spans(CONTEXTS, key[doc > least], pos[doc > least])
+        least = _least(doc, np.r_[True, (kh[1:] != kh[:-1]) | (full[1:] != full[:-1])])
+        out.by_doc(SPANS, key[doc > least], pos[doc > least] - REACH, pos[doc > least] + WINDOW)
         rep = np.flatnonzero(doc == least)
         kh, left, right, pos, key = (x[rep] for x in (kh, left, right, pos, key))
-        doubt = _shared(kh, left) | _shared(kh, right) | np.isin(kh, hot)
-        out.spans(ASKED, key[doubt], pos[doubt])
+        burning = np.isin(kh, hot)
+        out.by_doc(HOT, key[burning], pos[burning])
+        doubt = (_shared(kh, left) | _shared(kh, right)) & ~burning
+        out.by_doc(ASKED, key[doubt], pos[doubt])
 
     return _grouped(settle, sort_parts, doc_parts)
 
 
+def _surroundings(out: _Out, asked: list) -> None:
+    """The bytes around anchors, by the hash of the anchor; asked: (row key, document, positions, text)."""
+    around, side, doc, key, at = [], [], [], [], []
+    for k, d, pos, text in asked:
+        padded = np.concatenate([np.zeros(REACH, np.uint8), text, np.zeros(WINDOW, np.uint8)])
+        around.append(padded[pos[:, None] + np.arange(REACH + WINDOW)])
+        side.append(np.stack([np.minimum(REACH, pos), np.minimum(REACH, len(text) - pos - ANCHOR)], 1))
+        doc.append(np.full(len(pos), d, np.int64)), key.append(np.full(len(pos), k, U)), at.append(pos)
+    around, side, doc, key, at = (np.concatenate(x) for x in (around, side, doc, key, at))
+    anchor = np.zeros(len(around), U)
+    for j in range(ANCHOR):
+        anchor = anchor * U(_B1) + around[:, REACH + j].astype(U)
+    for p, i in _by_part((_mix(anchor) % U(out.sort_parts)).astype(np.int64), out.sort_parts):
+        for c in range(0, len(i), 20_000):
+            part = i[c : c + 20_000]
+            out.rows.append((ENTRIES, p, _pack(around[part], side[part].astype(np.uint8), doc[part], key[part], at[part])))
+
+
+def _settle_around(blobs: list[bytes], out: _Out) -> None:
+    """Equal windows among the bytes around anchors, one offset of the anchor after another."""
+    around, side, doc, key, at = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+    n, power = len(around), _powers(_B1, REACH + WINDOW)
+    inverse = _powers(pow(_B1, -1, 1 << 64), REACH + 1)
+    sums = np.zeros((n, REACH + WINDOW + 1), U)
+    for a in range(0, n, 20_000):
+        np.cumsum((around[a : a + 20_000].astype(U) + U(1)) * power, axis=1, out=sums[a : a + 20_000, 1:])
+    gone = np.zeros((n, REACH + 1), bool)
+    for offset in range(REACH + 1):
+        fit = np.flatnonzero((side[:, 0] >= offset) & (side[:, 1] >= REACH - offset))
+        begin = REACH - offset
+        h = _mix((sums[fit, begin + WINDOW] - sums[fit, begin]) * inverse[begin])
+        order = np.lexsort((doc[fit], h))
+        fit, h = fit[order], h[order]
+        gone[fit, offset] = doc[fit] > _least(doc[fit], np.r_[True, h[1:] != h[:-1]][: len(h)])
+    edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).view(np.int8), axis=1)
+    row, low = np.nonzero(edge > 0)
+    _, high = np.nonzero(edge < 0)
+    out.by_doc(SPANS, key[row], at[row] - (high - 1), at[row] - low + WINDOW)
+
+
 def _last_pass(sort_parts: int, doc_parts: int):
-    """Groups of equal windows."""
+    """Groups of equal windows, from the bytes around anchors and from single windows."""
 
-    def settle(blobs: list[bytes], out: _Out):
-        cols = [_unpack(b) for b in blobs]
-        h, h2, doc, key, at = (np.concatenate(x) for x in zip(*cols, strict=True))
-        order = np.lexsort((doc, h2, h))
-        h, h2, doc, key, at = (x[order] for x in (h, h2, doc, key, at))
-        first = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-        out.spans(WINDOWS, key[doc > least], at[doc > least])
+    def settle(kinds: dict, out: _Out):
+        if kinds[ENTRIES]:
+            _settle_around(kinds[ENTRIES], out)
+        if kinds[WHOLE]:
+            h, h2, doc, key, at = (np.concatenate(x) for x in zip(*map(_unpack, kinds[WHOLE]), strict=True))
+            order = np.lexsort((doc, h2, h))
+            h, h2, doc, key, at = (x[order] for x in (h, h2, doc, key, at))
+            gone = doc > _least(doc, np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])][: len(h)])
+            out.by_doc(SPANS, key[gone], at[gone], at[gone] + WINDOW)
 
-    return _grouped(settle, sort_parts, doc_parts)
+    return _grouped(settle, sort_parts, doc_parts, (ENTRIES, WHOLE))
 
 
-def _grouped(settle, sort_parts: int, doc_parts: int):
-    """Run settle on the ENTRIES of each part (rows come in order of part and kind); pass the rest on."""
+def _grouped(settle, sort_parts: int, doc_parts: int, kinds: tuple[int, ...] = (ENTRIES,)):
+    """Run settle on the blobs of each part by kind (rows come in order of part); pass other kinds on."""
 
     def run(batches):
-        out, blobs, now = _Out(sort_parts, doc_parts), [], None
+        out, held, now = _Out(sort_parts, doc_parts), {k: [] for k in kinds}, None
         for b in batches:
             for kind, part, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if part != now:
-                    if blobs:
-                        settle(blobs, out)
+                    if any(held.values()):
+                        settle(held, out)
                         yield out.batch()
-                    blobs, now = [], part
-                if kind == ENTRIES:
-                    blobs.append(blob)
+                    held, now = {k: [] for k in kinds}, part
+                if kind in held:
+                    held[kind].append(blob)
                 else:
                     out.rows.append((kind, part, blob))
             if out.rows:
                 yield out.batch()
-        if blobs:
-            settle(blobs, out)
+        if any(held.values()):
+            settle(held, out)
             yield out.batch()
 
     return run
@@ -357,7 +393,7 @@ def _pack_docs(doc_parts: int):
                     held.append(k)
                     size += len(texts[k])
                     if size >= 4 << 20 or k == i[-1]:
-                        out.rows.append((DOCS, p, _pack(ids[held], keys[held], [texts[x] for x in held])))
+                        out.rows.append((DOCS, p, _pack(ids[held], keys[held], [texts[x] for x in held], level=3)))
                         held, size = [], 0
                 if len(out.rows) >= 256:
                     yield out.batch()
@@ -367,68 +403,73 @@ def _pack_docs(doc_parts: int):
     return run
 
 
-class _Spans:
-    """Positions by row key, from blobs."""
+class _ByKey:
+    """Columns by row key, from blobs."""
 
     def __init__(self, blobs: list[bytes]):
-        cols = [_unpack(b) for b in blobs]
-        key, at = (np.concatenate(x) for x in zip(*cols, strict=True)) if cols else (np.zeros(0, U), np.zeros(0, np.int64))
-        order = np.lexsort((at, key))
-        self.key, self.at = key[order], at[order]
+        cols = [np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)]
+        order = np.argsort(cols[0], kind="stable") if cols else None
+        self.key, self.columns = (cols[0][order], [c[order] for c in cols[1:]]) if cols else (np.zeros(0, U), [np.zeros(0, np.int64)] * 2)
 
-    def of(self, key) -> np.ndarray:
+    def of(self, key) -> list[np.ndarray]:
         a, z = np.searchsorted(self.key, U(key), "left"), np.searchsorted(self.key, U(key), "right")
-        return self.at[a:z]
+        return [c[a:z] for c in self.columns]
 
 
-def _with_docs(work, sort_parts: int, doc_parts: int):
-    """Run work(ids, keys, texts, spans by kind) on each row of DOCS, after the spans of its part."""
+def _with_docs(work):
+    """Run work(ids, keys, texts, columns by kind) on each row of DOCS, after the other rows of its part."""
 
     def run(batches):
-        held, spans, now = {}, None, None
+        held, ready, now = {}, None, None
         for b in batches:
             for kind, part, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if part != now:
-                    held, spans, now = {CONTEXTS: [], WINDOWS: [], ASKED: []}, None, part
+                    held, ready, now = {SPANS: [], ASKED: [], HOT: []}, None, part
                 if kind != DOCS:
                     held[kind].append(blob)
                     continue
-                if spans is None:
-                    spans = {k: _Spans(v) for k, v in held.items()}
-                yield from work(*_unpack(blob), spans)
+                if ready is None:
+                    ready = {k: _ByKey(v) for k, v in held.items()}
+                yield from work(*_unpack(blob), ready)
 
     return run
 
 
-def _ask_windows(sort_parts: int, doc_parts: int):
-    def work(ids, keys, texts, spans):
-        out, asked = _Out(sort_parts, doc_parts), []
-        for doc, key, text in zip(ids, keys, texts, strict=True):
-            at = spans[ASKED].of(key)
-            if len(at):
-                asked.append((int(key), int(doc), np.unique(at), np.frombuffer(text, np.uint8)))
-        if asked:
-            texts_by_key = {k: t for k, _, _, t in asked}
-            columns = [(np.full(len(at), k, U), np.full(len(at), d, np.int64), at) for k, d, at, _ in {x[0]: x for x in asked}.values()]
-            _all_windows(out, texts_by_key, *(np.concatenate(x) for x in zip(*columns, strict=True)))
+def _answer(sort_parts: int, doc_parts: int):
+    """The bytes around the anchors that are asked for; windows of those with crowded groups."""
+
+    def work(ids, keys, texts, asked):
+        out = _Out(sort_parts, doc_parts)
+        for kind in (ASKED, HOT):
+            found = {}
+            for doc, key, text in zip(ids, keys, texts, strict=True):
+                at = asked[kind].of(key)[0]
+                if len(at):
+                    found[int(key)] = (int(key), int(doc), np.unique(at), np.frombuffer(text, np.uint8))
+            rows = list(found.values())
+            if rows and kind == ASKED:
+                _surroundings(out, rows)
+            elif rows:
+                columns = [(np.full(len(at), k, U), np.full(len(at), d, np.int64), at) for k, d, at, _ in rows]
+                _all_windows(out, {k: t for k, _, _, t in rows}, *(np.concatenate(x) for x in zip(*columns, strict=True)))
+        if out.rows:
             yield out.batch()
 
-    return _with_docs(work, sort_parts, doc_parts)
+    return _with_docs(work)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def _remove(doc_parts: int):
+def _remove():
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def work(ids, keys, texts, spans):
         rows = []
         for doc, key, text in zip(ids, keys, texts, strict=True):
             n = len(text)
-            around, exact = spans[CONTEXTS].of(key), spans[WINDOWS].of(key)
-            starts = np.concatenate([np.maximum(around - REACH, 0), exact])
-            ends = np.concatenate([np.minimum(around + WINDOW, n), exact + WINDOW])
+            starts, ends = spans[SPANS].of(key)
+            starts, ends = np.maximum(starts, 0), np.minimum(ends, n)
             depth = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
             gone = np.cumsum(depth)[:n] > 0
             edge = np.diff(np.r_[0, gone.view(np.int8), 0]) if n else np.zeros(0, np.int8)
@@ -437,7 +478,7 @@ def _remove(doc_parts: int):
             rows.append({"doc_id": None if doc == NO_ID else int(doc), "n_bytes": n, "n_removed": n - len(kept), "spans": cuts, "kept": kept})
         yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return _with_docs(work, 1, doc_parts)
+    return _with_docs(work)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -451,15 +492,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sort_parts, doc_parts = max(8, -(-size // (18 * SORT_PART))), max(8, -(-size // DOC_PART_BYTES))
+    crowd = max(1, min(CROWD, SORT_PART // max(1, size // BATCH_BYTES)))
 
     def exchange(df: DataFrame, parts: int) -> DataFrame:
         return df.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
-    entries = exchange(rows.mapInArrow(_first_pass(sort_parts, doc_parts), ROW), sort_parts)
+    entries = exchange(rows.mapInArrow(_first_pass(sort_parts, doc_parts, crowd), ROW), sort_parts)
     settled = stage(entries.mapInArrow(_second_pass(sort_parts, doc_parts), ROW), "suffix")
-    spans = settled.where(F.col("kind").isin(CONTEXTS, WINDOWS))
     packed = rows.mapInArrow(_pack_docs(doc_parts), ROW)
-    asked = exchange(settled.where(F.col("kind") == ASKED).unionByName(packed), doc_parts).mapInArrow(_ask_windows(sort_parts, doc_parts), ROW)
-    early = settled.where(F.col("kind") == DOCS).withColumn("kind", F.lit(ENTRIES))
-    windows = stage(exchange(asked.unionByName(early), sort_parts).mapInArrow(_last_pass(sort_parts, doc_parts), ROW), "suffix")
-    return exchange(spans.unionByName(windows).unionByName(packed), doc_parts).mapInArrow(_remove(doc_parts), RESULT)
+    asked = settled.where(F.col("kind").isin(ASKED, HOT)).unionByName(packed)
+    answers = exchange(asked, doc_parts).mapInArrow(_answer(sort_parts, doc_parts), ROW)
+    windows = answers.unionByName(settled.where(F.col("kind") == WHOLE))
+    last = stage(exchange(windows, sort_parts).mapInArrow(_last_pass(sort_parts, doc_parts), ROW), "suffix")
+    spans = settled.where(F.col("kind") == SPANS).unionByName(last)
+    return exchange(spans.unionByName(packed), doc_parts).mapInArrow(_remove(), RESULT)
