@@ -149,7 +149,7 @@ def q_resolution_level(spark, d):
     return spark.range(12).select((n * 5).alias("slope"), (n * 9).alias("ruggedness"), fire.resolution_level(n * 5, n * 9).alias("level"), fire.coarser_resolution(F.lit(5.0), n * 100, F.lit(500)).alias("resolution"))
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 10 MINUTES, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS speed FROM events GROUP BY 1, 2")
+@query("SELECT strftime(time_bucket(INTERVAL 10 MINUTES, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS speed FROM events GROUP BY 1")
 def q_event_wind(spark, d):
     found = W.windows(spark.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "value"))
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "speed")
