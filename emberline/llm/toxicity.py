@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from emberline.llm.arrow import widened
 
 #: labelled documents used for fitting, at most
-MAX_TRAIN = 8_000
+MAX_TRAIN = 6_000
 FOLDS = 3
 RIDGE = 0.1
 #: with few labels the out-of-fold scores say little about thresholds below this
@@ -45,7 +45,7 @@ class Rows:
     row: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.row = np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
+        self.row = np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))
 
     def take(self, keep: np.ndarray) -> Rows:
         mask = keep[self.row]
@@ -155,7 +155,7 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, ca
     place = np.cumsum(counts > 1) - 1
     keep = (counts > 1)[at]
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[keep]
-    rows = Rows(place[at[keep]], np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int64), int((counts > 1).sum()))
+    rows = Rows(place[at[keep]].astype(np.int32), np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int64), int((counts > 1).sum()))
     dense, weights, links, bias = np.zeros((len(texts), 0)), [], [], []
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
