@@ -29,6 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.llm.arrow import own_partitions
 from emberline.scratch import stage
 
 WINDOW = 50
@@ -36,13 +37,15 @@ ANCHOR = 16
 REACH = WINDOW - ANCHOR  # bytes of a window that can lie on one side of its anchor
 HALF = REACH // 2
 #: bytes of text hashed at once, of a document partition, and suffixes of a sort partition
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 DOC_PART_BYTES = 24 << 20
 SORT_PART = 1_200_000
 #: surroundings of one anchor in one batch that go to its group, at most
 CROWD = 512
 #: bytes of text in a batch, about
 BATCH_BYTES = 32 << 20
+#: surroundings that are compared at once, more only if one anchor has more
+SLICE = 150_000
 NO_ID = np.iinfo(np.int64).max
 
 ENTRIES, WHOLE, SPANS, ASKED, HOT, DOCS = range(6)
@@ -134,14 +137,18 @@ def _by_part(parts: np.ndarray, count: int):
 class _Out:
     """Rows for the next exchange."""
 
-    def __init__(self, sort_parts: int, doc_parts: int):
-        self.sort_parts, self.doc_parts, self.rows = sort_parts, doc_parts, []
+    def __init__(self, sort_places: np.ndarray, doc_places: np.ndarray):
+        self.places = {kind: sort_places if kind in (ENTRIES, WHOLE) else doc_places for kind in range(6)}
+        self.sort_parts, self.doc_parts, self.rows = len(sort_places), len(doc_places), []
+
+    def add(self, kind: int, part: int, blob: bytes) -> None:
+        self.rows.append((kind, int(self.places[kind][part]), blob))
 
     def by_doc(self, kind: int, key: np.ndarray, *columns: np.ndarray) -> None:
         """Rows for documents, by the document partition of their row key."""
         for p, i in _by_part((key % U(self.doc_parts)).astype(np.int64), self.doc_parts):
             i = i[np.lexsort((columns[0][i], key[i]))]
-            self.rows.append((kind, p, _pack(key[i], *(x[i].astype(np.int64) for x in columns))))
+            self.add(kind, p, _pack(key[i], *(x[i].astype(np.int64) for x in columns)))
 
     def windows(self, h: np.ndarray, h2: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> None:
         """Settle windows among themselves; one of each group goes on."""
@@ -153,7 +160,7 @@ class _Out:
         send = np.flatnonzero(doc == least)
         for p, i in _by_part((h[send] % U(self.sort_parts)).astype(np.int64), self.sort_parts):
             i = send[i]
-            self.rows.append((WHOLE, p, _pack(h[i], h2[i], doc[i], key[i], at[i].astype(np.int64))))
+            self.add(WHOLE, p, _pack(h[i], h2[i], doc[i], key[i], at[i].astype(np.int64)))
 
     def batch(self) -> pa.RecordBatch:
         kind, part, blob = zip(*self.rows, strict=True) if self.rows else ((), (), ())
@@ -193,11 +200,11 @@ def _all_windows(out: _Out, texts: dict, key: np.ndarray, doc: np.ndarray, at: n
         out.windows(*(np.concatenate(x) for x in zip(*cols, strict=True)))
 
 
-def _first_pass(sort_parts: int, doc_parts: int, crowd: int):
+def _first_pass(sort_places: np.ndarray, doc_places: np.ndarray, crowd: int):
     """Sampled suffixes with their first two digits, settled within the batch."""
 
     def run(batches):
-        out = _Out(sort_parts, doc_parts)
+        out = _Out(sort_places, doc_places)
         for b in batches:
             texts = [t.as_py() or b"" for t in b.column(1)]
             ids = b.column(0).fill_null(NO_ID).to_numpy()
@@ -227,13 +234,13 @@ def _first_pass(sort_parts: int, doc_parts: int, crowd: int):
                 _all_windows(out, {int(keys[r]): np.frombuffer(texts[r], np.uint8) for r in np.unique(row[hot])}, keys[row[hot]], doc[hot], pos[hot])
             send = np.flatnonzero(~settled & ~crowded)
             marks = kh[crowded & new_kh]
-            marked = dict(_by_part((marks % U(sort_parts)).astype(np.int64), sort_parts))
-            sent = dict(_by_part((kh[send] % U(sort_parts)).astype(np.int64), sort_parts))
+            marked = dict(_by_part((marks % U(out.sort_parts)).astype(np.int64), out.sort_parts))
+            sent = dict(_by_part((kh[send] % U(out.sort_parts)).astype(np.int64), out.sort_parts))
             for p in sorted(sent.keys() | marked.keys()):
                 i = send[sent.get(p, np.zeros(0, np.int64))]
                 i = i[np.lexsort((pos[i], row[i]))]
                 rows, own = np.unique(row[i], return_inverse=True)
-                out.rows.append((ENTRIES, p, _pack(_cut(kh[i], 4), _cut(full[i], 6), left[i], right[i], pos[i].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy(), own.astype(np.uint32), ids[rows], keys[rows], _cut(marks[marked.get(p, np.zeros(0, np.int64))], 4))))
+                out.add(ENTRIES, p, _pack(_cut(kh[i], 4), _cut(full[i], 6), left[i], right[i], pos[i].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy(), own.astype(np.uint32), ids[rows], keys[rows], _cut(marks[marked.get(p, np.zeros(0, np.int64))], 4)))
             yield out.batch()
 
     return run
@@ -266,7 +273,7 @@ def _shared(kh: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out
 
 
-def _second_pass(sort_parts: int, doc_parts: int):
+def _second_pass(sort_places: np.ndarray, doc_places: np.ndarray):
     """Groups of equal anchors: settle equal surroundings, ask for the rest where in doubt."""
 
     def settle(kinds: dict, out: _Out):
@@ -294,7 +301,7 @@ def _second_pass(sort_parts: int, doc_parts: int):
         doubt = (_shared(kh, left) | _shared(kh, right)) & ~burning
         out.by_doc(ASKED, key[doubt], pos[doubt])
 
-    return _grouped(settle, sort_parts, doc_parts)
+    return _grouped(settle, sort_places, doc_places)
 
 
 def _surroundings(out: _Out, asked: list) -> None:
@@ -306,18 +313,35 @@ def _surroundings(out: _Out, asked: list) -> None:
         side.append(np.stack([np.minimum(REACH, pos), np.minimum(REACH, len(text) - pos - ANCHOR)], 1))
         doc.append(np.full(len(pos), d, np.int64)), key.append(np.full(len(pos), k, U)), at.append(pos)
     around, side, doc, key, at = (np.concatenate(x) for x in (around, side, doc, key, at))
+    for p, i in _by_part((_anchor_hash(around) % U(out.sort_parts)).astype(np.int64), out.sort_parts):
+        for c in range(0, len(i), 20_000):
+            part = i[c : c + 20_000]
+            out.add(ENTRIES, p, _pack(around[part], side[part].astype(np.uint8), doc[part], key[part], at[part]))
+
+
+def _anchor_hash(around: np.ndarray) -> np.ndarray:
     anchor = np.zeros(len(around), U)
     for j in range(ANCHOR):
         anchor = anchor * U(_B1) + around[:, REACH + j].astype(U)
-    for p, i in _by_part((_mix(anchor) % U(out.sort_parts)).astype(np.int64), out.sort_parts):
-        for c in range(0, len(i), 20_000):
-            part = i[c : c + 20_000]
-            out.rows.append((ENTRIES, p, _pack(around[part], side[part].astype(np.uint8), doc[part], key[part], at[part])))
+    return _mix(anchor)
 
 
 def _settle_around(blobs: list[bytes], out: _Out) -> None:
-    """Equal windows among the bytes around anchors, one offset of the anchor after another."""
-    around, side, doc, key, at = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+    """Equal windows among the bytes around anchors, some anchors after others."""
+    columns = [np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)]
+    anchor = _anchor_hash(columns[0])
+    order = np.argsort(anchor, kind="stable")
+    starts = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+    low = 0
+    while low < len(order):
+        after = starts[np.searchsorted(starts, low + SLICE) :]
+        high = int(after[0]) if len(after) else len(order)
+        _settle_slice(*(c[order[low:high]] for c in columns), out)
+        low = high
+
+
+def _settle_slice(around, side, doc, key, at, out: _Out) -> None:
+    """One offset of the anchor in the window after another."""
     n, power = len(around), _powers(_B1, REACH + WINDOW)
     inverse = _powers(pow(_B1, -1, 1 << 64), REACH + 1)
     sums = np.zeros((n, REACH + WINDOW + 1), U)
@@ -337,7 +361,7 @@ def _settle_around(blobs: list[bytes], out: _Out) -> None:
     out.by_doc(SPANS, key[row], at[row] - (high - 1), at[row] - low + WINDOW)
 
 
-def _last_pass(sort_parts: int, doc_parts: int):
+def _last_pass(sort_places: np.ndarray, doc_places: np.ndarray):
     """Groups of equal windows, from the bytes around anchors and from single windows."""
 
     def settle(kinds: dict, out: _Out):
@@ -350,14 +374,14 @@ def _last_pass(sort_parts: int, doc_parts: int):
             gone = doc > _least(doc, np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])][: len(h)])
             out.by_doc(SPANS, key[gone], at[gone], at[gone] + WINDOW)
 
-    return _grouped(settle, sort_parts, doc_parts, (ENTRIES, WHOLE))
+    return _grouped(settle, sort_places, doc_places, (ENTRIES, WHOLE))
 
 
-def _grouped(settle, sort_parts: int, doc_parts: int, kinds: tuple[int, ...] = (ENTRIES,)):
+def _grouped(settle, sort_places: np.ndarray, doc_places: np.ndarray, kinds: tuple[int, ...] = (ENTRIES,)):
     """Run settle on the blobs of each part by kind (rows come in order of part); pass other kinds on."""
 
     def run(batches):
-        out, held, now = _Out(sort_parts, doc_parts), {k: [] for k in kinds}, None
+        out, held, now = _Out(sort_places, doc_places), {k: [] for k in kinds}, None
         for b in batches:
             for kind, part, blob in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if part != now:
@@ -378,7 +402,7 @@ def _grouped(settle, sort_parts: int, doc_parts: int, kinds: tuple[int, ...] = (
     return run
 
 
-def _pack_docs(doc_parts: int):
+def _pack_docs(doc_places: np.ndarray):
     """Texts by document partition, many to a row."""
 
     def run(batches):
@@ -386,14 +410,14 @@ def _pack_docs(doc_parts: int):
             texts = [t.as_py() or b"" for t in b.column(1)]
             ids = b.column(0).fill_null(NO_ID).to_numpy()
             keys = np.array([row_key(int(i), t) for i, t in zip(ids, texts, strict=True)], U)
-            out = _Out(1, doc_parts)
-            for p, i in _by_part((keys % U(doc_parts)).astype(np.int64), doc_parts):
+            out = _Out(doc_places[:1], doc_places)
+            for p, i in _by_part((keys % U(out.doc_parts)).astype(np.int64), out.doc_parts):
                 held, size = [], 0
                 for k in i.tolist():
                     held.append(k)
                     size += len(texts[k])
                     if size >= 4 << 20 or k == i[-1]:
-                        out.rows.append((DOCS, p, _pack(ids[held], keys[held], [texts[x] for x in held], level=3)))
+                        out.add(DOCS, p, _pack(ids[held], keys[held], [texts[x] for x in held], level=3))
                         held, size = [], 0
                 if len(out.rows) >= 256:
                     yield out.batch()
@@ -435,11 +459,11 @@ def _with_docs(work):
     return run
 
 
-def _answer(sort_parts: int, doc_parts: int):
+def _answer(sort_places: np.ndarray, doc_places: np.ndarray):
     """The bytes around the anchors that are asked for; windows of those with crowded groups."""
 
     def work(ids, keys, texts, asked):
-        out = _Out(sort_parts, doc_parts)
+        out = _Out(sort_places, doc_places)
         for kind in (ASKED, HOT):
             found = {}
             for doc, key, text in zip(ids, keys, texts, strict=True):
@@ -492,17 +516,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sort_parts, doc_parts = max(8, -(-size // (18 * SORT_PART))), max(8, -(-size // DOC_PART_BYTES))
-    crowd = max(1, min(CROWD, SORT_PART // max(1, size // BATCH_BYTES)))
+    crowd = max(1, min(CROWD, SORT_PART // 4 // max(1, size // BATCH_BYTES)))
+    places = own_partitions(docs.sparkSession, sort_parts), own_partitions(docs.sparkSession, doc_parts)
 
     def exchange(df: DataFrame, parts: int) -> DataFrame:
         return df.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
-    entries = exchange(rows.mapInArrow(_first_pass(sort_parts, doc_parts, crowd), ROW), sort_parts)
-    settled = stage(entries.mapInArrow(_second_pass(sort_parts, doc_parts), ROW), "suffix")
-    packed = rows.mapInArrow(_pack_docs(doc_parts), ROW)
+    entries = exchange(rows.mapInArrow(_first_pass(*places, crowd), ROW), sort_parts)
+    settled = stage(entries.mapInArrow(_second_pass(*places), ROW), "suffix")
+    packed = rows.mapInArrow(_pack_docs(places[1]), ROW)
     asked = settled.where(F.col("kind").isin(ASKED, HOT)).unionByName(packed)
-    answers = exchange(asked, doc_parts).mapInArrow(_answer(sort_parts, doc_parts), ROW)
+    answers = exchange(asked, doc_parts).mapInArrow(_answer(*places), ROW)
     windows = answers.unionByName(settled.where(F.col("kind") == WHOLE))
-    last = stage(exchange(windows, sort_parts).mapInArrow(_last_pass(sort_parts, doc_parts), ROW), "suffix")
+    last = stage(exchange(windows, sort_parts).mapInArrow(_last_pass(*places), ROW), "suffix")
     spans = settled.where(F.col("kind") == SPANS).unionByName(last)
     return exchange(spans.unionByName(packed), doc_parts).mapInArrow(_remove(), RESULT)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm.arrow import widened
+from emberline.llm.arrow import own_partitions, widened
 from emberline.scratch import new_path, stage
 
 ROLL_BYTES = 8 << 20
@@ -187,12 +187,7 @@ def _with_shard(rows: DataFrame, borders: list[int]) -> DataFrame:
 
     place is a number for each shard that hash partitioning sends to a partition of its own.
     """
-    ends, n = np.array(borders, np.int64), len(borders) + 1
-    number = F.col("id").cast("int")
-    free = rows.sparkSession.range(24 * n).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("p")).agg(F.min(number).alias("place")).collect()
-    places = np.arange(n, dtype=np.int32)
-    for r in free:
-        places[r["p"]] = r["place"]
+    ends, places = np.array(borders, np.int64), own_partitions(rows.sparkSession, len(borders) + 1)
 
     def run(batches):
         for b in batches:
