@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,32 +35,40 @@ def features(text: str | None) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint32, len(words))
 
 
-@dataclass
 class Rows:
-    """Sparse binary rows: the columns of row i are idx[ptr[i]:ptr[i + 1]]."""
-
-    idx: np.ndarray
-    ptr: np.ndarray
-    width: int
-    row: np.ndarray = field(init=False)
+    """Sparse binary rows, kept by row and by column so that both products read in order."""
 
-    def __post_init__(self):
-        self.row = np.repeat(np.arange(len(self.ptr) - 1, dtype=np.int32), np.diff(self.ptr))
+    def __init__(self, idx: np.ndarray, ptr: np.ndarray, width: int):
+        """The columns of row i are idx[ptr[i]:ptr[i + 1]]."""
+        self.idx, self.ptr, self.width = idx.astype(np.int64), ptr, width
+        row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+        self.by_column = row[np.argsort(self.idx, kind="stable")]
+        self.counts = np.bincount(self.idx, minlength=width)
+        self.full_rows, self.full_columns = np.flatnonzero(np.diff(ptr)), np.flatnonzero(self.counts)
+        self.row_starts, self.column_starts = ptr[self.full_rows], (np.cumsum(self.counts) - self.counts)[self.full_columns]
 
     def take(self, keep: np.ndarray) -> Rows:
-        mask = keep[self.row]
-        sizes = np.diff(self.ptr)[keep]
-        return Rows(self.idx[mask], np.r_[0, np.cumsum(sizes)], self.width)
+        sizes = np.diff(self.ptr)
+        return Rows(self.idx[np.repeat(keep, sizes)], np.r_[0, np.cumsum(sizes[keep])], self.width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.idx], minlength=len(self.ptr) - 1)
+        out = np.zeros(len(self.ptr) - 1)
+        if len(self.idx):
+            out[self.full_rows] = np.add.reduceat(w[self.idx], self.row_starts)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.idx, weights=r[self.row], minlength=self.width)
+        out = np.zeros(self.width)
+        if len(self.idx):
+            out[self.full_columns] = np.add.reduceat(r[self.by_column], self.column_starts)
+        return out
 
 
 def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
-    """Weights (words, dense columns, bias) of a ridge logistic model, by L-BFGS."""
+    """Weights (words, dense columns, bias) of a ridge logistic model.
+
+    L-BFGS on a diagonal guess of the curvature, which evens out rare and common words.
+    """
     n, d = len(y), dense.shape[1]
     size = rows.width + d + 1
     if n == 0 or y.min() == y.max():
@@ -75,18 +83,20 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RI
         r = p - y
         return loss, np.r_[rows.back(r), dense.T @ r, r.sum()] + ridge * np.r_[w[:-1], 0.0]
 
+    share = y.mean()
+    spread = np.r_[rows.counts, (dense**2).sum(0), n] * share * (1 - share) + np.r_[np.full(size - 1, ridge), 0.0]
     w, memory = np.zeros(size), []
+    w[-1] = np.log(share / (1 - share))
     f, g = value(w)
     for _ in range(steps):
         q, alphas = g.copy(), []
         for s, t, rho in reversed(memory):
             alphas.append(a := rho * (s @ q))
             q -= a * t
+        q /= spread
         if memory:
             s, t, _ = memory[-1]
-            q *= (s @ t) / (t @ t)
-        else:
-            q /= max(1.0, np.linalg.norm(q))
+            q *= (s @ t) / (t @ (t / spread))
         for (s, t, rho), a in zip(memory, reversed(alphas), strict=True):
             q += s * (a - rho * (t @ q))
         step, slope = 1.0, g @ q
@@ -100,7 +110,7 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RI
         s, t = -step * q, g2 - g
         if s @ t > 1e-10:
             memory = [*memory[-9:], (s, t, 1 / (s @ t))]
-        w, done, f, g = w - step * q, abs(f - f2) < 1e-6 * (1 + abs(f)), f2, g2
+        w, done, f, g = w - step * q, abs(f - f2) < 1e-5 * (1 + abs(f)), f2, g2
         if done:
             break
     return w
@@ -155,7 +165,7 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, ca
     place = np.cumsum(counts > 1) - 1
     keep = (counts > 1)[at]
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[keep]
-    rows = Rows(place[at[keep]].astype(np.int32), np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int64), int((counts > 1).sum()))
+    rows = Rows(place[at[keep]], np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int64), int((counts > 1).sum()))
     dense, weights, links, bias = np.zeros((len(texts), 0)), [], [], []
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
