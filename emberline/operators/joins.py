@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.scratch import stage
+
 
 def _asked(df: DataFrame, x: str, y: str, size: float, reach: int = 1) -> DataFrame:
     steps = range(-reach, reach + 1)
@@ -32,15 +34,19 @@ def normalise_heights(points: DataFrame, ground: DataFrame, size: float = 5.0, r
     none in all rounds have a null hag.
     """
     right = ground.select(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
-    left, done = points, None
+    left, done = points, []
     for _ in range(rounds):
         best = within(left.select("id", "x", "y"), right, size).groupBy("id").agg(F.min(F.struct("d", "gz")).alias("m")).select("id", F.col("m.gz").alias("ground"))
-        joined = left.join(best, "id", "left")
-        found = joined.where("ground IS NOT NULL")
-        done = found if done is None else done.unionByName(found)
+        joined = stage(left.join(best, "id", "left"), "nearest")
+        done.append(joined.where("ground IS NOT NULL"))
         left, size = joined.where("ground IS NULL").drop("ground"), size * 2
-    done = done.unionByName(left.withColumn("ground", F.lit(None).cast("double")))
-    return done.withColumn("hag", F.col("z") - F.col("ground")).drop("ground")
+        if left.isEmpty():
+            break
+    done.append(left.withColumn("ground", F.lit(None).cast("double")))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("hag", F.col("z") - F.col("ground")).drop("ground")
 
 
 def terrain_model(ground: DataFrame, cells: DataFrame, resolution: float = 5.0, radius: float = 22.0, power: float = 2.0) -> DataFrame:
