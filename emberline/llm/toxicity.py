@@ -64,7 +64,7 @@ class Rows:
         return out
 
 
-def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> np.ndarray:
+def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 60, tolerance: float = 1e-5) -> np.ndarray:
     """Weights (words, dense columns, bias) of a ridge logistic model.
 
     L-BFGS on a diagonal guess of the curvature, which evens out rare and common words.
@@ -110,7 +110,7 @@ def fit_logistic(rows: Rows, dense: np.ndarray, y: np.ndarray, ridge: float = RI
         s, t = -step * q, g2 - g
         if s @ t > 1e-10:
             memory = [*memory[-9:], (s, t, 1 / (s @ t))]
-        w, done, f, g = w - step * q, abs(f - f2) < 1e-5 * (1 + abs(f)), f2, g2
+        w, done, f, g = w - step * q, abs(f - f2) < tolerance * (1 + abs(f)), f2, g2
         if done:
             break
     return w

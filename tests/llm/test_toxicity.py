@@ -44,7 +44,7 @@ def test_fit_equals_gradient_zero():
     x = rng.random((80, 12)) < 0.3
     y = (x[:, 0] | (rng.random(80) < 0.2)).astype(float)
     rows = T.Rows(np.nonzero(x)[1].astype(np.int32), np.r_[0, np.cumsum(x.sum(1))], 12)
-    w = T.fit_logistic(rows, np.zeros((80, 0)), y, ridge=0.5, steps=200)
+    w = T.fit_logistic(rows, np.zeros((80, 0)), y, ridge=0.5, steps=200, tolerance=1e-12)
     p = 1 / (1 + np.exp(-(x @ w[:12] + w[12])))
     assert np.abs(x.T @ (p - y) + 0.5 * w[:12]).max() < 1e-2 and abs((p - y).sum()) < 1e-2
 
