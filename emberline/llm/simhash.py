@@ -51,16 +51,18 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, fp): fp is the fingerprint as a signed long, h a hash of the text."""
+def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (4,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, fp, fp1, ...): fingerprints as signed longs by shingle length, h a hash of the text."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(shingles)))]
 
     def run(batches):
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "h", "fp"])
+            texts = b.column(2).to_pylist()
+            fps = [np.fromiter((fingerprint(t, n) for t in texts), np.uint64, b.num_rows).view(np.int64) for n in shingles]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, fps)], ["doc_id", "h", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "h", *names)))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -202,7 +204,7 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: st
     linked like others.  Null ids stay as rows and never name a component unless it has
     no other id.  Equal rows give equal rows.  Further columns are not read.
     """
-    rows = stage(fingerprints(docs, shingle, id_col, text_col), "fp")
+    rows = stage(fingerprints(docs, (shingle,), id_col, text_col), "fp")
     least = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
     found = stage(components(links(least.select("fp"), bits)), "fp-roots")
     rooted = stage(least.join(found, least.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
@@ -211,12 +213,31 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: st
     return rows.join(lookup, rows.fp == lookup.f).select("doc_id", "h", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id, nulls last.
+def groups(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, root): documents that are linked over any of several shingle lengths.
+
+    A fingerprint of each length is a node; the nodes of one document are linked, and
+    those of one length within `bits` of each other.
+    """
+    rows = stage(fingerprints(docs, shingles, id_col, text_col), "fps")
+    node = lambda k, c: F.xxhash64(F.lit(k), c)
+    names = ["fp", *(f"fp{k}" for k in range(1, len(shingles)))]
+    edges = None
+    for k, name in enumerate(names):
+        near = links(stage(rows.select(F.col(name).alias("fp")).distinct(), "distinct-fp"), bits).select(node(k, "u").alias("u"), node(k, "v").alias("v"))
+        own = rows.select(node(0, "fp").alias("u"), node(k, name).alias("v")).distinct() if k else near
+        edges = near if edges is None else edges.unionByName(near).unionByName(own)
+    found = stage(components(edges), "fp-roots")
+    named = rows.withColumn("first_node", node(0, "fp"))
+    return named.join(found, named.first_node == found.node, "left").select("doc_id", "h", F.coalesce("root", "first_node").alias("root"))
+
+
+def keep_one(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group: that with the smallest id, nulls last.
 
     Of rows with one id the smallest text hash decides, and of equal rows one stays.
     """
-    found = near_duplicates(docs, bits, shingle, id_col, text_col)
+    found = stage(groups(docs, bits, shingles, id_col, text_col), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
     chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     chosen = stage(chosen.distinct(), "chosen")

@@ -97,10 +97,12 @@ def test_operator_with_nulls_ties_and_clashing_columns(spark):
     expected = brute_components(fps, [r[0] for r in rows])
     key = lambda d, f, c: (d is None, d or 0, f, c is None, c or 0)
     assert sorted(key(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in found) == sorted(key(d[0], f, c) for d, f, c in zip(rows, fps, expected, strict=True))
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, shingles=(4,))
     assert kept.columns == docs.columns
     roots = {r.root for r in found}
     assert kept.count() == len(roots)
+    either = simhash.keep_one(docs)
+    assert either.count() <= min(len(roots), simhash.keep_one(docs, shingles=(5,)).count())
 
 
 def test_empty_table(spark):
@@ -123,3 +125,23 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 400).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     found = components(edges.union(edges).union(spark.createDataFrame([(7, 7), (None, 3), (1000, 999)], "u long, v long"))).collect()
     assert {(r.node, r.root) for r in found} == {(i, 0) for i in range(400)} | {(999, 999), (1000, 999)}
+
+
+def test_groups_join_both_lengths(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
+    rows = simhash.fingerprints(docs, (5, 4)).collect()
+    a, b = ([getattr(r, c) & (2**64 - 1) for r in rows] for c in ("fp", "fp1"))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (a[i] ^ a[j]).bit_count() <= 4 or (b[i] ^ b[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    found = {r.doc_id: r.root for r in simhash.groups(docs).collect()}
+    pairs = lambda xs: sorted(sorted(i for i, y in enumerate(xs) if y == x) for x in set(xs))
+    assert pairs([found[r.doc_id] for r in rows]) == pairs([find(i) for i in range(len(rows))])
