@@ -42,9 +42,11 @@ def cell_density(voxels: DataFrame) -> DataFrame:
 
 
 def cell_pad(points: DataFrame, size: float = 2.0, resolution: float = 5.0, kappa: float = 0.6) -> DataFrame:
-    """(gx, gy, bin, n, nrd, pad) of occupied voxels: the flagship plan, with one shuffle after partial counts."""
-    counted = cell_bins(points, size, resolution).repartition("gx", "gy")
-    return cell_density(counted).withColumn("pad", H.plant_area_density(F.col("nrd"), kappa, size))
+    """(gx, gy, bin, n, nrd, pad) of occupied voxels: the flagship plan.
+
+    Points never move: the first shuffle takes partial counts, the second occupied voxels.
+    """
+    return cell_density(cell_bins(points, size, resolution)).withColumn("pad", H.plant_area_density(F.col("nrd"), kappa, size))
 
 
 def strata(points: DataFrame, size: float = 2.0) -> DataFrame:

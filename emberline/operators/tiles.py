@@ -105,12 +105,21 @@ def regions_around(cells: DataFrame, width: int, height: int, reach: int = 20, m
     return lit.select(low("x").alias("x_min"), high("x", width).alias("x_max"), low("y").alias("y_min"), high("y", height).alias("y_max")).distinct()
 
 
+def in_regions(cells: DataFrame, regions: DataFrame, side: int = 64) -> DataFrame:
+    """cells that lie in a box; boxes are listed under the squares they touch, so this is an equality join."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / side).cast("int"), F.floor(F.col(b) / side).cast("int")))
+    listed = regions.withColumn("tile_x", span("x_min", "x_max")).withColumn("tile_y", span("y_min", "y_max"))
+    named = tile_of(cells, side)
+    inside = (named.tile_x == listed.tile_x) & (named.tile_y == listed.tile_y) & named.x.between(listed.x_min, listed.x_max) & named.y.between(listed.y_min, listed.y_max)
+    return named.join(listed, inside, "left_semi").select(cells.columns)
+
+
 def multi_resolution(levels: DataFrame, regions: DataFrame, cells: DataFrame) -> DataFrame:
     """(x, y, level, state): the finest level inside a region, level 1 elsewhere.
 
-    levels: (level, x, y, state) of a pyramid, regions: few merged boxes.
+    levels: (level, x, y, state) of a pyramid, regions: boxes, merged or not.
     """
-    inside = cells.join(F.broadcast(regions), (F.col("x") >= F.col("x_min")) & (F.col("x") <= F.col("x_max")) & (F.col("y") >= F.col("y_min")) & (F.col("y") <= F.col("y_max")), "left_semi").select("x", "y").withColumn("in", F.lit(True))
+    inside = in_regions(cells, regions).select("x", "y").withColumn("in", F.lit(True))
     asked = cells.select("x", "y").join(inside, ["x", "y"], "left").withColumn("level", F.when(F.col("in"), 0).otherwise(1))
     scale = F.when(F.col("level") == 0, 1).otherwise(2)
     asked = asked.withColumns({"lx": F.floor(F.col("x") / scale).cast("int"), "ly": F.floor(F.col("y") / scale).cast("int")})
