@@ -42,8 +42,8 @@ DOC_PART_BYTES = 24 << 20
 SORT_PART = 1_200_000
 #: surroundings of one anchor in one batch that go to its group, at most
 CROWD = 512
-#: bytes of text in a batch, about
-BATCH_BYTES = 32 << 20
+#: bytes of text whose suffixes are settled together, about
+BATCH_BYTES = 16 << 20
 #: surroundings that are compared at once, more only if one anchor has more
 SLICE = 150_000
 NO_ID = np.iinfo(np.int64).max
@@ -201,7 +201,7 @@ def _all_windows(out: _Out, texts: dict, key: np.ndarray, doc: np.ndarray, at: n
 
 
 def _first_pass(sort_places: np.ndarray, doc_places: np.ndarray, crowd: int):
-    """Sampled suffixes with their first two digits, settled within the batch."""
+    """Sampled suffixes with their first two digits, settled within some documents of a batch."""
 
     def run(batches):
         out = _Out(sort_places, doc_places)
@@ -209,43 +209,51 @@ def _first_pass(sort_places: np.ndarray, doc_places: np.ndarray, crowd: int):
             texts = [t.as_py() or b"" for t in b.column(1)]
             ids = b.column(0).fill_null(NO_ID).to_numpy()
             keys = np.array([row_key(int(i), t) for i, t in zip(ids, texts, strict=True)], U)
-            found, at = [], 0
+            found, at, held = [], 0, 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to]) <= PIECE_BYTES):
                     size += len(texts[to])
                     to += 1
                 found.append(_digits(texts[at:to], at))
-                at = to
-            kh, full, left, right, row, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U),) * 6
-            if not len(kh):
-                continue
-            doc = ids[row]
-            order = np.lexsort((doc, full, kh))
-            kh, full, left, right, row, pos, doc = (x[order] for x in (kh, full, left, right, row, pos, doc))
-            new_kh = np.r_[True, kh[1:] != kh[:-1]]
-            first = new_kh | np.r_[True, full[1:] != full[:-1]]
-            settled = doc > _least(doc, first)
-            out.by_doc(SPANS, keys[row[settled]], pos[settled] - REACH, pos[settled] + WINDOW)
-            group = np.cumsum(new_kh) - 1
-            crowded = (np.bincount(group, weights=first) > crowd)[group]
-            hot = crowded & ~settled
-            if hot.any():
-                _all_windows(out, {int(keys[r]): np.frombuffer(texts[r], np.uint8) for r in np.unique(row[hot])}, keys[row[hot]], doc[hot], pos[hot])
-            send = np.flatnonzero(~settled & ~crowded)
-            marks = kh[crowded & new_kh]
-            marked = dict(_by_part((marks % U(out.sort_parts)).astype(np.int64), out.sort_parts))
-            sent = dict(_by_part((kh[send] % U(out.sort_parts)).astype(np.int64), out.sort_parts))
-            for p in sorted(sent.keys() | marked.keys()):
-                i = send[sent.get(p, np.zeros(0, np.int64))]
-                i = i[np.lexsort((pos[i], row[i]))]
-                rows, own = np.unique(row[i], return_inverse=True)
-                out.add(ENTRIES, p, _pack(_cut(kh[i], 4), _cut(full[i], 6), left[i], right[i], pos[i].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy(), own.astype(np.uint32), ids[rows], keys[rows], _cut(marks[marked.get(p, np.zeros(0, np.int64))], 4)))
-            yield out.batch()
+                at, held = to, held + size
+                if held >= BATCH_BYTES or at == len(texts):
+                    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                    found, held = [], 0
+                    _settle_digits(out, texts, ids, keys, crowd, *columns)
+                    yield out.batch()
 
     return run
 
 
+def _settle_digits(out: _Out, texts: list[bytes], ids: np.ndarray, keys: np.ndarray, crowd: int, kh, full, left, right, row, pos) -> None:
+    """Settle suffixes with equal first digits and surroundings; the others go to their sort partition."""
+    if not len(kh):
+        return
+    doc = ids[row]
+    order = np.lexsort((doc, full, kh))
+    kh, full, left, right, row, pos, doc = (x[order] for x in (kh, full, left, right, row, pos, doc))
+    new_kh = np.r_[True, kh[1:] != kh[:-1]]
+    first = new_kh | np.r_[True, full[1:] != full[:-1]]
+    settled = doc > _least(doc, first)
+    out.by_doc(SPANS, keys[row[settled]], pos[settled] - REACH, pos[settled] + WINDOW)
+    group = np.cumsum(new_kh) - 1
+    crowded = (np.bincount(group, weights=first) > crowd)[group]
+    hot = crowded & ~settled
+    if hot.any():
+        _all_windows(out, {int(keys[r]): np.frombuffer(texts[r], np.uint8) for r in np.unique(row[hot])}, keys[row[hot]], doc[hot], pos[hot])
+    send = np.flatnonzero(~settled & ~crowded)
+    marks = kh[crowded & new_kh]
+    marked = dict(_by_part((marks % U(out.sort_parts)).astype(np.int64), out.sort_parts))
+    sent = dict(_by_part((kh[send] % U(out.sort_parts)).astype(np.int64), out.sort_parts))
+    for p in sorted(sent.keys() | marked.keys()):
+        i = send[sent.get(p, np.zeros(0, np.int64))]
+        i = i[np.lexsort((pos[i], row[i]))]
+        rows, own = np.unique(row[i], return_inverse=True)
+        planes = pos[i].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy()
+        out.add(ENTRIES, p, _pack(_cut(kh[i], 4), _cut(full[i], 6), left[i], right[i], planes, own.astype(np.uint32), ids[rows], keys[rows], _cut(marks[marked.get(p, np.zeros(0, np.int64))], 4)))
+
+
 def _digits(texts: list[bytes], offset: int):
     """(first digit, surroundings, left half, right half, row, position) of sampled suffixes."""
     lengths = np.array([len(t) for t in texts], np.int64)

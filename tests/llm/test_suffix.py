@@ -48,11 +48,12 @@ def case():
     return rows
 
 
-@pytest.mark.parametrize(("crowd", "piece"), [(512, 2 << 20), (1, 3000), (4, 500)])
+@pytest.mark.parametrize(("crowd", "piece"), [(512, 1 << 20), (1, 3000), (4, 500)])
 def test_equals_brute_force(spark, monkeypatch, crowd, piece):
     monkeypatch.setattr(suffix, "CROWD", crowd)
     monkeypatch.setattr(suffix, "PIECE_BYTES", piece)
     monkeypatch.setattr(suffix, "DOC_PART_BYTES", 20_000)
+    monkeypatch.setattr(suffix, "BATCH_BYTES", 9_000 if crowd == 4 else 16 << 20)
     monkeypatch.setattr(suffix, "SORT_PART", 400)
     rows = case()
     docs = spark.createDataFrame([(d, t, "s", b"") for d, t in rows], "doc_id long, text string, spans string, kept binary").repartition(5)
