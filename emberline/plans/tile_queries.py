@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline import config as C
-from emberline.functions import fire
+from emberline.functions import fire, keys
 from emberline.operators import joins, raster, tiles
 from emberline.plans import base as B
 from emberline.streaming import wind as W
@@ -155,3 +155,21 @@ def q_event_wind(spark, d):
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "speed")
 
 
+
+
+@query("SELECT 'tile_' || x || '_' || y || '_step_' || s AS key, x, y, s AS step FROM (SELECT range - 2 AS x, range * 3 AS y, range % 4 AS s FROM range(12))")
+def q_tile_keys(spark, d):
+    n = F.col("id")
+    named = spark.range(12).select(keys.tile_key(n - 2, n * 3, n % 4).alias("key"))
+    return named.select("key", keys.parse_key(F.col("key")).alias("k")).select("key", "k.*")
+
+
+_RUNS = "r AS (SELECT range % 3 AS config, range AS run, 100 + range * 7 % 13 AS tiles, 50.0::DOUBLE + range * 5 % 17 AS mb, 2.0::DOUBLE + range % 5 AS seconds, range % 4 <> 3 AS ok FROM range(24))"
+
+
+@query(f"WITH {_RUNS} SELECT config, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, round(avg(tiles), 6) AS mean_tiles, max(tiles) AS most_tiles, round(avg(mb), 6) AS mean_mb, max(mb) AS most_mb, round(64000 / avg(seconds), 6) AS cells_per_second FROM r GROUP BY config")
+def q_run_metrics(spark, d):
+    n = F.col("id")
+    runs = spark.range(24).select((n % 3).alias("config"), (n * 7 % 13 + 100).alias("tiles"), (n * 5 % 17 + F.lit(50.0)).alias("mb"), (n % 5 + F.lit(2.0)).alias("seconds"), (n % 4 != 3).alias("ok"))
+    facts = [F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.avg("tiles").alias("mean_tiles"), F.max("tiles").alias("most_tiles"), F.avg("mb").alias("mean_mb"), F.max("mb").alias("most_mb")]
+    return runs.groupBy("config").agg(*facts, (F.lit(64000) / F.avg("seconds")).alias("cells_per_second"))

@@ -77,3 +77,13 @@ def to_pixel(x: Column, y: Column, x0: Column, top: Column, size: Column, width:
     """(row, col) of a point, clipped to the raster."""
     clip = lambda v, n: F.greatest(F.lit(0), F.least(n - 1, F.floor(v).cast("int")))
     return clip((top - y) / size, height), clip((x - x0) / size, width)
+
+
+def find_elevation(spark: SparkSession, base: str, area: str, datasets: list[str], name: str = "dem") -> str | None:
+    """The first elevation raster there is: of the base, the area, its rasters, then each dataset."""
+    jvm = spark.sparkContext._jvm
+    for path in (f"{base}/{name}", f"{base}/{area}/{name}", f"{base}/{area}/rasters/{name}", *(f"{base}/{area}/{d}/{name}" for d in datasets)):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return path
+    return None

@@ -1,6 +1,7 @@
 """Configuration, planning, store, sources and streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,3 +111,12 @@ def test_merge_needs_several_rounds(spark):
     boxes = [(0, 2, 0, 2), (2, 9, 2, 3), (8, 9, 0, 1), (8, 12, 0, 0), (30, 31, 30, 31)]
     out = tiles.merge_regions(spark.createDataFrame(boxes, "x_min int, x_max int, y_min int, y_max int"))
     assert sorted(tuple(r) for r in out.collect()) == [(0, 12, 0, 3), (30, 31, 30, 31)]
+
+
+def test_elevation_is_found_in_order(spark, tmp_path):
+    from emberline.sources import rasters
+
+    assert rasters.find_elevation(spark, str(tmp_path), "a", ["d1", "d2"]) is None
+    for where in ("a/d2", "a/rasters"):
+        os.makedirs(tmp_path / where / "dem")
+    assert rasters.find_elevation(spark, str(tmp_path), "a", ["d1", "d2"]) == f"{tmp_path}/a/rasters/dem"
