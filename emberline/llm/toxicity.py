@@ -23,6 +23,8 @@ FOLDS = 3
 RIDGE = 0.1
 #: with few labels the out-of-fold scores say little about thresholds below this
 LEAST_THRESHOLD = 0.1
+#: texts scored at once
+SCORED = 512
 #: letters of a stem
 STEMS = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -218,7 +220,9 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            p = 1 / (1 + np.exp(-np.clip(chain.logits([features(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))]), -35, 35)))
+            texts = b.column(b.schema.get_field_index(text_col))
+            parts = [chain.logits([features(t.as_py()) for t in texts.slice(at, SCORED)]) for at in range(0, len(texts), SCORED)]
+            p = 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros((0, len(names))), *parts]), -35, 35)))
             for k, n in enumerate(names):
                 b = b.append_column(n, pa.array(np.ascontiguousarray(p[:, k])))
             yield b
