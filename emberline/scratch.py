@@ -16,7 +16,7 @@ DEFAULT_DIR = "/tmp/checkpoints"
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of this application's own folder below the shared one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or DEFAULT_DIR
     return f"{base.rstrip('/')}/emberline/{spark.sparkContext.applicationId}"
 
 
