@@ -160,14 +160,20 @@ def best_threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return max(LEAST_THRESHOLD, float(1 / (1 + np.exp(-cut))))
 
 
-def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, categories: list[str], ridge: float = RIDGE) -> Chain:
-    """labels: a column of 0 or 1 for each category; features of one text only are left out."""
+def _table(texts: list[np.ndarray]) -> tuple[np.ndarray, Rows]:
+    """The features that more than one text has, in order, and the texts as rows over them."""
     told = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
     ids, at, counts = np.unique(told, return_inverse=True, return_counts=True)
     place = np.cumsum(counts > 1) - 1
     keep = (counts > 1)[at]
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[keep]
-    rows = Rows(place[at[keep]], np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int64), int((counts > 1).sum()))
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])[keep]
+    ends = np.cumsum(np.bincount(row, minlength=len(texts)))
+    return ids[counts > 1], Rows(place[at[keep]], np.r_[0, ends].astype(np.int64), int((counts > 1).sum()))
+
+
+def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, categories: list[str], ridge: float = RIDGE) -> Chain:
+    """labels: a column of 0 or 1 for each category; features of one text only are left out."""
+    ids, rows = _table(texts)
     dense, weights, links, bias = np.zeros((len(texts), 0)), [], [], []
     for k in range(len(categories)):
         y = labels[:, k].astype(float)
@@ -179,7 +185,7 @@ def fit_chain(texts: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, ca
         w = fit_logistic(rows, dense, y, ridge)
         weights.append(w[: rows.width]), links.append(w[rows.width : -1].tolist()), bias.append(float(w[-1]))
         dense = np.column_stack([dense, apart])
-    return Chain(categories, ids[counts > 1], np.column_stack(weights), links, bias, best_threshold(apart, y))
+    return Chain(categories, ids, np.column_stack(weights), links, bias, best_threshold(apart, y))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = MAX_TRAIN, folds: int = FOLDS, ridge: float = RIDGE) -> Chain:
