@@ -37,15 +37,15 @@ ANCHOR = 16
 REACH = WINDOW - ANCHOR  # bytes of a window that can lie on one side of its anchor
 HALF = REACH // 2
 #: bytes of text hashed at once, of a document partition, and suffixes of a sort partition
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 512 << 10
 DOC_PART_BYTES = 24 << 20
-SORT_PART = 1_200_000
+SORT_PART = 600_000
 #: surroundings of one anchor in one batch that go to its group, at most
 CROWD = 512
 #: bytes of text whose suffixes are settled together, about
 BATCH_BYTES = 16 << 20
 #: surroundings that are compared at once, more only if one anchor has more
-SLICE = 150_000
+SLICE = 60_000
 NO_ID = np.iinfo(np.int64).max
 
 ENTRIES, WHOLE, SPANS, ASKED, HOT, DOCS = range(6)
@@ -524,7 +524,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sort_parts, doc_parts = max(8, -(-size // (18 * SORT_PART))), max(8, -(-size // DOC_PART_BYTES))
-    crowd = max(1, min(CROWD, SORT_PART // 4 // max(1, size // BATCH_BYTES)))
+    crowd = max(1, min(CROWD, SORT_PART // 2 // max(1, size // BATCH_BYTES)))
     places = own_partitions(docs.sparkSession, sort_parts), own_partitions(docs.sparkSession, doc_parts)
 
     def exchange(df: DataFrame, parts: int) -> DataFrame:
