@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 4 bits apart by five-word or by four-word shingles."""
-    return simhash.keep_one(docs, bits=4, shingles=(5, 4))
+    """One document of each group of near copies: five-word similarity of 0.8, or 4 bits apart by five-word or by four-word shingles."""
+    return simhash.keep_one(docs, bits=4, shingles=(5, 4), similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm.components import components
-from emberline.scratch import stage
+from emberline.scratch import drop, stage
 
 LOW = 0x5555555555555555
 #: rows of one cell that are compared in one piece
@@ -27,42 +27,83 @@ CELL_ROWS = 2_048
 #: cells that are worked on together
 CHUNK_ROWS = 100_000
 HASH_SEED = 42
+#: bands and least hashes in each: a pair of sets of similarity s shares no key with probability (1 - s**4)**32, at 0.8 5e-8
+BANDS, BAND_ROWS = 32, 4
+#: cross pairs that a task holds before it hands them on
+PAIR_ROWS = 500_000
+_SALT, _ODD = np.random.default_rng(HASH_SEED).integers(0, 2**64, (2, BANDS * BAND_ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
 def _bit_votes(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The 64-bit fingerprint of a whole text; no words give zero."""
+def shingle_hashes(text: bytes | None, shingle: int = 4) -> np.ndarray:
+    """Hashes of all shingles of a whole text, repeated ones too; a shorter text is one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, HASH_SEED)
+        return np.array([digest(joined, HASH_SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n, votes = len(words) - shingle + 1, np.zeros(64, np.int64)
+    n, out = len(words) - shingle + 1, []
     for at in range(0, n, 1 << 16):
         to = min(n, at + (1 << 16))
         spans = zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist(), strict=True)
-        votes += _bit_votes(np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in spans), np.uint64, to - at))
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+        out.append(np.fromiter((digest(joined[a:b], HASH_SEED) for a, b in spans), np.uint64, to - at))
+    return np.concatenate(out)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
+    votes = sum(_bit_votes(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16))
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """The 64-bit fingerprint of a whole text; no words give zero."""
+    return _majority(shingle_hashes(text, shingle))
+
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bands of least hashes of one set; two sets that share a key are compared."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        np.minimum(least, ((hashes[at : at + (1 << 12)] ^ _SALT[:, None]) * _ODD[:, None]).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BAND_ROWS, BANDS):
+        key = (key ^ (key >> np.uint64(31))) * _ODD[0] + x
+    return key
 
-def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (4,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, fp, fp1, ...): fingerprints as signed longs by shingle length, h a hash of the text."""
+
+def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (4,), id_col: str = "doc_id", text_col: str = "text", banded: bool = False) -> DataFrame:
+    """(doc_id, h, fp, fp1, ...): fingerprints as signed longs by shingle length, h a hash of the text.
+
+    With `banded` also size and bands: the size and the band keys of the set of shingles of the first length.
+    """
     names = ["fp", *(f"fp{k}" for k in range(1, len(shingles)))]
+    schema = ", ".join(f"{c} long" for c in ("doc_id", "h", *names)) + (", size long, bands array<long>" if banded else "")
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
-            fps = [np.fromiter((fingerprint(t, n) for t in texts), np.uint64, b.num_rows).view(np.int64) for n in shingles]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, fps)], ["doc_id", "h", *names])
+            fps, sizes, bands = np.zeros((len(shingles), b.num_rows), np.uint64), [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                for k, n in enumerate(shingles):
+                    hashes = shingle_hashes(t, n)
+                    fps[k, i] = _majority(hashes)
+                    if banded and k == 0:
+                        sizes.append(len(np.unique(hashes)))
+                        bands.append(band_keys(hashes).view(np.int64) if len(hashes) else [])
+            columns = [b.column(0), b.column(1), *(pa.array(x.view(np.int64)) for x in fps)]
+            if banded:
+                columns += [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", *names, *(["size", "bands"] if banded else [])])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "h", *names)))
+    return rows.mapInArrow(run, schema)
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -213,13 +254,143 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4, id_col: st
     return rows.join(lookup, rows.fp == lookup.f).select("doc_id", "h", "fp", "root", "component_id")
 
 
-def groups(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _mixed(batches, columns: int):
+    """Columns of each key whose rows are of several components; rows come sorted by key and root."""
+    held = None
+    for b in batches:
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        cuts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]]) if len(now[0]) else np.zeros(1, int)
+        for i in np.flatnonzero(now[1][cuts[:-1]] != now[1][cuts[1:] - 1]):
+            yield [x[cuts[i] : cuts[i + 1]] for x in now[1:]]
+        held = [x[cuts[-1] :] for x in now]
+    if held is not None and len(held[0]) and held[1][0] != held[1][-1]:
+        yield held[1:]
+
+
+def _star_pairs(similarity: float):
+    """One text of each key with those of other components whose sizes allow the similarity."""
+
+    def run(batches):
+        out, rows = [], 0
+
+        def flush():
+            cols = np.unique(np.concatenate(out), axis=0).T
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u", "ru", "v", "rv"])
+
+        for root, h, size in _mixed(batches, 4):
+            i = np.argmin(h.view(np.uint64) * _ODD[0])
+            other = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
+            n = np.count_nonzero(other)
+            if n:
+                out.append(np.stack([np.full(n, h[i]), np.full(n, root[i]), h[other], root[other]], 1))
+                rows += n
+            if rows > PAIR_ROWS:
+                yield flush()
+                rows = 0
+        if out:
+            yield flush()
+
+    return run
+
+
+def _all_met(similarity: float):
+    """Links of components by all pairs of sets of a key, whole sets against whole sets."""
+
+    def run(batches):
+        for root, packed in _mixed(batches, 3):
+            sets = [np.frombuffer(x, np.uint64) for x in packed]
+            size = np.array([len(x) for x in sets])
+            flat, first = np.concatenate(sets), np.r_[0, np.cumsum(size)[:-1]]
+            names, counts = np.unique(root, return_counts=True)
+            links = set()
+            for i in np.flatnonzero(root != names[counts.argmax()]):  # each pair has an end outside the largest
+                other = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
+                if not other.any():
+                    continue
+                hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat
+                common = np.add.reduceat(hit, first, dtype=np.int64)
+                near = other & (common >= similarity * (size + size[i] - common))
+                links.update((int(root[i]), int(r)) for r in root[near])
+            if links:
+                u, v = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _packed_sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["h", "shingles"])
+
+    return run
+
+
+def _verified(shingle: int, similarity: float):
+    """Links of components by pairs of similar texts; the row of u itself comes before its pairs."""
+
+    def run(batches):
+        mine = None
+        for b in batches:
+            out = []
+            for u, v, ru, rv, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                its = np.unique(shingle_hashes(text, shingle))
+                if u == v:
+                    mine = its
+                elif min(len(mine), len(its)) >= similarity * max(len(mine), len(its)):
+                    common = len(np.intersect1d(mine, its, assume_unique=True))
+                    if common >= similarity * (len(mine) + len(its) - common):
+                        out.append((ru, rv))
+            a, z = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def similar_components(rooted: DataFrame, docs: DataFrame, shingle: int, similarity: float, text_col: str = "text") -> DataFrame:
+    """(node, root): wider components of those of rooted (h, root, size, bands).
+
+    The texts of a key first meet one of them, so that a large group becomes one component
+    by few pairs; where components are still apart, all of them meet within the key.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = docs.select(F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    keys = stage(rooted.dropDuplicates(["h"]).select(F.explode("bands").alias("key"), "root", "h", "size"), "keys")
+    met = keys.repartition(parts, "key").sortWithinPartitions("key", "root", "h")
+    pairs = stage(met.mapInArrow(_star_pairs(similarity), "u long, ru long, v long, rv long").distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
+    texts = stage(every.join(asked, "h", "left_semi").dropDuplicates(["h"]), "candidate-texts")
+    own = pairs.select("u", F.col("u").alias("v"), "ru", F.col("ru").alias("rv")).distinct()
+    rows = pairs.select("u", "v", "ru", "rv").union(own)
+    dealt = rows.join(texts, F.col("v") == F.col("h")).select("u", "v", "ru", "rv", "text").repartition(parts, "u").sortWithinPartitions("u", F.col("u") != F.col("v"))
+    star = stage(dealt.mapInArrow(_verified(shingle, similarity), "u long, v long").distinct(), "similar")
+    drop(pairs), drop(texts)
+
+    roots = stage(components(star), "star-roots").withColumnRenamed("root", "wider")
+    moved = keys.join(roots, keys.root == roots.node, "left").select("key", F.coalesce("wider", "root").alias("root"), "h")
+    apart = moved.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    left = stage(moved.join(apart, "key", "left_semi"), "keys")
+    drop(keys)
+    texts = every.join(left.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    sets = stage(texts.mapInArrow(_packed_sets(shingle), "h long, shingles binary"), "candidate-sets")
+    met = left.join(sets, "h").select("key", "root", "shingles").repartition(parts, "key").sortWithinPartitions("key", "root")
+    rest = stage(met.mapInArrow(_all_met(similarity), "u long, v long").distinct(), "similar")
+    drop(left), drop(sets)
+    return stage(components(star.unionByName(rest)), "similar-roots")
+
+
+def groups(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """(doc_id, h, root): documents that are linked over any of several shingle lengths.
 
     A fingerprint of each length is a node; the nodes of one document are linked, and
-    those of one length within `bits` of each other.
+    those of one length within `bits` of each other.  With `similarity`, so are documents
+    whose sets of shingles of the first length have that Jaccard similarity or more:
+    band keys propose the pairs, and each is decided on the whole sets.
     """
-    rows = stage(fingerprints(docs, shingles, id_col, text_col), "fps")
+    rows = stage(fingerprints(docs, shingles, id_col, text_col, similarity is not None), "fps")
     node = lambda k, c: F.xxhash64(F.lit(k), c)
     names = ["fp", *(f"fp{k}" for k in range(1, len(shingles)))]
     edges = None
@@ -229,15 +400,20 @@ def groups(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), i
         edges = near if edges is None else edges.unionByName(near).unionByName(own)
     found = stage(components(edges), "fp-roots")
     named = rows.withColumn("first_node", node(0, "fp"))
-    return named.join(found, named.first_node == found.node, "left").select("doc_id", "h", F.coalesce("root", "first_node").alias("root"))
+    rooted = named.join(found, named.first_node == found.node, "left").withColumn("root", F.coalesce("root", "first_node"))
+    if similarity is None:
+        return rooted.select("doc_id", "h", "root")
+    rooted = stage(rooted.select("doc_id", "h", "root", "size", "bands"), "rooted")
+    joined = similar_components(rooted, docs, shingles[0], similarity, text_col).withColumnRenamed("root", "wider")
+    return rooted.join(joined, rooted.root == joined.node, "left").select("doc_id", "h", F.coalesce("wider", "root").alias("root"))
 
 
-def keep_one(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """docs with one row of each group: that with the smallest id, nulls last.
 
     Of rows with one id the smallest text hash decides, and of equal rows one stays.
     """
-    found = stage(groups(docs, bits, shingles, id_col, text_col), "groups")
+    found = stage(groups(docs, bits, shingles, id_col, text_col, similarity), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
     chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     chosen = stage(chosen.distinct(), "chosen")

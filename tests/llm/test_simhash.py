@@ -145,3 +145,42 @@ def test_groups_join_both_lengths(spark):
     found = {r.doc_id: r.root for r in simhash.groups(docs).collect()}
     pairs = lambda xs: sorted(sorted(i for i, y in enumerate(xs) if y == x) for x in set(xs))
     assert pairs([found[r.doc_id] for r in rows]) == pairs([find(i) for i in range(len(rows))])
+
+
+def test_groups_join_all_texts_of_similarity(spark):
+    rng = np.random.default_rng(8)
+    rows = [*texts(), None, ""]
+    for n in (40, 120, 400):
+        for _ in range(12):
+            base = [f"v{x}" for x in rng.integers(0, 5000, n)]
+            rows.append(" ".join(base))
+            for share in (0.005, 0.01, 0.02, 0.03, 0.05):
+                w = list(base)
+                for at in rng.choice(n, max(1, round(share * n)), replace=False):
+                    w[at] = f"x{rng.integers(10**6)}"
+                rows.append(" ".join(w))
+    sets = []
+    for t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    fps = [[simhash.fingerprint((t or "").encode(), n) for t in rows] for n in (5, 4)]
+    root, far = list(range(len(rows))), 0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            bits = min((f[i] ^ f[j]).bit_count() for f in fps)
+            near = bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            far += near and bits > 4
+            if near or bits <= 4:
+                root[find(i)] = find(j)
+    assert far > 20
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.root for r in simhash.groups(docs, similarity=0.8).collect()}
+    pairs = lambda xs: sorted(sorted(i for i, y in enumerate(xs) if y == x) for x in set(xs))
+    assert pairs([found[i] for i in range(len(rows))]) == pairs([find(i) for i in range(len(rows))])
+    assert simhash.keep_one(docs, similarity=0.8).count() == len({find(i) for i in range(len(rows))})
