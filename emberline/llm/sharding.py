@@ -1,11 +1,16 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
 Rows fall into source blocks by a keyed hash.  How many rows each block sends to each
-cell (a slice of a shard) is drawn exactly: the column sums are the cell sizes, the row
-sums the block sizes, and every such matrix has the probability that a uniformly random
-permutation gives it.  Each block permutes its rows locally, hands consecutive runs to
-the cells, and each cell permutes what it got, so the slots are a uniform permutation.
-Only (doc_id, size, crc, keys) rows move; the two windows are over bounded cells.
+shard is drawn exactly: the column sums are the shard sizes, the row sums the block
+sizes, and every such matrix has the probability that a uniformly random permutation
+gives it.  Each block permutes its rows locally, hands consecutive runs to the shards,
+and each shard permutes what it got, so the slots are a uniform permutation.
+
+A local permutation is a rank by a keyed hash.  Ranges of the hash cut a block or a shard
+into pieces of bounded size; a piece is ranked by a window, and the counts of the pieces
+before it are added, so no task holds a block or a shard.  Repeated rows are one unit with
+a count until each copy has a number of its own: a copy's keys depend on the row and that
+number alone, never on files, partitions or attempts.
 """
 
 from __future__ import annotations
@@ -13,14 +18,19 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from emberline.scratch import stage
+from emberline.scratch import drop, stage
 
 ROWS_PER_BLOCK = 65_536
-#: blocks and cells at most, so the matrix has at most 512 x 512 entries
+#: blocks at most; block times shard entries of the matrix, about
 MAX_BLOCKS = 512
 MIN_BLOCKS = 16
+MAX_ENTRIES = 1 << 20
+#: rows that one window ranks, about
+PIECE_ROWS = 16_384
+#: copies of one row that one task writes out
+COPIES = 65_536
 
 
 def _log_choose(n: int, k: int) -> float:
@@ -75,8 +85,67 @@ def split_evenly(n: int, parts: int) -> list[int]:
     return [n // parts + (i < n % parts) for i in range(parts)]
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_260, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) for each row of docs, and its columns `carry`.
+def _numbered(units: DataFrame, widest: int) -> DataFrame:
+    """units with a column _copy: each as often as its count _m says, in tasks of bounded size."""
+    if widest > COPIES:
+        runs = units.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / COPIES))))
+        runs = runs.repartition(F.col("_run"), *[F.col(c) for c in units.columns])
+        low = F.col("_run") * COPIES
+        return runs.withColumn("_copy", F.explode(F.sequence(low, F.least(low + COPIES, F.col("_m")) - 1))).drop("_run")
+    return units.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+
+
+def _ranked(rows: DataFrame, group: str, key: str, largest: int, tie: list[str]) -> DataFrame:
+    """rows with a column _rank: 0, 1, ... within each group, in order of a hash."""
+    pieces = max(1, -(-largest // PIECE_ROWS))
+    rows = rows.withColumn("_piece", F.floor(F.shiftrightunsigned(key, 33) * pieces / (1 << 31)).cast("int"))
+    counts = rows.groupBy(group, "_piece").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(F.col(group).alias("_g"), F.col("_piece").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy(group, "_piece").orderBy(key, *tie)) - 1
+    ranked = rows.withColumn("_rank", rank).join(base, (F.col(group) == F.col("_g")) & (F.col("_piece") == F.col("_p")))
+    return ranked.withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_g", "_p", "_base", "_piece")
+
+
+def place(units: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(columns of units but _m, _copy, shard, slot): every unit as often as its count _m.
+
+    Shard sizes differ by one row at most, and slots of a shard run from 0 without gaps.
+    """
+    spark, names = units.sparkSession, [c for c in units.columns if c != "_m"]
+    units = stage(units, "shard-units")
+    total, widest = units.agg(F.coalesce(F.sum("_m"), F.lit(0)), F.coalesce(F.max("_m"), F.lit(0))).first()
+    blocks = max(1, min(MAX_BLOCKS, MAX_ENTRIES // shards, max(MIN_BLOCKS, -(-total // ROWS_PER_BLOCK))))
+    rows = _numbered(units, widest)
+    hashed = lambda i: F.xxhash64(F.lit(seed + i), *names, "_copy")
+    rows = rows.select(*names, "_copy", F.pmod(hashed(0), F.lit(blocks)).cast("int").alias("_block"), hashed(1).alias("_k1"))
+    counts = dict(rows.groupBy("_block").count().collect())  # at most MAX_BLOCKS rows
+    sizes = split_evenly(total, shards)
+    matrix = communication_matrix(random.Random(seed), [counts.get(b, 0) for b in range(blocks)], sizes)
+    ends = [[sum(sent[: s + 1]) for s in range(shards)] for sent in matrix]
+    # at most MAX_ENTRIES numbers, one list for each block
+    plan = F.broadcast(spark.createDataFrame([(b, e) for b, e in enumerate(ends)], "_pb int, _ends array<long>"))
+    tie = [*names, "_copy"]
+    dealt = _ranked(rows, "_block", "_k1", max(counts.values(), default=0), tie).join(plan, F.col("_block") == F.col("_pb"))
+    dealt = stage(dealt.select(*names, "_copy", _place_of(F.col("_rank"), shards).alias("shard"), hashed(2).alias("_k2")), "shard-dealt")
+    drop(units)
+    out = _ranked(dealt, "shard", "_k2", max(sizes, default=0), tie)
+    return out.select(*names, "_copy", "shard", F.col("_rank").cast("long").alias("slot"))
+
+
+def _place_of(rank: Column, shards: int) -> Column:
+    """How many of the ascending numbers _ends are not above rank, by halving."""
+    steps = [1 << i for i in reversed(range(shards.bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        to = at + step
+        return F.when((to <= shards) & (F.get(F.col("_ends"), to - 1) <= rank), to).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
+def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_260, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) for each row of docs.
 
     Law `rows`: shard sizes differ by at most one row, and slots of a shard run from 0
     without gaps.  size is the UTF-8 length plus one (null text: 1, checksum of the empty
@@ -84,38 +153,29 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 20_260, id_col: str
     places freely, so reruns give the same table.  An empty table gives an empty result;
     further columns are not read.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), *carry)
-    rows = stage(rows, "shard-rows")
-    total = rows.count()
-    blocks = max(MIN_BLOCKS, min(MAX_BLOCKS, -(-total // ROWS_PER_BLOCK)))
-    keyed = rows.withColumns({f"k{i}": F.xxhash64(F.lit(seed + i), "doc_id", "text_crc32", "size") for i in range(3)})
-    keyed = keyed.withColumn("block", F.pmod("k0", F.lit(blocks)).cast("int"))
-    counts = dict(keyed.groupBy("block").count().collect())  # at most MAX_BLOCKS rows
-    per_shard = max(1, -(-blocks // shards))
-    capacity = [split_evenly(n, per_shard) for n in split_evenly(total, shards)]
-    matrix = communication_matrix(random.Random(seed), [counts.get(b, 0) for b in range(blocks)], [n for row in capacity for n in row])
-    plan = []
-    for b, sent in enumerate(matrix):
-        start = 0
-        for cell, n in enumerate(sent):
-            if n:
-                shard, part = divmod(cell, per_shard)
-                plan.append((b, start, start + n, shard, cell, sum(capacity[shard][:part])))
-            start += n
-    plan_df = spark.createDataFrame(plan, "pb int, lo long, hi long, shard int, cell int, base long")
-    in_block = Window.partitionBy("block").orderBy("k1", "doc_id", "text_crc32", "size")
-    dealt = keyed.withColumn("r", F.row_number().over(in_block) - 1)
-    # the plan has at most MAX_BLOCKS x MAX_BLOCKS rows of 40 bytes
-    sent = dealt.join(F.broadcast(plan_df), (F.col("block") == F.col("pb")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
-    in_cell = Window.partitionBy("cell").orderBy("k2", "doc_id", "text_crc32", "size")
-    slot = (F.col("base") + F.row_number().over(in_cell) - 1).cast("long")
-    return sent.select("doc_id", "size", "text_crc32", *carry, "shard", slot.alias("slot"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"))
+    units = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_m"))
+    return place(units, shards, seed).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def shard_docs(docs: DataFrame, shards: int = 8, seed: int = 20_260) -> DataFrame:
-    """docs, a table in files, with columns shard and slot (columns of that name are replaced)."""
-    docs = docs.drop("shard", "slot").withColumn("_row", F.monotonically_increasing_id())
-    placed = shard_rows(docs, shards, seed, carry=("_row",)).select("_row", "shard", "slot")
-    return docs.join(placed, "_row").drop("_row")
+    """docs with columns shard and slot (columns of that name are replaced).
+
+    Rows are known by two hashes of all their columns, so rows equal throughout are one
+    unit: its copies are placed one by one and take the columns of any of them.  Nulls in
+    any column are values like others; an empty table gives an empty result.
+    """
+    docs = docs.drop("shard", "slot")
+    content = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    # a null and the one after it must not hash like the two in the other order
+    content = [c for x in content for c in (x.isNull(), x)]
+    known = docs.withColumns({"_h1": F.xxhash64(F.lit(1), *content), "_h2": F.xxhash64(F.lit(2), *content)})
+    units = known.groupBy("_h1", "_h2").agg(F.count("*").alias("_m"))
+    placed = stage(place(units, shards, seed).withColumn("_run", F.floor(F.col("_copy") / COPIES)), "shard-places")
+    one = known.dropDuplicates(["_h1", "_h2"])
+    runs = placed.groupBy("_h1", "_h2").agg(F.max("_run").alias("_last")).where("_last > 0")
+    if not runs.isEmpty():  # rows repeated very often meet their places in several tasks
+        one = one.join(runs, ["_h1", "_h2"], "left").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_last", F.lit(0)))))
+        return one.join(placed, ["_h1", "_h2", "_run"]).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+    return one.join(placed, ["_h1", "_h2"]).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")

@@ -58,6 +58,42 @@ def test_docs_keep_their_columns(spark, tmp_path):
     assert out.columns == ["doc_id", "text", "lang", "shard", "slot"] and out.count() == 50
 
 
+def test_no_row_is_lost_when_files_are_packed_otherwise(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"), F.create_map(F.lit("a"), "id").alias("m")).repartition(20).write.parquet(path)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        out = sharding.shard_docs(spark.read.parquet(path))
+        spark.conf.set("spark.sql.files.minPartitionNum", "40")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        rows = out.collect()
+        again = sharding.shard_docs(spark.read.parquet(path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.doc_id for r in rows) == list(range(3000)) and len({(r.shard, r.slot) for r in rows}) == 3000
+    key = lambda r: (r.doc_id, r.shard, r.slot)
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+
+
+@pytest.mark.parametrize("copies", [65_536, 100])
+def test_a_row_repeated_often(spark, monkeypatch, copies):
+    monkeypatch.setattr(sharding, "COPIES", copies)
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 50)
+    d = spark.range(900).select(F.when(F.col("id") < 400, F.lit(1)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 400, None).otherwise(F.lit("t")).alias("text"))
+    for out in (sharding.shard_rows(d), sharding.shard_docs(d)):
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == [1] * 400 + list(range(400, 900))
+        slots = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(8)}
+        assert all(x == list(range(len(x))) for x in slots.values()) and {len(x) for x in slots.values()} <= {112, 113}
+
+
+def test_place_by_halving(spark):
+    for shards in (1, 2, 3, 8, 13):
+        out = sharding.shard_rows(spark.range(101).select(F.col("id").alias("doc_id"), F.lit("").alias("text")), shards).groupBy("shard").count().collect()
+        assert sorted(r["count"] for r in out) == sorted(sharding.split_evenly(101, shards))
+
+
 def test_plan_is_native(spark):
     d = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     plan = sharding.shard_rows(d)._jdf.queryExecution().executedPlan().toString()
