@@ -55,6 +55,8 @@ def test_equals_brute_force(spark, monkeypatch, crowd, piece):
     monkeypatch.setattr(suffix, "DOC_PART_BYTES", 20_000)
     monkeypatch.setattr(suffix, "BATCH_BYTES", 9_000 if crowd == 4 else 16 << 20)
     monkeypatch.setattr(suffix, "SORT_PART", 400)
+    monkeypatch.setattr(suffix, "CUT", 60)
+    monkeypatch.setattr(suffix, "MAX_PARTS", 5 if piece == 500 else 4096)
     rows = case()
     docs = spark.createDataFrame([(d, t, "s", b"") for d, t in rows], "doc_id long, text string, spans string, kept binary").repartition(5)
     found = suffix.remove_repeats(docs).collect()
@@ -81,5 +83,62 @@ def test_hash_of_substrings():
     assert len(np.unique(h.of(a, a + 60))) == 400
 
 
+def memory_of(work):
+    """Peak bytes that numpy and Python take beside what there was."""
+    import tracemalloc
+
+    tracemalloc.start()
+    out = work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+@pytest.mark.parametrize("text", [b"a" * (4 << 20), b"abcdefg" * (1 << 17)])
+def test_a_short_period_takes_little_memory(text):
+    import pyarrow as pa
+
+    parts = suffix.Parts(8, 8, np.arange(8), np.arange(8))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text[3:]])], ["doc_id", "text"])
+    rows, peak = memory_of(lambda: [r for b in suffix._first_pass(parts, 512)([batch]) for r in b.to_pylist()])
+    assert peak < 200 << 20
+    entries = [suffix._unpack_entries(r["blob"])[0] for r in rows if r["kind"] == suffix.ENTRIES]
+    assert 0 < sum(map(len, entries)) < 1000
+    (first, last), peak = memory_of(lambda: suffix._again(np.frombuffer(text, np.uint8), np.array([100]), np.array([200])))
+    assert peak < 300 << 20
+    low, high = suffix._merged(first, last)
+    assert (high - low).sum() >= len(text) - 2 * suffix.MARGIN
+
+
+def test_long_periodic_texts_against_each_other(spark):
+    rows = [(5, "a" * 300_000), (3, "a" * 90 + "b" + "a" * 70_000), (9, "abcdefg" * 100_000 + "x" * 49), (8, "bcdefga" * 30)]
+    found = {r.doc_id: (r.n_removed, [(x.start, x.end) for x in r.spans]) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {3: (0, []), 5: (300_000, [(0, 300_000)]), 8: (0, []), 9: (700_000, [(0, 700_000)])}
+
+
+@pytest.mark.parametrize("low", [-(2**63), -5])
+def test_null_is_larger_than_the_largest_id(spark, low):
+    text = "0123456789" * 5 + "abc"
+    rows = [(2**63 - 1, text), (None, text), (low, "x"), (low + 1, "y"), (2**63 - 2, text[::-1])]
+    found = {r.doc_id: r.n_removed for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {2**63 - 1: 0, None: 53, low: 0, low + 1: 0, 2**63 - 2: 0}
+
+
+def test_equal_hashes_of_unequal_bytes_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(0)
+    around = np.repeat(rng.integers(0, 256, (1, 84), np.uint8), 4, axis=0)
+    around[2:, :34] += 1
+    around[3, 60:] += 1
+    out = suffix._Out(suffix.Parts(1, 1, np.arange(1), np.arange(1)))
+    columns = (around, np.full((4, 2), 34, np.uint8), np.arange(4), np.arange(4).astype(np.uint64), np.full(4, 100))
+    plain = suffix._mix
+    suffix._settle_slice(*columns, range(17, 35), out)
+    expected = [suffix._unpack(r[3]) for r in out.rows]
+    monkeypatch.setattr(suffix, "_mix", lambda x: plain(x) * np.uint64(0))
+    out.rows = []
+    suffix._settle_slice(*columns, range(17, 35), out)
+    assert repr([suffix._unpack(r[3]) for r in out.rows]) == repr(expected) and expected
+
+
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
