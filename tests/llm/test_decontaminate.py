@@ -40,8 +40,7 @@ def test_tiling_equals_brute_force():
             doc[3:3] = item[cut:] + ["z"] + item[:cut]
         index = D.Index([(1, " ".join(item))], 3)
         ids = index.numbers(" ".join(doc))
-        at = index.seeds(ids)
-        got = D.coverages(ids.tolist(), at.tolist(), index.hashes(ids)[at].tolist(), index).get(1, 0.0)
+        got = D.coverages(ids, index, {3: index.seeds(ids, 3)}, 0.6).get(1, 0.0)
         expected = brute_tiling(doc, item, 3) / len(item)
         # ties between equally long matches may be broken another way
         assert got == pytest.approx(expected, abs=3.01 / len(item)) and (got > 0) == (expected > 0)
@@ -82,6 +81,7 @@ def case():
 @pytest.mark.parametrize("block", [8 << 20, 900])
 def test_scan_equals_brute_force(spark, monkeypatch, case, block):
     monkeypatch.setattr(D, "BLOCK_BYTES", block)
+    monkeypatch.setattr(D, "FILTER_BITS", 1 << 19)
     items, docs = case
     bench = spark.createDataFrame([(i, " ".join(w).title() + "!") for i, w in items.items()], "item_id long, text string")
     rows = spark.createDataFrame([(d, ", ".join(w), "x") for d, w in docs.items()], "doc_id long, text string, leak string")
@@ -96,12 +96,15 @@ def test_scan_equals_brute_force(spark, monkeypatch, case, block):
             assert found[d] is None
 
 
-def test_nulls_short_items_and_repeats(spark):
+@pytest.mark.parametrize("block", [8 << 20, 1])
+def test_nulls_short_items_and_repeats(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "BLOCK_BYTES", block)
     bench = spark.createDataFrame([(1, None), (2, "too short"), (None, "a b c d e f"), (3, "one two three four five six"), (3, "one two three four five six"), (4, "")], "item_id long, text string")
     docs = spark.createDataFrame([(1, None), (None, "x one two three four five six y"), (2, ""), (2, "a b c d e f"), (3, "too short"), (3, "too short")], "doc_id long, text string")
     out = D.scan(docs, bench)
     assert out.count() == 6
-    assert [(r.doc_id, r.leak["items"]) for r in out.where("leak IS NOT NULL").collect()] == [(None, [3])]
+    found = sorted(((r.doc_id, r.leak["items"]) for r in out.where("leak IS NOT NULL").collect()), key=str)
+    assert found == [(3, [2]), (3, [2]), (None, [3])]  # an item shorter than a seed has to occur whole
     assert D.scan(docs, bench.limit(0)).where("leak IS NOT NULL").isEmpty()
     assert D.scan(docs.limit(0), bench).collect() == []
 
@@ -111,3 +114,29 @@ def test_very_long_and_repeated_passage(spark):
     docs = spark.range(1).select("id", F.concat_ws(" z ", F.array_repeat(F.lit(item), 3000)).alias("text"))
     out = D.scan(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).first()
     assert out.leak["coverage"] == 1.0
+
+
+def test_repetitive_texts_are_quick():
+    import time
+
+    start = time.time()
+    for doc, item, share in ((["a"] * 20_000, ["a"] * 800, 1.0), (["a", "b"] * 10_000, ["a", "b", "a"] * 260, 1.0), ([f"w{i % 9}" for i in range(20_000)], [f"w{i % 7}" for i in range(800)], 1.0)):
+        index = D.Index([(1, " ".join(item))], 5)
+        ids = index.numbers(" ".join(doc))
+        found = D.coverages(ids, index, {5: index.seeds(ids, 5)}, 0.6)
+        assert found.get(1, 0.0) <= share
+        if len(set(item)) == 1:
+            assert found == {1: 1.0}
+    assert time.time() - start < 6
+
+
+def test_rolling_hash_of_any_length():
+    import numpy as np
+
+    ids = np.random.default_rng(0).integers(0, 5, 200)
+    for n in (1, 2, 3, 5, 8, 13, 64, 100, 200):
+        h = D.rolling(ids, n)
+        runs = [tuple(ids[k : k + n]) for k in range(200 - n + 1)]
+        assert len(h) == len(runs) and len(set(h.tolist())) == len(set(runs))
+        assert all((h[i] == h[j]) == (runs[i] == runs[j]) for i in range(0, len(runs), 7) for j in range(0, len(runs), 5))
+    assert len(D.rolling(ids, 201)) == 0
