@@ -1,12 +1,14 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are ordered by page id and dealt into shards of consecutive ids.  Shard borders
-come from a histogram of ids and bytes, refined until a border can be drawn, so they
-depend on the rows alone.  A task streams one shard into gzip members, one for each
-record, and starts a new file when the compressed size is reached.  Files are written
-under names of the task attempt; the driver renames those of the attempts that count
-and then publishes a manifest in the same way.  A lost executor leaves nothing but
-temporary files behind.
+Records are ordered by page id and payload digest and dealt into shards of consecutive
+keys.  Shard borders come from histograms of ids and bytes, one job for each level, and
+from one of digests for ids that are too heavy for a shard, so they depend on the rows
+alone.  A task streams one shard into gzip members, one for each record, and starts a new
+file when the compressed size is reached.  Files are written under names of the task
+attempt; the driver renames those of the attempts that count and then publishes a manifest
+in the same way.  A lost executor leaves nothing but temporary files behind.  What the
+manifest lists is the archive: readers take their files and checksums from it, so a writer
+that was stopped half way has written nothing.
 """
 
 from __future__ import annotations
@@ -23,44 +25,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.llm.arrow import own_partitions, widened
-from emberline.scratch import new_path, stage
+from emberline.scratch import drop, new_path, stage
 
 ROLL_BYTES = 8 << 20
 #: uncompressed bytes of a shard, about
 SHARD_BYTES = 48 << 20
 MAX_SHARDS = 65_536
-BINS = 1_024
+#: bins of a histogram, of all that are counted in one job, together
+BINS = 1 << 16
 REVISIT_BYTES = 1_000
 #: fixed values of the format
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
+MANIFEST_NAME = "manifest.json"
 MANIFEST = "shard int, file int, temporary string, name string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def _sums(rows: DataFrame, keys: np.ndarray, weight: str, fresh: np.ndarray) -> np.ndarray:
+    """Weights of the bins that end (inclusive) at these keys; rows in bins that are not fresh are left out."""
+
+    def run(batches):
+        for b in batches:
+            at = np.searchsorted(keys, b.column(0).to_numpy(zero_copy_only=False))
+            sums = np.bincount(at, weights=b.column(1).to_numpy(zero_copy_only=False), minlength=len(keys))
+            there = np.flatnonzero((sums > 0) & fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(sums[there].astype(np.int64))], ["bin", "sum"])
+
+    out = np.zeros(len(keys), np.int64)
+    for r in rows.mapInArrow(run, "bin long, sum long").groupBy("bin").agg(F.sum("sum").alias("sum")).collect():  # a row for each bin at most
+        out[r["bin"]] = r["sum"]
+    return out
+
+
 def shard_borders(rows: DataFrame, key: str, weight: str, target: int) -> list[int]:
     """Upper ends (inclusive) of consecutive key ranges of about `target` bytes.
 
-    The driver holds one histogram at a time, of BINS rows; a bin that is too heavy is
-    split by a histogram of its own unless it is a single key.
+    One job counts a histogram of BINS bins; those that are too heavy are all split by the
+    next job, until they are light or a single key.  Bins that are light are joined.  Keys
+    may be any longs; rows without key or weight count nowhere.
     """
+    rows = rows.select(key, weight).where(F.col(key).isNotNull() & (F.col(weight) > 0))
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
         return []
-    todo, bins = [(low, high)], []
-    while todo:
-        low, high = todo.pop()
-        width = max(1, -(-(high - low + 1) // BINS))
-        part = rows.where(F.col(key).between(low, high)).groupBy(F.floor((F.col(key) - low) / width).cast("long").alias("b"))
-        for b, n in part.agg(F.sum(weight)).collect():
-            ends = (low + b * width, min(high, low + (b + 1) * width - 1))
-            if n > target and width > 1:
-                todo.append(ends)
+    ranges, done = [(low, high)], []  # Python's integers do not overflow
+    while ranges:
+        per, fresh = max(2, BINS // len(ranges)), []
+        for low, high in ranges:
+            width = max(1, -(-(high - low + 1) // per))
+            fresh += [(x, min(high, x + width - 1)) for x in range(low, high + 1, width)]
+        # a bin of no interest before each run of bins takes what lies between
+        gaps = [(a[1] + 1, z[0] - 1) for a, z in zip([(None, None), *fresh], fresh, strict=False) if a[1] is not None and a[1] + 1 < z[0]]
+        first = fresh[0][0] - 1
+        bins = sorted([*fresh, *gaps, *([(first, first)] if first >= -(1 << 63) else [])])
+        wanted = set(fresh)
+        ends = np.array([e for _, e in bins], np.int64)
+        ends = ends if ends[-1] == np.iinfo(np.int64).max else np.r_[ends, np.iinfo(np.int64).max]
+        sums = _sums(rows, ends, weight, np.array([*[x in wanted for x in bins], False][: len(ends)]))
+        ranges, held = [], None
+        for x, n in zip(bins, sums.tolist(), strict=False):
+            if x not in wanted or not n:
+                continue
+            if n > target and x[0] < x[1]:
+                ranges.append(x)
+                held = None
+            elif held is not None and done[held][2] + n <= target:
+                done[held] = (done[held][0], x[1], done[held][2] + n)
             else:
-                bins.append((*ends, n))
-    borders, held = [], 0
-    for _, end, n in sorted(bins):
+                done.append((*x, n))
+                held = len(done) - 1
+    borders, held, last = [], 0, None
+    for _, end, n in sorted(done):
         if held and held + n > target:
             borders.append(last)
             held = 0
@@ -68,6 +105,10 @@ def shard_borders(rows: DataFrame, key: str, weight: str, target: int) -> list[i
     return borders
 
 
+def _filesystem_error(uri: str) -> str:
+    return f"tasks cannot write to {uri}: pyarrow opens file, hdfs, viewfs (with libhdfs), s3/s3a, gs, abfs/abfss"
+
+
 def _header(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in fields), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -107,9 +148,15 @@ def _gzip(data: bytes) -> bytes:
 
 
 def _filesystem(uri: str):
+    """The file system and path of a URI; what Hadoop calls s3a and s3n is s3 here."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    name = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(scheme, scheme)
+    try:
+        return fs.FileSystem.from_uri(f"{name}{colon}{rest}")
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise OSError(_filesystem_error(uri)) from e
 
 
 def _write_shards(folder: str, roll: int):
@@ -159,10 +206,12 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: in
     A null page is an empty payload, a null url leaves out the target, a null page_id
     sorts first and goes without an id.  Of pages with equal payloads of revisit_bytes
     bytes or more the largest page_id is the response and the others revisit it; rows
-    repeated with that id are responses too.  Without rows there are no files but an
-    empty manifest.  Further columns are not read.
+    repeated with that id are responses too.  Rows of one id, or of none, may fill many
+    shards, by their digests; rows equal in id and payload are in one shard.  Without rows
+    there are no files but an empty manifest.  Further columns are not read.
     """
     spark = pages.sparkSession
+    _filesystem(folder)  # before any work
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -172,27 +221,63 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: in
     revisits = long.join(kept, long.digest == kept.d).where("page_id IS NULL OR page_id <> refers_to")
     weighed = facts.withColumn("weight", F.col("n") + 400)
     total = weighed.agg(F.sum("weight")).first()[0] or 0
-    borders = shard_borders(weighed, "page_id", "weight", max(shard_bytes, -(-total // MAX_SHARDS)))
+    target = max(shard_bytes, -(-total // MAX_SHARDS))
+    shards = Shards(shard_borders(weighed, "page_id", "weight", target), _heavy(weighed, target))
     asked = revisits.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload")).distinct()
     told = rows.select("page_id", F.lit(1).alias("kind"), "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
-    placed = _with_shard(asked.unionByName(told), borders)
-    dealt = placed.repartition(len(borders) + 1, "place").sortWithinPartitions("shard", "kind", "page_id", "digest", "url")
+    placed = _with_shard(asked.unionByName(told), shards)
+    dealt = placed.repartition(shards.count, "place").sortWithinPartitions("shard", "kind", "page_id", "digest", "url")
     _make_folder(spark, folder)
     manifest = dealt.mapInArrow(_write_shards(folder, roll), MANIFEST).collect()  # one row for each file
+    drop(facts), drop(kept)
     return commit(spark, folder, sorted(manifest, key=lambda r: r["name"]))
 
 
-def _with_shard(rows: DataFrame, borders: list[int]) -> DataFrame:
-    """rows with the number of borders below page_id (null: 0); the borders are at most MAX_SHARDS numbers.
+def _heavy(weighed: DataFrame, target: int) -> list[tuple[int | None, int]]:
+    """(id, shards) of the ids, null among them, of several rows too heavy for one shard; there are at most total / target."""
+    found = weighed.groupBy("page_id").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).where((F.col("w") > target) & (F.col("n") > 1)).collect()
+    return sorted(((r["page_id"], min(r["n"], -(-r["w"] // target))) for r in found), key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+class Shards:
+    """Numbers of shards: by the borders that ids lie between, and within a heavy id by the digest."""
+
+    def __init__(self, borders: list[int], heavy: list[tuple[int | None, int]]):
+        self.ends = np.array(borders, np.int64)
+        self.none = next((n for i, n in heavy if i is None), 1)
+        self.ids = np.array([i for i, _ in heavy if i is not None], np.int64)
+        self.parts = np.array([n for i, n in heavy if i is not None], np.int64)
+        # shards of an id take the place of the one that it lies in
+        at = np.searchsorted(self.ends, self.ids)
+        extra = np.zeros(len(self.ends) + 1, np.int64)
+        np.add.at(extra, at, self.parts)
+        self.first = self.none + np.arange(len(self.ends) + 1) + np.cumsum(extra) - extra
+        before = np.cumsum(self.parts) - self.parts
+        self.heavy_first = self.none + at + 1 + before
+        self.count = int(self.none + len(self.ends) + 1 + self.parts.sum())
+
+    def of(self, ids: pa.Array, digests: pa.Array) -> np.ndarray:
+        plain = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        out = self.first[np.searchsorted(self.ends, plain)]
+        share = np.array([int(d[:13], 16) for d in digests.to_pylist()], np.int64) if len(self.ids) or self.none > 1 else np.zeros(len(ids), np.int64)
+        if len(self.ids):
+            k = np.minimum(np.searchsorted(self.ids, plain), len(self.ids) - 1)
+            hit = self.ids[k] == plain
+            out = np.where(hit, self.heavy_first[k] + share * self.parts[k] // (1 << 52) if self.parts.max() < 1 << 11 else self.heavy_first[k] + share % self.parts[k], out)
+        return np.where(none, share % self.none, out)
+
+
+def _with_shard(rows: DataFrame, shards: Shards) -> DataFrame:
+    """rows with their shard; what every task gets is at most some MAX_SHARDS numbers.
 
     place is a number for each shard that hash partitioning sends to a partition of its own.
     """
-    ends, places = np.array(borders, np.int64), own_partitions(rows.sparkSession, len(borders) + 1)
+    places = own_partitions(rows.sparkSession, shards.count)
 
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("page_id"))
-            at = np.searchsorted(ends, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
+            at = shards.of(b.column(b.schema.get_field_index("page_id")), b.column(b.schema.get_field_index("digest")))
             yield b.append_column("shard", pa.array(at.astype(np.int32))).append_column("place", pa.array(places[at]))
 
     return rows.mapInArrow(run, widened(rows, "shard int, place int"))
@@ -218,7 +303,7 @@ def commit(spark: SparkSession, folder: str, manifest: list) -> list:
     out = where.create(path(p, "_temporary-manifest"), True)
     out.write(bytearray(json.dumps([{k: r[k] for k in ("name", "records", "bytes", "sha256")} for r in manifest], indent=1).encode()))
     out.close()
-    if not where.rename(path(p, "_temporary-manifest"), path(p, "manifest.json")):
+    if not where.rename(path(p, "_temporary-manifest"), path(p, MANIFEST_NAME)):
         raise OSError(f"cannot publish the manifest of {folder}")
     for status in where.listStatus(p):  # what lost attempts have left
         if status.getPath().getName().startswith("_temporary-"):
@@ -257,25 +342,47 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": payload if response else None}
 
 
+def read_manifest(spark: SparkSession, folder: str) -> list[dict]:
+    """Name, records, bytes and sha256 of the files of an archive; an error if none was published."""
+    where, p = _hadoop(spark, folder)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, MANIFEST_NAME)
+    if not where.exists(at):
+        raise FileNotFoundError(f"{folder} has no manifest: nothing was committed there")
+    return json.loads("\n".join(r[0] for r in spark.read.text(at.toString()).collect()))
+
+
 def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """The records of all archives in folder, as RECORD; payload stays null unless asked for."""
+    """The records of all archives of the manifest in folder, as RECORD; payload stays null unless asked for.
+
+    A missing file, one whose bytes or number of records are not those of the manifest,
+    and a record whose digests do not hold are errors; files that the manifest does not
+    have are not read.  An empty manifest gives an empty table.
+    """
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    known = {m["name"]: (m["sha256"], m["records"]) for m in read_manifest(spark, folder)}
+    if not known:
+        return spark.createDataFrame([], RECORD)
 
     def run(batches):
         for b in batches:
-            for content in b.column(0):
-                held, size = [], 0
-                for data in members(content.as_py()):
-                    r = parse_record(data)
-                    size += len(data) if payloads else 200
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data, held, size, count = content.as_buffer(), [], 0, 0
+                if hashlib.sha256(data).hexdigest() != known[name][0]:
+                    raise ValueError(f"{name} is not the file of the manifest")
+                for record_bytes in members(data):
+                    r = parse_record(record_bytes)
+                    count += 1
+                    size += len(record_bytes) if payloads else 200
                     held.append(r if payloads else r | {"payload": None})
                     if size >= 8 << 20:
                         yield pa.RecordBatch.from_pylist(held, kind)
                         held, size = [], 0
+                if count != known[name][1]:
+                    raise ValueError(f"{name} has {count} records, not {known[name][1]}")
                 yield pa.RecordBatch.from_pylist(held, kind)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    return files.select("content").mapInArrow(run, RECORD)
+    files = spark.read.format("binaryFile").load([f"{folder}/{name}" for name in known])
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

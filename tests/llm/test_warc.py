@@ -95,3 +95,46 @@ def test_borders_split_heavy_bins(spark):
         k = bisect.bisect_left(ends, i)
         sizes[k] = sizes.get(k, 0) + 10
     assert ends == sorted(set(ends)) and max(sizes.values()) <= 1000
+
+
+def test_extreme_ids_and_hot_ids(spark):
+    rows = [(-(2**63), "u", "a" * 1200), (2**63 - 1, "u", "a" * 1200), (0, "u", "b")] + [(7, "u", f"x{i}" * 40) for i in range(200)] + [(None, "u", f"y{i}" * 40) for i in range(200)]
+    folder = new_path(spark, "warc")
+    manifest = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), folder, 1 << 20, 4000)
+    assert sorted(map(show, warc.read(spark, folder).collect())) == expected(rows)
+    assert max(m["records"] for m in manifest) < 60
+
+
+def test_the_manifest_decides(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i}" * 50) for i in range(40)], "page_id long, url string, html string")
+    folder = new_path(spark, "warc")
+    manifest = warc.write(pages, folder, 500, 3000)
+    local = folder.removeprefix("file://")
+    with open(f"{local}/part-999999-0000.warc.gz", "wb") as f:  # a file that was never committed
+        f.write(gzip.compress(warc.record(99, "u", b"stray", None)))
+    assert warc.read(spark, folder).count() == 40
+    data = open(f"{local}/{manifest[1]['name']}", "rb").read()
+    os.remove(f"{local}/.{manifest[1]['name']}.crc") if os.path.exists(f"{local}/.{manifest[1]['name']}.crc") else None
+    with open(f"{local}/{manifest[1]['name']}", "wb") as f:
+        f.write(data[:-1] + bytes([data[-1] ^ 1]))
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        warc.read(spark, folder).collect()
+    os.remove(f"{local}/{manifest[1]['name']}")
+    with pytest.raises(Exception):
+        warc.read(spark, folder).collect()
+    os.remove(f"{local}/manifest.json")
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, folder)
+
+
+def test_names_of_file_systems():
+    with pytest.raises(OSError, match="cannot write"):
+        warc._filesystem("nothing://x/y")
+    assert warc._filesystem("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_borders_take_few_jobs(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.col("id") * 10**14).alias("page_id"), F.lit(10).alias("w"))
+    tracker, before = spark.sparkContext.statusTracker(), set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    ends = warc.shard_borders(rows, "page_id", "w", 1000)
+    assert len(set(tracker.getJobIdsForGroup(None)) - before) <= 16 and 150 < len(ends) < 450
