@@ -4,8 +4,16 @@ Equal vectors of a label are one node.  A first graph comes from buckets of rand
 hyperplanes; then every node brings its neighbours together, those meet each other, and
 each keeps the nearest it has met.  A node whose whole list lies over the threshold is
 saturated: its list is enlarged to all of its component, which is compared exactly,
-block by block, for counts and not for pairs.  A sample of nodes is compared with all
-rows to measure the recall of the links; while that is too low, further rounds follow.
+block by block, for counts and not for pairs.  Its places are thereby free for nodes of
+other components, so a node keeps the nearest of its own component, to find its way, and
+the nearest outside, and a component that meets another over the threshold is joined to it
+and compared as one.
+
+Rounds go on until the recall is audited as high enough.  Two samples of nodes are compared
+with all rows: one drawn from all nodes, one from those whose nearest is near or over the
+threshold, no more than a few of a component, so that rare links count and a large group
+does not decide.  Recall is the mean, over the audited nodes that have links, of the share
+of them that was found.  Below MIN_RECALL after ROUNDS rounds the operator fails.
 """
 
 from __future__ import annotations
@@ -21,39 +29,48 @@ THRESHOLD = 0.98
 NEIGHBOURS = 8
 TREES = 4
 LEAF = 128
-AUDIT_NODES = 256
+#: nodes of each of the two audited samples, and of one component in the second
+AUDIT_NODES = 512
+AUDIT_OF_ONE = 4
 TARGET_RECALL = 0.98
-ROUNDS = 6
+MIN_RECALL = 0.9
+ROUNDS = 16
+#: share of new links below which a round was the last, if the recall is good
+SETTLED = 0.001
+#: members of a centre that meet in one piece
+HUB = 512
 
-EDGE = "node long, nbr long, sim double"
+EDGE = "node long, nbr long, sim double, far boolean"
 
 
-def _unit(binary: pa.Array, dim: int) -> np.ndarray:
-    """Rows of unit length, in double precision, from float32 components."""
-    flat = np.frombuffer(b"".join(x.as_py() for x in binary), np.float32).astype(np.float64).reshape(-1, dim)
+def _unit(binary: pa.Array, dim: int, kind=np.float32) -> np.ndarray:
+    """Rows of unit length, in double precision; scaled first, so that no square overflows."""
+    flat = np.frombuffer(b"".join(x.as_py() for x in binary), kind).astype(np.float64).reshape(-1, dim)
+    flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _edges(node, nbr, sim) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(node, np.int64)), pa.array(np.asarray(nbr, np.int64)), pa.array(np.asarray(sim, np.float64))], ["node", "nbr", "sim"])
+def _edges(node, nbr, sim, far) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(node, np.int64)), pa.array(np.asarray(nbr, np.int64)), pa.array(np.asarray(sim, np.float64)), pa.array(np.asarray(far, bool))], ["node", "nbr", "sim", "far"])
 
 
-def _nearest(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, k: int):
-    """The k nearest of each node, each neighbour once."""
-    order = np.lexsort((nbr, -sim, node))
-    node, nbr, sim = node[order], nbr[order], sim[order]
-    keep = np.r_[True, (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])] if len(node) else np.zeros(0, bool)
-    node, nbr, sim = node[keep], nbr[keep], sim[keep]
-    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, int)
+def _nearest(node: np.ndarray, nbr: np.ndarray, sim: np.ndarray, far: np.ndarray, k: int):
+    """The k nearest of each node in its own component and the k nearest outside, each neighbour once."""
+    order = np.lexsort((nbr, -sim, far, node))
+    node, nbr, sim, far = node[order], nbr[order], sim[order], far[order]
+    new = np.r_[True, (node[1:] != node[:-1]) | (far[1:] != far[:-1])][: len(node)]
+    keep = new | np.r_[True, nbr[1:] != nbr[:-1]][: len(node)]
+    node, nbr, sim, far, new = node[keep], nbr[keep], sim[keep], far[keep], new[keep]
+    first = np.flatnonzero(new)
     rank = np.arange(len(node)) - np.repeat(first, np.diff(np.r_[first, len(node)]))
-    return node[rank < k], nbr[rank < k], sim[rank < k]
+    return node[rank < k], nbr[rank < k], sim[rank < k], far[rank < k]
 
 
 def _merge(k: int):
     def run(batches):
         held, rows = [], 0
         for b in batches:
-            held.append([b.column(i).to_numpy() for i in range(3)])
+            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
             rows += b.num_rows
             if rows > 1_000_000:
                 held = [list(_nearest(*(np.concatenate(x) for x in zip(*held, strict=True)), k))]
@@ -83,8 +100,8 @@ def _groups(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _meet(k: int, most: int, keys: list[str]):
-    """All rows of a group meet; each keeps the `most` nearest of it."""
+def _meet(k: int, most: int, keys: list[str], kind):
+    """All rows of a group meet; each keeps the `most` nearest of its component in the group and of the others."""
 
     def run(batches):
         out, rows = [], 0
@@ -95,20 +112,26 @@ def _meet(k: int, most: int, keys: list[str]):
             return _edges(*_nearest(*cols, k))
 
         for t in _groups(batches, keys):
-            ids = t["member"].to_numpy()
+            ids, roots = t["member"].to_numpy(), t["root"].to_numpy()
             if len(ids) < 2:
                 continue
-            for at in range(0, len(ids), 1024):  # a hub's list meets in pieces
-                part = ids[at : at + 1024]
-                if len(part) < 2:
-                    continue
-                v = _unit(t["vec"].slice(at, len(part)), len(t["vec"][0].as_py()) // 4)
-                s = v @ v.T
-                np.fill_diagonal(s, -2.0)
-                n = min(most, len(part) - 1)
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                out.append((np.repeat(part, n), part[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-                rows += len(part) * n
+            v = _unit(t["vec"].combine_chunks(), t["dim"][0].as_py(), kind)
+            for at in range(0, len(ids), HUB):
+                s = v[at : at + HUB] @ v.T
+                i = np.arange(len(s))
+                s[i, at + i] = -2.0
+                other = roots[at : at + HUB, None] != roots
+                for far in (False, True):
+                    if not (other == far).any():
+                        continue
+                    near = np.where(other == far, s, -2.0)
+                    n = min(most, len(ids) - 1)
+                    best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+                    sim = np.take_along_axis(near, best, 1).ravel()
+                    met = sim > -1.5
+                    node = np.repeat(ids[at : at + HUB], n)[met]
+                    out.append((node, ids[best].ravel()[met], sim[met], np.full(len(node), far)))
+                    rows += len(node)
             if rows > 500_000:
                 yield flush()
                 rows = 0
@@ -122,7 +145,7 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
+def _first_graph(nodes: DataFrame, k: int, seed: int, kind) -> DataFrame:
     """Neighbours within buckets of random hyperplanes; crowded buckets are dealt into leaves at random."""
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / LEAF))).cast("int").alias("bits"))
 
@@ -132,7 +155,7 @@ def _first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
             out = []
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                v = _unit(b.column(3).take(pa.array(at)), int(dim))
+                v = _unit(b.column(3).take(pa.array(at)), int(dim), kind)
                 for tree in range(TREES):
                     planes = np.random.default_rng([seed, tree, int(dim)]).standard_normal((int(dim), 48))
                     code = ((v @ planes > 0) * (np.arange(48) < np.minimum(bits[at], 48)[:, None])) @ (1 << np.arange(48, dtype=np.int64))
@@ -145,41 +168,56 @@ def _first_graph(nodes: DataFrame, k: int, seed: int) -> DataFrame:
     codes = stage(joined.mapInArrow(sign, "member long, tree long, label long, dim long, code long"), "codes")
     key = ["tree", "label", "dim", "code"]
     crowded = stage(codes.groupBy(*key).agg(F.ceil(F.count("*") / LEAF).alias("leaves")).where("leaves > 1"), "crowded")
-    leaves = codes.join(crowded, key, "left").withColumn("leaf", F.pmod(F.xxhash64("member", "tree"), F.coalesce("leaves", F.lit(1))))
-    placed = leaves.join(nodes.select(F.col("node").alias("n"), "vec"), F.col("member") == F.col("n")).select("member", F.xxhash64(*key, "leaf").alias("bucket"), "vec")
-    dealt = placed.repartition(_parts(nodes), "bucket").sortWithinPartitions("bucket", "member")
-    met = dealt.mapInArrow(_meet(k, k, ["bucket"]), EDGE)
-    return _kept(met, k)
+    leaves = codes.join(crowded, key, "left").withColumn("leaf", F.pmod(F.xxhash64("member", "tree", F.lit(seed)), F.coalesce("leaves", F.lit(1))))
+    placed = leaves.select("member", F.xxhash64(*key, "leaf").alias("bucket")).join(nodes.select(F.col("node").alias("n"), "root", "dim", "vec"), F.col("member") == F.col("n")).select("member", "bucket", "root", "dim", "vec")
+    dealt = placed.repartition(_parts(nodes), "bucket", "dim").sortWithinPartitions("bucket", "dim", "member")
+    out = _kept(dealt.mapInArrow(_meet(k, k, ["bucket", "dim"], kind), EDGE), k)
+    drop(codes), drop(crowded)
+    return out
 
 
 def _kept(edges: DataFrame, k: int) -> DataFrame:
     return stage(edges.repartition(_parts(edges), "node").mapInArrow(_merge(k), EDGE), "graph")
 
 
-def _round(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Neighbours of each node, with those it is a neighbour of, meet at it."""
+def _round(graph: DataFrame, nodes: DataFrame, k: int, kind) -> DataFrame:
+    """Neighbours of each node, with those it is a neighbour of, meet at it; at a hub in pieces, dealt anew each round."""
     pairs = graph.select(F.col("node").alias("centre"), F.col("nbr").alias("member")).union(graph.select("nbr", "node")).distinct()
     own = graph.select("node").distinct()
-    pairs = pairs.union(own.select("node", "node"))
-    near = pairs.join(nodes.select("node", "vec"), F.col("member") == F.col("node")).select("centre", "member", "vec")
-    dealt = near.repartition(_parts(nodes), "centre").sortWithinPartitions("centre", "member")
-    return _kept(dealt.mapInArrow(_meet(k, max(2, k // 2), ["centre"]), EDGE).union(graph), k)
-
-
-def _blocks(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
+    pairs = stage(pairs.union(own.select("node", "node")), "meetings")
+    hubs = stage(pairs.groupBy("centre").agg(F.ceil(F.count("*") / HUB).alias("pieces")).where("pieces > 1").select(F.col("centre").alias("c"), "pieces"), "hubs")
+    pieces = pairs.join(hubs, F.col("centre") == F.col("c"), "left").withColumn("piece", F.pmod(F.xxhash64("member", "centre"), F.coalesce("pieces", F.lit(1))))
+    near = pieces.select("centre", "piece", "member").join(nodes.select("node", "root", "dim", "vec"), F.col("member") == F.col("node")).select("centre", "piece", "member", "root", "dim", "vec")
+    dealt = near.repartition(_parts(nodes), "centre", "piece").sortWithinPartitions("centre", "piece", "member")
+    out = _kept(dealt.mapInArrow(_meet(k, max(2, k // 2), ["centre", "piece"], kind), EDGE).union(graph), k)
+    drop(pairs), drop(hubs)
+    return out
+
+
+def _rooted(graph: DataFrame, nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes with their roots, and edges with whether they leave the component, by the links found so far."""
+    known = roots.select(F.col("node").alias("n"), F.col("root").alias("r"))
+    nodes = nodes.join(known, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("r", "node")).drop("n", "r")
+    nodes = stage(nodes, "nodes")
+    edges = graph.join(known, F.col("node") == F.col("n"), "left").withColumn("a", F.coalesce("r", "node")).drop("n", "r")
+    edges = edges.join(known, F.col("nbr") == F.col("n"), "left").withColumn("b", F.coalesce("r", "nbr"))
+    return nodes, stage(edges.select("node", "nbr", "sim", (F.col("a") != F.col("b")).alias("far")), "graph")
+
+
+def _blocks(nodes: DataFrame, dense: DataFrame, threshold: float, kind) -> DataFrame:
     """(node, links): exact counts within each dense component, in meetings of two blocks."""
     sizes = stage(dense.groupBy("root").agg(F.count("*").alias("m")), "dense-sizes")
     rows = F.least(F.lit(8_192), F.greatest(F.lit(128), F.ceil(F.col("m") / 16)))
     members = dense.join(sizes, "root").select("node", "root", F.ceil(F.col("m") / rows).cast("int").alias("blocks"))
     members = members.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = members.select("node", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "own", (F.col("own") == F.col("other")).alias("alone"))
-    placed = cells.join(nodes.select(F.col("node").alias("n"), "vec", "copies"), F.col("node") == F.col("n")).select("cell", "node", "own", "alone", "vec", "copies")
+    placed = cells.join(nodes.select(F.col("node").alias("n"), "dim", "vec", "copies"), F.col("node") == F.col("n")).select("cell", "node", "own", "alone", "dim", "vec", "copies")
     dealt = placed.repartition(_parts(nodes), "cell").sortWithinPartitions("cell", "own", "node")
 
     def run(batches):
         for t in _groups(batches, ["cell"]):
             ids, own, copies = (t[c].to_numpy() for c in ("node", "own", "copies"))
-            v = _unit(t["vec"].combine_chunks(), len(t["vec"][0].as_py()) // 4)
+            v = _unit(t["vec"].combine_chunks(), t["dim"][0].as_py(), kind)
             links = np.zeros(len(ids), np.int64)
             alone = t["alone"][0].as_py()
             for at in range(0, len(ids), 512):
@@ -193,7 +231,7 @@ def _blocks(nodes: DataFrame, dense: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _degrees(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+def _degrees(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, kind) -> tuple[DataFrame, DataFrame]:
     """(node, links) and (node, root) from the edges over the threshold."""
     over = graph.where(F.col("sim") >= threshold)
     links = stage(over.select("node", "nbr").union(over.select("nbr", "node")).distinct(), "over")
@@ -201,18 +239,20 @@ def _degrees(graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tu
     full = over.groupBy("node").count().where(F.col("count") >= k).select(F.col("node").alias("n"))
     crowded = stage(roots.join(full, roots.node == full.n, "left_semi").select(F.col("root").alias("r")).distinct(), "saturated")
     dense = stage(roots.join(crowded, roots.root == crowded.r, "left_semi"), "dense")
-    exact = _blocks(nodes, dense, threshold)
+    exact = _blocks(nodes, dense, threshold, kind)
     loose = links.join(dense.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti")
     counted = loose.join(nodes.select(F.col("node").alias("n"), "copies"), F.col("nbr") == F.col("n")).groupBy("node").agg(F.sum("copies").alias("links"))
-    return stage(exact.union(counted), "degrees"), roots
+    out = stage(exact.union(counted), "degrees")
+    drop(links), drop(crowded), drop(dense)
+    return out, roots
 
 
-def _true_degrees(nodes: DataFrame, sample: list, threshold: float) -> dict[int, int]:
+def _true_degrees(nodes: DataFrame, sample: list, threshold: float, kind) -> dict[int, int]:
     """Links of a bounded sample of nodes, against all rows."""
     by_dim = {}
     for r in sample:
         by_dim.setdefault((r["label"], r["dim"]), []).append((r["node"], bytes(r["vec"])))
-    asked = {key: (np.array([n for n, _ in rows]), _unit(pa.array([v for _, v in rows]), key[1])) for key, rows in by_dim.items()}
+    asked = {key: (np.array([n for n, _ in rows]), _unit(pa.array([v for _, v in rows]), key[1], kind)) for key, rows in by_dim.items()}
 
     def run(batches):
         for b in batches:
@@ -220,7 +260,7 @@ def _true_degrees(nodes: DataFrame, sample: list, threshold: float) -> dict[int,
             for key, (ids, queries) in asked.items():
                 at = np.flatnonzero((label == key[0]) & (dims == key[1]))
                 if len(at):
-                    s = queries @ _unit(b.column(3).take(pa.array(at)), key[1]).T >= threshold
+                    s = queries @ _unit(b.column(3).take(pa.array(at)), key[1], kind).T >= threshold
                     s &= ids[:, None] != node[at]
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s @ copies[at])], ["node", "links"])
 
@@ -228,49 +268,90 @@ def _true_degrees(nodes: DataFrame, sample: list, threshold: float) -> dict[int,
     return {r["node"]: r["links"] for r in rows}
 
 
-def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of rows.
+def _near_sample(graph: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float, seed: int) -> list:
+    """At most AUDIT_NODES nodes whose nearest is near or over the threshold, at most AUDIT_OF_ONE of a component."""
+    near = graph.groupBy("node").agg(F.max("sim").alias("best")).where(F.col("best") >= 2 * threshold - 1).select(F.col("node").alias("n"))
+    near = near.join(roots.select("node", "root"), F.col("n") == F.col("node"), "left").select("n", F.coalesce("root", "n").alias("root"), F.xxhash64(F.lit(seed), "n").alias("h"))
+    # one for each component and lot, by partial aggregates; a lot is drawn by hash
+    chosen = near.groupBy("root", F.pmod("h", F.lit(AUDIT_OF_ONE)).alias("lot")).agg(F.min_by("n", "h").alias("n")).select("n")
+    chosen = chosen.orderBy(F.xxhash64(F.lit(seed + 1), "n")).limit(AUDIT_NODES)
+    return nodes.join(F.broadcast(chosen), F.col("node") == F.col("n")).select("node", "label", "dim", "vec").collect()
 
-    Two rows link if their labels are equal and not null, their vectors have one length
-    and a cosine of `threshold` or more.  Vectors that are null, empty, zero, or hold
-    null or non-finite components link with nothing, and neither do rows without label.
-    Repeated rows count as vectors of their own.  A null id is kept as a row; it names a
-    component only if there is no other id.  Further columns are not read.
-    """
-    vector = F.col(vector_col)
+
+def _recall(degrees: DataFrame, truth: dict[int, int]) -> float | None:
+    """Mean share of the links that were found, over the audited nodes that have some; None without any."""
+    linked = {n: x for n, x in truth.items() if x}
+    if not linked:
+        return None
+    found = {r["node"]: r["links"] for r in degrees.where(F.col("node").isin(list(linked))).collect()}
+    return sum(min(found.get(n, 0), x) / x for n, x in linked.items()) / len(linked)
+
+
+def _packed(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, type]:
+    """(vec_id, label, vec) with vec null where it links with nothing, and the type of its components."""
+    single = rows.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col).cast("array<float>" if single else "array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    valid = F.col(label_col).isNotNull() & vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(norm > 0, F.lit(False))
-    packed = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), vector.cast("array<float>").alias("v"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    valid = F.col(label_col).isNotNull() & vector.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+    whole = rows.schema[label_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    label = F.col(label_col).cast("long") if whole else F.xxhash64(F.col(label_col).cast("string"))
+    packed = rows.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vector.alias("v"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    kind = np.float32 if single else np.float64
 
     def pack(batches):
         for b in batches:
             ok = b.column(3).to_pylist()
-            vectors = [np.asarray(v.as_py(), np.float32).tobytes() if o else None for v, o in zip(b.column(2), ok, strict=True)]
+            vectors = [np.asarray(v.values.to_numpy(zero_copy_only=False), kind).tobytes() if o else None for v, o in zip(b.column(2), ok, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(vectors, pa.binary())], ["vec_id", "label", "vec"])
 
-    packed = packed.mapInArrow(pack, "vec_id long, label long, vec binary")
+    return packed.mapInArrow(pack, "vec_id long, label long, vec binary"), kind
+
+
+def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """(vec_id, n_links, component_id, kept, recall) for each row of rows.
+
+    Two rows link if their labels are equal and not null, their vectors have one length
+    and a cosine of `threshold` or more, in double precision.  Vectors that are null,
+    empty, zero, or hold null or non-finite components link with nothing, and neither do
+    rows without label.  Labels may be of any type.  Repeated rows count as vectors of
+    their own.  A null id is kept as a row; it names a component only if there is no
+    other id.  recall is the audited one, the same in each row, and null where no audited
+    node has a link; below MIN_RECALL the operator raises an error instead.  An empty
+    table gives an empty result; further columns are not read.
+    """
+    packed, kind = _packed(rows, id_col, vector_col, label_col)
     node = F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec"))
     every = stage(packed.withColumn("node", node), "vectors")
     nodes = every.where("node IS NOT NULL").groupBy("node", "label", "vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    nodes = stage(nodes.withColumn("dim", (F.octet_length("vec") / 4).cast("long")), "nodes")
-    sample = nodes.select("node", "label", "dim", "vec").orderBy(F.xxhash64(F.lit(seed), "node")).limit(AUDIT_NODES).collect()
-    truth = _true_degrees(nodes, sample, threshold)
-    graph = _first_graph(nodes, k, seed)
+    nodes = stage(nodes.withColumns({"dim": (F.octet_length("vec") / np.dtype(kind).itemsize).cast("long"), "root": F.col("node")}), "nodes")
+    truth = _true_degrees(nodes, nodes.select("node", "label", "dim", "vec").orderBy(F.xxhash64(F.lit(seed), "node")).limit(AUDIT_NODES).collect(), threshold, kind)
+    graph, recall, before, audited = _first_graph(nodes, k, seed, kind), None, None, False
     for turn in range(ROUNDS):
-        new = _round(graph, nodes, k)
+        new = _round(graph, nodes, k, kind)
         drop(graph)
-        graph = new
-        degrees, roots = _degrees(graph, nodes, k, threshold)
-        found = degrees.where(F.col("node").isin(list(truth) or [0])).collect()
-        recall = sum(min(r["links"], truth[r["node"]]) for r in found) / max(1, sum(truth.values()))
-        if recall >= TARGET_RECALL or not sum(truth.values()):
+        degrees, roots = _degrees(new, nodes, k, threshold, kind)
+        if not audited:
+            truth |= _true_degrees(nodes, _near_sample(new, nodes, roots, threshold, seed), threshold, kind)
+            audited = True
+        recall = _recall(degrees, truth)
+        links = degrees.agg(F.sum("links")).first()[0] or 0
+        steady = before is not None and links <= before * (1 if recall is None else 1 + SETTLED)
+        if steady and (recall is None or recall >= TARGET_RECALL):
             break
-        graph = _kept(graph.union(_first_graph(nodes, k, seed + 1 + turn)), k)  # fresh hyperplanes
+        before = links
+        nodes, graph = _rooted(new, nodes, roots)
+        fresh = _first_graph(nodes, k, seed + 1 + turn, kind)
+        merged = _kept(graph.union(fresh), k)
+        drop(new), drop(graph), drop(fresh)
+        graph = merged
+    else:
+        if recall is not None and recall < MIN_RECALL:
+            raise RuntimeError(f"audited recall of links is {recall:.3f} after {ROUNDS} rounds, below {MIN_RECALL}")
     facts = nodes.select("node", "copies", "least").join(degrees.select(F.col("node").alias("n"), "links"), F.col("node") == F.col("n"), "left").drop("n")
-    facts = stage(facts.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("node", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "facts")
+    facts = stage(facts.join(roots.select(F.col("node").alias("n"), F.col("root")), F.col("node") == F.col("n"), "left").select("node", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "facts")
     named = stage(facts.groupBy("root").agg(F.min("least").alias("component_id")), "named")
     facts = stage(facts.join(named, "root").select(F.col("node").alias("n"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id"), "facts")
     out = every.join(facts, F.col("node") == F.col("n"), "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("vec_id") == component, F.lit(False))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"), F.lit(recall).cast("double").alias("recall"))

@@ -60,7 +60,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
-    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +88,44 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE: dict[str, str] = {}
+#: operators that SQL can express; the others have a brute-force version in the tests
+ORACLE: dict[str, str] = {
+    "op2_suffix": """
+WITH whole AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM whole),
+pieces AS (SELECT doc_id, b * 256 AS base, substr(h, b * 512 + 1, 610) AS piece
+           FROM (SELECT doc_id, h, unnest(range((n + 255) // 256)) AS b FROM sized)),
+windows AS (SELECT doc_id, base + j AS i, substr(piece, 2 * j + 1, 100) AS s
+            FROM (SELECT doc_id, base, piece, unnest(range(least(256, length(piece) // 2 - 49))) AS j FROM pieces)),
+firsts AS (SELECT s, min(doc_id) AS m FROM windows GROUP BY s),
+gone AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > m),
+marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS starts FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY doc_id, run),
+kept AS (SELECT doc_id, a, substr(h, 2 * low + 1, 2 * (a - low)) AS part FROM (
+           SELECT r.doc_id, h, a, coalesce(lag(z) OVER (PARTITION BY r.doc_id ORDER BY a), 0) AS low FROM (
+             SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, n, n FROM sized) r JOIN sized ON r.doc_id = sized.doc_id)),
+joined AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS h FROM kept GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT sized.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(joined.h)) AS kept_sha256
+FROM sized JOIN joined ON sized.doc_id = joined.doc_id LEFT JOIN counts ON sized.doc_id = counts.doc_id
+""",
+    "op5_warc": """
+WITH payloads AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+named AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS most FROM payloads)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN most <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CAST(CASE WHEN most <> page_id THEN most END AS BIGINT) AS refers_to
+FROM named
+""",
+    "op9_embedding": """
+WITH RECURSIVE vectors AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+valid AS (SELECT * FROM vectors WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM valid a JOIN valid b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM vectors UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u),
+roots AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+degrees AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN roots ON vectors.vec_id = roots.u LEFT JOIN degrees ON vectors.vec_id = degrees.u
+""",
+}

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberline.llm import embedding as E
 
@@ -60,6 +61,50 @@ def test_links_equal_brute_force(spark):
     assert found == brute(rows)
 
 
+def test_links_between_saturated_groups(spark):
+    """Two tight groups, each larger than a neighbour list, that are linked with each other."""
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal(64)
+    a /= np.linalg.norm(a)
+    b = rng.standard_normal(64)
+    b -= (b @ a) * a
+    b = 0.9852 * a + np.sqrt(1 - 0.9852**2) * b / np.linalg.norm(b)
+    tight = lambda c, n: [(c + 0.0006 * rng.standard_normal(64)).tolist() for _ in range(n)]
+    rows = [(i, v, 1) for i, v in enumerate(tight(a, 25) + tight(b, 25) + [rng.standard_normal(64).tolist() for _ in range(300)])]
+    found = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect())
+    assert found == brute(rows) and found[30][2] == 0 and found[0][1] == 49
+
+
+def test_double_vectors_and_any_label(spark):
+    rows = [(0, [1e300, 1e300], "a"), (1, [1e-60, 1e-60], "a"), (2, [1.0, 1.0 + 1e-12], "a"), (3, [1.0, 1.0], "b"), (4, [float("nan"), 1.0], "a"), (5, [-1.0, -1.0], "a"), (6, [0.0, 0.0], "a"), (7, [1.0, 1.0], None), (8, [5e-324, 0.0], "a")]
+    out = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(E, "_recall", lambda *_: 0.5)
+    monkeypatch.setattr(E, "ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="recall"):
+        E.near_duplicates(spark.createDataFrame([(i, [1.0, float(i)], 1) for i in range(20)], "vec_id long, embedding array<float>, label int"))
+
+
+def test_rare_links_among_many(spark):
+    """100 000 vectors, one in a thousand linked: recall is measured on nodes that have neighbours."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((99_950, 16)).astype(np.float32)
+    near = base[:50] + 0.05 * rng.standard_normal((50, 16)).astype(np.float32)
+    v = np.concatenate([base, near])
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    true = 0
+    for at in range(0, len(unit), 2000):
+        true += int((unit[at : at + 2000] @ unit.T >= 0.98).sum()) - len(unit[at : at + 2000])
+    import pandas as pd
+
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v.tolist()), "label": 0}), "vec_id long, embedding array<float>, label int")
+    out = E.near_duplicates(rows).agg(F.sum("n_links").alias("n"), F.max("recall").alias("recall")).first()
+    assert true >= 90 and out.n >= 0.95 * true and out.recall >= 0.98
+
+
 def test_recall_on_scattered_pairs(spark):
     rng = np.random.default_rng(3)
     rows = []
