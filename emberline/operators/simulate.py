@@ -8,33 +8,60 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.config import Config
 from emberline.functions import fire
-from emberline.operators import spread
+from emberline.operators import blocks, spread
 from emberline.schema import BURNED, BURNING, UNBURNED
 from emberline.scratch import drop, stage
 
 
-def run(state: DataFrame, static: DataFrame, c: Config, width: int, height: int, steps: int, open_edge: bool = False, listen: Callable[[int, DataFrame], None] | None = None, history: list | None = None) -> DataFrame:
+#: steps that blocks work out before their rims move
+ROUND = 8
+
+
+def run(state: DataFrame, static: DataFrame, c: Config, width: int, height: int, steps: int, open_edge: bool = False, listen: Callable[[int, DataFrame], None] | None = None, history: list | None = None, first: int = 0, y_sign: int = 1) -> DataFrame:
     """The state after `steps` steps, or after the fire is out.
 
-    Each step is written to the shared scratch, which cuts the plan; the driver sees one
-    flag.  history, if given, receives (step, table) of all steps, which then stay.
+    Blocks of the grid go on for a round of steps by themselves (see blocks); only those
+    near fire take part, and each round is written to the shared scratch, which cuts the
+    plan.  The driver sees one number for a step.  history, if given, receives (step, table)
+    of all steps, which then stay; listen is called with the same.  first: the number of the
+    first step, for a run that goes on from a stored state.
     """
-    now = stage(state.select(*spread.KEY, F.col("state").cast("int").alias("state"), F.col("fuel").cast("double").alias("fuel")), "step")
-    for step in range(steps):
-        if history is not None:
-            history.append((step, now))
-        if listen:
-            listen(step, now)
-        if c.stop_when_fire_extinguished and now.where(F.col("state") == BURNING).isEmpty():
-            return now
-        level = spread.horizontal(now, static, step, c, width, height, open_edge)
-        new = stage(spread.vertical(stage(level, "level"), static, step, c, width, height, open_edge), "step")
-        if history is None:
+    spread_from = state.agg(F.max("z")).first()[0]
+    rules = blocks.rules(c, width, height, 0 if spread_from is None else int(spread_from) + 1, open_edge, y_sign)
+    side = blocks.block_side(rules.layers)
+    now = stage(blocks.to_blocks(state, static, rules, side).withColumn("step", F.lit(first)), "blocks")
+    told = history is not None or listen is not None
+    at, last, alone = first, first + steps, width <= side and height <= side
+    if told and steps:
+        _tell(first, now, listen, history)
+    while at < last:
+        if not (now.where(F.col("burning") > 0).count() if c.stop_when_fire_extinguished else 1):
+            return blocks.voxels(now)
+        count = min(last - at, last if alone else max(1, min(ROUND, side // rules.reach)))
+        done = blocks.round_of(now, rules, side, at, count, told)
+        if told:
+            lit = dict(done.groupBy("step").agg(F.sum("burning")).collect())  # a row for each step of the round
+            for step in range(at + 1, at + count + 1):
+                frame = done.where(F.col("step") == step)
+                if step < last or history is not None:
+                    _tell(step, frame, listen if step < last else None, history)
+                if c.stop_when_fire_extinguished and step < last and not lit.get(step):
+                    return blocks.voxels(frame)
+        else:
             drop(now)
-        now = new
+        now = done.where(F.col("step") == at + count) if told else done
+        at += count
+    if told and not steps and history is not None:
+        history.append((first, blocks.voxels(now)))
+    return blocks.voxels(now)
+
+
+def _tell(step: int, frame: DataFrame, listen, history: list | None) -> None:
+    table = blocks.voxels(frame)
     if history is not None:
-        history.append((steps, now))
-    return now
+        history.append((step, table))
+    if listen:
+        listen(step, table)
 
 
 def snapshots(history: list[tuple[int, DataFrame]]) -> DataFrame:
