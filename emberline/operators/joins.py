@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.scratch import stage
@@ -25,28 +27,42 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return met.withColumn("d", d).where(F.col("d") <= radius).drop("bx", "by")
 
 
-def normalise_heights(points: DataFrame, ground: DataFrame, size: float = 5.0, rounds: int = 8) -> DataFrame:
+def bucket_width(n: int, x0: float, x1: float, y0: float, y1: float, rows: float = 2.0) -> float:
+    """The side of square buckets that hold `rows` of n points on average."""
+    area = (x1 - x0) * (y1 - y0)
+    return math.sqrt(rows * area / n) if area > 0 else max(x1 - x0, y1 - y0) * rows / n or 1.0
+
+
+def normalise_heights(points: DataFrame, ground: DataFrame, size: float | None = None) -> DataFrame:
     """points (id, x, y, z) with hag, the height over the nearest ground point (x, y, z).
 
-    Points look in the nine buckets around them; a nearest point within one bucket's width
-    is certain.  Those without go on with buckets twice as wide, so an empty region costs
-    a few small rounds.  Of equally near ground points the lowest counts; points that find
-    none in all rounds have a null hag.
+    Ground points are listed in the nine buckets around them, so a point meets those of its
+    own bucket only, and a nearest one within a bucket's width is certain.  The few points
+    without go on with buckets four times as wide, until all have theirs.  The width comes
+    from the density of the ground unless given.  Of ground points at one place, and of
+    equally near ones, the lowest counts.  hag is null without ground and for points whose
+    x or y is not a number.
     """
-    right = ground.select(F.col("x").alias("gx"), F.col("y").alias("gy"), F.col("z").alias("gz"))
-    left, done = points, []
-    for _ in range(rounds):
-        best = within(left.select("id", "x", "y"), right, size).groupBy("id").agg(F.min(F.struct("d", "gz")).alias("m")).select("id", F.col("m.gz").alias("ground"))
-        joined = stage(left.join(best, "id", "left"), "nearest")
-        done.append(joined.where("ground IS NOT NULL"))
-        left, size = joined.where("ground IS NULL").drop("ground"), size * 2
-        if left.isEmpty():
-            break
-    done.append(left.withColumn("ground", F.lit(None).cast("double")))
+    low = stage(ground.groupBy(F.col("x").alias("gx"), F.col("y").alias("gy")).agg(F.min("z").alias("gz")), "ground")
+    n, *box = low.agg(F.count("*"), F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
+    size = size or (bucket_width(n, *box) if n else 1.0)
+    numbered = stage(points.withColumn("_row", F.monotonically_increasing_id()), "points")
+    sound = F.lit(bool(n))
+    for c in ("x", "y"):
+        sound = sound & F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    left, done = numbered.where(sound), [numbered.where(~sound).withColumn("_ground", F.lit(None).cast("double"))]
+    while not left.isEmpty():
+        met = _placed(left, "x", "y", size).join(_asked(low, "gx", "gy", size), ["bx", "by"], "left")
+        d = F.sqrt((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2)
+        best = met.groupBy("bx", "by", "_row").agg(F.min(F.struct(d.alias("d"), "gz")).alias("m"), F.any_value(F.struct(*points.columns)).alias("p"))
+        best = best.select("p.*", "_row", F.when(F.col("m.d") <= size, F.col("m.gz")).alias("_ground"))
+        joined = stage(best, "nearest")
+        done.append(joined.where("_ground IS NOT NULL"))
+        left, size = joined.where("_ground IS NULL").drop("_ground"), size * 4
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.withColumn("hag", F.col("z") - F.col("ground")).drop("ground")
+    return out.withColumn("hag", F.col("z") - F.col("_ground")).drop("_ground", "_row")
 
 
 def terrain_model(ground: DataFrame, cells: DataFrame, resolution: float = 5.0, radius: float = 22.0, power: float = 2.0) -> DataFrame:
@@ -63,9 +79,26 @@ def over_terrain(points: DataFrame, model: DataFrame, resolution: float = 5.0) -
     return placed.join(model, ["gx", "gy"], "left").withColumn("hag", F.col("z") - F.col("elev")).drop("gx", "gy", "elev")
 
 
+#: intervals that to_edges hands to every task, at most
+MAX_EDGES = 1 << 16
+
+
 def to_edges(values: DataFrame, edges: DataFrame, z: str = "z") -> DataFrame:
-    """values with the bin (low, high) of a table of uneven intervals: as many as bins."""
-    return values.join(F.broadcast(edges), (F.col(z) >= F.col("low")) & (F.col(z) < F.col("high")))
+    """values with the bin (low, high) of a table of uneven intervals that do not overlap; others are left out.
+
+    The intervals travel as one sorted array that each value is looked up in by halving.
+    """
+    known = edges.select(F.col("low").cast("double"), F.col("high").cast("double")).where("low < high").distinct().orderBy("low").limit(MAX_EDGES + 1).collect()
+    if len(known) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} intervals")
+    if any(a.high > b.low for a, b in zip(known, known[1:], strict=False)):
+        raise ValueError("intervals overlap")
+    one = edges.sparkSession.createDataFrame([([tuple(e) for e in known],)], "_edges array<struct<low:double,high:double>>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(known).bit_length())))])
+    further = lambda at, step: F.when((at + step <= len(known)) & (F.get(F.col("_edges"), at + step - 1)["low"] <= F.col(z)), at + step).otherwise(at)
+    bin_of = F.get(F.col("_edges"), F.aggregate(steps, F.lit(0), further) - 1)
+    found = values.join(F.broadcast(one)).withColumn("_bin", bin_of)  # one row
+    return found.where(F.col(z) < F.col("_bin.high")).select(*values.columns, "_bin.low", "_bin.high")
 
 
 def overlapping(boxes: DataFrame, tiles: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from emberline.schema import BURNED, BURNING
-from emberline.scratch import stage
+from emberline.scratch import drop, stage
 
 
 def tile_grid(spark: SparkSession, width: int, height: int, tile: int, overlap: int = 0) -> DataFrame:
@@ -44,9 +44,16 @@ def tile_neighbours(tiles: DataFrame, diagonal: bool = True) -> DataFrame:
 
 
 def region_tiles(regions: DataFrame, stride: int, across: int, down: int) -> DataFrame:
-    """(region_id, tile_x, tile_y) that regions (region_id, x, y, w, h) cover, ends included."""
-    span = lambda c, w, n: F.sequence(F.floor(F.col(c) / stride).cast("int"), F.least(F.lit(n - 1), F.floor((F.col(c) + F.col(w)) / stride).cast("int")))
-    return regions.withColumn("tile_x", F.explode(span("x", "w", across))).withColumn("tile_y", F.explode(span("y", "h", down))).select("region_id", "tile_x", "tile_y")
+    """(region_id, tile_x, tile_y) of the tiles of the grid that regions (region_id, x, y, w, h) cover, ends included.
+
+    What lies off the grid is clipped; a region beside it has no tiles.
+    """
+
+    def span(c: str, w: str, n: int):
+        low, high = F.greatest(F.lit(0), F.floor(F.col(c) / stride)).cast("int"), F.least(F.lit(n - 1), F.floor((F.col(c) + F.col(w)) / stride)).cast("int")
+        return F.explode(F.when(low <= high, F.sequence(low, high)))
+
+    return regions.withColumn("tile_x", span("x", "w", across)).withColumn("tile_y", span("y", "h", down)).select("region_id", "tile_x", "tile_y")
 
 
 def tile_activity(cells: DataFrame, stride: int) -> DataFrame:
@@ -67,33 +74,41 @@ def to_activate(active: DataFrame, cells: DataFrame, stride: int) -> DataFrame:
     return near.select(F.col("near_x").alias("tile_x"), F.col("near_y").alias("tile_y")).distinct().join(active, ["tile_x", "tile_y"], "left_anti")
 
 
+def valid_tiles(asked: DataFrame, across: int, down: int) -> DataFrame:
+    """asked (tile_x, tile_y) with valid: whether the grid has such a tile; nulls are not valid."""
+    inside = F.col("tile_x").between(0, across - 1) & F.col("tile_y").between(0, down - 1)
+    return asked.withColumn("valid", F.coalesce(inside, F.lit(False)))
+
+
 def eviction(tiles: DataFrame, budget: float) -> DataFrame:
     """tiles (tile_x, tile_y, size, last_used) with the running size from the latest use, and whether they stay."""
     recent = Window.orderBy(F.col("last_used").desc(), "tile_x", "tile_y").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as loaded tiles
     return tiles.withColumn("running", F.sum("size").over(recent)).withColumn("stays", F.col("running") <= budget)
 
 
-def merge_regions(regions: DataFrame, rounds: int = 100) -> DataFrame:
+def merge_regions(regions: DataFrame) -> DataFrame:
     """(x_min, x_max, y_min, y_max): boxes that touch are merged into their hull, to a fixpoint.
 
     A hull may touch new boxes, so groups of touching boxes are merged again until none
-    touch.  Within a round the smallest id spreads over pairs; pairs meet in strips of x.
+    touch; a round without a merge leaves all boxes, and any other leaves fewer.  Boxes
+    meet in squares of the mean size, each listed under those it lies in.
     """
-    boxes = stage(regions.select(F.xxhash64("x_min", "x_max", "y_min", "y_max").alias("id"), "x_min", "x_max", "y_min", "y_max").distinct(), "boxes")
-    for _ in range(rounds):
-        width = boxes.agg(F.max(F.col("x_max") - F.col("x_min"))).first()[0]
-        if width is None:
-            break
-        strip = max(1, int(width) + 1)
-        listed = boxes.withColumn("s", F.explode(F.sequence(F.floor(F.col("x_min") / strip).cast("int"), F.floor(F.col("x_max") / strip).cast("int"))))
-        other = listed.select(F.col("id").alias("oid"), "s", *[F.col(c).alias(f"o_{c}") for c in ("x_min", "x_max", "y_min", "y_max")])
+    corners = ("x_min", "x_max", "y_min", "y_max")
+    boxes = stage(regions.select(F.xxhash64(*corners).alias("id"), *corners).distinct(), "boxes")
+    count = boxes.count()
+    while count:
+        width, height = boxes.agg(F.avg(F.col("x_max") - F.col("x_min")), F.avg(F.col("y_max") - F.col("y_min"))).first()
+        span = lambda a, b, side: F.explode(F.sequence(F.floor(F.col(a) / (side + 1)).cast("long"), F.floor(F.col(b) / (side + 1)).cast("long")))
+        listed = boxes.withColumn("sx", span("x_min", "x_max", width)).withColumn("sy", span("y_min", "y_max", height))
+        other = listed.select(F.col("id").alias("oid"), "sx", "sy", *[F.col(c).alias(f"o_{c}") for c in corners])
         touch = (F.col("x_min") <= F.col("o_x_max")) & (F.col("x_max") >= F.col("o_x_min")) & (F.col("y_min") <= F.col("o_y_max")) & (F.col("y_max") >= F.col("o_y_min"))
-        least = listed.join(other, "s").where(touch).groupBy("id").agg(F.min("oid").alias("to"))
+        least = listed.join(other, ["sx", "sy"]).where(touch).groupBy("id").agg(F.min("oid").alias("to"))
         merged = boxes.join(least, "id").groupBy("to").agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
-        new = stage(merged.select(F.xxhash64("x_min", "x_max", "y_min", "y_max").alias("id"), "x_min", "x_max", "y_min", "y_max").distinct(), "boxes")
-        if new.join(boxes, "id", "left_anti").isEmpty() and new.count() == boxes.count():
+        new = stage(merged.select(F.xxhash64(*corners).alias("id"), *corners).distinct(), "boxes")
+        drop(boxes)
+        boxes, before, count = new, count, new.count()
+        if count == before:
             break
-        boxes = new
     return boxes.drop("id")
 
 

@@ -159,7 +159,7 @@ _NEAR = B.POINTS + ", ground AS (SELECT x AS gx, y AS gy, z AS gz FROM points WH
 def q_nn_height(spark, d):
     asked = B.points(spark, d).where(F.col("classification") == 5).select("x", "y", "z").distinct()
     keyed = asked.withColumn("id", F.struct("x", "y", "z"))
-    return joins.normalise_heights(keyed, _ground(spark, d), 5.0, 4).select("x", "y", "z", "hag")
+    return joins.normalise_heights(keyed, _ground(spark, d)).select("x", "y", "z", "hag")
 
 
 @query(B.final(_NEAR + ", c AS (SELECT a.range::INT AS gx0, b.range::INT AS gy0 FROM range(40) a, range(40) b), w AS (SELECT gx0, gy0, gz, 1.0::DOUBLE / greatest(sqrt(((gx0 + 0.5) * 5 - gx) ** 2 + ((gy0 + 0.5) * 5 - gy) ** 2), 1e-9) ** 2 AS w FROM c, ground WHERE sqrt(((gx0 + 0.5) * 5 - gx) ** 2 + ((gy0 + 0.5) * 5 - gy) ** 2) <= 22), dtm AS (SELECT gx0 AS gx, gy0 AS gy, sum(w * gz) / sum(w) AS elev FROM w GROUP BY ALL)", "gx gy", "elev", source="dtm"))

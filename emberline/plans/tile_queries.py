@@ -47,9 +47,9 @@ def q_tile_neighbors(spark, d):
     return tiles.tile_neighbours(tiles.tile_grid(spark, 40, 40, 10))
 
 
-@query("WITH r AS (SELECT * FROM (VALUES (1, 5, 5, 12, 3), (2, 30, 30, 30, 30), (3, 0, 0, 0, 0)) t(region_id, x, y, w, h)) SELECT region_id::BIGINT AS region_id, a.range AS tile_x, b.range AS tile_y FROM r, range(4) a, range(4) b WHERE a.range BETWEEN x // 10 AND (x + w) // 10 AND b.range BETWEEN y // 10 AND (y + h) // 10")
+@query("WITH r AS (SELECT * FROM (VALUES (1, 5, 5, 12, 3), (2, 30, 30, 30, 30), (3, 0, 0, 0, 0), (4, 60, 5, 10, 5), (5, -40, -40, 10, 60), (6, -15, 12, 30, 100)) t(region_id, x, y, w, h)) SELECT region_id::BIGINT AS region_id, a.range AS tile_x, b.range AS tile_y FROM r, range(4) a, range(4) b WHERE a.range BETWEEN floor(x / 10) AND floor((x + w) / 10) AND b.range BETWEEN floor(y / 10) AND floor((y + h) / 10)")
 def q_region_tiles(spark, d):
-    r = spark.createDataFrame([(1, 5, 5, 12, 3), (2, 30, 30, 30, 30), (3, 0, 0, 0, 0)], "region_id int, x int, y int, w int, h int")
+    r = spark.createDataFrame([(1, 5, 5, 12, 3), (2, 30, 30, 30, 30), (3, 0, 0, 0, 0), (4, 60, 5, 10, 5), (5, -40, -40, 10, 60), (6, -15, 12, 30, 100)], "region_id int, x int, y int, w int, h int")
     return tiles.region_tiles(r, 10, 4, 4)
 
 

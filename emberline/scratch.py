@@ -2,7 +2,9 @@
 
 Iterative plans are cut by writing a table and reading it again, so that a lost
 executor never takes the only copy with it.  The folder is ``spark.checkpoint.dir``
-of the session; where that is unset (unit tests) a local default is used.
+of the session; where that is unset and all runs in one machine (unit tests) a local
+default is used, and on a cluster that is an error.  What an application leaves there is
+deleted when its driver ends.
 """
 
 from __future__ import annotations
@@ -14,10 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_DIR = "/tmp/checkpoints"
 
 
+_cleared: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of this application's own folder below the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or DEFAULT_DIR
-    return f"{base.rstrip('/')}/emberline/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not base and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is not set: executors of a cluster need a folder that all of them share")
+    path = f"{(base or DEFAULT_DIR).rstrip('/')}/emberline/{spark.sparkContext.applicationId}"
+    if path not in _cleared:
+        _cleared.add(path)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        where.mkdirs(folder)
+        where.deleteOnExit(folder)
+    return path
 
 
 def new_path(spark: SparkSession, label: str) -> str:
