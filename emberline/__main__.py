@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession, functions as F
 from emberline import config as C
 from emberline.operators import filters, simulate, structure, voxel
 from emberline.operators.terrain import uniform_wind
-from emberline.sources import points as P
+from emberline.sources import las, points as P
 from emberline.sources import store
 
 log = logging.getLogger("emberline")
@@ -22,10 +22,18 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("emberline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def read_any(spark, paths: list[str], classes: tuple[int, ...]):
+    """Points of LAS files and of Parquet data sets, told apart by their names."""
+    files = [p for p in paths if p.lower().endswith((".las", ".laz"))]
+    tables = [p for p in paths if p not in files]
+    parts = ([las.read_las(spark, files, classes)] if files else []) + ([P.read_points(spark, tables, classes)] if tables else [])
+    return parts[0] if len(parts) == 1 else parts[0].select("x", "y", "z", "classification").unionByName(parts[1].select("x", "y", "z", "classification"))
+
+
 def density(a) -> None:
     """Points to height bins, profile and plant area density by cell."""
     c = C.Config.load(a.config)
-    found = P.read_points(session(), a.points, c.vegetation_classes)
+    found = read_any(session(), a.points, c.vegetation_classes)
     kept = filters.drop_negative(filters.filter_artefacts(found, a.filter))
     bins = structure.height_bins(kept, c.pad_bin_size)
     store.write_csv(structure.with_support(bins), f"{a.out}/height_bins")
@@ -43,16 +51,24 @@ def forest(spark, c: C.Config, side: int, method: str):
 
 
 def run_simulation(a) -> None:
+    """A run with its history, statistics, parameters and summary; with --resume it goes on from the last stored step."""
     spark, c = session(), C.Config.load(a.config)
-    state, static = forest(spark, c, a.side, a.fuel)
-    history: list = []
-    simulate.run(state, static, c, a.side, a.side, a.steps, history=history)
-    snaps = simulate.snapshots(history)
-    store.write_by(simulate.compress(snaps, c.storage_optimization_level), f"{a.out}/history", "step")
-    stats = simulate.statistics(snaps, c.model_resolution)
-    store.write_csv(simulate.wide_statistics(stats, c.num_layers), f"{a.out}/statistics")
-    report = simulate.report(history[-1][1], c.model_resolution).first().asDict()
-    store.write_json(spark, {"parameters": c.to_dict(), "results": report}, f"{a.out}/parameters.json")
+    with store.error_log(spark, a.out):
+        state, static = forest(spark, c, a.side, a.fuel)
+        first = 0
+        if a.resume:
+            first, state = store.reopen(spark, f"{a.out}/states")
+        history: list = []
+        simulate.run(state, static, c, a.side, a.side, a.steps, history=history, first=first)
+        snaps = simulate.snapshots(history)
+        store.write_history(filters.recorded_steps(snaps, c.save_interval), f"{a.out}/states")
+        store.write_by(simulate.compress(snaps, c.storage_optimization_level), f"{a.out}/history", "step")
+        stats = simulate.statistics(snaps, c.model_resolution)
+        store.write_csv(simulate.wide_statistics(stats, c.num_layers), f"{a.out}/statistics")
+        report = simulate.report(history[-1][1], c.model_resolution).first().asDict()
+        store.write_json(spark, {"parameters": c.to_dict(), "results": report, "has_wind": True, "has_terrain": False}, f"{a.out}/parameters.json")
+        told = {"states": "full states of recorded steps, from which a run can go on", "history": "states and changes by step", "statistics": "counts by step and layer", "parameters.json": "the configuration and a summary"}
+        store.write_readme(spark, a.out, told)
     log.info("%s", report)
 
 
@@ -87,7 +103,7 @@ def main(args: list[str] | None = None) -> None:
     d.add_argument("points", nargs="+"), d.add_argument("--out", required=True), d.add_argument("--filter", default="statistical")
     d.set_defaults(run=density)
     s = commands.add_parser("simulate")
-    s.add_argument("--out", required=True), s.add_argument("--side", type=int, default=100), s.add_argument("--steps", type=int, default=20), s.add_argument("--fuel", default="random")
+    s.add_argument("--out", required=True), s.add_argument("--side", type=int, default=100), s.add_argument("--steps", type=int, default=20), s.add_argument("--fuel", default="random"), s.add_argument("--resume", action="store_true")
     s.set_defaults(run=run_simulation)
     b = commands.add_parser("benchmark")
     b.add_argument("--out", required=True), b.add_argument("--sides", type=int, nargs="+", default=[100, 200]), b.add_argument("--steps", type=int, default=5)
