@@ -9,7 +9,7 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ENVIRONMENT = "FOREST_MODEL_CONFIG"
 
@@ -161,6 +161,17 @@ def choose_preset(area_m2: float, density: float, wind: float) -> str:
     return "high_resolution" if density > 0.7 else "default"
 
 
+def preset_choice(area_m2: Column, density: Column, wind: Column) -> Column:
+    """choose_preset for each row of a table of study areas."""
+    return F.when(area_m2 > 4_000_000, "large_area").when(wind > 7, "windy_conditions").when(density > 0.7, "high_resolution").otherwise("default")
+
+
+def field_table(spark: SparkSession, configs: dict[str, Config], part: str | None = None) -> DataFrame:
+    """(config, field, value) of the fields of configurations, or of one part of them; values as JSON."""
+    rows = [(name, k, json.dumps(v)) for name, c in sorted(configs.items()) for k, v in sorted((c.subset(part) if part else c.to_dict()).items())]
+    return spark.createDataFrame(rows, "config string, field string, value string")
+
+
 def preset_table(spark: SparkSession, presets: Presets | None = None) -> DataFrame:
     """(preset, param, value) rows."""
     values = (presets or Presets()).values

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.functions.rng import uniform
+
 
 def _facts(points: DataFrame) -> DataFrame:
     """One row: number of points, negatives, mean, population deviation and bounding box."""
@@ -80,3 +82,26 @@ def low_canopy(points: DataFrame) -> DataFrame:
 
 def height_range(points: DataFrame, classes: tuple[int, ...] = (3, 4, 5), low: float = 0.0, high: float = 80.0) -> DataFrame:
     return points.where(F.col("classification").isin(list(classes)) & F.col("z").between(low, high))
+
+
+def top_random(df: DataFrame, n: int, *key: str, seed: int = 42) -> DataFrame:
+    """n rows by the smallest draw of their key, ties by the key; the same rows on every run."""
+    return df.orderBy(uniform(seed, "top", *[F.col(k) for k in key]), *key).limit(n)
+
+
+def recorded_steps(snaps: DataFrame, every: int) -> DataFrame:
+    """Rows of every n-th step, and of the last one."""
+    last = snaps.agg(F.max("step").alias("_last"))  # one row
+    return snaps.join(F.broadcast(last)).where((F.col("step") % every == 0) | (F.col("step") == F.col("_last"))).drop("_last")
+
+
+def with_companions(tables: DataFrame, files: DataFrame, folder: str = "nrd_rasters", suffix: str = ".tif") -> DataFrame:
+    """tables (path) beside which there is a folder with one file of that kind at least; files: (path)."""
+    there = files.where(F.lower("path").endswith(suffix)).select(F.regexp_extract("path", rf"^(.*)/{folder}/[^/]+$", 1).alias("_base")).where("_base <> ''").distinct()
+    return tables.withColumn("_base", F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).join(there, "_base", "left_semi").drop("_base")
+
+
+def outcomes(runs: DataFrame, *by: str) -> DataFrame:
+    """(by, total, succeeded, failed) of rows with a flag ok; a null flag is a failure."""
+    ok = F.coalesce("ok", F.lit(False))
+    return runs.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"))

@@ -66,6 +66,14 @@ def bilinear(raster: DataFrame, width: int, height: int, new_width: int, new_hei
     return parts.join(raster, ["x", "y"]).groupBy(F.col("nx").alias("x"), F.col("ny").alias("y")).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
+def resize(raster: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
+    """As bilinear, after smoothing along each axis that shrinks, by half of what it shrinks beyond one."""
+    for axis, size, new in (("x", width, new_width), ("y", height, new_height)):
+        if size > new:
+            raster = smooth_axis(raster, axis, size, (size / new - 1) / 2, mirror=True)
+    return bilinear(raster, width, height, new_width, new_height)
+
+
 def pyramid(cells: DataFrame, levels: int) -> DataFrame:
     """(level, x, y, ...): level k holds every 2^k-th cell."""
     scale = F.pow(F.lit(2), F.col("level")).cast("int")
@@ -109,15 +117,27 @@ def blend(parts: DataFrame, overlap: int, key: tuple[str, ...] = ("x", "y"), val
 
 def smooth(cells: DataFrame, sigma: float, width: int, height: int, value: str = "value", truncate: float = 4.0) -> DataFrame:
     """Gaussian smoothing by two passes of one-dimensional sums, edges cut off."""
-    reach = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)]
-    kernel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / sum(raw)).alias("w")) for d, w in zip(range(-reach, reach + 1), raw, strict=True)])
     for axis, size in (("x", width), ("y", height)):
-        spread = cells.select("x", "y", value, F.inline(kernel)).withColumn(axis, F.col(axis) + F.col("d")).where(F.col(axis).between(0, size - 1))
-        cells = spread.groupBy("x", "y").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+        cells = smooth_axis(cells, axis, size, sigma, value, truncate)
     return cells
 
 
+def smooth_axis(cells: DataFrame, axis: str, size: int, sigma: float, value: str = "value", truncate: float = 4.0, mirror: bool = False) -> DataFrame:
+    """One pass; what lies beyond an edge is nothing, or with `mirror` what lies as far before it."""
+    reach = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)] if sigma > 0 else [1.0]
+    kernel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / sum(raw)).alias("w")) for d, w in zip(range(-reach, reach + 1), raw, strict=True)])
+    if mirror and size > 1:  # every pixel asks for what lies around it
+        period = 2 * (size - 1)
+        at = F.pmod(F.col(axis) + F.col("d"), F.lit(period))
+        asked = cells.select("x", "y", F.inline(kernel)).withColumn("_at", F.when(at < size, at).otherwise(F.lit(period) - at))
+        other = "y" if axis == "x" else "x"
+        known = cells.select(F.col(axis).alias("_at"), F.col(other), F.col(value))
+        return asked.join(known, ["_at", other]).groupBy("x", "y").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    spread = cells.select("x", "y", value, F.inline(kernel)).withColumn(axis, F.col(axis) + F.col("d")).where(F.col(axis).between(0, size - 1))
+    return spread.groupBy("x", "y").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+
+
 def dilate(cells: DataFrame, width: int, height: int, times: int = 1) -> DataFrame:
     """Cells (x, y) with their four neighbours, repeatedly."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
@@ -135,3 +155,20 @@ def every_nth(cells: DataFrame, n: int) -> DataFrame:
     return cells.where((F.col("x") % n == 0) & (F.col("y") % n == 0))
 
 
+
+
+def write_through(levels: DataFrame, changes: DataFrame) -> DataFrame:
+    """levels (level, x, y, state) of a pyramid after changes (x, y, state) of its finest level.
+
+    A coarser cell takes the state of the last of its changed children, by y, then x.
+    """
+    known = levels.select("level").distinct()  # a row for each level
+    scale = F.pow(F.lit(2), F.col("level")).cast("int")
+    spread = changes.join(F.broadcast(known)).select("level", F.floor(F.col("x") / scale).cast("int").alias("x"), F.floor(F.col("y") / scale).cast("int").alias("y"), F.struct(F.col("y").alias("cy"), F.col("x").alias("cx")).alias("child"), F.col("state").alias("new"))
+    last = spread.groupBy("level", "x", "y").agg(F.max_by("new", "child").alias("new"))
+    return levels.join(last, ["level", "x", "y"], "left").select("level", "x", "y", F.coalesce("new", "state").alias("state"))
+
+
+def layer_groups(bands: DataFrame, size: int = 10) -> DataFrame:
+    """(group, first_layer, last_layer, layers) of layers (z) that are taken in together, `size` at a time."""
+    return bands.select(F.floor(F.col("z") / size).cast("int").alias("group"), "z").groupBy("group").agg(F.min("z").alias("first_layer"), F.max("z").alias("last_layer"), F.countDistinct("z").alias("layers"))

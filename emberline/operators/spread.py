@@ -7,11 +7,13 @@ the rest of the grid is touched once, by the update.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.config import Config
 from emberline.functions import fire
-from emberline.functions.rng import uniform
+from emberline.functions.rng import normal, uniform
 from emberline.schema import BURNED, BURNING, UNBURNED
 
 KEY = ["x", "y", "z"]
@@ -89,6 +91,28 @@ def embers(state: DataFrame, static: DataFrame, step: int, c: Config, width: int
     return out.withColumn("travel_time", F.greatest(F.lit(1), F.floor(F.col("distance") / 2).cast("int")))
 
 
+def spotting(state: DataFrame, static: DataFrame, step: int, c: Config, width: int, height: int, probability: float = 0.01, farthest: float = 100.0, wind_influence: float = 0.8) -> DataFrame:
+    """One row for each far-flying ember that lands on an unburned voxel: source, target, metres, chance and whether it ignites.
+
+    The other ember model: burning voxels with fuel over 0.3 throw one at most, the likelier the
+    higher and fuller they are; distances in metres are lognormal, directions scatter around the
+    wind as compass bearings, and moisture at the target hinders ignition.
+    """
+    own = (F.col("x"), F.col("y"), F.col("z"))
+    chance = F.lit(probability) * (F.lit(0.5) + F.lit(0.5) * F.col("z") / F.lit(float(max(1, c.num_layers - 1)))) * F.least(F.lit(1.0), F.col("fuel") / F.lit(0.5))
+    throwing = state.where((F.col("state") == BURNING) & (F.col("fuel") > 0.3)).where(uniform(c.random_seed, step, "so", *own) < chance).select(KEY).join(static.select(*KEY, "dir", "speed"), KEY)
+    metres = F.least(F.lit(farthest), F.exp(F.lit(math.log(farthest / 3)) + F.lit(0.7) * normal(c.random_seed, step, "sd", *own))) * (F.lit(1.0) + F.lit(wind_influence) * F.col("speed") / F.lit(10.0))
+    bearing = F.col("dir") + F.lit(math.pi / 8) * normal(c.random_seed, step, "sa", *own)
+    flown = throwing.select(*[F.col(k).alias(f"s{k}") for k in KEY], metres.alias("metres"), bearing.alias("bearing"), (F.floor(uniform(c.random_seed, step, "sz", *own) * 2)).cast("int").alias("fall"))
+    cells = F.col("metres") / F.lit(c.model_resolution)
+    landed = flown.select("*", (F.col("sx") + F.sin("bearing") * cells).cast("int").alias("x"), (F.col("sy") + F.cos("bearing") * cells).cast("int").alias("y"), F.greatest(F.lit(0), F.col("sz") - F.col("fall")).alias("z"))
+    landed = landed.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    hit = landed.join(state.where(F.col("state") == UNBURNED).select(*KEY, "fuel"), KEY).join(static.select(*KEY, "moisture"), KEY)
+    p = F.lit(0.4) * (F.lit(1.0) - F.lit(0.8) * F.col("moisture")) * F.least(F.lit(1.0), F.col("fuel") / F.lit(0.3))
+    luck = uniform(c.random_seed, step, "si", F.col("sx"), F.col("sy"), F.col("sz"))
+    return hit.withColumn("p", p).select("sx", "sy", "sz", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), "metres", "p", (luck < F.col("p")).alias("ignited"))
+
+
 def ember_records(landed: DataFrame, step: int) -> DataFrame:
     """The records of a step's embers as nested rows."""
     time = F.col("travel_time")

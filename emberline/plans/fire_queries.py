@@ -62,9 +62,28 @@ def q_ember_counts(spark, d):
     return landed.agg(F.count("*").alias("embers"), F.count_if("ignited").alias("ignitions"))
 
 
-@query(None)
+_TIME = "greatest(1, floor(distance / 2)::INT)"
+
+
+@query(f"WITH {_EMBER}, t AS (SELECT *, {_TIME} AS took FROM landed) SELECT 0::BIGINT AS step, sx::BIGINT AS source_x, sy::BIGINT AS source_y, sz::BIGINT AS source_z, tx::BIGINT AS target_x, ty::BIGINT AS target_y, tz::BIGINT AS target_z, round(angle, 6) + 0.0::DOUBLE AS angle, distance::BIGINT AS distance, vertical::BIGINT AS vertical_travel, round(p, 6) + 0.0::DOUBLE AS ignition_prob, ignited, round((tx - sx) / took::DOUBLE, 6) + 0.0::DOUBLE AS vx, round((ty - sy) / took::DOUBLE, 6) + 0.0::DOUBLE AS vy, round(vertical / took::DOUBLE, 6) + 0.0::DOUBLE AS vz, took::BIGINT AS travel_time, took::BIGINT AS remaining_steps FROM t")
 def q_ember_records(spark, d):
-    return spread.ember_records(spread.embers(_start(spark, d), B.static(spark, d), 0, _EMBERS, _S, _S), 0)
+    records = spread.ember_records(spread.embers(_start(spark, d), B.static(spark, d), 0, _EMBERS, _S, _S), 0)
+    nested = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("source", "target") for c in "xyz"]
+    return records.select("step", *nested, "angle", "distance", "vertical_travel", "ignition_prob", "ignited", "velocity.*", "travel_time", "remaining_steps")
+
+
+def _spotting_sql() -> str:
+    own, d, n = ("x", "y", "z"), lambda k: B.draw("'42'", "'0'", f"'{k}'", "x", "y", "z"), lambda k: B.normal_draw("'42'", "'0'", f"'{k}'", "x", "y", "z")
+    thrown = f"thrown AS (SELECT {', '.join(own)} FROM s0 WHERE state = 1 AND fuel > 0.3 AND {d('so')} < (0.5::DOUBLE + 0.5::DOUBLE * z / 7.0::DOUBLE) * least(1.0::DOUBLE, fuel / 0.5::DOUBLE))"
+    flown = f"flown AS (SELECT t.x, t.y, t.z, least(100.0::DOUBLE, exp(ln(100.0::DOUBLE / 3) + 0.7::DOUBLE * {n('sd').replace('x, y, z', 't.x, t.y, t.z')})) * (1.0::DOUBLE + 0.8::DOUBLE * speed / 10.0::DOUBLE) AS metres, dir + pi() / 8 * {n('sa').replace('x, y, z', 't.x, t.y, t.z')} AS bearing, floor({d('sz').replace('x, y, z', 't.x, t.y, t.z')} * 2)::INT AS fall FROM thrown t JOIN static USING (x, y, z))"
+    landed = f"landed AS (SELECT x AS sx, y AS sy, z AS sz, metres, trunc(x + sin(bearing) * (metres / 5.0::DOUBLE))::INT AS tx, trunc(y + cos(bearing) * (metres / 5.0::DOUBLE))::INT AS ty, greatest(0, z - fall) AS tz, {d('si')} AS luck FROM flown)"
+    hit = "hit AS (SELECT l.*, 0.4::DOUBLE * (1.0::DOUBLE - 0.8::DOUBLE * moisture) * least(1.0::DOUBLE, s.fuel / 0.3::DOUBLE) AS p FROM landed l JOIN s0 s ON s.x = tx AND s.y = ty AND s.z = tz AND s.state = 0 JOIN static m ON m.x = tx AND m.y = ty AND m.z = tz)"
+    return f"WITH {_START}, {thrown}, {flown}, {landed}, {hit} SELECT sx::BIGINT AS sx, sy::BIGINT AS sy, sz::BIGINT AS sz, tx::BIGINT AS tx, ty::BIGINT AS ty, tz::BIGINT AS tz, round(metres, 6) + 0.0::DOUBLE AS metres, round(p, 6) + 0.0::DOUBLE AS p, luck < p AS ignited FROM hit"
+
+
+@query(_spotting_sql())
+def q_spotting(spark, d):
+    return spread.spotting(_start(spark, d), B.static(spark, d), 0, _C, _S, _S, probability=1.0)
 
 
 _STEPS = 3
@@ -107,7 +126,10 @@ def q_sim_stats(spark, d):
     return simulate.statistics(_snaps(spark, d)).withColumn("z", F.coalesce("z", F.lit(-1)))  # -1: all layers
 
 
-@query(None)
+_WIDE = ", ".join(f"max(CASE WHEN z = {z} THEN {v} END)::BIGINT AS \"{z}_{v}\"" for z in range(B.LAYERS) for v in ("burning", "burned")) + ", " + ", ".join(f"round(max(CASE WHEN z = {z} THEN (burned + burning) / (burned + burning + unburned)::DOUBLE * 100 END), 6) + 0.0::DOUBLE AS \"{z}_percent\"" for z in range(B.LAYERS))
+
+
+@query(f"WITH {_STATS} SELECT step::BIGINT AS step, max(burning) FILTER (z IS NULL) AS burning, max(burned) FILTER (z IS NULL) AS burned, max(unburned) FILTER (z IS NULL) AS unburned, round(max(CASE WHEN z IS NULL THEN (burning + burned) / (burning + burned + unburned)::DOUBLE * 100 END), 6) + 0.0::DOUBLE AS burned_percent, {_WIDE} FROM stats GROUP BY step")
 def q_sim_stats_wide(spark, d):
     return simulate.wide_statistics(simulate.statistics(_snaps(spark, d)), B.LAYERS)
 
