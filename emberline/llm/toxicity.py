@@ -192,12 +192,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_tr
     """Fit a chain on at most max_train labelled documents, those with the smallest hashes.
 
     categories: name to SQL condition over the columns of labels, in the order of the
-    chain; a row with a null condition is left out, repeated ids count once.  Without
-    any labelled document every probability is near zero.
+    chain.  A row with a null condition or a null id is left out; where labels of one id
+    contradict each other the document has each category that any of them gives it.  Of
+    documents with one id the text with the smallest hash counts, so the fit depends on
+    the rows alone and not on their order.  Empty and null texts have no features.
+    Without any labelled document every probability is near zero.  Further columns are
+    not read.
     """
-    marks = [F.expr(c).cast("int").alias(f"c{i}") for i, c in enumerate(categories.values())]
-    known = labels.where(" AND ".join(f"({c}) IS NOT NULL" for c in categories.values())).select("doc_id", *marks).where("doc_id IS NOT NULL")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", *[f"c{i}" for i in range(len(marks))]).limit(max_train).dropDuplicates(["doc_id"])
+    names = [f"c{i}" for i in range(len(categories))]
+    marks = [F.max(F.expr(c).cast("int")).alias(n) for n, c in zip(names, categories.values(), strict=True)]
+    known = labels.where(" AND ".join(f"({c}) IS NOT NULL" for c in categories.values())).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*marks)
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def run(batches):
         for b in batches:
@@ -206,10 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_tr
 
     # at most max_train rows of a few numbers are broadcast, and as many lists of features come back
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    found = found.groupBy("doc_id", *names).agg(least).select("doc_id", F.col("least.text").alias("text"), *names)
     schema = ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in found.schema)
-    found = sorted({r["doc_id"]: r for r in found.mapInArrow(run, schema).collect()}.values(), key=lambda r: r["doc_id"])
+    found = sorted(found.mapInArrow(run, schema).collect(), key=lambda r: r["doc_id"])
     texts = [np.frombuffer(r["text"], np.uint32) for r in found]
-    y = np.array([[r[f"c{i}"] for i in range(len(marks))] for r in found]).reshape(len(found), len(marks))
+    y = np.array([[r[n] for n in names] for r in found]).reshape(len(found), len(names))
     place = np.random.default_rng(0).permutation(len(texts)) % folds
     return fit_chain(texts, y, place, list(categories), ridge)
 

@@ -75,3 +75,29 @@ def test_empty_documents(spark, tables):
 def test_threshold():
     assert T.best_threshold(np.array([3.0, 2.0, -1.0, -2.0]), np.array([1, 1, 0, 0])) == pytest.approx(1 / (1 + np.exp(-0.5)))
     assert T.best_threshold(np.array([1.0]), np.array([0])) == 0.5
+
+
+def test_repeated_and_contradicting_labels_do_not_depend_on_order(spark):
+    words = ["nice day", "good book", "vile scum", "rotten scum", "calm sea", "vile trash"]
+    docs = [(i % 40, f"{words[i % 6]} {words[(i * 7) % 6]} item{i % 11}", None) for i in range(160)] + [(None, "x", None), (3, None, None), (4, "", None)]
+    labels = [(i % 40, (i % 3 > 0) * 1, (i % 6 in (2, 3, 5)) * 1) for i in range(70)] + [(None, 1, 1), (2, None, 1), (5, 1, None)]
+    made = []
+    for seed in (1, 2):
+        d = spark.createDataFrame(docs, "doc_id long, text string, p_toxic string").repartition(5).orderBy(F.rand(seed))
+        chain = T.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int").orderBy(F.rand(seed + 9)).repartition(3), T.CATEGORIES)
+        made.append((chain.ids.tolist(), chain.weights.tolist(), chain.links, chain.bias, chain.threshold))
+        out = T.score(d, chain)
+        assert out.count() == len(docs) and out.columns == ["doc_id", "text", "p_low_quality", "p_toxic"]
+    assert made[0] == made[1]
+
+
+def test_a_very_long_and_repetitive_text(spark):
+    chain = T.train(spark.createDataFrame([(1, "bad"), (2, "good")], "doc_id long, text string"), spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int"), T.CATEGORIES)
+    out = T.score(spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word bad "), 200_000).alias("text")), chain)
+    assert 0 <= out.first().p_toxic <= 1
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    chain = T.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), T.CATEGORIES)
+    assert T.score(docs, chain).collect() == []
