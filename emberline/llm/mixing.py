@@ -72,13 +72,20 @@ def _round_chunk(seed: int, level: int, last: bool):
 def source_targets(sizes: DataFrame, weights=WEIGHTS, ceiling: int = CEILING) -> DataFrame:
     """(source, n, source_size, target) from (source, n, source_size): shares of the sum by weight.
 
-    Sources are ranked by code point, null last, and the weights repeat along the rank.
+    Sources are ranked by code point, null last, and the weights repeat along the rank,
+    which is counted range by range, so that any number of sources does.
     A target stops at `ceiling` times its source; the level at which the others share the
     excess is found from sums alone, so the driver holds two numbers a round.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    dealt = stage(sizes.select("source", "n", "source_size").repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "dealt-sources")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = dealt.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order)) + F.col("_before") - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    ranked = stage(sizes.select("source", "n", "source_size", weight.alias("weight")), "sources")
+    ranked = stage(dealt.select("source", "n", "source_size", weight.alias("weight")), "sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     cap = F.col("source_size") * float(ceiling)
     level, capped = 0.0, -1
@@ -132,7 +139,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, ceiling: int = CEILING, seed: int = 7,
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies."""
+    """docs as the mix takes them: each row as often as it has copies.
+
+    Rows equal in id, source and text are one unit and come equally often each.  Nulls are
+    values like others; documents without words and an empty table give no rows beyond
+    the certain copies.  Other columns pass through, whatever their names.
+    """
     chosen = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("unit").alias("_unit"), "copies").where("copies > 0").distinct()
     names = {k: options[k] for k in ("id_col", "text_col", "source_col") if k in options}
     same = F.col(names.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_id")) & (unit_key(**names) == F.col("_unit"))
