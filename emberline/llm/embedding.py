@@ -231,8 +231,8 @@ def _blocks(nodes: DataFrame, dense: DataFrame, threshold: float, kind) -> DataF
     return dealt.mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def _degrees(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, kind) -> tuple[DataFrame, DataFrame]:
-    """(node, links) and (node, root) from the edges over the threshold."""
+def _degrees(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, kind) -> tuple[DataFrame, ...]:
+    """(node, links) and (node, root) from the edges over the threshold; these edges, and the roots of dense components."""
     over = graph.where(F.col("sim") >= threshold)
     links = stage(over.select("node", "nbr").union(over.select("nbr", "node")).distinct(), "over")
     roots = stage(components(links.select(F.col("node").alias("u"), F.col("nbr").alias("v"))), "roots")
@@ -243,8 +243,16 @@ def _degrees(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, kind)
     loose = links.join(dense.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti")
     counted = loose.join(nodes.select(F.col("node").alias("n"), "copies"), F.col("nbr") == F.col("n")).groupBy("node").agg(F.sum("copies").alias("links"))
     out = stage(exact.union(counted), "degrees")
-    drop(links), drop(crowded), drop(dense)
-    return out, roots
+    drop(dense)
+    return out, roots, links, crowded
+
+
+def _gained(graph: DataFrame, roots: DataFrame, links: DataFrame, crowded: DataFrame, threshold: float) -> int:
+    """Edges over the threshold that are not known: none within a component that was compared exactly counts."""
+    over = graph.where(F.col("sim") >= threshold).select("node", "nbr", "far")
+    rooted = over.join(roots.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").drop("n")
+    loose = rooted.join(crowded, F.col("root") == F.col("r"), "left").where("far OR r IS NULL")
+    return loose.join(links.select("node", "nbr"), ["node", "nbr"], "left_anti").count()
 
 
 def _true_degrees(nodes: DataFrame, sample: list, threshold: float, kind) -> dict[int, int]:
@@ -325,28 +333,30 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     nodes = every.where("node IS NOT NULL").groupBy("node", "label", "vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     nodes = stage(nodes.withColumns({"dim": (F.octet_length("vec") / np.dtype(kind).itemsize).cast("long"), "root": F.col("node")}), "nodes")
     truth = _true_degrees(nodes, nodes.select("node", "label", "dim", "vec").orderBy(F.xxhash64(F.lit(seed), "node")).limit(AUDIT_NODES).collect(), threshold, kind)
-    graph, recall, before, audited = _first_graph(nodes, k, seed, kind), None, None, False
+    first = _first_graph(nodes, k, seed, kind)
+    graph = _round(first, nodes, k, kind)
+    degrees, roots, links, crowded = _degrees(graph, nodes, k, threshold, kind)
+    truth |= _true_degrees(nodes, _near_sample(graph, nodes, roots, threshold, seed), threshold, kind)
+    recall = _recall(degrees, truth)
+    drop(first)
     for turn in range(ROUNDS):
-        new = _round(graph, nodes, k, kind)
-        drop(graph)
-        degrees, roots = _degrees(new, nodes, k, threshold, kind)
-        if not audited:
-            truth |= _true_degrees(nodes, _near_sample(new, nodes, roots, threshold, seed), threshold, kind)
-            audited = True
-        recall = _recall(degrees, truth)
-        links = degrees.agg(F.sum("links")).first()[0] or 0
-        steady = before is not None and links <= before * (1 if recall is None else 1 + SETTLED)
-        if steady and (recall is None or recall >= TARGET_RECALL):
-            break
-        before = links
-        nodes, graph = _rooted(new, nodes, roots)
+        nodes, rooted = _rooted(graph, nodes, roots)
         fresh = _first_graph(nodes, k, seed + 1 + turn, kind)
-        merged = _kept(graph.union(fresh), k)
-        drop(new), drop(graph), drop(fresh)
-        graph = merged
-    else:
-        if recall is not None and recall < MIN_RECALL:
-            raise RuntimeError(f"audited recall of links is {recall:.3f} after {ROUNDS} rounds, below {MIN_RECALL}")
+        merged = _kept(rooted.union(fresh), k)
+        drop(graph), drop(rooted), drop(fresh)
+        graph = _round(merged, nodes, k, kind)
+        drop(merged)
+        gained = _gained(graph, roots, links, crowded, threshold)
+        few = gained <= SETTLED * links.count()
+        if gained:
+            for old in (degrees, roots, links, crowded):
+                drop(old)
+            degrees, roots, links, crowded = _degrees(graph, nodes, k, threshold, kind)
+            recall = _recall(degrees, truth)
+        if few and (recall is None or recall >= TARGET_RECALL):
+            break
+    if recall is not None and recall < MIN_RECALL:
+        raise RuntimeError(f"audited recall of links is {recall:.3f} after {ROUNDS} rounds, below {MIN_RECALL}")
     facts = nodes.select("node", "copies", "least").join(degrees.select(F.col("node").alias("n"), "links"), F.col("node") == F.col("n"), "left").drop("n")
     facts = stage(facts.join(roots.select(F.col("node").alias("n"), F.col("root")), F.col("node") == F.col("n"), "left").select("node", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root")), "facts")
     named = stage(facts.groupBy("root").agg(F.min("least").alias("component_id")), "named")

@@ -88,7 +88,7 @@ def test_low_recall_is_an_error(spark, monkeypatch):
         E.near_duplicates(spark.createDataFrame([(i, [1.0, float(i)], 1) for i in range(20)], "vec_id long, embedding array<float>, label int"))
 
 
-def test_rare_links_among_many(spark):
+def test_rare_links_among_many(spark, tmp_path):
     """100 000 vectors, one in a thousand linked: recall is measured on nodes that have neighbours."""
     rng = np.random.default_rng(8)
     base = rng.standard_normal((99_950, 16)).astype(np.float32)
@@ -98,9 +98,11 @@ def test_rare_links_among_many(spark):
     true = 0
     for at in range(0, len(unit), 2000):
         true += int((unit[at : at + 2000] @ unit.T >= 0.98).sum()) - len(unit[at : at + 2000])
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
 
-    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v.tolist()), "label": 0}), "vec_id long, embedding array<float>, label int")
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 16).cast(pa.list_(pa.float32())), "label": np.zeros(len(v), np.int32)}), str(tmp_path / "v.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "v.parquet"))
     out = E.near_duplicates(rows).agg(F.sum("n_links").alias("n"), F.max("recall").alias("recall")).first()
     assert true >= 90 and out.n >= 0.95 * true and out.recall >= 0.98
 
