@@ -83,6 +83,8 @@ def fingerprints(docs: DataFrame, shingles: tuple[int, ...] = (4,), id_col: str
     """(doc_id, h, fp, fp1, ...): fingerprints as signed longs by shingle length, h a hash of the text.
 
     With `banded` also size and bands: the size and the band keys of the set of shingles of the first length.
+    A null, empty or blank text has fingerprint zero and no bands; ids may be null, and
+    every row gives a row.  Further columns are not read.
     """
     names = ["fp", *(f"fp{k}" for k in range(1, len(shingles)))]
     schema = ", ".join(f"{c} long" for c in ("doc_id", "h", *names)) + (", size long, bands array<long>" if banded else "")
@@ -214,7 +216,10 @@ def groups_for(n: int, bits: int = 4) -> int:
 
 
 def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """Links (u, v) that connect all fingerprints (column fp, distinct) within `bits` of each other."""
+    """Links (u, v) that connect all fingerprints (column fp, distinct, not null) within `bits` of each other.
+
+    Links may repeat; without rows there are none.
+    """
     masks = grid_masks(groups_for(distinct.count(), bits), bits)
     shifted, low = F.shiftrightunsigned("fp", 1), F.lit(LOW)
     both, one = F.col("fp").bitwiseAND(shifted).bitwiseAND(low), F.col("fp").bitwiseXOR(shifted).bitwiseAND(low)
@@ -388,7 +393,9 @@ def groups(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), i
     A fingerprint of each length is a node; the nodes of one document are linked, and
     those of one length within `bits` of each other.  With `similarity`, so are documents
     whose sets of shingles of the first length have that Jaccard similarity or more:
-    band keys propose the pairs, and each is decided on the whole sets.
+    band keys propose the pairs, and each is decided on the whole sets.  Texts without
+    words are alike by their fingerprints.  Null ids stay as rows, repeated rows are in
+    one group, and an empty table gives an empty result.
     """
     rows = stage(fingerprints(docs, shingles, id_col, text_col, similarity is not None), "fps")
     node = lambda k, c: F.xxhash64(F.lit(k), c)

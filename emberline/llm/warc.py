@@ -386,7 +386,11 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages to a new folder of the shared scratch and read the archives back."""
+    """Write pages to a new folder of the shared scratch and read the archives back, as RECORD.
+
+    One row for each page, repeated ones too; nulls and ties as in write, and an empty
+    table gives an empty result.
+    """
     folder = new_path(pages.sparkSession, "warc")
     write(pages, folder)
     return read(pages.sparkSession, folder)

@@ -94,6 +94,34 @@ def test_place_by_halving(spark):
         assert sorted(r["count"] for r in out) == sorted(sharding.split_evenly(101, shards))
 
 
+def test_equals_the_rule_one_by_one(spark, monkeypatch):
+    """Blocks, matrix, runs and slots in plain Python, from the keys of the copies."""
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 40)
+    d = spark.range(700).select((F.col("id") % 600).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 600 % 9).alias("text"))
+    seed, copies = 20_260, {}
+    for r in d.collect():
+        key = (r.doc_id, len(r.text) + 1, zlib.crc32(r.text.encode()))
+        copies[key] = copies.get(key, 0) + 1
+    units = spark.createDataFrame([(*k, n) for k, m in copies.items() for n in range(m)], "doc_id long, size long, text_crc32 long, _copy long")
+    keys = units.select("*", *[F.xxhash64(F.lit(seed + i), "doc_id", "size", "text_crc32", "_copy").alias(f"k{i}") for i in range(3)]).collect()
+    blocks = [[r for r in keys if r.k0 % sharding.MIN_BLOCKS == b] for b in range(sharding.MIN_BLOCKS)]
+    matrix = sharding.communication_matrix(random.Random(seed), [len(b) for b in blocks], sharding.split_evenly(700, 8))
+    high = lambda k: (k & (2**64 - 1)) >> 33
+
+    def ranked(rows, key, n):
+        pieces = max(1, -(-n // 40))
+        return sorted(rows, key=lambda r: (high(r[key]) * pieces // 2**31, r[key]))
+
+    shards = [[] for _ in range(8)]
+    for rows, sent in zip(blocks, matrix, strict=True):
+        rows, at = ranked(rows, "k1", max(map(len, blocks))), 0
+        for s, n in enumerate(sent):
+            shards[s] += rows[at : at + n]
+            at += n
+    expected = sorted((r.doc_id, r.size, r.text_crc32, s, slot) for s, rows in enumerate(shards) for slot, r in enumerate(ranked(rows, "k2", 88)))
+    assert sorted(tuple(r) for r in sharding.shard_rows(d).collect()) == expected
+
+
 def test_plan_is_native(spark):
     d = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     plan = sharding.shard_rows(d)._jdf.queryExecution().executedPlan().toString()
