@@ -71,7 +71,8 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
         if size <= 0:
             return np.zeros(0, U)
         at = at[:size] * power + at[width : width + size]
-        power, width = power * power, 2 * width
+        width *= 2
+        power = _power(_BASE, width)
 
 
 def _power(base, n: int):
