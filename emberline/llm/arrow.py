@@ -12,6 +12,18 @@ def widened(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *_parse_datatype_string(ddl).fields])
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores as it takes to be none of df's, however they are written."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def own_partitions(spark: SparkSession, n: int) -> np.ndarray:
     """A number for each of n parts that hash partitioning into n sends to a partition of its own.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from emberline.llm.arrow import widened
+from emberline.llm.arrow import free, widened
 from emberline.scratch import drop, stage
 
 MIN_MATCH = 5
@@ -334,19 +334,20 @@ def _tile_rows(min_match: int, threshold: float):
 def _scan_joined(docs: DataFrame, items: DataFrame, min_match: int, threshold: float, text_col: str) -> DataFrame:
     """As scan, for a benchmark of any size."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    columns, (its_row,) = docs.columns, free(docs, "_row")
+    docs = stage(docs.withColumn(its_row, F.monotonically_increasing_id()), "numbered")
     items = stage(items.withColumn("_item", F.monotonically_increasing_id()), "items")
     filters = _filters(items, min_match)
     lengths = sorted(filters)
     seeds = items.select("_item", "text").mapInArrow(_seed_rows(min_match, lengths, None), "row long, seed long").select(F.col("row").alias("item"), "seed")
-    own = docs.select("_row", F.col(text_col).alias("text")).mapInArrow(_seed_rows(min_match, lengths, filters), "row long, seed long")
+    own = docs.select(its_row, F.col(text_col).alias("text")).mapInArrow(_seed_rows(min_match, lengths, filters), "row long, seed long")
     pairs = stage(own.join(seeds, "seed").select("row", "item").distinct(), "pairs")
     asked = pairs.join(items, F.col("item") == F.col("_item")).select("row", "item_id", "text")
-    texts = docs.join(pairs.select(F.col("row").alias("_row")).distinct(), "_row", "left_semi").select(F.col("_row").alias("row"), F.lit(None).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    texts = docs.join(pairs.select(F.col("row").alias(its_row)).distinct(), its_row, "left_semi").select(F.col(its_row).alias("row"), F.lit(None).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     dealt = texts.unionByName(asked).repartition(parts, "row").sortWithinPartitions("row", F.col("item_id").asc_nulls_first())
     leaks = stage(dealt.mapInArrow(_tile_rows(min_match, threshold), f"row long, leak {LEAK}"), "leaks")
     drop(pairs), drop(items)
-    return docs.join(leaks, F.col("_row") == F.col("row"), "left").drop("_row", "row")
+    return docs.join(leaks.withColumnRenamed("row", its_row), its_row, "left").select(*[f"`{c}`" for c in columns], "leak")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = COVERAGE, text_col: str = "text") -> DataFrame:

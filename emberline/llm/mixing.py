@@ -4,7 +4,7 @@ Every document of a source should be taken target / source_size times.  The whol
 is certain; the fractional parts are rounded together: two documents meet, words move
 from one to the other at random until one of them is certain, and the other goes on.
 A meeting keeps the sum of the expected words, so a source ends at its target but for
-one document.  Chunks of a source do this apart, and their residual documents meet in a
+one document; the longest meet first, so that the last one is short.  Chunks of a source do this apart, and their residual documents meet in a
 reduction tree.
 """
 
@@ -15,6 +15,7 @@ import random
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from emberline.llm.arrow import free
 from emberline.scratch import stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -56,7 +57,7 @@ OUT = "doc_id long, unit long, source string, words long, chunk long, chance dou
 
 def _round_chunk(seed: int, level: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["words", "unit", "doc_id"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["words", "unit", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = random.Random(f"{seed}:{level}:{key[0]}:{key[1]}")
         rounded, at, p = pivot(rows["words"].tolist(), rows["chance"].tolist(), rng)
         rows["extra"] = pd.array(rounded, dtype="Int32")
@@ -145,11 +146,12 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     values like others; documents without words and an empty table give no rows beyond
     the certain copies.  Other columns pass through, whatever their names.
     """
-    chosen = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("unit").alias("_unit"), "copies").where("copies > 0").distinct()
+    its_id, its_unit, copies, copy = free(docs, "_id", "_unit", "_copies", "_copy")
+    chosen = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias(its_id), F.col("unit").alias(its_unit), F.col("copies").alias(copies)).distinct()
     names = {k: options[k] for k in ("id_col", "text_col", "source_col") if k in options}
-    same = F.col(names.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_id")) & (unit_key(**names) == F.col("_unit"))
-    taken = docs.join(stage(chosen.withColumnRenamed("copies", "_copies"), "copies"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
+    same = F.col(names.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col(its_id)) & (unit_key(**names) == F.col(its_unit))
+    taken = docs.join(stage(chosen, "copies"), same)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def unit_key(id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):

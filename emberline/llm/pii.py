@@ -21,12 +21,11 @@ import hmac
 import ipaddress
 import re
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from emberline.llm.arrow import widened
+from emberline.llm.arrow import free, widened
 from emberline.scratch import drop, stage
 
 #: exceptions that are handed to every task; more of them are joined to the documents instead
@@ -214,9 +213,18 @@ def permuted(digits: list[int], radices: list[int], key: bytes, label: str) -> l
     return out
 
 
-@lru_cache(maxsize=4096)
+#: what _alphabet found; a plain dictionary, since functions travel by value and a cache's wrapper does not
+_ALPHABETS: dict[str, str] = {}
+
+
 def _alphabet(c: str) -> str:
     """The characters of the class, case and script of c; empty if it stays."""
+    if c not in _ALPHABETS:
+        _ALPHABETS[c] = _alphabet_of(c)
+    return _ALPHABETS[c]
+
+
+def _alphabet_of(c: str) -> str:
     if c.isascii():
         return next((x for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in x), "")
     if not c.isalpha():
@@ -421,28 +429,30 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     out = widened(docs, f"found {FOUND}")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("surrogate", pa.string()), ("start", pa.int32())]))
 
+    again, text_key, k = free(docs, "_again", "_text_key", "_k")
+
     def run(batches, known):
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            extra = b.column(b.schema.get_field_index("_again")).to_pylist() if "_again" in b.schema.names else None
+            extra = b.column(b.schema.get_field_index(again)).to_pylist() if again in b.schema.names else None
             done = [rewrite(t.as_py(), secret, known if extra is None else {(e["kind"], e["value"]): e["attempt"] for e in extra[i] or ()}) for i, t in enumerate(b.column(at))]
             b = b.set_column(at, text_col, pa.array([t for t, _ in done], pa.string()))
             if extra is not None:
-                b = b.remove_column(b.schema.get_field_index("_again"))
+                b = b.remove_column(b.schema.get_field_index(again))
             yield b.append_column("found", pa.array([f for _, f in done], kind))
 
     if few.count() <= MAX_EXCEPTIONS:
         known = {(r["kind"], r["value"]): r["attempt"] for r in few.collect()}
         return docs.mapInArrow(lambda batches: run(batches, known), out)
     # too many to hand out: each text gets the exceptions among its own names
-    keyed = docs.withColumn("_text_key", F.sha2(F.col(text_col), 256))
+    keyed = docs.withColumn(text_key, F.sha2(F.col(text_col), 256))
 
     def mentions(batches):
         for b in batches:
             rows = [{"_k": k, "kind": kd, "value": v} for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for kd, v in _names([t])]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("_k", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
 
-    said = keyed.select("_text_key", text_col).mapInArrow(mentions, "_k string, kind string, value string").distinct()
-    own = said.join(few, ["kind", "value"]).groupBy("_k").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_again"))
-    joined = keyed.join(own, keyed["_text_key"] == own["_k"], "left").drop("_text_key", "_k")
+    said = keyed.select(text_key, text_col).mapInArrow(mentions, "_k string, kind string, value string").distinct()
+    own = said.join(few, ["kind", "value"]).groupBy("_k").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(again)).withColumnRenamed("_k", k)
+    joined = keyed.join(own, F.col(text_key) == F.col(k), "left").drop(text_key, k)
     return joined.mapInArrow(lambda batches: run(batches, {}), out)

@@ -20,6 +20,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from emberline.llm.arrow import free
 from emberline.scratch import drop, stage
 
 ROWS_PER_BLOCK = 65_536
@@ -170,12 +171,14 @@ def shard_docs(docs: DataFrame, shards: int = 8, seed: int = 20_260) -> DataFram
     content = [F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
     # a null and the one after it must not hash like the two in the other order
     content = [c for x in content for c in (x.isNull(), x)]
-    known = docs.withColumns({"_h1": F.xxhash64(F.lit(1), *content), "_h2": F.xxhash64(F.lit(2), *content)})
-    units = known.groupBy("_h1", "_h2").agg(F.count("*").alias("_m"))
-    placed = stage(place(units, shards, seed).withColumn("_run", F.floor(F.col("_copy") / COPIES)), "shard-places")
-    one = known.dropDuplicates(["_h1", "_h2"])
-    runs = placed.groupBy("_h1", "_h2").agg(F.max("_run").alias("_last")).where("_last > 0")
+    h1, h2, run, last = free(docs, "_h1", "_h2", "_run", "_last")
+    known = docs.withColumns({h1: F.xxhash64(F.lit(1), *content), h2: F.xxhash64(F.lit(2), *content)})
+    units = known.groupBy(h1, h2).agg(F.count("*").alias("_m"))
+    placed = place(units, shards, seed).select(h1, h2, F.floor(F.col("_copy") / COPIES).alias(run), "shard", "slot")
+    placed = stage(placed, "shard-places")
+    one = known.dropDuplicates([h1, h2])
+    runs = placed.groupBy(h1, h2).agg(F.max(run).alias(last)).where(F.col(last) > 0)
     if not runs.isEmpty():  # rows repeated very often meet their places in several tasks
-        one = one.join(runs, ["_h1", "_h2"], "left").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_last", F.lit(0)))))
-        return one.join(placed, ["_h1", "_h2", "_run"]).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
-    return one.join(placed, ["_h1", "_h2"]).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+        one = one.join(runs, [h1, h2], "left").withColumn(run, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0)))))
+        return one.join(placed, [h1, h2, run]).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+    return one.join(placed.drop(run), [h1, h2]).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.llm.arrow import free
 from emberline.llm.components import components
 from emberline.scratch import drop, stage
 
@@ -422,9 +423,10 @@ def keep_one(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4),
     """
     found = stage(groups(docs, bits, shingles, id_col, text_col, similarity), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
-    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    its_id, its_hash = free(docs, "_id", "_h")
+    chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias(its_id), F.col("first.h").alias(its_hash))
     chosen = stage(chosen.distinct(), "chosen")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(its_id)) & (F.xxhash64(text_col) == F.col(its_hash))
     kept = docs.join(chosen, same, "left_semi")
-    repeated = found.groupBy("doc_id", "h").count().where("count > 1").join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
+    repeated = found.groupBy("doc_id", "h").count().where("count > 1").join(chosen, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col("h") == F.col(its_hash)), "left_semi")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
