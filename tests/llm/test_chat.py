@@ -33,7 +33,7 @@ def plain(rows):
 
 
 def found(spark, rows):
-    got = chat.read_back(chat.format_chats(turns_of(spark, rows))).collect()
+    got = chat.read_back(chat.format_chats(turns_of(spark, rows)).collect()
     assert len({r.conv_id for r in got}) == len(got)
     return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got}
 
@@ -77,7 +77,7 @@ def test_a_long_conversation_is_cut_and_joined(spark, monkeypatch):
 
 def test_loss_spans_hold_the_assistant_alone(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "[INST]"), (1, 2, "assistant", "</s>é😀"), (1, 3, "assistant", ""), (1, 4, "user", "u")]
-    (r,) = chat.format_chats(turns_of(spark, rows))).collect()
+    (r,) = chat.format_chats(turns_of(spark, rows)).collect()
     assert [chat.unescape(r.formatted[s.start : s.stop]) for s in r.loss] == ["</s>é😀", ""]
     assert r.n_turns == 5 and r.attachments == [] and r.n_tokens == 0
 
