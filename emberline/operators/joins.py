@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.operators import quadtree
 from emberline.scratch import stage
 
 
@@ -27,42 +26,22 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return met.withColumn("d", d).where(F.col("d") <= radius).drop("bx", "by")
 
 
-def bucket_width(n: int, x0: float, x1: float, y0: float, y1: float, rows: float = 2.0) -> float:
-    """The side of square buckets that hold `rows` of n points on average."""
-    area = (x1 - x0) * (y1 - y0)
-    return math.sqrt(rows * area / n) if area > 0 else max(x1 - x0, y1 - y0) * rows / n or 1.0
-
-
-def normalise_heights(points: DataFrame, ground: DataFrame, size: float | None = None) -> DataFrame:
-    """points (id, x, y, z) with hag, the height over the nearest ground point (x, y, z).
+def normalise_heights(points: DataFrame, ground: DataFrame) -> DataFrame:
+    """points (x, y, z, ...) with hag, the height over the nearest ground point (x, y, z).
 
-    Ground points are listed in the nine buckets around them, so a point meets those of its
-    own bucket only, and a nearest one within a bucket's width is certain.  The few points
-    without go on with buckets four times as wide, until all have theirs.  The width comes
-    from the density of the ground unless given.  Of ground points at one place, and of
-    equally near ones, the lowest counts.  hag is null without ground and for points whose
-    x or y is not a number.
+    See quadtree.nearest: the ground is cut into leaves of few points, so dense and thin
+    ground cost a point the same.  Of ground points at one place, and of equally near ones,
+    the lowest counts.  hag is null without ground and for points whose x or y is not a
+    number; a column of that name is replaced.
     """
+    points = points.drop("hag")
     low = stage(ground.groupBy(F.col("x").alias("gx"), F.col("y").alias("gy")).agg(F.min("z").alias("gz")), "ground")
-    n, *box = low.agg(F.count("*"), F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy")).first()
-    size = size or (bucket_width(n, *box) if n else 1.0)
     numbered = stage(points.withColumn("_row", F.monotonically_increasing_id()), "points")
-    sound = F.lit(bool(n))
+    sound = F.lit(True)
     for c in ("x", "y"):
         sound = sound & F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
-    left, done = numbered.where(sound), [numbered.where(~sound).withColumn("_ground", F.lit(None).cast("double"))]
-    while not left.isEmpty():
-        met = _placed(left, "x", "y", size).join(_asked(low, "gx", "gy", size), ["bx", "by"], "left")
-        d = F.sqrt((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2)
-        best = met.groupBy("bx", "by", "_row").agg(F.min(F.struct(d.alias("d"), "gz")).alias("m"), F.any_value(F.struct(*points.columns)).alias("p"))
-        best = best.select("p.*", "_row", F.when(F.col("m.d") <= size, F.col("m.gz")).alias("_ground"))
-        joined = stage(best, "nearest")
-        done.append(joined.where("_ground IS NOT NULL"))
-        left, size = joined.where("_ground IS NULL").drop("_ground"), size * 4
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("hag", F.col("z") - F.col("_ground")).drop("_ground", "_row")
+    near = quadtree.nearest(numbered.where(sound).select("_row", "x", "y"), low).select("_row", F.col("near.gz").alias("_ground"))
+    return numbered.join(near, "_row", "left").withColumn("hag", F.col("z") - F.col("_ground")).drop("_ground", "_row")
 
 
 def terrain_model(ground: DataFrame, cells: DataFrame, resolution: float = 5.0, radius: float = 22.0, power: float = 2.0) -> DataFrame:

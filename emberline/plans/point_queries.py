@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline.functions import heights as H
-from emberline.operators import filters, joins, raster, structure
+from emberline.operators import filters, joins, raster, structure, tin
 from emberline.plans import base as B
 from emberline.sources import points as P
 from emberline.sources import rasters
@@ -168,6 +168,39 @@ def q_idw_dtm(spark, d):
     return joins.terrain_model(_ground(spark, d), cells)
 
 
+#: one ground point, the mean, for each square of 20 m
+_THIN = B.POINTS + ", g AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z, row_number() OVER (ORDER BY avg(x), avg(y)) AS i FROM points WHERE classification = 2 GROUP BY floor(x / 20), floor(y / 20))"
+#: every three points whose circle holds no other, counter-clockwise
+_TIN = _THIN + """, three AS (SELECT a.i AS a, b.i AS b, c.i AS c, a.x AS x1, a.y AS y1, a.z AS z1, b.x AS x2, b.y AS y2, b.z AS z2, c.x AS x3, c.y AS y3, c.z AS z3, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS w FROM g a JOIN g b ON a.i < b.i JOIN g c ON b.i < c.i),
+circle AS (SELECT *, ((x2 - x1) ** 2 + (y2 - y1) ** 2) * (y3 - y1) - ((x3 - x1) ** 2 + (y3 - y1) ** 2) * (y2 - y1) AS mx, ((x3 - x1) ** 2 + (y3 - y1) ** 2) * (x2 - x1) - ((x2 - x1) ** 2 + (y2 - y1) ** 2) * (x3 - x1) AS my FROM three WHERE w <> 0),
+tin AS (SELECT * FROM circle WHERE NOT EXISTS (SELECT 1 FROM g WHERE i NOT IN (a, b, c) AND (x - x1 - mx / (2 * w)) ** 2 + (y - y1 - my / (2 * w)) ** 2 < (mx / (2 * w)) ** 2 + (my / (2 * w)) ** 2)),
+asked AS (SELECT DISTINCT x, y, z FROM points WHERE classification = 5),
+shares AS (SELECT x, y, z, ((x3 - x2) * (y - y2) - (y3 - y2) * (x - x2)) / w AS wa, ((x1 - x3) * (y - y3) - (y1 - y3) * (x - x3)) / w AS wb, ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) / w AS wc, z1, z2, z3 FROM asked, tin),
+met AS (SELECT x, y, z, max({'w': least(wa, wb, wc), 'h': wa * z1 + wb * z2 + wc * z3}) AS best FROM shares WHERE least(wa, wb, wc) >= -1e-9 GROUP BY ALL),
+hag AS (SELECT asked.x, asked.y, asked.z, best.h AS ground, asked.z - best.h AS hag FROM asked LEFT JOIN met USING (x, y, z))"""
+
+
+def _thin_ground(spark, d):
+    square = [F.floor(F.col(c) / 20).alias(f"s{c}") for c in "xy"]
+    return _ground(spark, d).groupBy(*square).agg(*[F.avg(c).alias(c) for c in "xyz"]).select("x", "y", "z")
+
+
+@query(B.final(_TIN, "", "x y z ground hag", source="hag"))
+def q_tin_height(spark, d):
+    """Heights over the triangulated ground, null beyond it."""
+    asked = B.points(spark, d).where(F.col("classification") == 5).select("x", "y", "z").distinct()
+    return tin.normalise_by_tin(asked, _thin_ground(spark, d), rows=40).select("x", "y", "z", "ground", "hag")
+
+
+@query(f"WITH {_TIN} SELECT round(sum(abs(w)) / 2, 3) AS area, count(*) AS triangles, round(max(greatest(z1, z2, z3) - least(z1, z2, z3)), 6) AS steepest FROM tin")
+def q_tin_ground(spark, d):
+    """What the triangles of the thinned ground cover, how many there are, and the widest span of heights in one."""
+    found = tin.triangulate(_thin_ground(spark, d), rows=40)
+    w = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+    span = F.greatest("az", "bz", "cz") - F.least("az", "bz", "cz")
+    return found.agg(F.round(F.sum(w) / 2, 3).alias("area"), F.count("*").alias("triangles"), F.max(span).alias("steepest"))
+
+
 @query(B.final(B.POINTS + ", dtm AS (SELECT floor(x / 5)::INT AS gx, floor(y / 5)::INT AS gy, avg(z) AS elev FROM points WHERE classification = 2 GROUP BY ALL), p AS (SELECT DISTINCT x, y, z FROM points WHERE classification = 5), hag AS (SELECT p.*, z - elev AS hag FROM p LEFT JOIN dtm ON gx = floor(x / 5)::INT AND gy = floor(y / 5)::INT)", "", "x y z hag", source="hag"))
 def q_over_terrain(spark, d):
     model = _ground(spark, d).groupBy(P.cell("x").alias("gx"), P.cell("y").alias("gy")).agg(F.avg("z").alias("elev"))
