@@ -60,40 +60,69 @@ def q_epsg(spark, d):
     return P.with_epsg(rows, spark.createDataFrame(known, "dataset string, wkt string")).select("id", "dataset", F.coalesce("epsg", F.lit(-1)).alias("epsg"))  # -1: unknown
 
 
-@query(f"WITH {B.VEG} SELECT classification::BIGINT AS classification, count(*) AS n, 25830::BIGINT AS epsg, round(min(x), 2) AS min_x, round(max(y), 2) AS max_y, round(avg(z), 2) + 0.0::DOUBLE AS mean_z FROM (SELECT * FROM veg ORDER BY x, y, z, classification LIMIT 2000) GROUP BY 1")
+@query(f"WITH {B.VEG} SELECT classification::BIGINT AS classification, count(*) AS n, 25830::BIGINT AS epsg, round(min(x), 2) AS min_x, round(max(y), 2) AS max_y, round(avg(z), 2) + 0.0::DOUBLE AS mean_z FROM veg GROUP BY 1")
 def q_las_points(spark, d):
-    """Points written as LAS files and read back."""
-    rows = B.veg(spark, d).orderBy("x", "y", "z", "classification").limit(2000).collect()
+    """All points written as LAS files by ranges of a space-filling curve and read back by ranges of points."""
     folder, wkt = new_path(spark, "las"), 'PROJCS["x",AUTHORITY["EPSG","25830"]]'
-    half = len(rows) // 2
-    for name, part, kind in (("one.las", rows[:half], 0), ("two.las", rows[half:], 6), ("left.copc.las", rows[:9], 0)):
-        content = las.las_bytes(*([r[c] for r in part] for c in ("x", "y", "z", "classification")), scale=1e-6, wkt=wkt, kind=kind)
-        store.write_bytes(spark, content, f"{folder}/{name}")
+    las.write_las(B.veg(spark, d).where("classification < 5"), f"{folder}/a", 1e-6, wkt, 0, 5_000)
+    las.write_las(B.veg(spark, d).where("classification = 5"), f"{folder}/b", 1e-6, wkt, 6, 5_000)
     found = las.read_las(spark, folder)
     low = lambda c: F.round(c, 2) + F.lit(0.0)
     return found.groupBy("classification").agg(F.count("*").alias("n"), F.max("epsg").alias("epsg"), low(F.min("x")).alias("min_x"), low(F.max("y")).alias("max_y"), low(F.avg("z")).alias("mean_z"))
 
 
-_PAD4 = f"WITH {B.PAD} SELECT gy::BIGINT AS row, gx::BIGINT AS col, (bin + 1)::BIGINT AS band, round(pad::FLOAT::DOUBLE, 6) AS value FROM pad WHERE bin < 3"
+@query(f"WITH {B.VEG} SELECT classification::BIGINT AS classification, count(*) AS n FROM veg WHERE x BETWEEN 30.5 AND 61.25 AND y BETWEEN 100.25 AND 140.5 GROUP BY 1")
+def q_las_box(spark, d):
+    """Points of a box from LAS files, of which those beyond it are not read."""
+    folder = new_path(spark, "las")
+    las.write_las(B.veg(spark, d), folder, 1e-6, file_points=1_000)
+    return las.read_las(spark, folder, box=(30.5, 61.25, 100.25, 140.5)).groupBy("classification").agg(F.count("*").alias("n"))
 
 
-@query(_PAD4)
+_PADS = f"WITH {B.PAD} SELECT gy::BIGINT AS row, gx::BIGINT AS col, (bin + 1)::BIGINT AS band, round(pad::FLOAT::DOUBLE, 6) AS value FROM pad"
+
+
+def _pad_rasters(spark, d, one: bool):
+    """Density of all height bins as cells of one raster with a band for each, or of one raster for each, and their frames."""
+    bin_of = lambda: (F.col("bin") + 1).cast("int")
+    name = F.lit("pad") if one else F.concat(F.lit("pad_"), F.lpad(bin_of().cast("string"), 3, "0"))
+    cells = B.pad(spark, d).select(name.alias("raster_id"), (bin_of() if one else F.lit(1)).alias("band"), F.col("gy").cast("int").alias("row"), F.col("gx").cast("int").alias("col"), F.col("pad").alias("value"))
+    ends = [F.lit(v).cast(t).alias(c) for c, t, v in (("x0", "double", 0), ("top", "double", 200), ("dx", "double", 5), ("dy", "double", 5), ("nodata", "double", -9999), ("epsg", "int", 25830))]
+    frames = cells.groupBy("raster_id").agg(F.max("band").alias("bands")).select("raster_id", F.lit(40).alias("width"), F.lit(40).alias("height"), "bands", *ends)
+    return cells, frames
+
+
+@query(_PADS)
 def q_geotiff_bands(spark, d):
-    """Density of three height bins written as a GeoTIFF of three bands and read back, without nodata."""
+    """Density of all height bins written as a GeoTIFF with a band for each, and read back without nodata."""
     folder = new_path(spark, "tif")
-    cells = B.pad(spark, d).where("bin < 3").select(F.lit("pad").alias("raster_id"), (F.col("bin") + 1).cast("int").alias("band"), F.col("gy").cast("int").alias("row"), F.col("gx").cast("int").alias("col"), F.col("pad").alias("value"))
-    frame = spark.createDataFrame([("pad", 40, 40, 3, 0.0, 200.0, 5.0, 5.0, -9999.0, 25830)], geotiff.FRAME)
-    geotiff.write_rasters(spark, geotiff.encode_rasters(cells, frame), folder)
+    geotiff.write_rasters(*_pad_rasters(spark, d, True), folder, side=16)
     return geotiff.read_rasters(spark, folder).where("value IS NOT NULL").select("row", "col", "band", "value")
 
 
-@query("SELECT 40::BIGINT AS width, 30::BIGINT AS height, 2::BIGINT AS bands, 500000.0::DOUBLE AS x0, 4100000.0::DOUBLE AS top, 5.0::DOUBLE AS dx, 2.5::DOUBLE AS dy, -9999.0::DOUBLE AS nodata, 25830::BIGINT AS epsg")
-def q_geotiff_frame(spark, d):
-    import numpy as np
+@query(_PADS + " WHERE gy BETWEEN 10 AND 21 AND gx BETWEEN 5 AND 29 AND bin IN (1, 4)")
+def q_geotiff_window(spark, d):
+    """Two bands of a window of that raster, from the tiles that hold them."""
+    folder = new_path(spark, "tif")
+    geotiff.write_rasters(*_pad_rasters(spark, d, True), folder, side=16)
+    return geotiff.read_rasters(spark, folder, bands=[2, 5], rows=(10, 22), cols=(5, 30)).where("value IS NOT NULL").select("row", "col", "band", "value")
+
+
+@query(_PADS)
+def q_vrt_stack(spark, d):
+    """A raster for each height bin, stacked by a VRT and read as one table."""
+    folder = new_path(spark, "vrt")
+    geotiff.write_rasters(*_pad_rasters(spark, d, False), folder, side=16)
+    geotiff.write_vrt(spark, geotiff.read_frames(spark, folder), f"{folder}/pad.vrt")
+    return geotiff.read_vrt(spark, folder).where("value IS NOT NULL").select("row", "col", "band", "value")
 
+
+@query(f"WITH {B.PAD} SELECT 40::BIGINT AS width, 40::BIGINT AS height, 1::BIGINT AS bands, 0.0::DOUBLE AS x0, 200.0::DOUBLE AS top, 5.0::DOUBLE AS dx, 5.0::DOUBLE AS dy, -9999.0::DOUBLE AS nodata, 25830::BIGINT AS epsg, 'pad_' || lpad((bin + 1)::VARCHAR, 3, '0') || '.tif' AS raster_id FROM pad GROUP BY bin")
+def q_geotiff_frame(spark, d):
+    """What the headers of the rasters of the height bins say."""
     folder = new_path(spark, "tif")
-    store.write_bytes(spark, geotiff.geotiff_bytes(np.zeros((2, 30, 40), "i2"), 500000.0, 4100000.0, 5.0, 2.5, -9999.0, 25830), f"{folder}/a.tif")
-    return geotiff.read_frames(spark, folder).drop("raster_id")
+    geotiff.write_rasters(*_pad_rasters(spark, d, False), folder, side=16)
+    return geotiff.read_frames(spark, folder)
 
 
 @query(f"SELECT x, y FROM (SELECT a.range AS x, b.range AS y FROM range(40) a, range(40) b) ORDER BY {B.draw(repr('42'), repr('top'), 'x', 'y')}, x, y LIMIT 25")

@@ -1,22 +1,38 @@
-"""Rasters in GeoTIFF files: strips or tiles, not compressed or deflated."""
+"""Rasters in GeoTIFF files: strips or tiles, not compressed or deflated, and VRT stacks of them.
+
+A header says where every strip or tile lies, so a table of blocks is planned from headers
+alone; a window or some bands are a filter on that table, and tasks read the bytes of the
+blocks that are left.  Written rasters are encoded tile by tile in parallel and streamed
+together by one task for each file, which never holds more than some tiles.
+"""
 
 from __future__ import annotations
 
 import struct
 import sys
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from emberline.scratch import stage
+from emberline.sources import files, store
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: fixed values of the format: sizes of field types, and tags
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, STRIP_SIZES, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_SIZES, FORMAT, SCALE, TIE, MATRIX, KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34264, 34735, 42113
+#: sources of a VRT, at most; cells along the side of a written tile
+MAX_SOURCES = 10_000
+TILE_SIDE = 256
+#: cells that a task reads, about
+TASK_CELLS = 1 << 21
 RASTER = "raster_id string, band int, row int, col int, value double"
 FRAME = "raster_id string, width int, height int, bands int, x0 double, top double, dx double, dy double, nodata double, epsg int"
 
@@ -25,33 +41,35 @@ class TiffError(ValueError):
     """Not a GeoTIFF that can be read here."""
 
 
-def tags(data: memoryview) -> tuple[dict, str]:
-    """The fields of the first image, and the byte order."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    if order is None or len(data) < 8:
+def tags(fetch) -> tuple[dict, str]:
+    """The fields of the first image, and the byte order.  fetch(at, size): bytes of the file."""
+    first = fetch(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(first[:2])
+    if order is None or len(first) < 8:
         raise TiffError("no TIFF signature")
-    version = struct.unpack_from(order + "H", data, 2)[0]
+    version = struct.unpack_from(order + "H", first, 2)[0]
     if version == 42:
-        at, entry, count, inline = struct.unpack_from(order + "I", data, 4)[0], 12, "H", 4
+        at, entry, count, inline = struct.unpack_from(order + "I", first, 4)[0], 12, "H", 4
     elif version == 43:
-        at, entry, count, inline = struct.unpack_from(order + "Q", data, 8)[0], 20, "Q", 8
+        at, entry, count, inline = struct.unpack_from(order + "Q", first, 8)[0], 20, "Q", 8
     else:
         raise TiffError(f"TIFF version {version}")
-    n, out = struct.unpack_from(order + count, data, at)[0], {}
+    lead = struct.calcsize(order + count)
+    n, out = struct.unpack(order + count, fetch(at, lead))[0], {}
+    table = fetch(at + lead, n * entry)
     for k in range(n):
-        place = at + struct.calcsize(order + count) + k * entry
-        tag, kind = struct.unpack_from(order + "HH", data, place)
-        many = struct.unpack_from(order + ("I" if inline == 4 else "Q"), data, place + 4)[0]
+        tag, kind = struct.unpack_from(order + "HH", table, k * entry)
+        many = struct.unpack_from(order + ("I" if inline == 4 else "Q"), table, k * entry + 4)[0]
         if kind not in TYPES:
             continue
-        size = struct.calcsize(order + TYPES[kind]) * many
-        value = place + entry - inline
+        size = struct.calcsize("=" + TYPES[kind]) * many
+        body = table[(k + 1) * entry - inline : (k + 1) * entry]
         if size > inline:
-            value = struct.unpack_from(order + ("I" if inline == 4 else "Q"), data, value)[0]
+            body = fetch(struct.unpack(order + ("I" if inline == 4 else "Q"), body)[0], size)
         if kind == 2:
-            out[tag] = bytes(data[value : value + many]).split(b"\0")[0].decode("latin-1")
+            out[tag] = body[:many].split(b"\0")[0].decode("latin-1")
         else:
-            out[tag] = struct.unpack_from(order + TYPES[kind] * many, data, value)
+            out[tag] = struct.unpack_from(order + TYPES[kind] * many, body)
     return out, order
 
 
@@ -99,65 +117,135 @@ def frame(t: dict) -> dict:
     return {"width": t[WIDTH][0], "height": t[HEIGHT][0], "bands": t.get(SAMPLES, (1,))[0], "x0": x0, "top": top, "dx": dx, "dy": dy, "nodata": float(nodata) if nodata and nodata.strip() else None, "epsg": keys.get(3072) or keys.get(2048)}
 
 
-def blocks(content):
-    """(first row, first column, band, values) of the strips or tiles of the first image."""
-    data = memoryview(content)
-    t, order = tags(data)
+BLOCKS = """path string, raster_id string, first_band int, bands int, row int, col int, rows int, cols int, high int, wide int,
+at long, size long, kind string, compression int, predictor int, nodata double"""
+_NAMES = [c.split()[0] for c in BLOCKS.replace("\n", " ").split(",")]
+
+
+def _blocks_of(path: str, length: int, t: dict, order: str) -> pa.RecordBatch:
+    """A row for each strip or tile of the first image."""
     kind, width, height, samples = _type(t, order), t[WIDTH][0], t[HEIGHT][0], t.get(SAMPLES, (1,))[0]
     apart = t.get(PLANAR, (1,))[0] == 2 and samples > 1
     if TILES in t:
         wide, high, places, sizes = t[TILE_WIDTH][0], t[TILE_HEIGHT][0], t[TILES], t[TILE_SIZES]
     else:
         wide, high, places, sizes = width, min(height, t.get(ROWS, (height,))[0]), t[STRIPS], t[STRIP_SIZES]
-    across, down = -(-width // wide), -(-height // high)
-    for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
-        plane, k = divmod(k, across * down)
-        row, col = k // across * high, k % across * wide
-        rows = high if TILES in t else min(high, height - row)
-        each = 1 if apart else samples
-        if at + size > len(data):
-            raise TiffError("the file is cut short")
-        values = _unpacked(bytes(data[at : at + size]), t, kind, (rows, wide, each))[: height - row, : width - col]
-        for s in range(each):
-            yield row, col, plane if apart else s, values[:, :, s]
+    across, down, n = -(-width // wide), -(-height // high), len(places)
+    at, size = np.array(places, np.int64), np.array(sizes, np.int64)
+    if n != across * down * (samples if apart else 1) or n != len(sizes):
+        raise TiffError(f"{n} blocks for {width} x {height} cells of {samples} bands")
+    if ((at + size > length) & (size > 0)).any():
+        raise TiffError("the file is cut short")
+    plane, k = np.divmod(np.arange(n), across * down)
+    row, col = k // across * high, k % across * wide
+    same = lambda v, dtype: pa.array(np.full(n, v), dtype)
+    columns = [
+        pa.repeat(path, n), pa.repeat(path.rsplit("/", 1)[-1], n), pa.array((plane if apart else np.zeros(n, int)).astype(np.int32) + np.int32(1)), same(1 if apart else samples, pa.int32()),
+        pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(np.minimum(high, height - row).astype(np.int32)), pa.array(np.minimum(wide, width - col).astype(np.int32)),
+        pa.array((np.full(n, high) if TILES in t else np.minimum(high, height - row)).astype(np.int32)), same(wide, pa.int32()),
+        pa.array(at), pa.array(size), pa.repeat(kind.str, n), same(t.get(COMPRESSION, (1,))[0], pa.int32()), same(t.get(PREDICTOR, (1,))[0], pa.int32()), pa.array([frame(t)["nodata"]] * n, pa.float64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+
+_BROKEN = (TiffError, KeyError, struct.error, zlib.error, ValueError)
+
+
+def _planned(batches):
+    for b in batches:
+        for path, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            try:
+                with files.opened(path) as f:
+                    yield _blocks_of(path, length, *tags(f.small))
+            except _BROKEN as e:
+                raise TiffError(f"{path}: {e!r}") from e
+
+
+def _decoded(batches):
+    """Cells of blocks; a block of no bytes has none."""
+    for b in batches:
+        path, f, close = None, None, None
+        for r in b.to_pylist():
+            try:
+                if r["path"] != path:
+                    if close is not None:
+                        close.__exit__(None, None, None)
+                    path, close = r["path"], files.opened(r["path"])
+                    f = close.__enter__()
+                if not r["size"]:
+                    continue
+                kind, t = np.dtype(r["kind"]), {COMPRESSION: (r["compression"],), PREDICTOR: (r["predictor"],)}
+                whole = _unpacked(f.read(r["at"], r["size"]), t, kind, (r["high"], r["wide"], r["bands"]))
+                low, high, left, right = r["from_row"] - r["row"], r["to_row"] - r["row"], r["from_col"] - r["col"], r["to_col"] - r["col"]
+                for s in range(r["bands"]):
+                    if r["only"] is not None and r["first_band"] + s not in r["only"]:
+                        continue
+                    values = whole[low:high, left:right, s]
+                    flat, nodata = values.astype(np.float64).ravel(), r["nodata"]
+                    none = np.isnan(flat) if nodata is None else np.isnan(flat) | (flat == nodata) | (values.ravel() == np.array(nodata).astype(values.dtype))
+                    row, col = np.divmod(np.arange(len(flat)), right - left)
+                    band = (r["first_band"] + s) if r["as_band"] is None else r["as_band"]
+                    columns = [pa.repeat(r["raster_id"], len(flat)), pa.array(np.full(len(flat), band, np.int32)), pa.array((row + r["from_row"] + r["down"]).astype(np.int32)), pa.array((col + r["from_col"] + r["along"]).astype(np.int32)), pa.array(flat, mask=none)]
+                    yield pa.RecordBatch.from_arrays(columns, ["raster_id", "band", "row", "col", "value"])
+            except _BROKEN as e:
+                raise TiffError(f"{r['path']}, block at {r['at']}: {e!r}") from e
+        if close is not None:
+            close.__exit__(None, None, None)
 
 
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    return files.listed(spark, paths, "*.{tif,tiff,TIF,TIFF}")
 
 
-def read_rasters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(raster_id, band, row, col, value) of GeoTIFF files; nodata is null, bands count from 1.
+def raster_blocks(spark: SparkSession, paths: str | list[str], bands: list[int] | None = None, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """The strips and tiles (BLOCKS) that hold these bands, rows and columns; nothing but headers is read."""
+    return _within(_files(spark, paths).mapInArrow(_planned, BLOCKS), bands, rows, cols)
 
-    raster_id is the name of the file.  A file is read by one task, strip by strip.  A file
-    that cannot be read is an error that names it.
-    """
 
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data, name = memoryview(content.as_buffer()), path.rsplit("/", 1)[-1]
-                try:
-                    nodata = frame(tags(data)[0])["nodata"]
-                    for row, col, band, values in blocks(data):
-                        flat = values.astype(np.float64).ravel()
-                        none = np.isnan(flat) if nodata is None else np.isnan(flat) | (flat == nodata) | (values.ravel() == np.array(nodata).astype(values.dtype))
-                        r, c = np.divmod(np.arange(len(flat)), values.shape[1])
-                        columns = [pa.array([name] * len(flat)), pa.array(np.full(len(flat), band + 1, np.int32)), pa.array((r + row).astype(np.int32)), pa.array((c + col).astype(np.int32)), pa.array(flat, mask=none)]
-                        yield pa.RecordBatch.from_arrays(columns, ["raster_id", "band", "row", "col", "value"])
-                except (TiffError, KeyError, struct.error, zlib.error) as e:
-                    raise TiffError(f"{path}: {e!r}") from e
+def _within(found: DataFrame, bands, rows, cols) -> DataFrame:
+    if bands is not None:
+        found = found.where(F.arrays_overlap(F.sequence("first_band", F.col("first_band") + F.col("bands") - 1), F.array(*[F.lit(int(b)) for b in bands]).cast("array<int>")))
+    for span, at, size in ((rows, "row", "rows"), (cols, "col", "cols")):
+        if span is not None:
+            found = found.where((F.col(at) < span[1]) & (F.col(at) + F.col(size) > span[0]))
+    return found
+
+
+def _cells(found: DataFrame, bands, rows, cols) -> DataFrame:
+    """Cells of planned blocks, cut to the window."""
+    cut = lambda span, at, size: (F.greatest(F.lit(span[0]), F.col(at)), F.least(F.lit(span[1]), F.col(at) + F.col(size))) if span else (F.col(at), F.col(at) + F.col(size))
+    (low, high), (left, right) = cut(rows, "row", "rows"), cut(cols, "col", "cols")
+    only = F.lit(None).cast("array<int>") if bands is None else F.array(*[F.lit(int(b)) for b in bands]).cast("array<int>")
+    extra = {"from_row": low, "to_row": high, "from_col": left, "to_col": right, "only": only}
+    moved = {c: F.lit(None if c == "as_band" else 0).cast("int") for c in ("as_band", "down", "along") if c not in found.columns}
+    plan = stage(found.withColumns({k: v for k, v in (extra | moved).items() if k not in found.columns}).where("from_row < to_row AND from_col < to_col"), "raster-blocks")
+    cells = plan.agg(F.sum(F.col("high").cast("long") * F.col("wide") * F.col("bands"))).first()[0] or 0
+    return files.dealt(plan, -(-cells // TASK_CELLS)).mapInArrow(_decoded, RASTER)
 
-    return _files(spark, paths).mapInArrow(run, RASTER)
+
+def read_rasters(spark: SparkSession, paths: str | list[str], bands: list[int] | None = None, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """(raster_id, band, row, col, value) of GeoTIFF files; nodata is null, bands count from 1.
+
+    raster_id is the name of the file.  bands, rows and cols (from, to; without the latter)
+    ask for a part, and only the strips and tiles that hold it are read, by many tasks,
+    whatever the size of the file.  A file that cannot be read is an error that names it,
+    and the block.
+    """
+    return _cells(raster_blocks(spark, paths, bands, rows, cols), bands, rows, cols)
 
 
 def read_frames(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row for each GeoTIFF file: where it lies and what it holds, as FRAME."""
+    """One row for each GeoTIFF file: where it lies and what it holds, as FRAME; only headers are read."""
 
     def run(batches):
         for b in batches:
-            rows = [{"raster_id": path.rsplit("/", 1)[-1]} | frame(tags(memoryview(content.as_buffer()))[0]) for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            rows = []
+            for path in b.column(0).to_pylist():
+                try:
+                    with files.opened(path) as f:
+                        rows.append({"raster_id": path.rsplit("/", 1)[-1]} | frame(tags(f.small)[0]))
+                except _BROKEN as e:
+                    raise TiffError(f"{path}: {e!r}") from e
             kinds = [pa.string(), *[pa.int32()] * 3, *[pa.float64()] * 5, pa.int32()]
             names = ["raster_id", "width", "height", "bands", "x0", "top", "dx", "dy", "nodata", "epsg"]
             yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, kinds, strict=True))))
@@ -165,88 +253,200 @@ def read_frames(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _files(spark, paths).mapInArrow(run, FRAME)
 
 
+_STACK = "raster_id string, as_band int, path string, band int, from_row int, to_row int, from_col int, to_col int, down int, along int"
+
+
+def _stacked(batches):
+    """Where each band of a VRT comes from."""
+    for b in batches:
+        rows = []
+        for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            folder, _, name = path.rpartition("/")
+            try:
+                for number, band in enumerate(ElementTree.fromstring(content).iter("VRTRasterBand"), 1):
+                    for source in [*band.iter("SimpleSource"), *band.iter("ComplexSource")]:
+                        file = source.find("SourceFilename")
+                        side = lambda rect: [round(float(rect.get(k))) for k in ("xOff", "yOff", "xSize", "ySize")]
+                        (x, y, w, h), (to_x, to_y, to_w, to_h) = side(source.find("SrcRect")), side(source.find("DstRect"))
+                        if (w, h) != (to_w, to_h):
+                            raise TiffError("a source of another resolution")
+                        where = f"{folder}/{file.text}" if file.get("relativeToVRT", "0") == "1" else file.text
+                        if ":" not in where.split("/", 1)[0]:
+                            where = f"file:{where}"
+                        rows.append({"raster_id": name, "as_band": int(band.get("band", number)), "path": where, "band": int(source.findtext("SourceBand") or 1), "from_row": y, "to_row": y + h, "from_col": x, "to_col": x + w, "down": to_y - y, "along": to_x - x})
+            except (ElementTree.ParseError, AttributeError, TypeError, ValueError) as e:
+                raise TiffError(f"{path}: {e!r}") from e
+        kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 7]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip([c.split()[0] for c in _STACK.split(", ")], kinds, strict=True))))
+
+
+def read_vrt(spark: SparkSession, paths: str | list[str], bands: list[int] | None = None, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+    """(raster_id, band, row, col, value) of VRT files, whose bands and places lie in GeoTIFF files of the same resolution.
+
+    As read_rasters, over all sources: only their blocks within the window are read.
+    """
+    one = [paths] if isinstance(paths, str) else list(paths)
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", "*.{vrt,VRT}").option("recursiveFileLookup", "true").load(one).select("path", "content")
+    parts = texts.mapInArrow(_stacked, _STACK)
+    if bands is not None:
+        parts = parts.where(F.col("as_band").isin([int(b) for b in bands]))
+    for span, low, high, moved in ((rows, "from_row", "to_row", "down"), (cols, "from_col", "to_col", "along")):
+        if span is not None:
+            parts = parts.withColumns({low: F.greatest(F.col(low), F.lit(span[0]) - F.col(moved)), high: F.least(F.col(high), F.lit(span[1]) - F.col(moved))}).where(F.col(low) < F.col(high))
+    parts = stage(parts, "vrt")
+    sources = [r[0] for r in parts.select("path").distinct().limit(MAX_SOURCES + 1).collect()]
+    if len(sources) > MAX_SOURCES:
+        raise TiffError(f"more than {MAX_SOURCES} sources")
+    found = files.listed(spark, sources, "*").mapInArrow(_planned, BLOCKS) if sources else spark.createDataFrame([], BLOCKS)
+    own = parts.select("as_band", F.col("raster_id").alias("name"), F.col("path").alias("p"), F.col("band").alias("one"), *[F.col(c).alias(f"p_{c}") for c in ("from_row", "to_row", "from_col", "to_col")], "down", "along")
+    met = found.join(own, (F.col("path") == F.col("p")) & F.col("one").between(F.col("first_band"), F.col("first_band") + F.col("bands") - 1))
+    window = {"from_row": F.greatest("row", "p_from_row"), "to_row": F.least(F.col("row") + F.col("rows"), F.col("p_to_row")), "from_col": F.greatest("col", "p_from_col"), "to_col": F.least(F.col("col") + F.col("cols"), F.col("p_to_col"))}
+    met = met.withColumns(window | {"only": F.array("one"), "raster_id": F.col("name")})
+    return _cells(met.select(*_NAMES, *window, "only", "as_band", "down", "along"), None, None, None)
+
+
+def write_vrt(spark: SparkSession, frames: DataFrame, path: str) -> None:
+    """A VRT at path with a band for each band of the rasters of frames (FRAME, of one size, in the folder of path), in order of name."""
+    rows = frames.orderBy("raster_id").limit(MAX_SOURCES + 1).collect()
+    if not rows or len(rows) > MAX_SOURCES or len({(r.width, r.height) for r in rows}) > 1:
+        raise TiffError(f"a stack needs 1 to {MAX_SOURCES} rasters of one size")
+    r = rows[0]
+    top = ElementTree.Element("VRTDataset", rasterXSize=str(r.width), rasterYSize=str(r.height))
+    ElementTree.SubElement(top, "GeoTransform").text = ", ".join(map(repr, (r.x0, r.dx, 0.0, r.top, 0.0, -r.dy)))
+    for number, (row, b) in enumerate(((row, b) for row in rows for b in range(1, row.bands + 1)), 1):
+        band = ElementTree.SubElement(top, "VRTRasterBand", dataType="Float64", band=str(number))
+        if row.nodata is not None:
+            ElementTree.SubElement(band, "NoDataValue").text = repr(row.nodata)
+        source = ElementTree.SubElement(band, "SimpleSource")
+        ElementTree.SubElement(source, "SourceFilename", relativeToVRT="1").text = row.raster_id
+        ElementTree.SubElement(source, "SourceBand").text = str(b)
+        for rect in ("SrcRect", "DstRect"):
+            ElementTree.SubElement(source, rect, xOff="0", yOff="0", xSize=str(r.width), ySize=str(r.height))
+    store.write_text(spark, ElementTree.tostring(top, encoding="unicode"), path)
+
+
+def _header(fields: list[tuple], places: np.ndarray, big: bool) -> bytes:
+    """Signature and fields; (tag, form, values), of which those of STRIPS and TILES are places counted from the end of this header."""
+    kinds = {"H": 3, "I": 4, "d": 12, "s": 2, "Q": 16}
+    wide, entry, inline, lead = ("Q", 20, 8, 8) if big else ("I", 12, 4, 2)
+    table = (16 if big else 8) + lead + entry * len(fields) + struct.calcsize("<" + wide)
+    size_of = lambda f, v: len(v[0]) if f == "s" else struct.calcsize("<" + f) * len(v)
+    first = table + sum(-(-size_of(f, v) // 8) * 8 for _, f, v in fields if size_of(f, v) > inline)
+    head = bytearray(struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(fields)) if big else struct.pack("<2sHIH", b"II", 42, 8, len(fields)))
+    tail = bytearray()
+    for tag, f, v in sorted(fields):
+        if tag in (STRIPS, TILES):
+            v = (places + first).tolist()
+        body = v[0] if f == "s" else np.array(v, f"<{ {'H': 'u2', 'I': 'u4', 'Q': 'u8', 'd': 'f8'}[f] }").tobytes()
+        place = body.ljust(inline, b"\0")
+        if len(body) > inline:
+            place = struct.pack("<" + wide, table + len(tail))
+            tail += body.ljust(-(-len(body) // 8) * 8, b"\0")
+        head += struct.pack("<HH" + wide, tag, kinds[f], len(body) if f == "s" else len(v)) + place
+    return bytes(head) + struct.pack("<" + wide, 0) + bytes(tail)
+
+
+def _fields(head: dict, kind: np.dtype, deflate: bool) -> list[tuple]:
+    """What strips and tiles have in common."""
+    bands = head["bands"]
+    fields = [
+        (WIDTH, "I", [head["width"]]), (HEIGHT, "I", [head["height"]]), (BITS, "H", [8 * kind.itemsize] * bands), (COMPRESSION, "H", [8 if deflate else 1]), (262, "H", [1]), (SAMPLES, "H", [bands]),
+        (PLANAR, "H", [2 if bands > 1 else 1]), (FORMAT, "H", [{"u": 1, "i": 2, "f": 3}[kind.kind]] * bands), (SCALE, "d", [head["dx"], head["dy"], 0.0]), (TIE, "d", [0.0, 0.0, 0.0, head["x0"], head["top"], 0.0]),
+    ]
+    if head["epsg"] is not None:
+        fields.append((KEYS, "H", [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, head["epsg"]]))
+    if head["nodata"] is not None:
+        fields.append((NODATA, "s", [repr(float(head["nodata"])).encode() + b"\0"]))
+    return fields
+
+
 def geotiff_bytes(values: np.ndarray, x0: float, top: float, dx: float, dy: float, nodata: float | None = None, epsg: int | None = None, deflate: bool = True) -> bytes:
-    """A GeoTIFF of [band, row, column], band after band, in strips of some rows."""
+    """A small GeoTIFF of [band, row, column], band after band, in strips of some rows."""
     bands, height, width = values.shape
     values = values.astype(values.dtype.newbyteorder("<"))
     high = max(1, min(height, (1 << 18) // max(1, width * values.itemsize)))
     strips = [values[b, r : r + high].tobytes() for b in range(bands) for r in range(0, height, high)]
     strips = [zlib.compress(s, 6) for s in strips] if deflate else strips
-    format_of = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
-    fields = [(WIDTH, "I", [width]), (HEIGHT, "I", [height]), (BITS, "H", [8 * values.itemsize] * bands), (COMPRESSION, "H", [8 if deflate else 1]), (262, "H", [1]), (STRIPS, "I", [0] * len(strips)), (SAMPLES, "H", [bands]), (ROWS, "I", [high]), (STRIP_SIZES, "I", [len(s) for s in strips]), (PLANAR, "H", [2 if bands > 1 else 1]), (FORMAT, "H", [format_of] * bands), (SCALE, "d", [dx, dy, 0.0]), (TIE, "d", [0.0, 0.0, 0.0, x0, top, 0.0])]
-    if epsg is not None:
-        fields.append((KEYS, "H", [1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, epsg]))
-    if nodata is not None:
-        fields.append((NODATA, "s", [repr(float(nodata)).encode() + b"\0"]))
-    kinds = {"H": 3, "I": 4, "d": 12, "s": 2}
-    table = 8 + 2 + 12 * len(fields) + 4
-    extra = sum(n + (n & 1) for _, f, v in fields if (n := len(v[0]) if f == "s" else struct.calcsize("<" + f * len(v))) > 4)
-    first = table + extra
-    starts = np.cumsum([first, *map(len, strips)])[:-1].tolist()
-    head, tail = bytearray(struct.pack("<2sHIH", b"II", 42, 8, len(fields))), bytearray()
-    for tag, f, v in fields:
-        v = starts if tag == STRIPS else v
-        body = v[0] if f == "s" else struct.pack("<" + f * len(v), *v)
-        place = body.ljust(4, b"\0")
-        if len(body) > 4:
-            place = struct.pack("<I", table + len(tail))
-            tail += body + b"\0" * (len(body) & 1)
-        head += struct.pack("<HHI", tag, kinds[f], len(body) if f == "s" else len(v)) + place
-    return bytes(head) + struct.pack("<I", 0) + bytes(tail) + b"".join(strips)
-
-
-def encode_rasters(rasters: DataFrame, frames: DataFrame, kind: str = "f4") -> DataFrame:
-    """(raster_id, content): a GeoTIFF for each raster of frames, from its cells (raster_id, band, row, col, value).
-
-    Cells that are missing or null hold the nodata value of the frame (0 without one).  A
-    raster is put together by one task, from cells that arrive in any order.
-    """
-    names = ["width", "height", "bands", "x0", "top", "dx", "dy", "nodata", "epsg"]
-    parts = int(rasters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = rasters.select("raster_id", F.lit(1).alias("kind"), "band", "row", "col", F.col("value").cast("double").alias("value"), *[F.lit(None).cast(frames.schema[n].dataType).alias(n) for n in names])
-    heads = frames.select("raster_id", F.lit(0).alias("kind"), *[F.lit(None).cast("int").alias(n) for n in ("band", "row", "col")], F.lit(None).cast("double").alias("value"), *names)
-    dealt = heads.unionByName(cells).repartition(parts, "raster_id").sortWithinPartitions("raster_id", "kind")
+    sizes = [len(s) for s in strips]
+    head = {"width": width, "height": height, "bands": bands, "x0": x0, "top": top, "dx": dx, "dy": dy, "nodata": nodata, "epsg": epsg}
+    fields = [*_fields(head, values.dtype, deflate), (STRIPS, "I", sizes), (ROWS, "I", [high]), (STRIP_SIZES, "I", sizes)]
+    return _header(fields, np.cumsum([0, *sizes])[:-1], False) + b"".join(strips)
 
-    def run(batches):
-        now, head, values = None, None, None
 
-        def done():
-            content = geotiff_bytes(values, head["x0"], head["top"], head["dx"], head["dy"], head["nodata"], head["epsg"])
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([content], pa.binary())], ["raster_id", "content"])
+def _encoded_tile(side: int, kind: np.dtype):
+    """One tile of one band, deflated.  Of values for one cell the greatest counts."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows.iloc[0]
+        rows = rows.sort_values("value")
+        values = np.full((side, side), np.nan_to_num(first["nodata"]), kind)
+        values[rows["row"] % side, rows["col"] % side] = rows["value"]
+        across, down = -(-int(first["width"]) // side), -(-int(first["height"]) // side)
+        block = ((key[1] - 1) * down + key[2]) * across + key[3]
+        return pd.DataFrame({"raster_id": [key[0]], "block": [block], "body": [zlib.compress(values.tobytes(), 6)]})
+
+    return run
+
+
+def _joined(folder: str, side: int, kind: np.dtype, big_from: int):
+    """Heads, each before its tiles in order, to files; tiles stream through."""
+
+    def run(batches):
+        from contextlib import ExitStack
 
+        now, stack, out = None, None, None
         for b in batches:
-            ids = b.column(0).to_pylist()
-            cuts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
-            for a, z in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-                if ids[a] != now:
-                    if head is not None:
-                        yield done()
-                    now, head = ids[a], None
-                part = b.slice(a, z - a)
-                if part.column(1)[0].as_py() == 0:
-                    head, part = part.slice(0, 1).to_pylist()[0], part.slice(1)
-                    values = np.full((head["bands"], head["height"], head["width"]), head["nodata"] or 0.0, kind)
-                if head is not None and part.num_rows:
-                    known = part.filter(part.column(5).is_valid())
-                    band, row, col, value = (known.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
-                    values[band - 1, row, col] = value
-        if head is not None:
-            yield done()
-
-    return dealt.mapInArrow(run, "raster_id string, content binary")
-
-
-def write_rasters(spark: SparkSession, encoded: DataFrame, folder: str) -> int:
-    """One file in folder for each (raster_id, content), through the file system of the folder; their number.
-
-    Files come to the driver one after another, so this is for maps, not for archives.
+            for r in b.to_pylist():
+                if r["block"] < 0:
+                    if stack is not None:
+                        stack.close()
+                        yield pa.RecordBatch.from_arrays([pa.array([now])], ["raster_id"])
+                    now = r["raster_id"]
+                    across, down = -(-r["width"] // side), -(-r["height"] // side)
+                    sizes = np.zeros(across * down * r["bands"], np.int64)
+                    empty = zlib.compress(np.full((side, side), r["nodata"] or 0.0, kind).tobytes(), 6)
+                    known = np.array([(s["block"], s["size"]) for s in r["sizes"] or ()], np.int64).reshape(-1, 2)
+                    sizes[known[:, 0]] = known[:, 1]
+                    # tiles without a cell are all one, right behind the header
+                    places = np.where(sizes > 0, len(empty) + np.cumsum(sizes) - sizes, 0)
+                    sizes = np.where(sizes > 0, sizes, len(empty))
+                    big = int(sizes.sum()) + 32 * len(sizes) > big_from
+                    form = "Q" if big else "I"
+                    fields = [*_fields(r, kind, True), (TILE_WIDTH, "I", [side]), (TILE_HEIGHT, "I", [side]), (TILES, form, sizes.tolist()), (TILE_SIZES, form, sizes.tolist())]
+                    name = now if now.lower().endswith((".tif", ".tiff")) else f"{now}.tif"
+                    stack = ExitStack()
+                    out = stack.enter_context(files.created(f"{folder.rstrip('/')}/{name}"))
+                    out.write(_header(fields, places, big) + empty)
+                else:
+                    out.write(r["body"])
+        if stack is not None:
+            stack.close()
+            yield pa.RecordBatch.from_arrays([pa.array([now])], ["raster_id"])
+
+    return run
+
+
+def write_rasters(rasters: DataFrame, frames: DataFrame, folder: str, kind: str = "f4", side: int = TILE_SIDE, big_from: int = 4_000_000_000) -> DataFrame:
+    """(raster_id): a tiled GeoTIFF in folder for each raster of frames (FRAME), from its cells (raster_id, band, row, col, value).
+
+    Tasks encode tiles of side x side cells; their sizes give the header, and one task for
+    each raster streams header and tiles into the file, so a raster may be larger than the
+    memory of any machine and never passes the driver.  Cells that are missing or null hold
+    the nodata value of the frame (0 without one); cells beyond the frame are left out; of
+    repeated cells the greatest counts.  Files from big_from bytes on are BigTIFF.  A file
+    has its name only once it is complete.
     """
-    jvm, count = spark.sparkContext._jvm, 0
-    for r in encoded.toLocalIterator():
-        name = r["raster_id"] if r["raster_id"].lower().endswith((".tif", ".tiff")) else f"{r['raster_id']}.tif"
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
-        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
-        out.write(bytearray(r["content"]))
-        out.close()
-        count += 1
-    return count
+    spark, dtype = rasters.sparkSession, np.dtype(kind).newbyteorder("<")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = frames.select(F.col("raster_id").alias("f_id"), "width", "height", "bands", "nodata")
+    cells = rasters.select("raster_id", "band", "row", "col", F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
+    cells = cells.join(sized, F.col("raster_id") == F.col("f_id")).where("band BETWEEN 1 AND bands AND row >= 0 AND row < height AND col >= 0 AND col < width")
+    tile = [F.floor(F.col(c) / side).cast("int").alias(a) for c, a in (("row", "tile_row"), ("col", "tile_col"))]
+    placed = cells.select("raster_id", "band", *tile, "row", "col", "value", "width", "height", "nodata")
+    encoded = placed.groupBy("raster_id", "band", "tile_row", "tile_col").applyInPandas(_encoded_tile(side, dtype), "raster_id string, block long, body binary")
+    encoded = stage(encoded, "tiles")
+    sizes = encoded.groupBy("raster_id").agg(F.collect_list(F.struct("block", F.octet_length("body").cast("long").alias("size"))).alias("sizes"))
+    heads = frames.join(sizes, "raster_id", "left").withColumns({"block": F.lit(-1).cast("long"), "body": F.lit(None).cast("binary")})
+    rows = heads.unionByName(encoded, allowMissingColumns=True)
+    dealt = rows.repartition(parts, "raster_id").sortWithinPartitions("raster_id", "block")
+    return stage(dealt.mapInArrow(_joined(folder, side, dtype, big_from), "raster_id string"), "written")

@@ -1,4 +1,4 @@
-"""Point clouds in LAS files (1.0 to 1.4, point formats 0 to 10, not compressed)."""
+"""Point clouds in LAS files (1.0 to 1.4, point formats 0 to 10, not compressed), read and written by ranges of points."""
 
 from __future__ import annotations
 
@@ -9,16 +9,21 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.schema import VEGETATION_CLASSES
+from emberline.scratch import stage
+from emberline.sources import files
 from emberline.sources.points import keep_classes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 POINTS = "dataset string, x double, y double, z double, classification int, return_number int, number_of_returns int, epsg int"
-#: points that are handed on together
+#: points that are handed on together, and that a task reads
 CHUNK = 100_000
+RANGE_POINTS = 2_000_000
+#: points of a written file, about
+FILE_POINTS = 2_000_000
 #: fixed values: EPSG keys of GeoTIFF, projected before geographic
 EPSG_KEYS = (3072, 2048)
 
@@ -41,7 +46,8 @@ def header(data: memoryview) -> dict:
     if minor >= 4 and len(data) >= 255:
         count = struct.unpack_from("<Q", data, 247)[0] or count
     scale, shift = struct.unpack_from("<3d", data, 131), struct.unpack_from("<3d", data, 155)
-    return {"size": size, "offset": offset, "records": records, "kind": kind, "length": length, "count": count, "scale": scale, "shift": shift}
+    high_x, low_x, high_y, low_y = struct.unpack_from("<4d", data, 179)
+    return {"box": (low_x, high_x, low_y, high_y), "size": size, "offset": offset, "records": records, "kind": kind, "length": length, "count": count, "scale": scale, "shift": shift}
 
 
 def epsg_of(data: memoryview, h: dict) -> int | None:
@@ -65,49 +71,78 @@ def epsg_of(data: memoryview, h: dict) -> int | None:
     return found
 
 
-def points(content, start: int = 0, stop: int | None = None):
-    """(x, y, z, classification, return number, number of returns) of points start to stop."""
-    data = memoryview(content)
-    h = header(data)
-    have = max(0, (len(data) - h["offset"]) // max(h["length"], 1))
-    if have < h["count"]:
-        raise LasError(f"{h['count']} points are announced, {have} are there")
-    stop = h["count"] if stop is None else min(stop, h["count"])
-    raw = np.frombuffer(data, np.uint8, (stop - start) * h["length"], h["offset"] + start * h["length"]).reshape(-1, h["length"])
+def points(records: bytes, kind: int, length: int, scale, shift):
+    """(x, y, z, classification, return number, number of returns) of whole point records."""
+    raw = np.frombuffer(records, np.uint8).reshape(-1, length)
     place = np.ascontiguousarray(raw[:, :12]).view("<i4")
-    xyz = [place[:, k] * h["scale"][k] + h["shift"][k] for k in range(3)]
-    if h["kind"] < 6:
+    xyz = [place[:, k] * scale[k] + shift[k] for k in range(3)]
+    if kind < 6:
         return *xyz, raw[:, 15] & 31, raw[:, 14] & 7, (raw[:, 14] >> 3) & 7
     return *xyz, raw[:, 16], raw[:, 14] & 15, raw[:, 14] >> 4
 
 
-def read_las(spark: SparkSession, paths: str | list[str], classes: tuple[int, ...] | None = VEGETATION_CLASSES, exclude: str | None = ".copc.") -> DataFrame:
-    """Points of LAS files with the name of their file as dataset and the EPSG code of its coordinates.
+PLAN = "path string, epsg int, at long, count long, kind int, length int, scale array<double>, shift array<double>"
 
-    Folders are read whole; files whose path contains `exclude` are left out.  A file is
-    read by one task, which hands points on in pieces.  A file that is not LAS, is cut
-    short or is compressed is an error that names it; one without points gives none.
-    """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{las,LAS,laz,LAZ}").option("recursiveFileLookup", "true").load(paths)
-    if exclude:
-        files = files.where(~F.contains(F.col("path"), F.lit(exclude)))
+
+def _planned(box):
+    """Ranges of points of each file, from its header alone."""
 
     def run(batches):
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = memoryview(content.as_buffer())
+            rows = []
+            for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    h = header(data)
-                    code = epsg_of(data, h)
-                    for start in range(0, h["count"], CHUNK):
-                        x, y, z, kind, number, of = points(data, start, start + CHUNK)
-                        columns = [pa.array([path.rsplit("/", 1)[-1]] * len(x)), *(pa.array(v) for v in (x, y, z)), *(pa.array(v.astype(np.int32)) for v in (kind, number, of)), pa.array([code] * len(x), pa.int32())]
-                        yield pa.RecordBatch.from_arrays(columns, ["dataset", "x", "y", "z", "classification", "return_number", "number_of_returns", "epsg"])
+                    with files.opened(path) as f:
+                        h = header(memoryview(f.small(0, 375)))
+                        have = max(0, (size - h["offset"]) // max(h["length"], 1))
+                        if have < h["count"]:
+                            raise LasError(f"{h['count']} points are announced, {have} are there")
+                        if box and (h["box"][0] > box[1] or h["box"][1] < box[0] or h["box"][2] > box[3] or h["box"][3] < box[2]):
+                            continue
+                        code = epsg_of(memoryview(f.small(0, h["offset"])), h)
                 except LasError as e:
                     raise LasError(f"{path}: {e}") from e
+                common = {"path": path, "epsg": code, "kind": h["kind"], "length": h["length"], "scale": list(h["scale"]), "shift": list(h["shift"])}
+                rows += [common | {"at": h["offset"] + k * h["length"], "count": min(RANGE_POINTS, h["count"] - k)} for k in range(0, h["count"], RANGE_POINTS)]
+            kinds = {"path": pa.string(), "epsg": pa.int32(), "at": pa.int64(), "count": pa.int64(), "kind": pa.int32(), "length": pa.int32(), "scale": pa.list_(pa.float64()), "shift": pa.list_(pa.float64())}
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
+
+    return run
+
+
+def _read(batches):
+    for b in batches:
+        for r in b.to_pylist():
+            name = r["path"].rsplit("/", 1)[-1]
+            with files.opened(r["path"]) as f:
+                for k in range(0, r["count"], CHUNK):
+                    n = min(CHUNK, r["count"] - k)
+                    found = f.read(r["at"] + k * r["length"], n * r["length"])
+                    if len(found) < n * r["length"]:
+                        raise LasError(f"{r['path']}: the file ends at point {k + len(found) // r['length']} of a range of {r['count']}")
+                    x, y, z, kind, number, of = points(found, r["kind"], r["length"], r["scale"], r["shift"])
+                    columns = [pa.repeat(name, n), *(pa.array(v) for v in (x, y, z)), *(pa.array(v.astype(np.int32)) for v in (kind, number, of)), pa.array([r["epsg"]] * n, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, ["dataset", "x", "y", "z", "classification", "return_number", "number_of_returns", "epsg"])
+
+
+def read_las(
+    spark: SparkSession, paths: str | list[str], classes: tuple[int, ...] | None = VEGETATION_CLASSES, exclude: str | None = ".copc.", box: tuple[float, float, float, float] | None = None,
+) -> DataFrame:
+    """Points of LAS files with the name of their file as dataset and the EPSG code of its coordinates.
 
-    out = files.select("path", "content").mapInArrow(run, POINTS)
+    Folders are read whole; files whose path contains `exclude` are left out.  Headers alone
+    give the ranges of points that tasks read, so a file of any size feeds many tasks.  With
+    box (x from, x to, y from, y to) only points within it are kept, and files beyond it are
+    not read.  A file that is not LAS, is cut short or is compressed is an error that names
+    it; one without points gives none.
+    """
+    found = files.listed(spark, paths, "*.{las,LAS,laz,LAZ}")
+    if exclude:
+        found = found.where(~F.contains(F.col("path"), F.lit(exclude)))
+    plan = stage(found.mapInArrow(_planned(box), PLAN), "las-ranges")
+    out = files.dealt(plan, plan.count()).mapInArrow(_read, POINTS)
+    if box:
+        out = out.where(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
     return keep_classes(out, classes) if classes is not None else out
 
 
@@ -128,7 +163,57 @@ def las_bytes(x, y, z, classification, scale: float = 0.001, wkt: str | None = N
         struct.pack_into("<Q", head, 247, n)
     rows = np.zeros((n, length), np.uint8)
     for k, (v, s) in enumerate(zip((x, y, z), shift, strict=True)):
-        rows[:, 4 * k : 4 * k + 4] = np.round((np.asarray(v) - s) / scale).astype("<i4").view(np.uint8).reshape(-1, 4)
+        whole = np.round((np.asarray(v) - s) / scale)
+        if n and whole.max() >= 1 << 31:
+            raise LasError(f"a file of scale {scale} does not hold coordinates {ends[2 * k] - ends[2 * k + 1]} apart")
+        rows[:, 4 * k : 4 * k + 4] = whole.astype("<i4").view(np.uint8).reshape(-1, 4)
     rows[:, 14] = 17 if kind >= 6 else 9
     rows[:, 16 if kind >= 6 else 15] = classification
     return bytes(head) + records + rows.tobytes()
+
+
+WRITTEN = "file string, n long, min_x double, max_x double, min_y double, max_y double"
+
+
+def _spread(v: Column) -> Column:
+    """The bits of a number below 2^16, each with an empty one above it."""
+    for step, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def write_las(points: DataFrame, folder: str, scale: float = 0.001, wkt: str | None = None, kind: int = 0, file_points: int = FILE_POINTS) -> DataFrame:
+    """(file, n, min_x, max_x, min_y, max_y): LAS files in folder of points (x, y, z, classification), written by tasks.
+
+    A first pass gives bounds and count; a file holds a range of a space-filling curve of
+    about file_points points, so its bounds in its header are narrow and a reader with a box
+    opens few.  The scale is a step of the coordinates.  A point with a null or an infinite
+    coordinate is an error; without points nothing is written.
+    """
+    spark = points.sparkSession
+    given = points.select(*[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("classification").cast("int").alias("classification"))
+    bad = F.lit(False)
+    for c in "xyz":
+        bad = bad | ~F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
+    n, wrong, a, b, c, d = given.agg(F.count("*"), F.count_if(bad), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if wrong:
+        raise LasError(f"{wrong} points without a place")
+    if not n:
+        return spark.createDataFrame([], WRITTEN)
+    unit = lambda v, low, high: F.least(F.lit(65535), F.floor((F.col(v) - low) / ((high - low) or 1.0) * 65536)).cast("long")
+    code = F.shiftleft(_spread(unit("x", a, b)), 1).bitwiseOR(_spread(unit("y", c, d)))
+    parts = -(-n // file_points)
+    ranged = given.withColumn("_code", code).repartitionByRange(parts, "_code", "x", "y", "z").drop("_code")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if held:
+            x, y, z, classes = (np.concatenate([h[k] for h in held]) for k in range(4))
+            name = f"part-{TaskContext.get().partitionId():06d}.las"
+            with files.created(f"{folder.rstrip('/')}/{name}") as out:
+                out.write(las_bytes(x, y, z, np.nan_to_num(classes).astype(np.uint8), scale, wkt, kind))
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (name, len(x), x.min(), x.max(), y.min(), y.max())], ["file", "n", "min_x", "max_x", "min_y", "max_y"])
+
+    return stage(ranged.mapInArrow(run, WRITTEN), "las-files")
