@@ -36,17 +36,41 @@ def pad(spark: SparkSession, d: str) -> DataFrame:
     return structure.cell_pad(positive(spark, d))
 
 
-def cells(spark: SparkSession) -> DataFrame:
-    return P.grid(spark, SIDE, SIDE)
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """(x, y): the frame that the points span, in cells of 5 m."""
+    top = points(spark, d).agg(F.max(P.cell("x")).alias("w"), F.max(P.cell("y")).alias("h"))  # one row
+    return top.select(F.explode(F.sequence(F.lit(0), "w")).alias("x"), "h").select("x", F.explode(F.sequence(F.lit(0), "h")).alias("y"))
 
 
-def wind(spark: SparkSession) -> DataFrame:
-    return terrain.terrain_wind(P.hill(cells(spark), SIDE))
+def size(spark: SparkSession, d: str) -> tuple[int, int]:
+    """Width and height of the frame."""
+    return tuple(points(spark, d).agg(F.max(P.cell("x")) + 1, F.max(P.cell("y")) + 1).first())
+
+
+def ground(spark: SparkSession, d: str) -> DataFrame:
+    """(x, y, elev): the lowest ground point of each cell that has one."""
+    return points(spark, d).where("classification = 2").groupBy(P.cell("x").alias("x"), P.cell("y").alias("y")).agg(F.min("z").alias("elev"))
+
+
+def surface(spark: SparkSession, d: str) -> DataFrame:
+    """(x, y, elev) of all cells, 0 where there is no ground point."""
+    return cells(spark, d).join(ground(spark, d), ["x", "y"], "left").na.fill(0.0, ["elev"])
+
+
+def states(spark: SparkSession, d: str) -> DataFrame:
+    """(x, y, n, state): the number of points of each cell, and a state that it stands for."""
+    n = points(spark, d).groupBy(P.cell("x").alias("x"), P.cell("y").alias("y")).agg(F.count("*").alias("n"))
+    known = cells(spark, d).join(n, ["x", "y"], "left").na.fill(0, ["n"])
+    return known.withColumn("state", F.when(F.col("n") % 5 == 1, 1).when(F.col("n") % 5 == 2, 2).otherwise(0))
+
+
+def wind(spark: SparkSession, d: str) -> DataFrame:
+    return terrain.terrain_wind(surface(spark, d))
 
 
 def moisture(spark: SparkSession, d: str) -> DataFrame:
     tax = points(spark, d).groupBy(P.cell("x").alias("x"), P.cell("y").alias("y")).agg(F.avg("tax").alias("value"))
-    return voxel.moisture_field(cells(spark), tax)
+    return voxel.moisture_field(cells(spark, d), tax)
 
 
 def fuel(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +78,7 @@ def fuel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def static(spark: SparkSession, d: str) -> DataFrame:
-    flat = moisture(spark, d).join(wind(spark).select("x", "y", "dir", "speed", "u", "v"), ["x", "y"])
+    flat = moisture(spark, d).join(wind(spark, d).select("x", "y", "dir", "speed", "u", "v"), ["x", "y"])
     return voxel.with_connectivity(fuel(spark, d)).select("x", "y", "z", "conn_up").join(flat, ["x", "y"])
 
 
@@ -71,9 +95,12 @@ POSITIVE = VEG + ", pos AS (SELECT * FROM veg WHERE z >= 0)"
 COUNTS = POSITIVE + ", cb AS (SELECT floor(x / 5)::INT AS gx, floor(y / 5)::INT AS gy, floor(z / 2)::BIGINT AS bin, count(*) AS n FROM pos GROUP BY ALL)"
 PAD_OF = "CASE WHEN nrd <= 0 THEN 0.0::DOUBLE ELSE greatest(0.1::DOUBLE, least(10.0::DOUBLE, -ln(1.0::DOUBLE - least(nrd, 0.9999::DOUBLE)) / 1.2::DOUBLE)) END"
 PAD = COUNTS + f", dens AS (SELECT *, n / (sum(n) OVER (PARTITION BY gx, gy ORDER BY bin ROWS UNBOUNDED PRECEDING))::DOUBLE AS nrd FROM cb), pad AS (SELECT *, {PAD_OF} AS pad FROM dens)"
-CELLS = "cells AS (SELECT a.range::INT AS x, b.range::INT AS y FROM range(40) a, range(40) b), hill AS (SELECT x, y, 30.0::DOUBLE * exp(-0.5::DOUBLE * ((-3.0::DOUBLE + 6.0::DOUBLE * x / 39::DOUBLE) * (-3.0::DOUBLE + 6.0::DOUBLE * x / 39::DOUBLE) + (-3.0::DOUBLE + 6.0::DOUBLE * y / 39::DOUBLE) * (-3.0::DOUBLE + 6.0::DOUBLE * y / 39::DOUBLE))) AS elev FROM cells)"
-BESIDE = CELLS + ", beside AS (SELECT *, lag(elev) OVER wx AS x0, lead(elev) OVER wx AS x1, lag(elev) OVER wy AS y0, lead(elev) OVER wy AS y1 FROM hill WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y))"
-GRADIENT = BESIDE + ", d AS (SELECT *, coalesce((x1 - x0) / 2, x1 - elev, elev - x0) AS dx, coalesce((y1 - y0) / 2, y1 - elev, elev - y0) AS dy FROM beside), g AS (SELECT *, sqrt(dx * dx + dy * dy) AS slope, atan2(dy, dx) AS aspect, coalesce(x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL AND least(x0, x1, y0, y1) - elev < -{t} AND greatest(x0, x1, y0, y1) - elev > {t}, false) AS ravine FROM d)"
+FRAME = ", xs AS (SELECT unnest(range((max(floor(x / 5)) + 1)::BIGINT))::INT AS x FROM points), ys AS (SELECT unnest(range((max(floor(y / 5)) + 1)::BIGINT))::INT AS y FROM points), cells AS (SELECT x, y FROM xs, ys)"
+CELLS = POINTS + FRAME
+SURFACE = FRAME + ", lowest AS (SELECT floor(x / 5)::INT AS x, floor(y / 5)::INT AS y, min(z) AS elev FROM points WHERE classification = 2 GROUP BY ALL), surface AS (SELECT x, y, coalesce(elev, 0.0::DOUBLE) AS elev FROM cells LEFT JOIN lowest USING (x, y))"
+STATES = CELLS + ", flat AS (SELECT x, y, coalesce(n, 0) AS n, CASE coalesce(n, 0) % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS state FROM cells LEFT JOIN (SELECT floor(x / 5)::INT AS x, floor(y / 5)::INT AS y, count(*) AS n FROM points GROUP BY ALL) USING (x, y))"
+BESIDE = SURFACE + ", beside AS (SELECT *, lag(elev) OVER wx AS x0, lead(elev) OVER wx AS x1, lag(elev) OVER wy AS y0, lead(elev) OVER wy AS y1 FROM surface WINDOW wx AS (PARTITION BY y ORDER BY x), wy AS (PARTITION BY x ORDER BY y))"
+GRADIENT = BESIDE + ", slopes AS (SELECT *, coalesce((x1 - x0) / 2, x1 - elev, elev - x0) AS dx, coalesce((y1 - y0) / 2, y1 - elev, elev - y0) AS dy FROM beside), g AS (SELECT *, sqrt(dx * dx + dy * dy) AS slope, atan2(dy, dx) AS aspect, coalesce(x0 IS NOT NULL AND x1 IS NOT NULL AND y0 IS NOT NULL AND y1 IS NOT NULL AND least(x0, x1, y0, y1) - elev < -{t} AND greatest(x0, x1, y0, y1) - elev > {t}, false) AS ravine FROM slopes)"
 _TURN = "(2 * pi())"
 WIND_TAIL = f""", w1 AS (SELECT *, (abs(0.0::DOUBLE - aspect) - floor(abs(0.0::DOUBLE - aspect) / {_TURN}) * {_TURN}) AS raw FROM g),
 w2 AS (SELECT *, sin(CASE WHEN raw > pi() THEN {_TURN} - raw ELSE raw END) * 0.5::DOUBLE AS share FROM w1),
@@ -81,12 +108,13 @@ w3 AS (SELECT *, (1.0::DOUBLE - share) * 0.0::DOUBLE + share * aspect AS bent FR
 w4 AS (SELECT *, CASE WHEN slope >= 0.05 THEN bent - floor(bent / {_TURN}) * {_TURN} ELSE 0.0::DOUBLE END AS dir FROM w3),
 w5 AS (SELECT *, CASE WHEN slope >= 0.05 THEN 0.5::DOUBLE * greatest(0.5::DOUBLE, least(1.5::DOUBLE, 1.0::DOUBLE - cos(dir - aspect) * slope * 0.5::DOUBLE)) * CASE WHEN ravine THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0.5::DOUBLE END AS speed FROM w4),
 wind AS (SELECT x, y, elev, slope, aspect, ravine, dir, speed, speed * cos(dir) AS u, speed * sin(dir) AS v FROM w5)"""
-WIND = GRADIENT.format(t="5.0::DOUBLE") + WIND_TAIL
+WIND_PARTS = GRADIENT.format(t="5.0::DOUBLE") + WIND_TAIL
+WIND = POINTS + WIND_PARTS
 FUEL = PAD + ", vox AS (SELECT a.range::INT AS x, b.range::INT AS y, c.range::INT AS z FROM range(40) a, range(40) b, range(8) c), fuel AS (SELECT vox.*, coalesce(pad.pad / 10.0::DOUBLE, 0.0::DOUBLE) AS fuel FROM vox LEFT JOIN pad ON gx = vox.x AND gy = vox.y AND bin = vox.z)"
 MOISTURE = ", tax AS (SELECT floor(x / 5)::INT AS x, floor(y / 5)::INT AS y, avg(tax) AS value FROM points GROUP BY ALL), moist AS (SELECT cells.x, cells.y, coalesce(CASE WHEN hi > lo THEN 0.1::DOUBLE + (value - lo) / (hi - lo) * 0.8::DOUBLE ELSE 0.3::DOUBLE END, 0.3::DOUBLE) AS moisture FROM cells LEFT JOIN tax USING (x, y), (SELECT min(value) AS lo, max(value) AS hi FROM tax))"
 _CONN = "0.1::DOUBLE + 0.8::DOUBLE * (0.4::DOUBLE * least(a, b) / 10 + 0.4::DOUBLE * (1 - greatest(0.0::DOUBLE, least(1.0::DOUBLE, abs(a - b) / greatest(a + b, 1e-6::DOUBLE)))) + 0.2::DOUBLE * (1 - abs(exp(-1.0::DOUBLE * a) - exp(-1.0::DOUBLE * b))))"
 CONN = f", two AS (SELECT *, fuel * 10 AS a, (lead(fuel) OVER (PARTITION BY x, y ORDER BY z)) * 10 AS b FROM fuel), conn AS (SELECT x, y, z, fuel, CASE WHEN b IS NOT NULL THEN {_CONN} END AS conn_up FROM two)"
-STATIC = FUEL + ", " + WIND + MOISTURE + CONN + ", static AS (SELECT conn.x, conn.y, conn.z, conn_up, moisture, dir, speed, u, v FROM conn JOIN moist USING (x, y) JOIN wind USING (x, y))"
+STATIC = FUEL + WIND_PARTS + MOISTURE + CONN + ", static AS (SELECT conn.x, conn.y, conn.z, conn_up, moisture, dir, speed, u, v FROM conn JOIN moist USING (x, y) JOIN wind USING (x, y))"
 PATTERN = ", s0 AS (SELECT x, y, z, CASE (x * 7 + y * 13 + z * 3) % 17 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS state, fuel FROM fuel)"
 
 

@@ -180,13 +180,14 @@ def q_perimeter(spark, d):
     return simulate.perimeter(_start(spark, d).where("state > 0 AND z = 0").select("x", "y").distinct())
 
 
-_RUNS = "runs AS (SELECT r.range AS run, s.range AS step, a.range AS x, b.range AS y, CASE WHEN (a.range + b.range * 3 + r.range * 5) % 7 <= s.range THEN 1 ELSE 0 END AS state FROM range(4) r, range(3) s, range(40) a, range(40) b)"
+_RUNS = B.POINTS + ", seen AS (SELECT classification % 4 AS run, floor(x / 5)::INT AS x, floor(y / 5)::INT AS y, count(*) AS n FROM points GROUP BY ALL), runs AS (SELECT run, s.range AS step, x, y, CASE WHEN n % 7 <= s.range THEN 1 ELSE 0 END AS state FROM seen, range(3) s)"
 
 
-@query(f"WITH {_RUNS}, h AS (SELECT run, x, y, max((state > 0)::INT) AS hit, min(CASE WHEN state > 0 THEN step END) AS arrival FROM runs GROUP BY ALL) SELECT x, y, round(avg(hit), 6) AS burn_probability, min(arrival) AS first_arrival FROM h GROUP BY x, y")
+@query(f"WITH {_RUNS}, h AS (SELECT run, x, y, max((state > 0)::INT) AS hit, min(CASE WHEN state > 0 THEN step END) AS arrival FROM runs GROUP BY ALL) SELECT x::BIGINT AS x, y::BIGINT AS y, round(avg(hit), 6) AS burn_probability, coalesce(min(arrival), -1) AS first_arrival FROM h GROUP BY x, y")
 def q_burn_probability(spark, d):
-    runs = B.cells(spark).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    return simulate.ensemble(runs.withColumn("state", F.when((F.col("x") + F.col("y") * 3 + F.col("run") * 5) % 7 <= F.col("step"), 1).otherwise(0)))
+    seen = B.points(spark, d).groupBy((F.col("classification") % 4).alias("run"), P.cell("x").alias("x"), P.cell("y").alias("y")).agg(F.count("*").alias("n"))
+    runs = seen.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return simulate.ensemble(runs.withColumn("state", F.when(F.col("n") % 7 <= F.col("step"), 1).otherwise(0))).na.fill(-1, ["first_arrival"])  # -1: never
 
 
 def _chain(v: str, lit: str, k: int) -> tuple[str, str]:
@@ -196,7 +197,7 @@ def _chain(v: str, lit: str, k: int) -> tuple[str, str]:
 
 def _simple_sql() -> str:
     parts, v, lit = [], "vegetation", "false"
-    body = "f AS (SELECT a.range::INT AS x, b.range::INT AS y, CASE (a.range * 7 + b.range * 13) % 17 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS state, ((a.range * 5 + b.range * 3) % 10) / 10.0::DOUBLE AS vegetation FROM range(40) a, range(40) b), n AS (SELECT x + i AS x, y + j AS y, count(*) AS n FROM f, (VALUES (0,-1),(0,1),(-1,0),(1,0)) m(i, j) WHERE state = 1 GROUP BY ALL), j AS (SELECT f.*, n, vegetation AS v0, false AS l0 FROM f LEFT JOIN n USING (x, y))"
+    body = B.STATES + ", f AS (SELECT x, y, state, (n * 5 % 10) / 10.0::DOUBLE AS vegetation FROM flat), n AS (SELECT x + i AS x, y + j AS y, count(*) AS n FROM f, (VALUES (0,-1),(0,1),(-1,0),(1,0)) m(i, j) WHERE state = 1 GROUP BY ALL), j AS (SELECT f.*, n, vegetation AS v0, false AS l0 FROM f LEFT JOIN n USING (x, y))"
     for k in range(1, 5):
         v, lit = _chain(f"v{k - 1}", f"l{k - 1}", k)
         parts.append(f"j{k} AS (SELECT *, {v} AS v{k}, {lit} AS l{k} FROM {'j' if k == 1 else f'j{k - 1}'})")
@@ -208,30 +209,41 @@ def _simple_sql() -> str:
 
 @query(_simple_sql())
 def q_simple_step(spark, d):
-    flat = B.pattern(B.cells(spark).withColumn("z", F.lit(0))).drop("z")
-    return spread.simple_step(flat.withColumn("vegetation", ((F.col("x") * 5 + F.col("y") * 3) % 10) / 10.0), 0, _S, _S)
+    flat = B.states(spark, d).select("x", "y", "state", (F.col("n") * 5 % 10 / 10.0).alias("vegetation"))
+    return spread.simple_step(flat, 0, _S, _S)
 
 
-@query("SELECT * FROM (VALUES (20::BIGINT, 20::BIGINT, 0::BIGINT, 'center'), (0, 0, 0, 'corner'), (3, 4, 1, 'coordinates')) t(x, y, z, method)")
+_LIT_BY = {"center": "x = 20 AND y = 20 AND z = 0", "corner": "x = 0 AND y = 0 AND z = 0", "coordinates": "(x, y, z) IN ((3, 4, 1), (30, 7, 0))"}
+
+
+@query(f"WITH {B.FUEL} " + " UNION ALL ".join(f"SELECT '{m}' AS method, z::BIGINT AS z, count(*) FILTER ({on}) AS burning, round(sum(CASE WHEN {on} THEN fuel ELSE 0 END), 6) + 0.0::DOUBLE AS fuel FROM fuel GROUP BY z" for m, on in _LIT_BY.items()))
 def q_ignition(spark, d):
-    given = [(3, 4, 1), (99, 4, 0)]
-    out = None
-    for method in ("center", "corner", "coordinates"):
-        rows = voxel.ignition_points(B.cells(spark), method, _S, _S, given).withColumn("method", F.lit(method))
+    """The voxels of the forest that each way of ignition lights, by layer; a point off the grid lights none."""
+    width, height = B.size(spark, d)
+    voxels, out = B.fuel(spark, d), None
+    for method in _LIT_BY:
+        points = voxel.ignition_points(B.cells(spark, d), method, width, height, [(3, 4, 1), (30, 7, 0), (99, 4, 0)])
+        lit = F.col("state") == 1
+        rows = voxel.ignite(voxels, points).groupBy("z").agg(F.count_if(lit).alias("burning"), F.sum(F.when(lit, F.col("fuel")).otherwise(0.0)).alias("fuel")).withColumn("method", F.lit(method))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-@query(f"SELECT x, y, 0::BIGINT AS z FROM (SELECT a.range AS x, b.range AS y FROM range(40) a, range(40) b) WHERE x IN (0, 39) OR y IN (0, 39) ORDER BY {B.draw(repr('42'), repr('rim'), 'x', 'y')}, x, y LIMIT 5")
+@query(f"WITH {B.CELLS} SELECT x::BIGINT AS x, y::BIGINT AS y, 0::BIGINT AS z FROM cells WHERE x IN (0, 39) OR y IN (0, 39) ORDER BY {B.draw(repr('42'), repr('rim'), 'x', 'y')}, x, y LIMIT 5")
 def q_ignition_edge(spark, d):
-    return voxel.ignition_points(B.cells(spark), "edge", _S, _S, k=5)
+    return voxel.ignition_points(B.cells(spark, d), "edge", *B.size(spark, d), k=5)
 
 
-@query(f"SELECT floor({B.draw(repr('42'), repr('ix'), 'range')} * 40)::BIGINT AS x, floor({B.draw(repr('42'), repr('iy'), 'range')} * 40)::BIGINT AS y, 0::BIGINT AS z FROM range(6)")
+@query(f"WITH {B.FUEL}, p AS (SELECT floor({B.draw(repr('42'), repr('ix'), 'range')} * 40)::BIGINT AS x, floor({B.draw(repr('42'), repr('iy'), 'range')} * 40)::BIGINT AS y FROM range(6)) SELECT x, y, 0::BIGINT AS z, round(fuel, 6) + 0.0::DOUBLE AS fuel FROM fuel JOIN (SELECT DISTINCT x, y FROM p) USING (x, y) WHERE z = 0")
 def q_ignition_random(spark, d):
-    return voxel.ignition_points(B.cells(spark), "random", _S, _S, k=6)
+    """The voxels that randomly drawn points light, and their fuel."""
+    points = voxel.ignition_points(B.cells(spark, d), "random", *B.size(spark, d), k=6)
+    return voxel.ignite(B.fuel(spark, d), points).where("state = 1").select("x", "y", "z", "fuel")
 
 
-@query("SELECT range AS percent, CASE WHEN range <= 0 THEN 'none' WHEN range < 10 THEN 'limited' WHEN range < 30 THEN 'moderate' WHEN range < 60 THEN 'extensive' ELSE 'catastrophic' END AS pattern, (range * 5 // 60) || 'h ' || (range * 5 % 60) || 'm' AS after FROM range(101)")
+@query(f"WITH {B.STATES}, p AS (SELECT x // 4 AS tile_x, y // 4 AS tile_y, count(*) FILTER (state > 0) * 100 // count(*) AS percent FROM flat GROUP BY ALL) SELECT tile_x::BIGINT AS tile_x, tile_y::BIGINT AS tile_y, percent, CASE WHEN percent <= 0 THEN 'none' WHEN percent < 10 THEN 'limited' WHEN percent < 30 THEN 'moderate' WHEN percent < 60 THEN 'extensive' ELSE 'catastrophic' END AS pattern, (percent * 5 // 60) || 'h ' || (percent * 5 % 60) || 'm' AS after FROM p")
 def q_burn_pattern(spark, d):
-    return spark.range(101).select(F.col("id").alias("percent"), fire.burn_pattern(F.col("id")).alias("pattern"), fire.duration(F.col("id")).alias("after"))
+    """How far the tiles of the forest burned, in words."""
+    tile = [F.floor(F.col(c) / 4).alias(f"tile_{c}") for c in "xy"]
+    share = B.states(spark, d).groupBy(*tile).agg(F.floor(F.count_if(F.col("state") > 0) * 100 / F.count("*")).cast("long").alias("percent"))
+    return share.select("tile_x", "tile_y", "percent", fire.burn_pattern(F.col("percent")).alias("pattern"), fire.duration(F.col("percent")).alias("after"))

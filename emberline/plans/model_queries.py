@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from emberline import config as C
@@ -9,6 +11,7 @@ from emberline.functions import fire, heights
 from emberline.operators import filters, raster, simulate, tiles
 from emberline.plans import base as B
 from emberline.plans import fire_queries as R
+from emberline.plans import tile_queries as T
 from emberline.scratch import new_path
 from emberline.sources import geotiff, las, points as P, store
 
@@ -25,39 +28,40 @@ def query(sql: str | None):
     return add
 
 
-_AREAS = "areas AS (SELECT range AS id, (range * 700000)::DOUBLE AS area, (range % 10) / 10.0::DOUBLE AS density, (range * 3 % 13)::DOUBLE AS wind FROM range(40))"
-
-
-@query(f"WITH {_AREAS} SELECT id, CASE WHEN area > 4000000 THEN 'large_area' WHEN wind > 7 THEN 'windy_conditions' WHEN density > 0.7 THEN 'high_resolution' ELSE 'default' END AS preset FROM areas")
+@query(f"WITH {T._AREAS} SELECT id, preset FROM chosen")
 def q_preset_choice(spark, d):
-    n = F.col("id")
-    areas = spark.range(40).select("id", (n * 700000).cast("double").alias("area"), (n % 10 / 10).alias("density"), (n * 3 % 13).cast("double").alias("wind"))
-    return areas.select("id", C.preset_choice(F.col("area"), F.col("density"), F.col("wind")).alias("preset"))
+    return T.areas(spark, d).select("id", C.preset_choice(F.col("area"), F.col("density"), F.col("wind")).alias("preset"))
 
 
-@query("SELECT range AS cells, CASE WHEN range > 900 THEN ceil(5.0::DOUBLE * range / 900 * 2) / 2 ELSE 5.0::DOUBLE END AS resolution FROM range(100, 4000, 100)")
+@query("SELECT l_suppkey AS id, count(*) AS cells, CASE WHEN count(*) > 580 THEN ceil(5.0::DOUBLE * count(*) / 580 * 2) / 2 ELSE 5.0::DOUBLE END AS resolution FROM lineitem GROUP BY 1")
 def q_coarser_resolution(spark, d):
-    return spark.range(100, 4000, 100).select(F.col("id").alias("cells"), fire.coarser_resolution(F.lit(5.0), F.col("id"), F.lit(900)).alias("resolution"))
+    """The resolution at which as many cells as a supplier has lines are 580 at most."""
+    sizes = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("cells"))
+    return sizes.select("id", "cells", fire.coarser_resolution(F.lit(5.0), F.col("cells"), F.lit(580)).alias("resolution"))
 
 
-@query("SELECT range AS step, (range * 5 // 60) || 'h ' || (range * 5 % 60) || 'm' AS after FROM range(300)")
+@query("SELECT l_orderkey, sum(l_quantity)::BIGINT AS step, (sum(l_quantity)::BIGINT * 5 // 60) || 'h ' || (sum(l_quantity)::BIGINT * 5 % 60) || 'm' AS after FROM lineitem GROUP BY 1")
 def q_duration(spark, d):
-    return spark.range(300).select(F.col("id").alias("step"), fire.duration(F.col("id")).alias("after"))
-
-
-_NAMES = ["site_nrd_0m_to_2m.tif", "site_nrd_2m_to_4m.tif", "12.5-14.5m.tif", "none.tif"]
+    """The time that as many steps as an order has pieces take."""
+    steps = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("bigint").alias("step"))
+    return steps.select("l_orderkey", "step", fire.duration(F.col("step")).alias("after"))
 
 
-@query("SELECT * FROM (VALUES ('site_nrd_0m_to_2m.tif', 0.0::DOUBLE), ('site_nrd_2m_to_4m.tif', 2.0), ('12.5-14.5m.tif', 12.5), ('none.tif', NULL)) t(name, height)")
+@query(f"WITH {B.VEG} SELECT DISTINCT CASE WHEN floor(z / 2) % 2 = 0 THEN 'site_nrd_' || (floor(z / 2) * 2)::BIGINT || 'm_to_x.tif' ELSE (floor(z / 2) * 2)::BIGINT || '-y.tif' END AS name, CASE WHEN floor(z / 2) % 2 = 0 THEN floor(z / 2) * 2.0::DOUBLE ELSE -99.0 END AS height FROM veg")
 def q_raster_height(spark, d):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", heights.file_height(F.col("name")).alias("height"))
+    """Heights from the names of the rasters of all bins; -99 where a name has none."""
+    low = (F.floor(F.col("z") / 2) * 2).cast("string")
+    named = F.when(F.floor(F.col("z") / 2) % 2 == 0, F.concat(F.lit("site_nrd_"), low, F.lit("m_to_x.tif"))).otherwise(F.concat(low, F.lit("-y.tif")))
+    return B.veg(spark, d).select(named.alias("name")).distinct().select("name", F.coalesce(heights.file_height(F.col("name")), F.lit(-99.0)).alias("height"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'a', 25830::BIGINT), (2, 'a', 25830), (3, 'b', 4326), (4, 'c', -1), (5, 'd', -1)) t(id, dataset, epsg)")
+@query("SELECT l_returnflag AS dataset, count(*) AS n, CASE l_returnflag WHEN 'A' THEN 25830 WHEN 'N' THEN 4326 ELSE -1 END::BIGINT AS epsg FROM lineitem GROUP BY 1")
 def q_epsg(spark, d):
-    known = [("a", 'PROJCS["x",AUTHORITY["EPSG","25830"]]'), ("b", 'GEOGCS["WGS 84",DATUM["d",AUTHORITY["EPSG","6326"]],AUTHORITY["EPSG","4326"]]'), ("c", "LOCAL_CS[]")]
-    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, "d")], "id int, dataset string")
-    return P.with_epsg(rows, spark.createDataFrame(known, "dataset string, wkt string")).select("id", "dataset", F.coalesce("epsg", F.lit(-1)).alias("epsg"))  # -1: unknown
+    """Points by their dataset with the code of its coordinates; -1: unknown."""
+    known = [("A", 'PROJCS["x",AUTHORITY["EPSG","25830"]]'), ("N", 'GEOGCS["WGS 84",DATUM["d",AUTHORITY["EPSG","6326"]],AUTHORITY["EPSG","4326"]]'), ("R", "LOCAL_CS[]")]
+    points = P.lineitem_points(spark, d, "l_returnflag").withColumnRenamed("l_returnflag", "dataset")
+    named = P.with_epsg(points, spark.createDataFrame(known, "dataset string, wkt string"))
+    return named.groupBy("dataset", F.coalesce("epsg", F.lit(-1)).alias("epsg")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {B.VEG} SELECT classification::BIGINT AS classification, count(*) AS n, 25830::BIGINT AS epsg, round(min(x), 2) AS min_x, round(max(y), 2) AS max_y, round(avg(z), 2) + 0.0::DOUBLE AS mean_z FROM veg GROUP BY 1")
@@ -125,9 +129,9 @@ def q_geotiff_frame(spark, d):
     return geotiff.read_frames(spark, folder)
 
 
-@query(f"SELECT x, y FROM (SELECT a.range AS x, b.range AS y FROM range(40) a, range(40) b) ORDER BY {B.draw(repr('42'), repr('top'), 'x', 'y')}, x, y LIMIT 25")
+@query(f"WITH {B.CELLS} SELECT x::BIGINT AS x, y::BIGINT AS y FROM cells ORDER BY {B.draw(repr('42'), repr('top'), 'x', 'y')}, x, y LIMIT 25")
 def q_top_random(spark, d):
-    return filters.top_random(B.cells(spark), 25, "x", "y")
+    return filters.top_random(B.cells(spark, d), 25, "x", "y")
 
 
 @query(f"WITH {R._SNAPS} SELECT step::BIGINT AS step, count(*) AS voxels, count(*) FILTER (state = 1) AS burning FROM snaps WHERE step % 2 = 0 OR step = {R._STEPS} GROUP BY step")
@@ -149,93 +153,83 @@ def q_reopened_run(spark, d):
     return out.where("state > 0").select(F.lit(R._STEPS).alias("step"), "x", "y", "z", "state", "fuel")
 
 
-@query("SELECT * FROM (VALUES ('a/x_nrd_values.csv'), ('c/d/y_nrd_values.csv')) t(path)")
+@query("SELECT DISTINCT 'sup' || l_suppkey || '/x_nrd_values.csv' AS path FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1)")
 def q_with_companions(spark, d):
-    tables = spark.createDataFrame([("a/x_nrd_values.csv",), ("b/x_nrd_values.csv",), ("c/d/y_nrd_values.csv",), ("e/z.csv",)], "path string")
-    files = spark.createDataFrame([("a/nrd_rasters/1.tif",), ("a/nrd_rasters/2.tif",), ("b/nrd_rasters/1.txt",), ("c/d/nrd_rasters/9.TIF",), ("e/rasters/1.tif",)], "path string")
-    return filters.with_companions(tables, files)
+    """Tables of suppliers beside which there is a raster, which those with a large first line have."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    path = lambda name: F.concat(F.lit("sup"), F.col("l_suppkey").cast("string"), name).alias("path")
+    rasters = lines.where("l_quantity > 48").select(path(F.when((F.col("l_quantity") > 49) & (F.col("l_linenumber") == 1), F.concat(F.lit("/nrd_rasters/"), F.col("l_partkey").cast("string"), F.lit(".TIF"))).otherwise(F.lit("/nrd_rasters/notes.txt"))))
+    return filters.with_companions(lines.select(path(F.lit("/x_nrd_values.csv"))).distinct(), rasters.distinct())
 
 
-@query("SELECT range % 5 AS dataset, count(*) AS total, count(*) FILTER (range % 7 > 1) AS succeeded, count(*) FILTER (NOT coalesce(CASE WHEN range % 7 <> 1 THEN range % 7 > 1 END, false)) AS failed FROM range(200) GROUP BY 1")
+@query("SELECT l_suppkey AS dataset, count(*) AS total, count(*) FILTER (l_linenumber BETWEEN 3 AND 6) AS succeeded, count(*) FILTER (NOT l_linenumber BETWEEN 3 AND 6) AS failed FROM lineitem GROUP BY 1")
 def q_outcomes(spark, d):
-    n = F.col("id")
-    return filters.outcomes(spark.range(200).select((n % 5).alias("dataset"), F.when(n % 7 != 1, n % 7 > 1).alias("ok")), "dataset")
+    """Outcomes by supplier; lines of number 7 have none, which is a failure."""
+    n = F.col("l_linenumber")
+    runs = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("dataset"), F.when(n < 7, n >= 3).alias("ok"))
+    return filters.outcomes(runs, "dataset")
 
 
-@query("SELECT range // 10 AS \"group\", min(range) AS first_layer, max(range) AS last_layer, count(*) AS layers FROM range(37) WHERE range % 9 <> 0 GROUP BY 1")
+@query(f"WITH {B.COUNTS} SELECT bin // 4 AS \"group\", min(bin) AS first_layer, max(bin) AS last_layer, count(DISTINCT bin) AS layers FROM cb WHERE n > 1 GROUP BY 1")
 def q_layer_groups(spark, d):
-    return raster.layer_groups(spark.range(37).where("id % 9 <> 0").select(F.col("id").cast("int").alias("z")))
+    """The height bins that are taken in together, four at a time."""
+    from emberline.operators.structure import cell_bins
 
+    return raster.layer_groups(cell_bins(B.positive(spark, d)).where("n > 1").select(F.col("bin").cast("int").alias("z")), 4)
 
-@query("SELECT a.range - 1 AS tile_x, b.range - 1 AS tile_y, a.range BETWEEN 1 AND 5 AND b.range BETWEEN 1 AND 4 AS valid FROM range(8) a, range(7) b")
+
+@query(f"WITH {B.CELLS} SELECT DISTINCT (x // 5 - 1)::BIGINT AS tile_x, (y // 6 - 1)::BIGINT AS tile_y, x // 5 BETWEEN 1 AND 5 AND y // 6 BETWEEN 1 AND 4 AS valid FROM cells")
 def q_valid_tiles(spark, d):
-    asked = spark.range(56).select((F.col("id") % 8 - 1).alias("tile_x"), (F.floor(F.col("id") / 8) - 1).alias("tile_y"))
-    return tiles.valid_tiles(asked, 5, 4)
+    at = lambda c, n: (F.floor(F.col(c) / n) - 1).alias(f"tile_{c}")
+    return tiles.valid_tiles(B.cells(spark, d).select(at("x", 5), at("y", 6)).distinct(), 5, 4)
 
 
-_LEVELS = "lv AS (SELECT l.range AS level, a.range AS x, b.range AS y, 0 AS state FROM range(3) l, range(40) a, range(40) b WHERE a.range < 40 // (1 << l.range)::INT AND b.range < 40 // (1 << l.range)::INT), ch AS (SELECT a.range * 3 AS x, b.range * 5 AS y, 1 + (a.range + b.range) % 2 AS state FROM range(10) a, range(7) b)"
+_LEVELS = B.STATES + ", lv AS (SELECT l.range AS level, x // (1 << l.range)::INT AS x, y // (1 << l.range)::INT AS y, state FROM range(3) l, flat WHERE x % (1 << l.range)::INT = 0 AND y % (1 << l.range)::INT = 0), ch AS (SELECT x, y, 1 + n % 2 AS state FROM flat WHERE n % 7 = 3)"
 
 
-@query(f"WITH {_LEVELS}, n AS (SELECT l.range AS level, x // (1 << l.range)::INT AS x, y // (1 << l.range)::INT AS y, max_by(state, y * 1000 + x) AS new FROM ch, range(3) l GROUP BY 1, 2, 3) SELECT level, x, y, coalesce(new, state)::BIGINT AS state FROM lv LEFT JOIN n USING (level, x, y)")
+@query(f"WITH {_LEVELS}, n AS (SELECT l.range AS level, x // (1 << l.range)::INT AS x, y // (1 << l.range)::INT AS y, max_by(state, y * 1000 + x) AS new FROM ch, range(3) l GROUP BY 1, 2, 3) SELECT level, x::BIGINT AS x, y::BIGINT AS y, coalesce(new, state)::BIGINT AS state FROM lv LEFT JOIN n USING (level, x, y)")
 def q_write_through(spark, d):
-    levels = raster.pyramid(B.cells(spark).withColumn("state", F.lit(0)), 3)
-    changed = spark.range(70).select((F.col("id") % 10).alias("a"), F.floor(F.col("id") / 10).alias("b")).select((F.col("a") * 3).cast("int").alias("x"), (F.col("b") * 5).cast("int").alias("y"), (F.lit(1) + (F.col("a") + F.col("b")) % 2).cast("int").alias("state"))
-    return raster.write_through(levels, changed)
+    """A pyramid of states after some cells of its finest level have changed."""
+    flat = B.states(spark, d)
+    changed = flat.where("n % 7 = 3").select("x", "y", (F.col("n") % 2 + 1).cast("int").alias("state"))
+    return raster.write_through(raster.pyramid(flat.drop("n"), 3), changed)
 
 
-@query("SELECT tile_x, tile_y, count(*) AS cells FROM (SELECT a.range // 8 AS tile_x, b.range // 8 AS tile_y FROM range(40) a, range(40) b) WHERE (tile_x, tile_y) NOT IN ((1, 1), (2, 3)) GROUP BY ALL")
+@query(f"WITH {B.POINTS} SELECT floor(x / 40)::BIGINT AS tile_x, floor(y / 40)::BIGINT AS tile_y, count(*) AS points, round(max(z), 6) + 0.0::DOUBLE AS top FROM points WHERE (floor(x / 40), floor(y / 40)) NOT IN ((1, 1), (2, 3)) GROUP BY ALL")
 def q_tile_store(spark, d):
-    """Tiles stored, one replaced and two removed, as the store gives them back."""
+    """Tiles of points stored, one column of them replaced and two removed, as the store gives them back."""
     from emberline.sources.store import TileStore
 
     kept = TileStore(spark, new_path(spark, "tiles"))
-    named = tiles.tile_of(B.cells(spark), 8)
+    named = tiles.tile_of(B.points(spark, d), 40)
     kept.put(named.where("tile_x < 3"))
     kept.put(named.where("tile_x >= 2"))
     kept.remove(1, 1), kept.remove(2, 3)
-    return spark.read.parquet(kept.root).groupBy("tile_x", "tile_y").agg(F.count("*").alias("cells"))
+    return spark.read.parquet(kept.root).groupBy("tile_x", "tile_y").agg(F.count("*").alias("points"), F.max("z").alias("top"))
 
 
-@query("SELECT 23::BIGINT AS tiles, true AS has_bytes")
+@query(f"WITH {B.POINTS} SELECT count(DISTINCT (floor(x / 40), floor(y / 40))) - 2 AS tiles, true AS has_bytes FROM points")
 def q_store_totals(spark, d):
     from emberline.sources.store import TileStore
 
     kept = TileStore(spark, new_path(spark, "tiles"))
-    kept.put(tiles.tile_of(B.cells(spark), 8))
+    kept.put(tiles.tile_of(B.points(spark, d), 40))
     kept.remove(0, 0), kept.remove(4, 4)
     return kept.info().select("tiles", (F.col("bytes") > 0).alias("has_bytes"))
 
 
-@query("SELECT * FROM (VALUES ('large', 'history_save_interval', '20'), ('large', 'memory_limit_mb', '500'), ('large', 'model_resolution', '10.0'), ('large', 'num_layers', '5'), ('large', 'storage_optimization_level', '2'), ('large', 'tile_overlap', '20'), ('large', 'tile_size', '200'), ('large', 'use_lazy_loading', 'true'), ('small', 'history_save_interval', '10'), ('small', 'memory_limit_mb', '4000'), ('small', 'model_resolution', '5.0'), ('small', 'num_layers', '8'), ('small', 'storage_optimization_level', '1'), ('small', 'tile_overlap', '20'), ('small', 'tile_size', '200'), ('small', 'use_lazy_loading', 'false')) t(config, field, value)")
-def q_config_optimise(spark, d):
-    given = C.Config()
-    made = {"small": C.optimise(given, 1000.0, 1000.0), "large": C.optimise(given, 100_000.0, 100_000.0, 500)}
-    fields = ["history_save_interval", "memory_limit_mb", "model_resolution", "num_layers", "storage_optimization_level", "tile_overlap", "tile_size", "use_lazy_loading"]
-    return C.field_table(spark, made).where(F.col("field").isin(fields))
-
-
-@query("SELECT * FROM (VALUES ('loaded', 'num_layers', '12'), ('loaded', 'tile_size', '150'), ('loaded', 'vegetation_classes', '[4, 5]'), ('loaded', 'wind_speed', '3.5')) t(config, field, value)")
-def q_config_load(spark, d):
-    """A configuration from a file with upper-case names and an unknown key, saved and loaded again."""
-    import os
-    import tempfile
-
-    made, unknown = C.Config.from_dict({"DEFAULT_NUM_LAYERS": 12, "tile_size": 150, "vegetation_classes": [4, 5], "wind_speed": 3.5, "no_such_key": 1})
-    assert unknown == ["no_such_key"]
-    with tempfile.TemporaryDirectory() as folder:  # on the driver only
-        made.save(os.path.join(folder, "c.json"))
-        again = C.Config.load(os.path.join(folder, "c.json"))
-    return C.field_table(spark, {"loaded": again}).where(F.col("field").isin("num_layers", "tile_size", "vegetation_classes", "wind_speed"))
+_RAW = [math.exp(-0.5 * (k / 0.5) ** 2) for k in range(-2, 3)]
+_TAPS = ", ".join(f"({k}, {w / sum(_RAW)!r}::DOUBLE)" for k, w in zip(range(-2, 3), _RAW, strict=True))
 
 
-@query("SELECT * FROM (VALUES ('default', 'barranco_amplification', '1.5'), ('default', 'barranco_threshold', '5.0'), ('default', 'terrain_effect', '0.5'), ('default', 'wind_direction', '0.0'), ('default', 'wind_influence', '0.5'), ('default', 'wind_speed', '5.0'), ('windy', 'barranco_amplification', '1.5'), ('windy', 'barranco_threshold', '5.0'), ('windy', 'terrain_effect', '0.5'), ('windy', 'wind_direction', '90.0'), ('windy', 'wind_influence', '0.5'), ('windy', 'wind_speed', '12.0')) t(config, field, value)")
-def q_config_subset(spark, d):
-    presets = C.Presets()
-    return C.field_table(spark, {"default": presets.get("default"), "windy": presets.get("windy_conditions")}, "wind")
+def _mirrored(axis: str, of: str, value: str) -> str:
+    """SQL of one pass over an axis of 40, what lies beyond an edge being as far before it."""
+    at = f"(({axis} + k + 78) % 78)"
+    other = "y" if axis == "x" else "x"
+    return f"SELECT a.{other}, a.{axis}, sum(w * b.{value}) AS v FROM (SELECT x, y, w, CASE WHEN {at} < 40 THEN {at} ELSE 78 - {at} END AS at FROM {of}, (VALUES {_TAPS}) t(k, w)) a JOIN {of} b ON b.{axis} = a.at AND b.{other} = a.{other} GROUP BY a.x, a.y"
 
 
-@query("SELECT 64::BIGINT AS pixels, 22.5::DOUBLE AS mean")
+@query(f"WITH {B.POINTS}{B.SURFACE}, once AS ({_mirrored('x', 'surface', 'elev')}), twice AS ({_mirrored('y', 'once', 'v')}) SELECT (x // 2)::BIGINT AS x, (y // 2)::BIGINT AS y, round(avg(v), 6) + 0.0::DOUBLE AS value FROM twice GROUP BY 1, 2")
 def q_resize_mean(spark, d):
-    """A symmetric shrink of a ramp keeps its mean."""
-    ramp = P.grid(spark, 16, 16).withColumn("value", (F.col("x") * 2 + F.col("y")).cast("double"))
-    return raster.resize(ramp, 16, 16, 8, 8).agg(F.count("*").alias("pixels"), F.avg("value").alias("mean"))
+    """The ground at half its resolution, smoothed by half a cell before."""
+    return raster.resize(B.surface(spark, d).withColumnRenamed("elev", "value"), 40, 40, 20, 20)

@@ -164,7 +164,7 @@ def q_nn_height(spark, d):
 
 @query(B.final(_NEAR + ", c AS (SELECT a.range::INT AS gx0, b.range::INT AS gy0 FROM range(40) a, range(40) b), w AS (SELECT gx0, gy0, gz, 1.0::DOUBLE / greatest(sqrt(((gx0 + 0.5) * 5 - gx) ** 2 + ((gy0 + 0.5) * 5 - gy) ** 2), 1e-9) ** 2 AS w FROM c, ground WHERE sqrt(((gx0 + 0.5) * 5 - gx) ** 2 + ((gy0 + 0.5) * 5 - gy) ** 2) <= 22), dtm AS (SELECT gx0 AS gx, gy0 AS gy, sum(w * gz) / sum(w) AS elev FROM w GROUP BY ALL)", "gx gy", "elev", source="dtm"))
 def q_idw_dtm(spark, d):
-    cells = B.cells(spark).select(F.col("x").alias("gx"), F.col("y").alias("gy"))
+    cells = B.cells(spark, d).select(F.col("x").alias("gx"), F.col("y").alias("gy"))
     return joins.terrain_model(_ground(spark, d), cells)
 
 
@@ -214,20 +214,24 @@ def q_uneven_bins(spark, d):
     return joins.to_edges(B.positive(spark, d), edges).groupBy("low", "high").agg(F.count("*").alias("n"))
 
 
-_LINES = ["Note: bins with few points are left out", "Threshold,5", "Height (m),NRD Value", "0.0,1.0", "2.0,0.3333", "broken,row", "4.0,0.1429", "6.0"]
-
-
-@query("SELECT * FROM (VALUES (0.0::DOUBLE, 1.0::DOUBLE), (2.0, 0.3333), (4.0, 0.1429)) t(height, nrd)")
+@query(B.final(_PROFILE, "", "height nrd", source="(SELECT bin * 2.0::DOUBLE AS height, round(nrd, 6) AS nrd FROM profile)"))
 def q_parse_profile(spark, d):
-    return rasters.parse_profile(spark.createDataFrame([(x,) for x in _LINES], "value string"))
+    """The lines of a profile file, with its notes and a broken row, read back."""
+    made = structure.profile(structure.height_bins(B.positive(spark, d))).select(F.concat_ws(",", (F.col("bin") * 2.0).cast("string"), F.format_string("%.6f", "nrd")).alias("value"))
+    notes = B.positive(spark, d).agg(F.concat(F.lit("Threshold,"), F.lit(" of "), F.count("*").cast("string"), F.lit(" points")).alias("a"), F.lit("Height (m),NRD Value").alias("b"), F.lit("broken,row").alias("c"), F.lit("6.0").alias("e"))
+    return rasters.parse_profile(made.unionByName(notes.select(F.explode(F.array("a", "b", "c", "e")).alias("value"))))
 
 
-@query("SELECT * FROM (VALUES ('a/layer_1.tif', 0::BIGINT), ('z/layer_3.tif', 2), ('a/bin_2m.tif', 1), ('b/pad_5.tif', 4)) t(path, layer)")
+@query(f"WITH {B.COUNTS}, f AS (SELECT DISTINCT bin, CASE WHEN bin % 3 = 0 THEN 'a/layer_' || (bin + 1) || '.tif' WHEN bin % 3 = 1 THEN 'b/bin_' || bin * 2 || 'm.tif' ELSE 'c/pad_' || (bin + 1) || '.tif' END AS path FROM cb) SELECT path, bin AS layer FROM f WHERE bin < 8")
 def q_raster_layers(spark, d):
-    names = ["a/layer_1.tif", "a/layer_3.tif", "z/layer_3.tif", "a/bin_2m.tif", "b/pad_5.tif", "c/pad_99.tif", "c/none.tif"]
-    return rasters.raster_files(spark.createDataFrame([(n,) for n in names], "path string"), 2.0, 8)
+    """The layers that raster files of height bins stand for, by three ways of naming."""
+    b = F.col("bin")
+    named = F.when(b % 3 == 0, F.concat(F.lit("a/layer_"), (b + 1).cast("string"), F.lit(".tif"))).when(b % 3 == 1, F.concat(F.lit("b/bin_"), (b * 2).cast("string"), F.lit("m.tif"))).otherwise(F.concat(F.lit("c/pad_"), (b + 1).cast("string"), F.lit(".tif")))
+    return rasters.raster_files(structure.cell_bins(B.positive(spark, d)).select(named.alias("path")).distinct(), 2.0, 8)
 
 
-@query("SELECT * FROM (VALUES ('0.0-2.0m', 0.0::DOUBLE), ('-2.0-0.0m', -2.0), ('14.0-16.0m', 14.0)) t(label, low)")
+@query(f"WITH {B.VEG} SELECT DISTINCT format('{{:.1f}}-{{:.1f}}m', floor(z / 2) * 2.0::DOUBLE, floor(z / 2) * 2.0::DOUBLE + 2) AS label, floor(z / 2) * 2.0::DOUBLE AS low FROM veg")
 def q_label_low(spark, d):
-    return spark.createDataFrame([("0.0-2.0m",), ("-2.0-0.0m",), ("14.0-16.0m",)], "label string").select("label", H.label_low(F.col("label")).alias("low"))
+    """Labels of all bins, those below zero too, and their lower edges."""
+    labels = B.veg(spark, d).select(H.bin_label(F.floor(F.col("z") / 2)).alias("label")).distinct()
+    return labels.select("label", H.label_low(F.col("label")).alias("low"))

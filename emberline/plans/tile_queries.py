@@ -8,6 +8,7 @@ from emberline import config as C
 from emberline.functions import fire, keys
 from emberline.operators import joins, raster, tiles
 from emberline.plans import base as B
+from emberline.sources import points as P
 from emberline.streaming import wind as W
 
 QUERIES, ORACLE = {}, {}
@@ -23,34 +24,51 @@ def query(sql: str | None):
     return add
 
 
-def _flat(spark):
-    return B.pattern(B.cells(spark).withColumn("z", F.lit(0))).drop("z").withColumn("state", F.when((F.col("x") < 12) & (F.col("y") < 25), F.col("state")).otherwise(0))
+def _flat(spark, d):
+    """Cells with a state that only the lower left of the forest has."""
+    here = (F.col("x") < 12) & (F.col("y") < 25)
+    return B.states(spark, d).select("x", "y", F.when(here, F.col("state")).otherwise(0).alias("state"))
 
 
-_FLAT = "flat AS (SELECT a.range::INT AS x, b.range::INT AS y, CASE WHEN a.range < 12 AND b.range < 25 THEN CASE (a.range * 7 + b.range * 13) % 17 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END ELSE 0 END AS state FROM range(40) a, range(40) b)"
-_GRID = "grid AS (SELECT a.range::INT AS tile_x, b.range::INT AS tile_y FROM range(5) a, range(5) b), tl AS (SELECT tile_x, tile_y, tile_x * 8 AS x_min, least(40, tile_x * 8 + 10) AS x_max, tile_y * 8 AS y_min, least(40, tile_y * 8 + 10) AS y_max FROM grid)"
+_FLAT = B.STATES.replace("flat AS (", "all_cells AS (") + ", flat AS (SELECT x, y, CASE WHEN x < 12 AND y < 25 THEN state ELSE 0 END AS state FROM all_cells)"
+#: tiles of 10 cells that overlap by 2
+_GRID = ", grid AS (SELECT DISTINCT x // 8 AS tile_x, y // 8 AS tile_y FROM cells), tl AS (SELECT tile_x, tile_y, tile_x * 8 AS x_min, least(40, tile_x * 8 + 10) AS x_max, tile_y * 8 AS y_min, least(40, tile_y * 8 + 10) AS y_max FROM grid)"
 
 
-@query(B.final(_GRID, "tile_x tile_y x_min x_max y_min y_max", source="tl"))
+def _tiles(spark, d):
+    return tiles.tile_grid(spark, *B.size(spark, d), 10, 2)
+
+
+
+@query(B.final(B.CELLS + _GRID, "tile_x tile_y x_min x_max y_min y_max", source="tl"))
 def q_tiles(spark, d):
-    return tiles.tile_grid(spark, 40, 40, 10, 2)
+    return _tiles(spark, d)
 
 
-@query(f"WITH {_GRID}, {_FLAT} SELECT tile_x::BIGINT AS tile_x, tile_y::BIGINT AS tile_y, count(*) AS cells, sum(state)::BIGINT AS states FROM flat JOIN tl ON x >= x_min AND x < x_max AND y >= y_min AND y < y_max GROUP BY ALL")
+@query(f"WITH {_FLAT}{_GRID} SELECT tile_x::BIGINT AS tile_x, tile_y::BIGINT AS tile_y, count(*) AS cells, sum(state)::BIGINT AS states FROM flat JOIN tl ON x >= x_min AND x < x_max AND y >= y_min AND y < y_max GROUP BY ALL")
 def q_tile_cells(spark, d):
-    named = tiles.cells_of(_flat(spark), tiles.tile_grid(spark, 40, 40, 10, 2), 8, 10)
+    named = tiles.cells_of(_flat(spark, d), _tiles(spark, d), 8, 10)
     return named.groupBy("tile_x", "tile_y").agg(F.count("*").alias("cells"), F.sum("state").alias("states"))
 
 
-@query("WITH g AS (SELECT a.range AS tile_x, b.range AS tile_y FROM range(4) a, range(4) b) SELECT g.tile_x, g.tile_y, h.tile_x AS near_x, h.tile_y AS near_y FROM g, g h WHERE abs(g.tile_x - h.tile_x) <= 1 AND abs(g.tile_y - h.tile_y) <= 1 AND (g.tile_x, g.tile_y) <> (h.tile_x, h.tile_y)")
+@query(f"WITH {B.CELLS}, g AS (SELECT DISTINCT x // 10 AS tile_x, y // 10 AS tile_y FROM cells) SELECT g.tile_x::BIGINT AS tile_x, g.tile_y::BIGINT AS tile_y, h.tile_x::BIGINT AS near_x, h.tile_y::BIGINT AS near_y FROM g, g h WHERE abs(g.tile_x - h.tile_x) <= 1 AND abs(g.tile_y - h.tile_y) <= 1 AND (g.tile_x, g.tile_y) <> (h.tile_x, h.tile_y)")
 def q_tile_neighbors(spark, d):
-    return tiles.tile_neighbours(tiles.tile_grid(spark, 40, 40, 10))
+    return tiles.tile_neighbours(tiles.tile_grid(spark, *B.size(spark, d), 10))
+
 
+_REGIONS = B.POINTS + ", r AS (SELECT l_suppkey AS region_id, floor(min(x) / 5)::INT - 5 AS x, floor(min(y) / 5)::INT - 5 AS y, floor((max(x) - min(x)) / 5)::INT AS w, floor((max(y) - min(y)) / 5)::INT AS h FROM (SELECT l_suppkey, (l_partkey % 40) * 5.0::DOUBLE + l_discount * 40.0::DOUBLE AS x, (l_orderkey % 40) * 5.0::DOUBLE + l_tax * 50.0::DOUBLE AS y FROM lineitem WHERE l_quantity > 48) GROUP BY l_suppkey)"
 
-@query("WITH r AS (SELECT * FROM (VALUES (1, 5, 5, 12, 3), (2, 30, 30, 30, 30), (3, 0, 0, 0, 0), (4, 60, 5, 10, 5), (5, -40, -40, 10, 60), (6, -15, 12, 30, 100)) t(region_id, x, y, w, h)) SELECT region_id::BIGINT AS region_id, a.range AS tile_x, b.range AS tile_y FROM r, range(4) a, range(4) b WHERE a.range BETWEEN floor(x / 10) AND floor((x + w) / 10) AND b.range BETWEEN floor(y / 10) AND floor((y + h) / 10)")
+
+def _regions(spark, d):
+    """(region_id, x, y, w, h): the cells around the tall points of each supplier, reaching over the rim."""
+    tall = P.lineitem_points(spark, d, "l_suppkey", "l_quantity").where("l_quantity > 48").groupBy(F.col("l_suppkey").alias("region_id"))
+    at, wide = (lambda c: (F.floor(F.min(c) / 5) - 5).cast("int")), (lambda c: F.floor((F.max(c) - F.min(c)) / 5).cast("int"))
+    return tall.agg(at("x").alias("x"), at("y").alias("y"), wide("x").alias("w"), wide("y").alias("h"))
+
+
+@query(f"WITH {_REGIONS}, t AS (SELECT unnest(range(4)) AS k) SELECT region_id::BIGINT AS region_id, a.k AS tile_x, b.k AS tile_y FROM r, t a, t b WHERE a.k BETWEEN floor(x / 10) AND floor((x + w) / 10) AND b.k BETWEEN floor(y / 10) AND floor((y + h) / 10)")
 def q_region_tiles(spark, d):
-    r = spark.createDataFrame([(1, 5, 5, 12, 3), (2, 30, 30, 30, 30), (3, 0, 0, 0, 0), (4, 60, 5, 10, 5), (5, -40, -40, 10, 60), (6, -15, 12, 30, 100)], "region_id int, x int, y int, w int, h int")
-    return tiles.region_tiles(r, 10, 4, 4)
+    return tiles.region_tiles(_regions(spark, d), 10, 4, 4)
 
 
 _ACTS = _FLAT + ", acts AS (SELECT x // 10 AS tile_x, y // 10 AS tile_y, count(*) FILTER (state = 1) AS burning, bool_or(state > 0) AS touched FROM flat GROUP BY 1, 2)"
@@ -58,26 +76,34 @@ _ACTS = _FLAT + ", acts AS (SELECT x // 10 AS tile_x, y // 10 AS tile_y, count(*
 
 @query(f"WITH {_ACTS} SELECT tile_x::BIGINT AS tile_x, tile_y::BIGINT AS tile_y, burning, touched, burning = 0 AND NOT EXISTS (SELECT 1 FROM acts b WHERE b.burning > 0 AND abs(a.tile_x - b.tile_x) + abs(a.tile_y - b.tile_y) = 1) AS can_rest FROM acts a")
 def q_tile_activity(spark, d):
-    return tiles.tile_activity(_flat(spark), 10)
+    return tiles.tile_activity(_flat(spark, d), 10)
 
 
 @query(f"WITH {_ACTS} SELECT DISTINCT a.tile_x::BIGINT AS tile_x, a.tile_y::BIGINT AS tile_y FROM acts a JOIN acts b ON b.burning > 0 AND abs(a.tile_x - b.tile_x) <= 1 AND abs(a.tile_y - b.tile_y) <= 1 AND (a.tile_x, a.tile_y) <> (b.tile_x, b.tile_y) WHERE (a.tile_x, a.tile_y) NOT IN ((0, 0), (1, 1))")
 def q_tile_activation(spark, d):
     active = spark.createDataFrame([(0, 0), (1, 1)], "tile_x int, tile_y int")
-    return tiles.to_activate(active, _flat(spark), 10)
+    return tiles.to_activate(active, _flat(spark, d), 10)
 
 
-@query("WITH t AS (SELECT range AS tile_x, range * 3 % 7 AS tile_y, (1 + range % 4)::DOUBLE AS size, range * 11 % 13 AS last_used FROM range(12)), r AS (SELECT *, sum(size) OVER (ORDER BY last_used DESC, tile_x, tile_y ROWS UNBOUNDED PRECEDING) AS running FROM t) SELECT *, running <= 15 AS stays FROM r")
+@query(f"WITH {B.POINTS}, t AS (SELECT floor(x / 40)::BIGINT AS tile_x, floor(y / 40)::BIGINT AS tile_y, count(*)::DOUBLE AS size, max(floor(z * 10))::BIGINT AS last_used FROM points GROUP BY ALL), r AS (SELECT *, sum(size) OVER (ORDER BY last_used DESC, tile_x, tile_y ROWS UNBOUNDED PRECEDING) AS running FROM t) SELECT *, running <= 20000 AS stays FROM r")
 def q_lru(spark, d):
-    n = F.col("id")
-    held = spark.range(12).select(n.alias("tile_x"), (n * 3 % 7).alias("tile_y"), (n % 4 + 1).cast("double").alias("size"), (n * 11 % 13).alias("last_used"))
-    return tiles.eviction(held, 15.0)
+    """Which tiles stay within a budget of points, the highest first."""
+    tile = [F.floor(F.col(c) / 40).alias(f"tile_{c}") for c in "xy"]
+    held = B.points(spark, d).groupBy(*tile).agg(F.count("*").cast("double").alias("size"), F.max(F.floor(F.col("z") * 10)).alias("last_used"))
+    return tiles.eviction(held, 20_000.0)
+
 
+#: boxes of one cell for crowded cells and of five along x for empty ones, in rows 3 apart, so that boxes touch along x alone
+_BARS = B.STATES + ", bars AS (SELECT x * 10 AS x_min, x * 10 + CASE state WHEN 1 THEN 45 ELSE 5 END AS x_max, y * 10 AS y_min, y * 10 + 5 AS y_max FROM flat WHERE state > 0 AND y % 3 = 0)"
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 9::BIGINT, 0::BIGINT, 9::BIGINT), (20, 39, 20, 39), (50, 55, 0, 5)) t(x_min, x_max, y_min, y_max)")
+
+@query(f"WITH {_BARS}, m AS (SELECT *, max(x_max) OVER (PARTITION BY y_min ORDER BY x_min ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bars), g AS (SELECT *, count(*) FILTER (before IS NULL OR x_min > before) OVER (PARTITION BY y_min ORDER BY x_min) AS run FROM m) SELECT min(x_min)::BIGINT AS x_min, max(x_max)::BIGINT AS x_max, y_min::BIGINT AS y_min, max(y_max)::BIGINT AS y_max FROM g GROUP BY y_min, run")
 def q_merge_regions(spark, d):
-    boxes = [(0, 5, 0, 5), (5, 9, 4, 9), (20, 25, 20, 25), (24, 39, 24, 39), (30, 31, 20, 22), (50, 55, 0, 5)]
-    return tiles.merge_regions(spark.createDataFrame(boxes, "x_min int, x_max int, y_min int, y_max int"))
+    """Bars over the cells of a state, merged where they touch."""
+    at = B.states(spark, d).where("state > 0 AND y % 3 = 0")
+    long = F.when(F.col("state") == 1, 45).otherwise(5)
+    bars = at.select((F.col("x") * 10).alias("x_min"), (F.col("x") * 10 + long).alias("x_max"), (F.col("y") * 10).alias("y_min"), (F.col("y") * 10 + 5).alias("y_max"))
+    return tiles.merge_regions(bars)
 
 
 _BOXES = "box AS (SELECT DISTINCT greatest(0, x - 3) AS x_min, least(39, x + 3) AS x_max, greatest(0, y - 3) AS y_min, least(39, y + 3) AS y_max FROM flat WHERE state = 1)"
@@ -85,68 +111,98 @@ _BOXES = "box AS (SELECT DISTINCT greatest(0, x - 3) AS x_min, least(39, x + 3)
 
 @query(f"WITH {_FLAT}, {_BOXES}, f AS (SELECT x, y, EXISTS (SELECT 1 FROM box WHERE x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max) AS inside FROM flat) SELECT f.x::BIGINT AS x, f.y::BIGINT AS y, CASE WHEN inside THEN 0 ELSE 1 END::BIGINT AS level, s.state::BIGINT AS state FROM f JOIN flat s ON s.x = CASE WHEN inside THEN f.x ELSE f.x // 2 * 2 END AND s.y = CASE WHEN inside THEN f.y ELSE f.y // 2 * 2 END")
 def q_multi_resolution(spark, d):
-    flat = _flat(spark)
+    flat = _flat(spark, d)
     boxes = tiles.regions_around(flat, 40, 40, reach=3)
     return tiles.multi_resolution(raster.pyramid(flat, 2), boxes, flat)
 
 
-@query(f"WITH {_GRID}, r AS (SELECT range AS box_id, (range * 7 % 30)::DOUBLE AS x_min, (range * 7 % 30 + 5)::DOUBLE AS x_max, (range * 11 % 30)::DOUBLE AS y_min, (range * 11 % 30 + 9)::DOUBLE AS y_max FROM range(20)) SELECT box_id, tile_x::BIGINT AS tile_x, tile_y::BIGINT AS tile_y FROM r JOIN tl ON r.x_min < tl.x_max AND r.x_max > tl.x_min AND r.y_min < tl.y_max AND r.y_max > tl.y_min")
+_BOXES_OF = "r AS (SELECT l_suppkey AS box_id, min(x) / 5 AS x_min, max(x) / 5 AS x_max, min(y) / 5 AS y_min, max(y) / 5 AS y_max FROM (SELECT l_suppkey, (l_partkey % 40) * 5.0::DOUBLE + l_discount * 40.0::DOUBLE AS x, (l_orderkey % 40) * 5.0::DOUBLE + l_tax * 50.0::DOUBLE AS y FROM lineitem WHERE l_quantity > 49) GROUP BY l_suppkey)"
+
+
+@query(f"WITH {B.CELLS}{_GRID}, {_BOXES_OF} SELECT box_id, tile_x::BIGINT AS tile_x, tile_y::BIGINT AS tile_y FROM r JOIN tl ON r.x_min < tl.x_max AND r.x_max > tl.x_min AND r.y_min < tl.y_max AND r.y_max > tl.y_min")
 def q_raster_tiles(spark, d):
-    n = F.col("id")
-    boxes = spark.range(20).select(n.alias("box_id"), (n * 7 % 30).cast("double").alias("x_min"), (n * 7 % 30 + 5).cast("double").alias("x_max"), (n * 11 % 30).cast("double").alias("y_min"), (n * 11 % 30 + 9).cast("double").alias("y_max"))
-    return joins.overlapping(boxes, tiles.tile_grid(spark, 40, 40, 10, 2))
+    """The tiles that the box around each supplier's tallest points touches."""
+    tall = P.lineitem_points(spark, d, "l_suppkey", "l_quantity").where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("box_id"))
+    boxes = tall.agg(*[(f(c) / 5).alias(f"{c}_{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))])
+    return joins.overlapping(boxes, _tiles(spark, d))
 
 
-@query("WITH c AS (SELECT * FROM (VALUES (100, 100, 3), (1000, 1000, 3), (5000, 5000, 8), (20000, 10000, 8)) t(width, height, layers)), m AS (SELECT *, width::BIGINT * height * layers AS total_cells, width::BIGINT * height * layers * 15 / 1048576.0::DOUBLE AS total_mb, least(floor(sqrt(4000.0::DOUBLE * 1048576 / 15 / layers))::BIGINT, 200) AS side FROM c) SELECT width::BIGINT AS width, height::BIGINT AS height, layers::BIGINT AS layers, total_cells, round(total_mb, 6) AS total_mb, CASE WHEN total_mb > 4000 THEN ceil(width / (side - 40)::DOUBLE)::BIGINT * ceil(height / (side - 40)::DOUBLE)::BIGINT ELSE 0 END AS tiles FROM m")
+@query(f"WITH {B.POINTS}, c AS (SELECT classification AS kind, ceil((max(x) - min(x)) * 100)::BIGINT AS width, ceil((max(y) - min(y)) * 100)::BIGINT AS height FROM points GROUP BY ALL), m AS (SELECT *, width * height * 8 AS total_cells, width * height * 8 * 15 / 1048576.0::DOUBLE AS total_mb, least(floor(sqrt(4000.0::DOUBLE * 1048576 / 15 / 8))::BIGINT, 200) AS side FROM c) SELECT kind::BIGINT AS kind, width, height, total_cells, round(total_mb, 6) AS total_mb, CASE WHEN total_mb > 4000 THEN ceil(width / greatest(1, side - 40))::BIGINT * ceil(height / greatest(1, side - 40))::BIGINT ELSE 0 END AS tiles FROM m")
 def q_memory_plan(spark, d):
+    """What a grid of centimetres over the points of each class would take."""
+    wide = lambda c: F.ceil((F.max(c) - F.min(c)) * 100).alias(c)
     rows = []
-    for w, h, n in ((100, 100, 3), (1000, 1000, 3), (5000, 5000, 8), (20_000, 10_000, 8)):
-        plan = C.memory_plan(C.Config(num_layers=n), w, h)
-        rows.append((w, h, n, plan["total_cells"], plan["total_mb"], plan.get("total_tiles", 0)))
-    return spark.createDataFrame(rows, "width long, height long, layers long, total_cells long, total_mb double, tiles long")
+    for kind, w, h in B.points(spark, d).groupBy("classification").agg(wide("x"), wide("y")).collect():  # a row for each class
+        plan = C.memory_plan(C.Config(num_layers=8), w, h)
+        rows.append((kind, w, h, plan["total_cells"], plan["total_mb"], plan.get("total_tiles", 0)))
+    return spark.createDataFrame(rows, "kind long, width long, height long, total_cells long, total_mb double, tiles long")
 
 
-_PARAMS = [("HORIZONTAL_SPREAD_PROBABILITY", 1.5), ("STORAGE_OPTIMIZATION_LEVEL", 5.0), ("MAX_STEPS", 20000.0), ("MODEL_RESOLUTION", 5.0), ("MEMORY_LIMIT_MB", 10.0), ("WIND_INFLUENCE", -1.0), ("UNKNOWN", 1.0)]
+#: parameters that the line numbers of orders stand for, and how wide their values range
+_PARAMS = [("HORIZONTAL_SPREAD_PROBABILITY", 0.05), ("STORAGE_OPTIMIZATION_LEVEL", 0.1), ("MAX_STEPS", 400.0), ("MODEL_RESOLUTION", 1.0), ("MEMORY_LIMIT_MB", 5.0), ("WIND_INFLUENCE", 3.0), ("UNKNOWN", 1.0)]
+_VALUES = ", ".join(f"({k + 1}, '{p}', {w!r}::DOUBLE)" for k, (p, w) in enumerate(_PARAMS))
+_RULES = "(VALUES ('HORIZONTAL_SPREAD_PROBABILITY', 0.0, 1.0, 'FIX'), ('STORAGE_OPTIMIZATION_LEVEL', NULL, NULL, 'FIX'), ('MAX_STEPS', 1, 10000, 'WARNING'), ('MODEL_RESOLUTION', 0.1, 100, 'ERROR'), ('MEMORY_LIMIT_MB', 100, 1000000, 'FIX'), ('WIND_INFLUENCE', 0, 100, 'WARNING')) r(param, low, high, level)"
 
 
-@query("SELECT * FROM (VALUES ('HORIZONTAL_SPREAD_PROBABILITY', 1.5::DOUBLE, false, 'above the upper bound', 1.0::DOUBLE, 'FIX'), ('STORAGE_OPTIMIZATION_LEVEL', 5.0, false, 'not an allowed choice', 0.0, 'FIX'), ('MAX_STEPS', 20000.0, false, 'above the upper bound', NULL, 'WARNING'), ('MODEL_RESOLUTION', 5.0, true, 'ok', NULL, 'ERROR'), ('MEMORY_LIMIT_MB', 10.0, false, 'below the lower bound', 100.0, 'FIX'), ('WIND_INFLUENCE', -1.0, false, 'below the lower bound', NULL, 'WARNING')) t(param, value, is_valid, message, fixed_value, level)")
+@query(f"WITH v AS (SELECT DISTINCT param, (l_quantity - 1) * w AS value FROM lineitem JOIN (VALUES {_VALUES}) p(k, param, w) ON k = l_linenumber), c AS (SELECT v.param, value, low, high, level, CASE WHEN low IS NULL THEN value NOT IN (0, 1, 2, 3) END AS outside FROM v JOIN {_RULES} ON r.param = v.param) SELECT param, round(value, 6) AS value, NOT coalesce(outside, value < low OR value > high) AS is_valid, CASE WHEN outside THEN 'not an allowed choice' WHEN value < low THEN 'below the lower bound' WHEN value > high THEN 'above the upper bound' ELSE 'ok' END AS message, CASE WHEN level <> 'FIX' THEN -1 WHEN outside THEN 0 WHEN value < low THEN low WHEN value > high THEN high ELSE -1 END::DOUBLE AS fixed_value, level FROM c")
 def q_config_validate(spark, d):
-    return C.validate(spark.createDataFrame(_PARAMS, "param string, value double"), C.rules_table(spark))
+    """Values that the orders give parameters, each checked by its rule and repaired (-1: nothing to repair)."""
+    kinds = F.broadcast(spark.createDataFrame([(k + 1, p, w) for k, (p, w) in enumerate(_PARAMS)], "k int, param string, w double"))  # seven rows
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_linenumber", "l_quantity").distinct()
+    given = lines.join(kinds, F.col("l_linenumber") == F.col("k")).select("param", ((F.col("l_quantity") - 1) * F.col("w")).alias("value"))
+    return C.validate(given, C.rules_table(spark)).na.fill(-1.0, ["fixed_value"])
 
 
-@query("SELECT 'bad' AS config, rule FROM (VALUES ('tile_configuration'), ('spread_probability'), ('max_fuel_value')) t(rule)")
+@query("WITH c AS (SELECT DISTINCT l_orderkey % 97 AS config, (l_quantity * 4)::INT AS tile_size, l_discount * 15 AS spread_probability, l_tax AS max_fuel_value FROM lineitem) SELECT rule, count(*) AS configs FROM (SELECT unnest(['tile_configuration', 'spread_probability', 'max_fuel_value']) AS rule, unnest([tile_size > 40, spread_probability <= 1, max_fuel_value > 0.1]) AS ok FROM c) WHERE NOT ok GROUP BY rule")
 def q_config_fields(spark, d):
-    good = {k: v for k, v in C.Config().to_dict().items() if not isinstance(v, tuple)}
-    bad = good | {"tile_size": 30, "spread_probability": 1.5, "max_fuel_value": 0.05}
-    rows = spark.createDataFrame([good | {"config": "good"}, bad | {"config": "bad"}])
-    return C.field_checks(rows).where(~F.col("ok")).select("config", "rule")
+    """How many of the configurations that orders stand for break each rule."""
+    plain = {k: v for k, v in C.Config().to_dict().items() if not isinstance(v, tuple) and k not in ("tile_size", "spread_probability", "max_fuel_value")}
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 97).alias("config"), (F.col("l_quantity") * 4).cast("int").alias("tile_size"), (F.col("l_discount") * 15).alias("spread_probability"), F.col("l_tax").alias("max_fuel_value")).distinct()
+    rows = lines.select("*", *[F.lit(v).alias(k) for k, v in plain.items()])
+    return C.field_checks(rows).where(~F.col("ok")).groupBy("rule").agg(F.count("*").alias("configs"))
 
 
-@query("SELECT * FROM (VALUES ('a', '1'), ('b', '3'), ('c', '4')) t(param, value)")
+@query("WITH b AS (SELECT 'p' || (l_partkey % 50) AS param, count(*)::VARCHAR AS value FROM lineitem WHERE l_linenumber < 5 GROUP BY 1), c AS (SELECT 'p' || (l_suppkey % 80) AS param, 's' || count(*) AS value FROM lineitem WHERE l_linenumber > 5 AND l_suppkey % 3 = 0 GROUP BY 1) SELECT param, coalesce(c.value, b.value) AS value FROM b FULL JOIN c USING (param)")
 def q_config_override(spark, d):
-    return C.override(spark.createDataFrame([("a", "1"), ("b", "2")], "param string, value string"), spark.createDataFrame([("b", "3"), ("c", "4")], "param string, value string"))
+    """Parameters that parts set and that suppliers override."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    base = lines.where("l_linenumber < 5").groupBy(F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("param")).agg(F.count("*").cast("string").alias("value"))
+    changes = lines.where("l_linenumber > 5 AND l_suppkey % 3 = 0").groupBy(F.concat(F.lit("p"), F.col("l_suppkey") % 80).alias("param")).agg(F.concat(F.lit("s"), F.count("*").cast("string")).alias("value"))
+    return C.override(base, changes)
+
+
+_AREAS = "areas AS (SELECT l_suppkey AS id, count(*) * 7000.0::DOUBLE AS area, (count(*) % 10) / 10.0::DOUBLE AS density, (sum(l_linenumber) % 13)::DOUBLE AS wind FROM lineitem GROUP BY 1), chosen AS (SELECT id, CASE WHEN area > 4000000 THEN 'large_area' WHEN wind > 7 THEN 'windy_conditions' WHEN density > 0.7 THEN 'high_resolution' ELSE 'default' END AS preset FROM areas)"
+
+
+def areas(spark, d):
+    """(id, area, density, wind): study areas that suppliers stand for."""
+    n = F.count("*")
+    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("id")).agg((n * 7000.0).alias("area"), (n % 10 / 10.0).alias("density"), (F.sum("l_linenumber") % 13).cast("double").alias("wind"))
 
 
-@query("SELECT * FROM (VALUES ('default', 8::BIGINT), ('high_resolution', 8), ('large_area', 8), ('windy_conditions', 10)) t(preset, params)")
+@query(f"WITH {_AREAS} SELECT preset, count(*) AS areas, CASE preset WHEN 'windy_conditions' THEN 10 ELSE 8 END::BIGINT AS params FROM chosen GROUP BY preset")
 def q_presets(spark, d):
-    return C.preset_table(spark).groupBy("preset").agg(F.count("*").alias("params"))
+    """The presets that study areas choose, and how many parameters each sets."""
+    chosen = areas(spark, d).select(C.preset_choice(F.col("area"), F.col("density"), F.col("wind")).alias("preset")).groupBy("preset").agg(F.count("*").alias("areas"))
+    params = C.preset_table(spark).groupBy("preset").agg(F.count("*").alias("params"))
+    return chosen.join(params, "preset")
 
 
-_BENCH = "b AS (SELECT * FROM (VALUES ('Baseline', 1, 10.0::DOUBLE, 200.0::DOUBLE), ('Baseline', 2, 12.0, 210.0), ('Tiled', 1, 14.0, 100.0), ('Tiled', 2, 15.0, 90.0)) t(config, run, seconds, mb))"
+_BENCH = "m AS (SELECT l_returnflag AS config, avg(l_quantity) AS seconds, avg(l_linenumber * 10.0::DOUBLE) AS mb FROM lineitem GROUP BY 1)"
 
 
-@query(f"WITH {_BENCH}, m AS (SELECT config, avg(seconds) AS seconds, avg(mb) AS mb FROM b GROUP BY config) SELECT m.config, m.seconds, m.mb, round(m.seconds / z.seconds * 100, 6) AS relative_seconds, round(m.mb / z.mb * 100, 6) AS relative_mb FROM m, m z WHERE z.config = 'Baseline'")
+@query(f"WITH {_BENCH} SELECT m.config, round(m.seconds, 6) AS seconds, round(m.mb, 6) AS mb, round(m.seconds / z.seconds * 100, 6) AS relative_seconds, round(m.mb / z.mb * 100, 6) AS relative_mb FROM m, m z WHERE z.config = 'N'")
 def q_benchmark_relative(spark, d):
-    runs = spark.createDataFrame([("Baseline", 1, 10.0, 200.0), ("Baseline", 2, 12.0, 210.0), ("Tiled", 1, 14.0, 100.0), ("Tiled", 2, 15.0, 90.0)], "config string, run int, seconds double, mb double")
-    mean = runs.groupBy("config").agg(F.avg("seconds").alias("seconds"), F.avg("mb").alias("mb"))
-    zero = mean.where("config = 'Baseline'").select(F.col("seconds").alias("s0"), F.col("mb").alias("m0"))  # one row
+    """Means of the kinds of orders against those of one kind."""
+    mean = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("config")).agg(F.avg("l_quantity").alias("seconds"), F.avg(F.col("l_linenumber") * 10.0).alias("mb"))
+    zero = mean.where("config = 'N'").select(F.col("seconds").alias("s0"), F.col("mb").alias("m0"))  # one row
     return mean.join(F.broadcast(zero)).select("config", "seconds", "mb", (F.col("seconds") / F.col("s0") * 100).alias("relative_seconds"), (F.col("mb") / F.col("m0") * 100).alias("relative_mb"))
 
 
-@query("SELECT range * 5 AS slope, range * 9 AS ruggedness, CASE WHEN range * 5 > 35 OR range * 9 > 80 THEN 0 WHEN range * 5 > 20 OR range * 9 > 50 THEN 1 WHEN range * 5 > 10 OR range * 9 > 20 THEN 2 ELSE 3 END::BIGINT AS level, CASE WHEN range * 100 > 500 THEN ceil(5.0 * range * 100 / 500 * 2) / 2 ELSE 5.0 END::DOUBLE AS resolution FROM range(12)")
+@query(f"WITH {B.STATES}, s AS (SELECT x, y, n % 12 * 5 AS slope, n % 13 * 9 AS ruggedness, n * 20 AS size FROM flat) SELECT x::BIGINT AS x, y::BIGINT AS y, slope, ruggedness, CASE WHEN slope > 35 OR ruggedness > 80 THEN 0 WHEN slope > 20 OR ruggedness > 50 THEN 1 WHEN slope > 10 OR ruggedness > 20 THEN 2 ELSE 3 END::BIGINT AS level, CASE WHEN size > 500 THEN ceil(5.0 * size / 500 * 2) / 2 ELSE 5.0 END::DOUBLE AS resolution FROM s")
 def q_resolution_level(spark, d):
-    n = F.col("id")
-    return spark.range(12).select((n * 5).alias("slope"), (n * 9).alias("ruggedness"), fire.resolution_level(n * 5, n * 9).alias("level"), fire.coarser_resolution(F.lit(5.0), n * 100, F.lit(500)).alias("resolution"))
+    n = F.col("n")
+    return B.states(spark, d).select("x", "y", (n % 12 * 5).alias("slope"), (n % 13 * 9).alias("ruggedness"), fire.resolution_level(n % 12 * 5, n % 13 * 9).alias("level"), fire.coarser_resolution(F.lit(5.0), n * 20, F.lit(500)).alias("resolution"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 10 MINUTES, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(avg(value), 6) AS speed FROM events GROUP BY 1")
@@ -157,19 +213,20 @@ def q_event_wind(spark, d):
 
 
 
-@query("SELECT 'tile_' || x || '_' || y || '_step_' || s AS key, x, y, s AS step FROM (SELECT range - 2 AS x, range * 3 AS y, range % 4 AS s FROM range(12))")
+@query(f"WITH {B.STATES} SELECT DISTINCT 'tile_' || (x // 8 - 2) || '_' || y // 8 || '_step_' || n % 4 AS key, (x // 8 - 2)::BIGINT AS x, (y // 8)::BIGINT AS y, n % 4 AS step FROM flat")
 def q_tile_keys(spark, d):
-    n = F.col("id")
-    named = spark.range(12).select(keys.tile_key(n - 2, n * 3, n % 4).alias("key"))
+    at = lambda c: F.floor(F.col(c) / 8)
+    named = B.states(spark, d).select(keys.tile_key(at("x") - 2, at("y"), F.col("n") % 4).alias("key")).distinct()
     return named.select("key", keys.parse_key(F.col("key")).alias("k")).select("key", "k.*")
 
 
-_RUNS = "r AS (SELECT range % 3 AS config, range AS run, 100 + range * 7 % 13 AS tiles, 50.0::DOUBLE + range * 5 % 17 AS mb, 2.0::DOUBLE + range % 5 AS seconds, range % 4 <> 3 AS ok FROM range(24))"
+_RUNS = "r AS (SELECT l_linenumber AS config, l_quantity AS tiles, l_orderkey % 17 + 50.0::DOUBLE AS mb, l_partkey % 5 + 2.0::DOUBLE AS seconds, l_suppkey % 4 <> 3 AS ok FROM lineitem)"
 
 
-@query(f"WITH {_RUNS} SELECT config, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, round(avg(tiles), 6) AS mean_tiles, max(tiles) AS most_tiles, round(avg(mb), 6) AS mean_mb, max(mb) AS most_mb, round(64000 / avg(seconds), 6) AS cells_per_second FROM r GROUP BY config")
+@query(f"WITH {_RUNS} SELECT config::BIGINT AS config, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, round(avg(tiles), 6) AS mean_tiles, max(tiles) AS most_tiles, round(avg(mb), 6) AS mean_mb, max(mb) AS most_mb, round(64000 / avg(seconds), 6) AS cells_per_second FROM r GROUP BY config")
 def q_run_metrics(spark, d):
-    n = F.col("id")
-    runs = spark.range(24).select((n % 3).alias("config"), (n * 7 % 13 + 100).alias("tiles"), (n * 5 % 17 + F.lit(50.0)).alias("mb"), (n % 5 + F.lit(2.0)).alias("seconds"), (n % 4 != 3).alias("ok"))
+    """Outcomes and means of the runs that orders stand for, by line number."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    runs = lines.select(F.col("l_linenumber").alias("config"), F.col("l_quantity").alias("tiles"), (F.col("l_orderkey") % 17 + F.lit(50.0)).alias("mb"), (F.col("l_partkey") % 5 + F.lit(2.0)).alias("seconds"), (F.col("l_suppkey") % 4 != 3).alias("ok"))
     facts = [F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.avg("tiles").alias("mean_tiles"), F.max("tiles").alias("most_tiles"), F.avg("mb").alias("mean_mb"), F.max("mb").alias("most_mb")]
     return runs.groupBy("config").agg(*facts, (F.lit(64000) / F.avg("seconds")).alias("cells_per_second"))

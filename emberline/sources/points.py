@@ -33,13 +33,13 @@ def with_epsg(points: DataFrame, datasets: DataFrame) -> DataFrame:
     return points.join(datasets.select("dataset", F.when(code != "", code.cast("int")).alias("epsg")), "dataset", "left")
 
 
-def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points that the test tables stand for."""
+def lineitem_points(spark: SparkSession, sf_dir: str, *further: str) -> DataFrame:
+    """The points that the test tables stand for, with further columns of the table."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     x = (F.col("l_partkey") % 40) * F.lit(5.0) + F.col("l_discount") * F.lit(40.0)
     y = (F.col("l_orderkey") % 40) * F.lit(5.0) + F.col("l_tax") * F.lit(50.0)
     z = F.col("l_quantity") * F.lit(0.6) - F.lit(2.0)
-    return t.select(x.alias("x"), y.alias("y"), z.alias("z"), F.col("l_linenumber").alias("classification"), F.col("l_tax").alias("tax"))
+    return t.select(x.alias("x"), y.alias("y"), z.alias("z"), F.col("l_linenumber").alias("classification"), F.col("l_tax").alias("tax"), *further)
 
 
 def cell(c: str, size: float = 5.0) -> Column:
