@@ -133,7 +133,14 @@ def changes(snaps: DataFrame) -> DataFrame:
 
 
 def state_at(history: DataFrame, voxels: DataFrame, step: int) -> DataFrame:
-    """(x, y, z, state) at a step: the latest record of each voxel up to it, else unburned."""
+    """(x, y, z, state) at a step: the latest record of each voxel up to it, else unburned.
+
+    A history with a column `keyframe` (see store.write_compressed) is read from the last
+    keyframe on, so what is read does not grow with the steps before it.
+    """
+    if "keyframe" in history.columns:
+        keys = [r[0] for r in history.select("keyframe").distinct().collect() if r[0] <= step]  # a number for each keyframe
+        history = history.where(F.col("keyframe") == (max(keys) if keys else None))
     latest = history.where(F.col("step") <= step).groupBy(*spread.KEY).agg(F.max_by("state", "step").alias("state"))
     return voxels.select(spread.KEY).join(latest, spread.KEY, "left").withColumn("state", F.coalesce("state", F.lit(UNBURNED)))
 

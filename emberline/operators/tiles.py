@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from emberline.schema import BURNED, BURNING
 from emberline.scratch import drop, stage
@@ -86,23 +86,46 @@ def eviction(tiles: DataFrame, budget: float) -> DataFrame:
     return tiles.withColumn("running", F.sum("size").over(recent)).withColumn("stays", F.col("running") <= budget)
 
 
+def _levelled(boxes: DataFrame, corners: tuple[str, str, str, str] = ("x_min", "x_max", "y_min", "y_max")) -> DataFrame:
+    """boxes with the squares (level, sx, sy), four at most, of the grid of their own size: squares of level k are 2^k wide."""
+    a, b, c, e = corners
+    wide = F.greatest(F.col(b) - F.col(a), F.col(e) - F.col(c), F.lit(1))
+    out = boxes.withColumn("level", F.ceil(F.log2(wide.cast("double"))).cast("int"))
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.pow(F.lit(2.0), "level")).cast("long"), F.floor(F.col(high) / F.pow(F.lit(2.0), "level")).cast("long")))
+    return out.withColumn("sx", span(a, b)).withColumn("sy", span(c, e))
+
+
+def _met(boxes: DataFrame) -> DataFrame:
+    """(id, oid) of boxes that touch, both ways, themselves included.
+
+    A box lies in squares of its own size.  It meets the boxes of its own level there, and
+    larger ones in the squares above; those that both lie in are found by each once.
+    """
+    corners = ("x_min", "x_max", "y_min", "y_max")
+    listed = stage(_levelled(boxes).select("id", *corners, "level", "sx", "sy"), "levelled")
+    there = [r[0] for r in listed.select("level").distinct().collect()]  # 64 at most
+    above = F.filter(F.array(*[F.lit(v) for v in sorted(there)]).cast("array<int>"), lambda v: v >= F.col("level"))
+    up = listed.withColumn("up", F.explode(above)).withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("up") - F.col("level"))).cast("long") for c in ("sx", "sy")})
+    up = up.select("id", *corners, F.col("up").alias("level"), "sx", "sy").distinct()
+    large = listed.select(F.col("id").alias("oid"), *[F.col(c).alias(f"o_{c}") for c in corners], "level", "sx", "sy")
+    touch = (F.col("x_min") <= F.col("o_x_max")) & (F.col("x_max") >= F.col("o_x_min")) & (F.col("y_min") <= F.col("o_y_max")) & (F.col("y_max") >= F.col("o_y_min"))
+    pairs = up.join(large, ["level", "sx", "sy"]).where(touch).select("id", "oid")
+    return pairs.unionByName(pairs.select(F.col("oid").alias("id"), F.col("id").alias("oid")))
+
+
 def merge_regions(regions: DataFrame) -> DataFrame:
     """(x_min, x_max, y_min, y_max): boxes that touch are merged into their hull, to a fixpoint.
 
     A hull may touch new boxes, so groups of touching boxes are merged again until none
-    touch; a round without a merge leaves all boxes, and any other leaves fewer.  Boxes
-    meet in squares of the mean size, each listed under those it lies in.
+    touch; a round without a merge leaves all boxes, and any other leaves fewer.  Each box
+    is listed under the squares of its own size and of the larger sizes there are, a few
+    for each, so one wide box among many small ones costs what a small one does.
     """
     corners = ("x_min", "x_max", "y_min", "y_max")
     boxes = stage(regions.select(F.xxhash64(*corners).alias("id"), *corners).distinct(), "boxes")
     count = boxes.count()
     while count:
-        width, height = boxes.agg(F.avg(F.col("x_max") - F.col("x_min")), F.avg(F.col("y_max") - F.col("y_min"))).first()
-        span = lambda a, b, side: F.explode(F.sequence(F.floor(F.col(a) / (side + 1)).cast("long"), F.floor(F.col(b) / (side + 1)).cast("long")))
-        listed = boxes.withColumn("sx", span("x_min", "x_max", width)).withColumn("sy", span("y_min", "y_max", height))
-        other = listed.select(F.col("id").alias("oid"), "sx", "sy", *[F.col(c).alias(f"o_{c}") for c in corners])
-        touch = (F.col("x_min") <= F.col("o_x_max")) & (F.col("x_max") >= F.col("o_x_min")) & (F.col("y_min") <= F.col("o_y_max")) & (F.col("y_max") >= F.col("o_y_min"))
-        least = listed.join(other, ["sx", "sy"]).where(touch).groupBy("id").agg(F.min("oid").alias("to"))
+        least = _met(boxes).groupBy("id").agg(F.min("oid").alias("to"))
         merged = boxes.join(least, "id").groupBy("to").agg(F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
         new = stage(merged.select(F.xxhash64(*corners).alias("id"), *corners).distinct(), "boxes")
         drop(boxes)
@@ -130,13 +153,47 @@ def in_regions(cells: DataFrame, regions: DataFrame, side: int = 64) -> DataFram
 
 
 def multi_resolution(levels: DataFrame, regions: DataFrame, cells: DataFrame) -> DataFrame:
-    """(x, y, level, state): the finest level inside a region, level 1 elsewhere.
-
-    levels: (level, x, y, state) of a pyramid, regions: boxes, merged or not.
+    """(x, y, level, state): the finest level that a region asks for where a cell lies, the coarsest there is elsewhere.
+
+    levels: (level, x, y, state) of a pyramid, where level k has a cell for 2^k by 2^k of
+    the finest.  regions: boxes (x_min, x_max, y_min, y_max) of finest cells, ends included,
+    with the level that each asks for (0 without such a column).  A pyramid may be sparse: a
+    cell takes the value of the finest known ancestor from its level on.  Known cells are
+    looked up by their code, the bits of x and y in turn, of which an ancestor's is a
+    prefix; a cell that no level knows is left out.
     """
-    inside = in_regions(cells, regions).select("x", "y").withColumn("in", F.lit(True))
-    asked = cells.select("x", "y").join(inside, ["x", "y"], "left").withColumn("level", F.when(F.col("in"), 0).otherwise(1))
-    scale = F.when(F.col("level") == 0, 1).otherwise(2)
-    asked = asked.withColumns({"lx": F.floor(F.col("x") / scale).cast("int"), "ly": F.floor(F.col("y") / scale).cast("int")})
-    known = levels.select("level", F.col("x").alias("lx"), F.col("y").alias("ly"), "state")
-    return asked.join(known, ["level", "lx", "ly"]).select("x", "y", "level", "state")
+    there = sorted(r[0] for r in levels.select("level").distinct().collect())  # a row for each level
+    if not there:
+        return cells.sparkSession.createDataFrame([], "x int, y int, level int, state int")
+    asked_for = regions if "level" in regions.columns else regions.withColumn("level", F.lit(0))
+    at = lambda c: F.col(c).cast("long")
+    inside = _inside(cells.select("x", "y"), asked_for).groupBy("x", "y").agg(F.min("level").alias("_from"))
+    wanted = cells.select("x", "y").join(inside, ["x", "y"], "left").withColumn("_from", F.coalesce("_from", F.lit(there[-1])))
+    open_levels = F.filter(F.array(*[F.lit(v) for v in there]).cast("array<int>"), lambda v: v >= F.col("_from"))
+    spread = wanted.withColumn("level", F.explode(open_levels))
+    prefix = F.call_function("shiftright", morton(at("x"), at("y")), F.col("level") * 2)
+    known = levels.select("level", morton(at("x"), at("y")).alias("code"), "state")
+    met = spread.withColumn("code", prefix).join(known, ["level", "code"])
+    return met.groupBy("x", "y").agg(F.min(F.struct("level", "state")).alias("m")).select("x", "y", "m.level", "m.state")
+
+
+def morton(x: Column, y: Column) -> Column:
+    """The bits of two numbers below 2^31 (as longs) in turn, x above y."""
+
+    def spread(v: Column) -> Column:
+        for step, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(mask))
+        return v
+
+    return F.shiftleft(spread(x), 1).bitwiseOR(spread(y))
+
+
+def _inside(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """(x, y, level) of cells and the boxes that hold them; a box is listed under squares of its own size, a cell under those of each size there is."""
+    corners = ("x_min", "x_max", "y_min", "y_max")
+    boxes = stage(_levelled(regions.select(*corners, F.col("level").alias("asked"))), "regions")
+    sizes = [r[0] for r in boxes.select("level").distinct().collect()]  # 64 at most
+    spread = cells.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sizes]).cast("array<int>")))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), "level")).cast("long")
+    met = spread.withColumns({"sx": at("x"), "sy": at("y")}).join(boxes, ["level", "sx", "sy"])
+    return met.where("x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max").select("x", "y", F.col("asked").alias("level"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline.functions import fire
-from emberline.operators import simulate, spread, voxel
+from emberline.operators import fronts, simulate, spread, voxel
 from emberline.plans import base as B
-from emberline.sources import points as P
+from emberline.scratch import new_path
+from emberline.sources import points as P, store
 
 QUERIES, ORACLE = {}, {}
 _C = B.CONFIG.with_changes(stop_when_fire_extinguished=True)
@@ -164,8 +165,10 @@ def q_history_delta(spark, d):
 
 @query(f"WITH {_RUN} SELECT x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z, state::BIGINT AS state FROM l2")
 def q_state_at_step(spark, d):
-    snaps = _snaps(spark, d)
-    return simulate.state_at(simulate.compress(snaps, 1), P.grid(spark, _S, _S, B.LAYERS), 2)
+    """A state from a stored history of keyframes and changes, of which one keyframe is read."""
+    path = new_path(spark, "compressed")
+    store.write_compressed(simulate.compress(_snaps(spark, d), 1), path, simulate.KEYFRAMES[1])
+    return simulate.state_at(spark.read.parquet(path), P.grid(spark, _S, _S, B.LAYERS), 2)
 
 
 @query(f"WITH {_START}, m AS (SELECT x, y, max((state > 0)::INT) AS s, max((state = 1)::INT) AS o FROM s0 WHERE z < 3 GROUP BY x, y), k AS (SELECT sum(s * o)::BIGINT AS hits, sum(s * (1 - o))::BIGINT AS false_alarms, sum((1 - s) * o)::BIGINT AS misses FROM m) SELECT *, round(hits / (hits + false_alarms + misses)::DOUBLE, 6) AS jaccard, round(2 * hits / (2 * hits + false_alarms + misses)::DOUBLE, 6) AS sorensen FROM k")
@@ -180,6 +183,60 @@ def q_perimeter(spark, d):
     return simulate.perimeter(_start(spark, d).where("state > 0 AND z = 0").select("x", "y").distinct())
 
 
+_BLOB = B.STATES + ", m AS (SELECT x, y FROM flat WHERE n % 3 > 0)"
+#: unit edges of the mask, which lies on their left, and the edge after each
+_EDGES = _BLOB + """, e AS (SELECT x + ax AS x, y + ay AS y, x + bx AS to_x, y + by_ AS to_y, side, (x + ax) * 1000 + (y + ay) * 10 + side AS id FROM m, (VALUES (0, 0, -1, 0, 0, 1, 0), (1, 1, 0, 1, 0, 1, 1), (2, 0, 1, 1, 1, 0, 1), (3, -1, 0, 0, 1, 0, 0)) s(side, i, j, ax, ay, bx, by_) WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.x = m.x + i AND o.y = m.y + j)),
+f AS (SELECT a.id, min_by(b.id, CASE (b.side - a.side + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END) AS next FROM e a JOIN e b ON b.x = a.to_x AND b.y = a.to_y GROUP BY a.id),
+walk AS (SELECT id AS start, id, 0 AS k FROM f UNION ALL SELECT start, next, k + 1 FROM walk JOIN f USING (id) WHERE next <> start),
+whole AS (SELECT start, min(id) AS ring FROM walk GROUP BY start)"""
+
+
+@query(f"WITH RECURSIVE {_EDGES} SELECT e.x::BIGINT AS x, e.y::BIGINT AS y, r.x::BIGINT AS ring_x, r.y::BIGINT AS ring_y, r.side::BIGINT AS ring_side, k::BIGINT AS position FROM walk JOIN whole ON whole.start = walk.start AND whole.ring = walk.start JOIN e ON e.id = walk.id JOIN e r ON r.id = ring")
+def q_perimeter_rings(spark, d):
+    """The rings around the cells with some number of points, corner by corner."""
+    found = fronts.rings(B.states(spark, d).where("n % 3 > 0"))
+    return found.select("x", "y", F.col("ring.x").alias("ring_x"), F.col("ring.y").alias("ring_y"), F.col("ring.side").alias("ring_side"), "position")
+
+
+def _front_sql(mask: str) -> str:
+    return f"(SELECT x, y FROM {mask} a WHERE EXISTS (SELECT 1 FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) s(i, j) WHERE NOT EXISTS (SELECT 1 FROM {mask} b WHERE b.x = a.x + i AND b.y = a.y + j)))"
+
+
+def _apart_sql(of: str, to: str) -> str:
+    return f"(SELECT a.x, a.y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM {of} a, {to} b GROUP BY ALL)"
+
+
+#: masks of a fire and of what was seen of it, at two times: what the run lit, and cells around that number of points let burn
+_MASKS = _RUN + ", b1 AS (SELECT DISTINCT x, y FROM l1 WHERE state > 0), b3 AS (SELECT DISTINCT x, y FROM l3 WHERE state > 0), o1 AS (SELECT x, y FROM b1 WHERE (x + y) % 5 > 0 UNION SELECT x, y FROM cells WHERE x = 20 AND y BETWEEN 10 AND 30), o3 AS (SELECT x, y FROM b3 UNION SELECT x, y FROM cells WHERE x = 20 AND y BETWEEN 5 AND 35)"
+
+
+def _masks(spark, d):
+    from emberline.scratch import stage
+
+    lit = stage(_snaps(spark, d).where("state > 0").select("step", "x", "y").distinct(), "lit")
+    b1, b3 = (lit.where(F.col("step") == s).select("x", "y") for s in (1, 3))
+    line = lambda low, high: B.cells(spark, d).where((F.col("x") == 20) & F.col("y").between(low, high))
+    return b1, b3, b1.where((F.col("x") + F.col("y")) % 5 > 0).unionByName(line(10, 30)).distinct(), b3.unionByName(line(5, 35)).distinct()
+
+
+@query(f"WITH {_MASKS}, p AS {_front_sql('b3')}, q AS {_front_sql('o3')}, both_ways AS (SELECT d FROM {_apart_sql('p', 'q')} UNION ALL SELECT d FROM {_apart_sql('q', 'p')}) SELECT round(avg(d) * 5, 6) AS mean_error, round(max(d) * 5, 6) AS hausdorff FROM both_ways")
+def q_front_error(spark, d):
+    """How far the front of the run is from one that was seen."""
+    _, b3, _, o3 = _masks(spark, d)
+    return fronts.front_error(b3, o3)
+
+
+def _rate_sql(before: str, after: str) -> str:
+    return f"(SELECT avg(d) * 5 / 10 AS rate FROM {_apart_sql(f'(SELECT * FROM {_front_sql(after)} ANTI JOIN {before} USING (x, y))', _front_sql(before))})"
+
+
+@query(f"WITH {_MASKS}, s AS {_rate_sql('b1', 'b3')}, o AS {_rate_sql('o1', 'o3')} SELECT round(s.rate, 6) AS simulated, round(o.rate, 6) AS observed, round(s.rate - o.rate, 6) + 0.0::DOUBLE AS error, round((s.rate - o.rate) / o.rate, 6) + 0.0::DOUBLE AS relative_error FROM s, o")
+def q_rate_error(spark, d):
+    """The rate of spread of the run against that of what was seen, in metres a minute."""
+    b1, b3, o1, o3 = _masks(spark, d)
+    return fronts.rate_error((b1, b3), (o1, o3), 2)
+
+
 _RUNS = B.POINTS + ", seen AS (SELECT classification % 4 AS run, floor(x / 5)::INT AS x, floor(y / 5)::INT AS y, count(*) AS n FROM points GROUP BY ALL), runs AS (SELECT run, s.range AS step, x, y, CASE WHEN n % 7 <= s.range THEN 1 ELSE 0 END AS state FROM seen, range(3) s)"
 
 

@@ -106,14 +106,17 @@ def q_merge_regions(spark, d):
     return tiles.merge_regions(bars)
 
 
-_BOXES = "box AS (SELECT DISTINCT greatest(0, x - 3) AS x_min, least(39, x + 3) AS x_max, greatest(0, y - 3) AS y_min, least(39, y + 3) AS y_max FROM flat WHERE state = 1)"
+_BOXES = "box AS (SELECT greatest(0, x - 3) AS x_min, least(39, x + 3) AS x_max, greatest(0, y - 3) AS y_min, least(39, y + 3) AS y_max, (x + y) % 3 AS asked FROM flat WHERE state = 1)"
 
 
-@query(f"WITH {_FLAT}, {_BOXES}, f AS (SELECT x, y, EXISTS (SELECT 1 FROM box WHERE x BETWEEN x_min AND x_max AND y BETWEEN y_min AND y_max) AS inside FROM flat) SELECT f.x::BIGINT AS x, f.y::BIGINT AS y, CASE WHEN inside THEN 0 ELSE 1 END::BIGINT AS level, s.state::BIGINT AS state FROM f JOIN flat s ON s.x = CASE WHEN inside THEN f.x ELSE f.x // 2 * 2 END AND s.y = CASE WHEN inside THEN f.y ELSE f.y // 2 * 2 END")
+@query(f"WITH {_FLAT}, {_BOXES}, f AS (SELECT x, y, coalesce((SELECT min(asked) FROM box WHERE f.x BETWEEN x_min AND x_max AND f.y BETWEEN y_min AND y_max), 3) AS level FROM flat f) SELECT f.x::BIGINT AS x, f.y::BIGINT AS y, level::BIGINT AS level, s.state::BIGINT AS state FROM f JOIN flat s ON s.x = f.x // (1 << level)::INT * (1 << level)::INT AND s.y = f.y // (1 << level)::INT * (1 << level)::INT")
 def q_multi_resolution(spark, d):
+    """A pyramid of four levels, read as fine as regions around burning cells ask."""
     flat = _flat(spark, d)
-    boxes = tiles.regions_around(flat, 40, 40, reach=3)
-    return tiles.multi_resolution(raster.pyramid(flat, 2), boxes, flat)
+    lit = flat.where("state = 1")
+    low, high = (lambda c: F.greatest(F.lit(0), F.col(c) - 3)), (lambda c: F.least(F.lit(39), F.col(c) + 3))
+    boxes = lit.select(low("x").alias("x_min"), high("x").alias("x_max"), low("y").alias("y_min"), high("y").alias("y_max"), ((F.col("x") + F.col("y")) % 3).cast("int").alias("level"))
+    return tiles.multi_resolution(raster.pyramid(flat, 4), boxes, flat)
 
 
 _BOXES_OF = "r AS (SELECT l_suppkey AS box_id, min(x) / 5 AS x_min, max(x) / 5 AS x_max, min(y) / 5 AS y_min, max(y) / 5 AS y_max FROM (SELECT l_suppkey, (l_partkey % 40) * 5.0::DOUBLE + l_discount * 40.0::DOUBLE AS x, (l_orderkey % 40) * 5.0::DOUBLE + l_tax * 50.0::DOUBLE AS y FROM lineitem WHERE l_quantity > 49) GROUP BY l_suppkey)"

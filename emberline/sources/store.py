@@ -66,6 +66,17 @@ def write_history(snaps: DataFrame, path: str) -> None:
     snaps.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("step").parquet(path)
 
 
+def write_compressed(history: DataFrame, path: str, every: int) -> None:
+    """A compressed history (step, kind, x, y, z, state) in one folder for each keyframe, which are `every` steps apart.
+
+    A folder holds a full state and the changes up to the next, in order of step, so a state
+    is read from one folder, and of its files from the parts up to that step.
+    """
+    keyed = history.withColumn("keyframe", (F.col("step") - F.col("step") % every).cast("int"))
+    dealt = keyed.repartition("keyframe", F.floor(F.col("x") / 256), F.floor(F.col("y") / 256)).sortWithinPartitions("keyframe", "step")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("keyframe").parquet(path)
+
+
 def reopen(spark: SparkSession, path: str, step: int | None = None) -> tuple[int, DataFrame]:
     """A step of a stored history, the last one unless named, and its state (x, y, z, state, fuel).
 
