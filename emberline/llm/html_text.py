@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from emberline.llm.arrow import widened
 
 # Element names of the HTML standard, by role.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "canvas", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object", "canvas", "noembed", "noframes", "xmp", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
@@ -31,6 +31,7 @@ BLOCK = {
 FURNITURE = {"nav", "aside", "footer", "menu", "button", "dialog", "head"}
 #: elements that may hold a whole page as well: they count as furniture unless they do
 FORMS = {"form", "fieldset"}
+LISTS = {"ul", "ol", "dl", "table"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: elements that are text themselves and are not judged by their names
 PARAGRAPHS = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaption", "html", "body", "article", "main"} | HEADINGS
@@ -78,14 +79,17 @@ class Block:
 
 
 def _named(attributes: str, inside: bool) -> set[str]:
-    """The words of class, id or role that mark furniture; a header within an article is part of it."""
-    found = set()
+    """The words of class, id or role that mark furniture; a header or a discussion within an article is part of it."""
+    found, every = set(), set()
     for m in _MARK.finditer(attributes):
         for token in (m[1] or m[2] or m[3] or "").split():
             words = {w.lower() for w in _SPLIT.split(token) if w}
+            every |= words
             core = words & NAMES or (not inside and words & {"header"}) or (words <= {"skip", "link", "links"} and words & {"skip"})
             if core and words <= NAMES | BESIDE:
                 found |= words
+    if inside and every == {"discussion"}:
+        return set()  # a part of the article that has this name
     return found
 
 
@@ -227,6 +231,32 @@ def _refute(nodes: list[Node], blocks: list[Block]) -> None:
             n.junk = not (2 * said[id(n)] > articles if articles else (2 if n.name in FORMS else 1.1) * chars[id(n)] > page)
 
 
+def _menus(nodes: list[Node], blocks: list[Block]) -> set[int]:
+    """Lists and tables that are nearly all links, with all within them.
+
+    Within an article they are text of it if text of the article comes after them, or if a
+    heading stands right before them.
+    """
+    lists = {id(n) for n in nodes if n.name in LISTS and n.linked > 0.8 * n.chars}
+    if not lists:
+        return lists
+    within, article, headed, before = {}, {}, set(), {}
+    for n in nodes:  # the outermost such list, and the innermost article
+        up = id(n.parent)
+        within[id(n)] = within.get(up) or (id(n) if id(n) in lists else None)
+        article[id(n)] = id(n) if n.name == "article" else article.get(up)
+        if id(n) in lists and before.get(up) in HEADINGS:
+            headed.add(id(n))
+        before[up] = n.name
+    last = {article[id(b.node)]: at for at, b in enumerate(blocks) if within[id(b.node)] is None}
+    text = set()
+    for at, b in enumerate(blocks):
+        outer, own = within[id(b.node)], article[id(b.node)]
+        if outer is not None and own is not None and article[outer] == own and (outer in headed or at < last.get(own, -1)):
+            text.add(outer)
+    return {id(n) for n in nodes if within[id(n)] is not None and within[id(n)] not in text}
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by line feeds; empty if there are none."""
     nodes, blocks = parse(page or "")
@@ -241,10 +271,7 @@ def main_text(page: str | None) -> str:
         if n.parent is not None:
             n.parent.chars += n.chars
             n.parent.linked += n.linked
-    menus = set()
-    for n in nodes:
-        if (n.name in ("ul", "ol", "dl", "table") and n.linked > 0.8 * n.chars) or id(n.parent) in menus:
-            menus.add(id(n))
+    menus = _menus(nodes, blocks)
     blocks = [b for b in blocks if id(b.node) not in menus]
     scored = False
     for b in blocks:

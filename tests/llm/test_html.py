@@ -147,3 +147,22 @@ def test_equals_the_definition_on_random_pages():
             parts.append(rng.choice([f"<{n}>", f"<{n} class='{rng.choice(['ad', 'comments', 'text', 'share box', 'widget'])}'>", f"</{n}>", "one, two, three ", "word " * rng.randrange(1, 40)]))
         markup = "".join(parts)
         assert main_text(markup) == scores_by_definition(markup), markup
+
+
+def test_parts_of_an_article_that_look_like_furniture_stay():
+    page = (
+        "<body><nav><a href=x>Menu</a></nav><article><h1>T</h1><p>Long text, with commas, and more words to count.</p><ul><li><a href=1>One source</a></li><li><a href=2>Another</a></li></ul>"
+        "<p>And <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x = 2</annotation></math> ends.</p><section id='discussion'><h2>Discussion</h2><p>We discuss, at length, the results.</p></section>"
+        "<div class='discussion thread'><p>a reader says</p></div><div class='comments'><p>first!</p></div></article><div id='discussion'><p>another reader</p></div></body>"
+    )
+    assert main_text(page).split("\n") == ["T", "Long text, with commas, and more words to count.", "One source", "Another", "And x=2 ends.", "Discussion", "We discuss, at length, the results."]
+
+
+def test_a_menu_of_links_beside_an_article_goes():
+    page = "<body><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul><div><p>Text of a page, without an article, that is long enough to count as its text.</p></div></body>"
+    assert main_text(page) == "Text of a page, without an article, that is long enough to count as its text."
+
+
+def test_a_list_of_links_under_a_heading_of_an_article_stays():
+    page = "<article><p>Text of an article, that is long enough to count as its text.</p><h2>Sources</h2><ol><li><a href=1>One</a></li></ol><ul><li><a href=2>Next page</a></li></ul></article>"
+    assert main_text(page).split("\n")[1:] == ["Sources", "One"]
