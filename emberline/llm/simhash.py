@@ -301,24 +301,52 @@ def _star_pairs(similarity: float):
     return run
 
 
+#: texts of a block of a crowded key
+MET_ROWS = 4_096
+
+
+def _rare_first(flat: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, token, number of its owners) of the entries by which sets can find each other, in order of owner.
+
+    Two sets of that similarity share one of the first n - ceil(similarity n) + 1 entries
+    of each in any one order of all entries; in order of rarity these are in few sets.
+    """
+    tokens, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, often = np.repeat(np.arange(len(size)), size), counts[inverse]
+    order = np.lexsort((inverse, often, owner))
+    rank = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    # the tolerance keeps an exact bound exact
+    early = rank < np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, size)
+    kept = order[early & (often[order] > 1)]
+    return owner[kept], inverse[kept], counts
+
+
 def _all_met(similarity: float):
-    """Links of components by all pairs of sets of a key, whole sets against whole sets."""
+    """Links of components by the sets of a key, whole sets against those that share a rare entry with them."""
 
     def run(batches):
         for root, packed in _mixed(batches, 3):
             sets = [np.frombuffer(x, np.uint64) for x in packed]
-            size = np.array([len(x) for x in sets])
+            size = np.array([len(x) for x in sets], np.int64)
             flat, first = np.concatenate(sets), np.r_[0, np.cumsum(size)[:-1]]
+            owner, token, _ = _rare_first(flat, size, similarity)
+            by_token = np.argsort(token, kind="stable")
+            lists, at = owner[by_token], np.searchsorted(token[by_token], np.arange(token.max() + 2 if len(token) else 1))
+            starts = np.searchsorted(owner, np.arange(len(sets) + 1))
             names, counts = np.unique(root, return_counts=True)
             links = set()
             for i in np.flatnonzero(root != names[counts.argmax()]):  # each pair has an end outside the largest
-                other = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
-                if not other.any():
-                    continue
-                hit = sets[i][np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)] == flat
-                common = np.add.reduceat(hit, first, dtype=np.int64)
-                near = other & (common >= similarity * (size + size[i] - common))
-                links.update((int(root[i]), int(r)) for r in root[near])
+                mine = token[starts[i] : starts[i + 1]]
+                found = np.unique(np.concatenate([lists[at[k] : at[k + 1]] for k in mine])) if len(mine) else mine
+                if not len(sets[i]):  # sets without entries are alike
+                    found = np.flatnonzero(size == 0)
+                found = found[(root[found] != root[i]) & (np.minimum(size[found], size[i]) >= similarity * np.maximum(size[found], size[i]))]
+                for other in found.tolist():
+                    if (int(root[i]), int(root[other])) in links:
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[other], assume_unique=True))
+                    if common >= similarity * (size[i] + size[other] - common):
+                        links.add((int(root[i]), int(root[other])))
             if links:
                 u, v = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -326,6 +354,17 @@ def _all_met(similarity: float):
     return run
 
 
+def _in_blocks(left: DataFrame) -> DataFrame:
+    """left (key, root, h) with a key for each two blocks of a crowded key, which hold MET_ROWS texts each."""
+    crowded = left.groupBy("key").count().where(F.col("count") > 2 * MET_ROWS)
+    crowded = stage(crowded.select("key", F.ceil(F.col("count") / MET_ROWS).cast("int").alias("blocks")), "crowded")
+    own = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("h"), "blocks").cast("int")).otherwise(F.lit(0))
+    placed = left.join(crowded, "key", "left").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))).where("blocks IS NULL OR own <> other")
+    meeting = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return placed.select(meeting.alias("key"), "root", "h")
+
+
 def _packed_sets(shingle: int):
     def run(batches):
         for b in batches:
@@ -360,7 +399,8 @@ def similar_components(rooted: DataFrame, docs: DataFrame, shingle: int, similar
     """(node, root): wider components of those of rooted (h, root, size, bands).
 
     The texts of a key first meet one of them, so that a large group becomes one component
-    by few pairs; where components are still apart, all of them meet within the key.
+    by few pairs; where components are still apart, all of them meet within the key: texts
+    that share a rare shingle are compared, in blocks of bounded size.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = docs.select(F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("text"))
@@ -380,6 +420,7 @@ def similar_components(rooted: DataFrame, docs: DataFrame, shingle: int, similar
     apart = moved.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     left = stage(moved.join(apart, "key", "left_semi"), "keys")
     drop(keys)
+    left = stage(_in_blocks(left), "keys")
     texts = every.join(left.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
     sets = stage(texts.mapInArrow(_packed_sets(shingle), "h long, shingles binary"), "candidate-sets")
     met = left.join(sets, "h").select("key", "root", "shingles").repartition(parts, "key").sortWithinPartitions("key", "root")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -184,3 +185,54 @@ def test_groups_join_all_texts_of_similarity(spark):
     pairs = lambda xs: sorted(sorted(i for i, y in enumerate(xs) if y == x) for x in set(xs))
     assert pairs([found[i] for i in range(len(rows))]) == pairs([find(i) for i in range(len(rows))])
     assert simhash.keep_one(docs, similarity=0.8).count() == len({find(i) for i in range(len(rows))})
+
+
+def _similar_by_hand(sets, similarity):
+    from itertools import combinations
+
+    near = lambda a, b: (not a and not b) or len(a & b) >= similarity * len(a | b)
+    return {(i, j) for i, j in combinations(range(len(sets)), 2) if near(sets[i], sets[j])}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_sets_that_meet_equal_brute_force(similarity):
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = set(rng.integers(0, 60, rng.integers(0, 30)).tolist())
+        sets.append(base)
+        if rng.random() < 0.6:
+            sets.append({x for x in base if rng.random() < 0.93} | set(rng.integers(0, 60, 1).tolist()))
+    root = np.arange(len(sets)) * 3
+    packed = [np.array(sorted(s), np.uint64).tobytes() for s in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int64)), pa.array(root), pa.array(packed, pa.binary())], ["key", "root", "shingles"])
+    found = set()
+    for b in simhash._all_met(similarity)([batch]):
+        found |= {tuple(sorted((u // 3, v // 3))) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert found == _similar_by_hand(sets, similarity)
+
+
+def test_many_texts_of_one_template_meet_quickly():
+    """Texts of one key that share 700 of 1000 shingles: none is similar, and that takes little time."""
+    import time
+
+    n = 3_000
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 1 << 62, 700, dtype=np.uint64)
+    packed = [np.unique(np.r_[shared, rng.integers(0, 1 << 62, 300, dtype=np.uint64)]).tobytes() for _ in range(n)]
+    packed.append(packed[5][:-8])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n + 1, np.int64)), pa.array(np.arange(n + 1)), pa.array(packed, pa.binary())], ["key", "root", "shingles"])
+    start = time.time()
+    links = [(u, v) for b in simhash._all_met(0.8)([batch]) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert {tuple(sorted(x)) for x in links} == {(5, n)} and time.time() - start < 30
+
+
+def test_blocks_of_a_crowded_key_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MET_ROWS", 5)
+    left = spark.createDataFrame([(7, i, i * 11) for i in range(40)] + [(8, i, i * 11) for i in range(3)], "key long, root long, h long")
+    met = {}
+    for r in simhash._in_blocks(left).collect():
+        met.setdefault(r.key, set()).add(r.h)
+    assert max(map(len, met.values())) < 30
+    assert all(any({a * 11, b * 11} <= m for m in met.values()) for a in range(40) for b in range(a))
+    assert met[8] == {0, 11, 22}
