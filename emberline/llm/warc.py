@@ -5,8 +5,9 @@ keys.  Shard borders come from histograms of ids and bytes, one job for each lev
 from one of digests for ids that are too heavy for a shard, so they depend on the rows
 alone.  A task streams one shard into gzip members, one for each record, and starts a new
 file when the compressed size is reached.  Files are written under names of the task
-attempt; the driver renames those of the attempts that count and then publishes a manifest
-in the same way.  A lost executor leaves nothing but temporary files behind.  What the
+attempt; once all shards are written, tasks rename those of the attempts that count, and one
+task streams the manifest, which gets its name last.  The driver sees counts alone, however
+many files there are.  A lost executor leaves nothing but temporary files behind.  What the
 manifest lists is the archive: readers take their files and checksums from it, so a writer
 that was stopped half way has written nothing.
 """
@@ -15,9 +16,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 MANIFEST_NAME = "manifest.json"
+#: where files are until they count
+TEMPORARY = "_temporary"
+#: compressed bytes that a task reads, about
+READ_BYTES = 64 << 20
 MANIFEST = "shard int, file int, temporary string, name string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -182,7 +189,7 @@ def _write_shards(folder: str, roll: int):
                     refers[(r["page_id"], r["digest"])] = r["refers_to"]
                     continue
                 if out is None:
-                    name = f"_temporary-{attempt}-{r['shard']:06d}-{state['file'] + 1:04d}"
+                    name = f"{TEMPORARY}/{attempt}-{r['shard']:06d}-{state['file'] + 1:04d}"
                     state |= {"file": state["file"] + 1, "temporary": name, "records": 0, "bytes": 0, "sum": hashlib.sha256()}
                     out = where.open_output_stream(f"{root}/{name}", compression=None)
                 payload, key = r["payload"] or b"", (r["page_id"], r["digest"])
@@ -200,8 +207,8 @@ def _write_shards(folder: str, roll: int):
     return run
 
 
-def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, revisit_bytes: int = REVISIT_BYTES) -> list:
-    """Write pages (page_id, url, html) below folder; returns the manifest's rows.
+def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES, revisit_bytes: int = REVISIT_BYTES) -> Manifest:
+    """Write pages (page_id, url, html) below folder; returns the manifest.
 
     A null page is an empty payload, a null url leaves out the target, a null page_id
     sorts first and goes without an id.  Of pages with equal payloads of revisit_bytes
@@ -227,10 +234,10 @@ def write(pages: DataFrame, folder: str, roll: int = ROLL_BYTES, shard_bytes: in
     told = rows.select("page_id", F.lit(1).alias("kind"), "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
     placed = _with_shard(asked.unionByName(told), shards)
     dealt = placed.repartition(shards.count, "place").sortWithinPartitions("shard", "kind", "page_id", "digest", "url")
-    _make_folder(spark, folder)
-    manifest = dealt.mapInArrow(_write_shards(folder, roll), MANIFEST).collect()  # one row for each file
+    _make_folder(spark, f"{folder}/{TEMPORARY}")
+    manifest = stage(dealt.mapInArrow(_write_shards(folder, roll), MANIFEST), "warc-files")  # the attempts that count
     drop(facts), drop(kept)
-    return commit(spark, folder, sorted(manifest, key=lambda r: r["name"]))
+    return commit(spark, folder, manifest)
 
 
 def _heavy(weighed: DataFrame, target: int) -> list[tuple[int | None, int]]:
@@ -293,35 +300,82 @@ def _make_folder(spark: SparkSession, folder: str) -> None:
     where.mkdirs(p)
 
 
-def commit(spark: SparkSession, folder: str, manifest: list) -> list:
-    """Rename the files of the attempts that count, then publish the manifest."""
-    where, p = _hadoop(spark, folder)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for r in manifest:
-        if not where.rename(path(p, r["temporary"]), path(p, r["name"])):
-            raise OSError(f"cannot publish {r['name']} in {folder}")
-    out = where.create(path(p, "_temporary-manifest"), True)
-    out.write(bytearray(json.dumps([{k: r[k] for k in ("name", "records", "bytes", "sha256")} for r in manifest], indent=1).encode()))
-    out.close()
-    if not where.rename(path(p, "_temporary-manifest"), path(p, MANIFEST_NAME)):
-        raise OSError(f"cannot publish the manifest of {folder}")
-    for status in where.listStatus(p):  # what lost attempts have left
-        if status.getPath().getName().startswith("_temporary-"):
-            where.delete(status.getPath(), False)
-    return manifest
-
-
-def members(data: bytes):
-    """The records of an archive, each from its own gzip member."""
-    view, at = memoryview(data), 0
-    while at < len(view):
+class Manifest:
+    """The files of an archive: a table, and rows in order of name, of which the driver holds some at a time."""
+
+    def __init__(self, files: DataFrame):
+        self.files = files
+
+    def __iter__(self):
+        for r in self.files.orderBy("name").toLocalIterator():
+            yield r.asDict()
+
+    def __getitem__(self, at: int) -> dict:
+        return next(islice(self, at, None))
+
+
+def _move(where, source: str, target: str) -> None:
+    """Rename; a task that does so again finds the work done."""
+    from pyarrow import fs
+
+    if where.get_file_info(source).type == fs.FileType.NotFound and where.get_file_info(target).type == fs.FileType.File:
+        return
+    where.move(source, target)
+
+
+def _renamed(folder: str):
+    def run(batches):
+        where, root = _filesystem(folder)
+        for b in batches:
+            for r in b.to_pylist():
+                _move(where, f"{root}/{r['temporary']}", f"{root}/{r['name']}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    return run
+
+
+def _listed(folder: str):
+    def run(batches):
+        where, root = _filesystem(folder)
+        context, n = TaskContext.get(), 0
+        hidden = f"{root}/{TEMPORARY}/manifest-{context.stageId()}-{context.taskAttemptId()}"
+        with where.open_output_stream(hidden, compression=None) as out:
+            out.write(b"[")
+            for b in batches:
+                for r in b.to_pylist():
+                    out.write((",\n" if n else "\n").encode() + json.dumps({k: r[k] for k in ("name", "records", "bytes", "sha256")}).encode())
+                    n += 1
+            out.write(b"\n]\n")
+        where.move(hidden, f"{root}/{MANIFEST_NAME}")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return run
+
+
+def commit(spark: SparkSession, folder: str, manifest: DataFrame) -> Manifest:
+    """Rename the files of the attempts that count, by tasks, then publish the manifest, then drop what lost attempts have left."""
+    n = manifest.count()
+    named = manifest.repartition(max(1, min(1_000, n // 64))).mapInArrow(_renamed(folder), "n long")
+    if (named.agg(F.sum("n")).first()[0] or 0) != n:
+        raise OSError(f"cannot publish all files in {folder}")
+    # one task for the rows of the manifest, which is a small part of what it lists
+    manifest.coalesce(1).sortWithinPartitions("name").mapInArrow(_listed(folder), "n long").collect()
+    where, p = _hadoop(spark, f"{folder}/{TEMPORARY}")
+    where.delete(p, True)
+    return Manifest(manifest)
+
+
+def members(archive):
+    """The records of an archive, each from its own gzip member.  archive: its bytes, or a function of n that gives up to n next ones."""
+    read, left = io.BytesIO(archive).read if isinstance(archive, bytes | bytearray) else archive, b""
+    while left or (left := read(1 << 16)):
         unpacker, parts = zlib.decompressobj(31), []
         while not unpacker.eof:
-            piece = view[at : at + (1 << 16)]
-            if not len(piece):
+            piece = left or read(1 << 16)
+            if not piece:
                 raise ValueError("the archive ends within a record")
             parts.append(unpacker.decompress(piece))
-            at += len(piece) - len(unpacker.unused_data)
+            left = unpacker.unused_data
         yield b"".join(parts)
 
 
@@ -342,47 +396,69 @@ def parse_record(data: bytes) -> dict:
     return {"page_id": number("X-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": payload if response else None}
 
 
-def read_manifest(spark: SparkSession, folder: str) -> list[dict]:
-    """Name, records, bytes and sha256 of the files of an archive; an error if none was published."""
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, records, bytes, sha256) of the files of an archive; an error if none was published."""
     where, p = _hadoop(spark, folder)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, MANIFEST_NAME)
     if not where.exists(at):
         raise FileNotFoundError(f"{folder} has no manifest: nothing was committed there")
-    return json.loads("\n".join(r[0] for r in spark.read.text(at.toString()).collect()))
+    return spark.read.schema("name string, records long, bytes long, sha256 string").option("multiLine", "true").json(at.toString())
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """The records of all archives of the manifest in folder, as RECORD; payload stays null unless asked for.
+def _sound(name: str, records):
+    """records, whose failure names the file."""
+    try:
+        yield from records
+    except (zlib.error, ValueError) as e:
+        raise ValueError(f"{name} is not the file of the manifest: {e}") from e
 
-    A missing file, one whose bytes or number of records are not those of the manifest,
-    and a record whose digests do not hold are errors; files that the manifest does not
-    have are not read.  An empty manifest gives an empty table.
-    """
+
+def _records(folder: str, payloads: bool):
     kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    known = {m["name"]: (m["sha256"], m["records"]) for m in read_manifest(spark, folder)}
-    if not known:
-        return spark.createDataFrame([], RECORD)
 
     def run(batches):
+        where, root = _filesystem(folder)
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data, held, size, count = content.as_buffer(), [], 0, 0
-                if hashlib.sha256(data).hexdigest() != known[name][0]:
-                    raise ValueError(f"{name} is not the file of the manifest")
-                for record_bytes in members(data):
-                    r = parse_record(record_bytes)
-                    count += 1
-                    size += len(record_bytes) if payloads else 200
-                    held.append(r if payloads else r | {"payload": None})
-                    if size >= 8 << 20:
-                        yield pa.RecordBatch.from_pylist(held, kind)
-                        held, size = [], 0
-                if count != known[name][1]:
-                    raise ValueError(f"{name} has {count} records, not {known[name][1]}")
+            for m in b.to_pylist():
+                held, size, count, told, total = [], 0, 0, hashlib.sha256(), 0
+                with where.open_input_stream(f"{root}/{m['name']}", compression=None) as file:
+
+                    def read(n):
+                        nonlocal total
+                        piece = file.read(n)  # noqa: B023
+                        told.update(piece)  # noqa: B023
+                        total += len(piece)
+                        return piece
+
+                    for record_bytes in _sound(m["name"], members(read)):
+                        r = parse_record(record_bytes)
+                        count += 1
+                        size += len(record_bytes) if payloads else 200
+                        held.append(r if payloads else r | {"payload": None})
+                        if size >= 8 << 20:
+                            yield pa.RecordBatch.from_pylist(held, kind)
+                            held, size = [], 0
+                if told.hexdigest() != m["sha256"] or total != m["bytes"]:
+                    raise ValueError(f"{m['name']} is not the file of the manifest")
+                if count != m["records"]:
+                    raise ValueError(f"{m['name']} has {count} records, not {m['records']}")
                 yield pa.RecordBatch.from_pylist(held, kind)
 
-    files = spark.read.format("binaryFile").load([f"{folder}/{name}" for name in known])
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, RECORD)
+    return run
+
+
+def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
+    """The records of all archives of the manifest in folder, as RECORD; payload stays null unless asked for.
+
+    A missing file, one whose bytes or number of records are not those of the manifest,
+    and a record whose digests do not hold are errors; files that the manifest does not
+    have are not read.  An empty manifest gives an empty table.  Files are streamed, one
+    at a time in each task.
+    """
+    files = read_manifest(spark, folder)
+    total = files.agg(F.sum("bytes")).first()[0] or 0
+    dealt = files.repartitionByRange(max(1, -(-total // READ_BYTES)), "name")
+    return dealt.mapInArrow(_records(folder, payloads), RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
