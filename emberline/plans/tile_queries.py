@@ -9,7 +9,7 @@ from emberline.functions import fire, keys
 from emberline.operators import joins, raster, tiles
 from emberline.plans import base as B
 from emberline.sources import points as P
-from emberline.streaming import wind as W
+from emberline.streaming import live, wind as W
 
 QUERIES, ORACLE = {}, {}
 
@@ -214,6 +214,21 @@ def q_event_wind(spark, d):
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "speed")
 
 
+_LIVE = """e AS (SELECT user_id % 7 AS area, floor(epoch(ts))::BIGINT AS at, event_type IN ('error', 'purchase') AS burns, user_id % 12 AS x, event_id % 12 AS y, value FROM events),
+fire AS (SELECT area, x, y, min(at) AS at FROM e WHERE burns GROUP BY ALL), w AS (SELECT area, at // 86400 * 86400 AS start, count(*) FILTER (NOT burns) AS n, avg(value) FILTER (NOT burns) AS speed FROM e GROUP BY 1, 2),
+lit AS (SELECT w.area, start, x, y FROM w JOIN fire ON fire.area = w.area AND at < start + 86400),
+edges AS (SELECT area, start, count(*) AS shared FROM lit a JOIN lit b USING (area, start) WHERE abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_LIVE} SELECT w.area, start, n, round(coalesce(speed, -1), 6) AS speed, (SELECT count(*) FROM lit WHERE lit.area = w.area AND lit.start = w.start) AS cells, 4 * (SELECT count(*) FROM lit WHERE lit.area = w.area AND lit.start = w.start) - coalesce(shared, 0) AS perimeter FROM w LEFT JOIN edges USING (area, start)")
+def q_live_windows(spark, d):
+    """Daily wind, cells on fire and perimeter of the areas that events stand for (speed -1: no wind)."""
+    burns = F.col("event_type").isin("error", "purchase")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(
+        (F.col("user_id") % 7).alias("area"), F.floor(F.col("ts").cast("timestamp").cast("double")).alias("at"), F.when(burns, "fire").otherwise("wind").alias("kind"),
+        (F.col("user_id") % 12).cast("int").alias("x"), (F.col("event_id") % 12).cast("int").alias("y"), "value",
+    )
+    return live.windows(rows, 86_400).na.fill(-1.0, ["speed"])
 
 
 @query(f"WITH {B.STATES} SELECT DISTINCT 'tile_' || (x // 8 - 2) || '_' || y // 8 || '_step_' || n % 4 AS key, (x // 8 - 2)::BIGINT AS x, (y // 8)::BIGINT AS y, n % 4 AS step FROM flat")
