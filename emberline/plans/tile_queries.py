@@ -214,9 +214,9 @@ def q_event_wind(spark, d):
     return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "speed")
 
 
-_LIVE = """e AS (SELECT user_id % 7 AS area, floor(epoch(ts))::BIGINT AS at, event_type IN ('error', 'purchase') AS burns, user_id % 12 AS x, event_id % 12 AS y, value FROM events),
-fire AS (SELECT area, x, y, min(at) AS at FROM e WHERE burns GROUP BY ALL), w AS (SELECT area, at // 86400 * 86400 AS start, count(*) FILTER (NOT burns) AS n, avg(value) FILTER (NOT burns) AS speed FROM e GROUP BY 1, 2),
-lit AS (SELECT w.area, start, x, y FROM w JOIN fire ON fire.area = w.area AND at < start + 86400),
+_LIVE = """e AS (SELECT user_id % 7 AS area, floor(epoch(ts))::BIGINT AS sec, event_type IN ('error', 'purchase') AS burns, user_id % 12 AS x, event_id % 12 AS y, value FROM events),
+fire AS (SELECT area, x, y, min(sec) AS sec FROM e WHERE burns GROUP BY ALL), w AS (SELECT area, sec // 86400 * 86400 AS start, count(*) FILTER (NOT burns) AS n, avg(value) FILTER (NOT burns) AS speed FROM e GROUP BY 1, 2),
+lit AS (SELECT w.area, start, x, y FROM w JOIN fire ON fire.area = w.area AND sec < start + 86400),
 edges AS (SELECT area, start, count(*) AS shared FROM lit a JOIN lit b USING (area, start) WHERE abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2)"""
 
 
