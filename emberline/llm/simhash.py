@@ -333,20 +333,27 @@ def _all_met(similarity: float):
             by_token = np.argsort(token, kind="stable")
             lists, at = owner[by_token], np.searchsorted(token[by_token], np.arange(token.max() + 2 if len(token) else 1))
             starts = np.searchsorted(owner, np.arange(len(sets) + 1))
-            names, counts = np.unique(root, return_counts=True)
-            links = set()
+            names, now, counts = np.unique(root, return_inverse=True, return_counts=True)
+            links = []
             for i in np.flatnonzero(root != names[counts.argmax()]):  # each pair has an end outside the largest
                 mine = token[starts[i] : starts[i + 1]]
                 found = np.unique(np.concatenate([lists[at[k] : at[k + 1]] for k in mine])) if len(mine) else mine
                 if not len(sets[i]):  # sets without entries are alike
                     found = np.flatnonzero(size == 0)
-                found = found[(root[found] != root[i]) & (np.minimum(size[found], size[i]) >= similarity * np.maximum(size[found], size[i]))]
-                for other in found.tolist():
-                    if (int(root[i]), int(root[other])) in links:
-                        continue
-                    common = len(np.intersect1d(sets[i], sets[other], assume_unique=True))
-                    if common >= similarity * (size[i] + size[other] - common):
-                        links.add((int(root[i]), int(root[other])))
+                # what is linked in this key already need not be compared again
+                found = found[(now[found] != now[i]) & (np.minimum(size[found], size[i]) >= similarity * np.maximum(size[found], size[i]))]
+                if not len(found):
+                    continue
+                common = np.zeros(len(found), np.int64)
+                if size[i]:
+                    ends = np.cumsum(size[found])
+                    entries = flat[np.arange(ends[-1]) + np.repeat(first[found] - (ends - size[found]), size[found])]
+                    hit = sets[i][np.minimum(np.searchsorted(sets[i], entries), size[i] - 1)] == entries
+                    common = np.add.reduceat(hit, ends - size[found], dtype=np.int64)
+                for other in found[common >= similarity * (size[i] + size[found] - common)]:
+                    if now[other] != now[i]:
+                        links.append((int(root[i]), int(root[other])))
+                        now[now == now[other]] = now[i]
             if links:
                 u, v = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
