@@ -98,13 +98,18 @@ def _bare(word: str) -> str:
 
 
 def find_names(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, word) of the names that follow a title, and of all other mentions of them in the text."""
+    """(start, end, kind, word) of the names that follow a title, and of all other mentions of them in the text.
+
+    A word that the text has in small letters more often than with a capital within a
+    sentence is no name but where a title stands.
+    """
     known: dict[str, str] = {}
-    titles, at = set(), 0
+    titles, titled, at = set(), set(), 0
     while m := _TITLED.search(text, at):
         words, at = [], m.end()
         while (n := _NEXT.match(text, at)) and n[1][0].isupper() and n[1] not in _GENDER:
             words.append(_bare(n[1]))
+            titled.add(n.start(1))
             at = n.end()
         words = [w for w in words if len(w) > 1]
         titles.add(m["title"])
@@ -114,12 +119,17 @@ def find_names(text: str) -> list[tuple[int, int, str, str]]:
         known.pop(t.casefold(), None)
     if not known:
         return []
-    out = []
-    for m in _WORD.finditer(text):
-        word = _bare(m[0])
+    out, spoken = [], [(m.start(), _bare(m[0])) for m in _WORD.finditer(text)]
+    plain: dict[str, int] = {}
+    for start, word in spoken:
+        if word in known:
+            plain[word] = plain.get(word, 0) + 1
+        elif word[0].isupper() and word.casefold() in known and start not in titled and text[max(0, start - 20) : start].rstrip()[-1:] not in ("", ".", "!", "?", ":"):
+            plain[word.casefold()] = plain.get(word.casefold(), 0) - 1
+    for start, word in spoken:
         kind = known.get(word.casefold()) if word[0].isupper() else None
-        if kind:
-            out.append((m.start(), m.start() + len(word), kind, word))
+        if kind and (start in titled or plain.get(word.casefold(), 0) <= 0):
+            out.append((start, start + len(word), kind, word))
     return out
 
 
@@ -129,7 +139,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         out += [(a, z, "email", text[a:z]) for a, z in _emails(text)]
     if _TRIGGER.search(text):
-        out += [(m.start(), m.end(), m.lastgroup, m.group()) for m in _PATTERN.finditer(text)]
+        out += [(m.start(), m.end(), m.lastgroup, m.group()) for m in _PATTERN.finditer(text) if m.lastgroup != "card" or _luhn([int(c) for c in m.group() if c.isdigit()]) == 0]
         out += [(*m.span("passport"), "passport", m["passport"]) for m in _PASSPORT.finditer(text)]
         if _COLONS.search(text):
             out += [(m.start(), m.end(), "ip6", m.group()) for m in _IP6.finditer(text) if _address(m.group())]
@@ -287,12 +297,16 @@ def _iban(value: str, key: bytes) -> str:
 
 
 def _phone(value: str, key: bytes) -> str:
+    """The country code or the leading zeros stay, and what follows is the same number either way."""
     digits = "".join(c for c in value if c.isdigit())
-    lead = ""
-    if value.startswith("+"):
-        lead = digits[: 1 if digits[:1] in CALLING_1 else 2 if digits[:2] in CALLING_2 else 3]
+    lead = "0" * (len(digits) - len(digits.lstrip("0")))
+    if value.startswith("+") or lead == "00":
+        after = digits[len(lead) :]
+        lead += after[: 1 if after[:1] in CALLING_1 else 2 if after[:2] in CALLING_2 else 3]
     rest = digits[len(lead) :]
-    new = permuted([int(c) for c in rest], [10] * len(rest), key, f"phone {lead}")
+    if len(rest) < 2:
+        lead, rest = "", digits
+    new = permuted([int(c) for c in rest], [10] * len(rest), key, "phone")
     return _filled(value, [*lead, *new])
 
 

@@ -164,3 +164,20 @@ def test_empty_table_and_long_text(spark):
     assert pii.pseudonymize(corpus(spark).limit(0), "k").collect() == []
     long = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(F.repeat(F.lit("word "), 400_000), F.lit("8.8.8.8")).alias("text"))
     assert len(pii.pseudonymize(long, "k").first().found) == 1
+
+
+def test_a_number_is_one_in_national_and_international_form():
+    made = {v: pii.surrogate("phone", v, b"k") for v in ("020 7946 0958", "+44 20 7946 0958", "0044 20 7946 0958", "+33 20 7946 0958")}
+    digits = {v: "".join(c for c in s if c.isdigit()) for v, s in made.items()}
+    assert digits["020 7946 0958"][1:] == digits["+44 20 7946 0958"][2:] == digits["0044 20 7946 0958"][4:] == digits["+33 20 7946 0958"][2:]
+    assert made["020 7946 0958"].startswith("0") and made["+44 20 7946 0958"].startswith("+44 ") and made["0044 20 7946 0958"].startswith("0044 ")
+    assert all(made[v] != v for v in made)
+
+
+def test_cards_have_a_check_digit():
+    assert [e[2] for e in pii.find("card 4111 1111 1111 1111, order 4111111111111112, ISBN 9783161484100")] == ["card"]
+
+
+def test_a_word_that_is_also_written_small_is_a_name_after_a_title_alone():
+    found = pii.find_names("Mr May came. It may be so. May I go? Ms Kowalska saw Kowalska.")
+    assert [w for _, _, _, w in found] == ["May", "Kowalska", "Kowalska"]
