@@ -101,3 +101,59 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     chain = T.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), T.CATEGORIES)
     assert T.score(docs, chain).collect() == []
+
+
+def plain_features(text):
+    """Words and the stems of longer ones, one by one."""
+    import re
+    import zlib
+
+    out = set()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out.add(zlib.crc32(word.encode()))
+        for n in (3, 4, 5):
+            if len(word) > n:
+                out.add(zlib.crc32((word[:n] + "*").encode()))
+    return out
+
+
+def newton(x, y, ridge):
+    """Ridge logistic model by Newton steps on a dense matrix, the bias last and free."""
+    x = np.column_stack([x, np.ones(len(x))])
+    free = np.r_[np.full(x.shape[1] - 1, ridge), 0.0]
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(free) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + free * w)
+    return w
+
+
+def test_chain_equals_a_plain_one():
+    """Dense features, Newton steps and loops give the probabilities and the threshold of the chain."""
+    rows = corpus(160, seed=4)
+    texts, labels = [t for _, t, _, _ in rows], np.array([[1 - q, x] for _, _, q, x in rows])
+    folds = np.arange(len(rows)) % T.FOLDS
+    chain = T.fit_chain([T.features(t) for t in texts], labels, folds, ["low", "toxic"])
+
+    sets = [plain_features(t) for t in texts]
+    known = sorted(f for f in set().union(*sets) if sum(f in s for s in sets) > 1)
+    wide = lambda some: np.array([[float(f in s) for f in known] for s in some])
+    new = [t for _, t, _, _ in corpus(60, seed=9)]
+    x, asked, earlier = wide(sets), wide([plain_features(t) for t in new]), np.zeros((len(new), 0))
+    for k in range(2):
+        y, apart = labels[:, k].astype(float), np.zeros(len(rows))
+        for f in range(T.FOLDS):
+            w = newton(x[folds != f], y[folds != f], T.RIDGE)
+            apart[folds == f] = x[folds == f] @ w[:-1] + w[-1]
+        w = newton(x, y, T.RIDGE)
+        earlier = np.column_stack([earlier, asked @ w[:-1] + w[-1]])
+        x, asked = np.column_stack([x, apart]), np.column_stack([asked, earlier[:, k]])
+    chance = lambda z: 1 / (1 + np.exp(-z))
+    assert np.abs(chance(chain.logits([T.features(t) for t in new])) - chance(earlier)).max() < 0.03
+
+    def quality(cut):
+        hit = apart >= cut
+        return 1.25 * (hit & (y == 1)).sum() / (hit.sum() + 0.25 * y.sum())
+
+    best = max(quality(c) for c in apart)
+    assert quality(np.log(chain.threshold / (1 - chain.threshold))) >= best - 0.02 or chain.threshold == T.LEAST_THRESHOLD
