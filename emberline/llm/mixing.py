@@ -4,8 +4,10 @@ Every document of a source should be taken target / source_size times.  The whol
 is certain; the fractional parts are rounded together: two documents meet, words move
 from one to the other at random until one of them is certain, and the other goes on.
 A meeting keeps the sum of the expected words, so a source ends at its target but for
-one document; the longest meet first, so that the last one is short.  Chunks of a source do this apart, and their residual documents meet in a
-reduction tree.
+one document; the longest meet first.  Chunks of a source do this apart, and their residual
+documents meet in a reduction tree.  What the very last document leaves is made up by others
+of its chunk that had a chance, longest first, so a source comes near its target even where
+one document is a large part of it.
 """
 
 from __future__ import annotations
@@ -52,6 +54,17 @@ def pivot(words: list[int], chance: list[float], rng: random.Random) -> tuple[li
     return rounded, at, p
 
 
+def made_up(words: list[int], rounded: list[int], over: float, at: int) -> list[int]:
+    """The documents to round the other way so that `over` words too many (or few), which the document `at` leaves, come near none; longest first."""
+    out = []
+    for i in sorted((i for i in range(len(words)) if i != at and words[i]), key=lambda i: (-words[i], i)):
+        change = -words[i] if rounded[i] else words[i]
+        if abs(over + change) < abs(over):
+            out.append(i)
+            over += change
+    return out
+
+
 OUT = "doc_id long, unit long, source string, words long, chunk long, chance double, extra int"
 
 
@@ -65,6 +78,10 @@ def _round_chunk(seed: int, level: int, last: bool):
         if at >= 0:
             rows.loc[at, "extra"] = int(rng.random() < p) if last else pd.NA
             rows.loc[at, "chance"] = p
+            if last:
+                words, extra = rows["words"].tolist(), [int(x) for x in rows["extra"]]
+                for i in made_up(words, extra, (extra[at] - p) * words[at], at):
+                    rows.loc[i, "extra"] = 1 - extra[i]
         return rows[["doc_id", "unit", "source", "words", "chunk", "chance", "extra"]]
 
     return run

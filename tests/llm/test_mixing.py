@@ -88,3 +88,19 @@ def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     only = spark.createDataFrame([(1, "", "s"), (2, None, None)], "doc_id long, text string, source string")
     assert {r.copies for r in mixing.mix(only).collect()} == {0}
+
+
+def test_a_source_comes_near_its_target_beside_a_very_long_document(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * (4_000 if i < 3 else rng.randrange(1, 300)), f"s{i % 3}") for i in range(150)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(0 <= r.copies <= 3 for r in out)
+    for name in ("s0", "s1", "s2"):
+        own = [r for r in out if r.source == name]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) < 0.01 * own[0].target
+
+
+def test_what_is_left_is_made_up():
+    assert mixing.made_up([10, 7, 5, 2, 1, 0], [1, 1, 0, 1, 0, 0], 8.0, 0) == [1]
+    assert mixing.made_up([9, 6, 4, 3], [0, 1, 1, 0], -5.0, 0) == [3]
+    assert mixing.made_up([10], [1], 3.0, 0) == []
