@@ -21,7 +21,7 @@ DEEPEST = 24
 #: levels that a crowded cell is counted deeper at once
 FURTHER = 4
 #: ground points of a leaf of the nearest-neighbour join, at most, and of a window, in leaves
-NEAREST_ROWS = 8
+NEAREST_ROWS = 32
 WINDOW_LEAVES = 16
 KEY = ["level", "ix", "iy"]
 
