@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.llm.arrow import free
 from emberline.llm.components import components
@@ -274,24 +274,46 @@ def _mixed(batches, columns: int):
         yield held[1:]
 
 
-def _star_pairs(similarity: float):
-    """One text of each key with those of other components whose sizes allow the similarity."""
+def _within_reach(root: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Which texts of a key meet one of another component there whose size allows the similarity."""
+    order = np.argsort(size, kind="stable")
+    root, size = root[order], size[order]
+    low, high = np.searchsorted(size, similarity * size), np.searchsorted(similarity * size, size, "right")
+    turns = np.r_[np.flatnonzero(root[1:] != root[:-1]) + 1, len(root)]
+    out = np.zeros(len(root), bool)
+    out[order] = turns[np.searchsorted(turns, low, "right")] < high  # sizes low to high are not all of one component
+    return out
+
+
+MEETING = "key long, root long, h long, centre long, centre_root long, fits boolean"
+
+
+def _meetings(similarity: float):
+    """Texts of each key that may be similar to one of another component, and one of them as the centre.
+
+    A key is renamed by the texts it has left, so those of the same texts become one; fits: the
+    text is of another component than the centre, and their sizes allow the similarity.
+    """
 
     def run(batches):
         out, rows = [], 0
 
         def flush():
-            cols = np.unique(np.concatenate(out), axis=0).T
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u", "ru", "v", "rv"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "root", "h", "centre", "centre_root", "fits"])
 
         for root, h, size in _mixed(batches, 4):
+            kept = _within_reach(root, size, similarity)
+            n = np.count_nonzero(kept)
+            if not n:
+                continue
+            root, h, size = root[kept], h[kept], size[kept]
             i = np.argmin(h.view(np.uint64) * _ODD[0])
-            other = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
-            n = np.count_nonzero(other)
-            if n:
-                out.append(np.stack([np.full(n, h[i]), np.full(n, root[i]), h[other], root[other]], 1))
-                rows += n
+            fits = (root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
+            key = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), HASH_SEED)).view(np.int64)
+            out.append((np.full(n, key), root, h, np.full(n, h[i]), np.full(n, root[i]), fits))
+            rows += n
             if rows > PAIR_ROWS:
                 yield flush()
                 rows = 0
@@ -301,6 +323,23 @@ def _star_pairs(similarity: float):
     return run
 
 
+#: bits of a filter that spares rows a shuffle
+FILTER_BITS = 1 << 24
+
+
+def _marked(rows: DataFrame, by: Column, asked: DataFrame, its: Column, mark: str) -> DataFrame:
+    """rows with a boolean: true for every row whose hash `by` is one of asked's `its`, and for few others.
+
+    The filter has a bounded size; where more is asked than it holds, it marks too much, never too little.
+    """
+    place = lambda h: F.pmod(h, F.lit(FILTER_BITS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), place(h).bitwiseAND(F.lit(63)).cast("int"))
+    word, bits = free(rows, "_word", "_bits")
+    words = asked.groupBy(F.shiftright(place(its), 6).alias(word)).agg(F.bit_or(bit(its)).alias(bits))
+    hit = F.coalesce(F.col(bits).bitwiseAND(bit(by)) != 0, F.lit(False))
+    return rows.join(F.broadcast(words), F.shiftright(place(by), 6) == F.col(word), "left").withColumn(mark, hit).drop(word, bits)
+
+
 #: texts of a block of a crowded key
 MET_ROWS = 4_096
 
@@ -406,33 +445,38 @@ def similar_components(rooted: DataFrame, docs: DataFrame, shingle: int, similar
     """(node, root): wider components of those of rooted (h, root, size, bands).
 
     The texts of a key first meet one of them, so that a large group becomes one component
-    by few pairs; where components are still apart, all of them meet within the key: texts
-    that share a rare shingle are compared, in blocks of bounded size.
+    by few pairs; where others are still apart, all of them meet within the key: texts
+    that share a rare shingle are compared, in blocks of bounded size.  Keys of the same
+    texts are one key, and only texts of keys with several components are moved.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = docs.select(F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    keys = stage(rooted.dropDuplicates(["h"]).select(F.explode("bands").alias("key"), "root", "h", "size"), "keys")
+    keys = rooted.dropDuplicates(["h"]).select(F.explode("bands").alias("key"), "root", "h", "size")
     met = keys.repartition(parts, "key").sortWithinPartitions("key", "root", "h")
-    pairs = stage(met.mapInArrow(_star_pairs(similarity), "u long, ru long, v long, rv long").distinct(), "candidates")
-    asked = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
-    texts = stage(every.join(asked, "h", "left_semi").dropDuplicates(["h"]), "candidate-texts")
+    keys = stage(met.mapInArrow(_meetings(similarity), MEETING).distinct(), "keys")
+    pairs = stage(keys.where("fits").select(F.col("centre").alias("u"), F.col("centre_root").alias("ru"), F.col("h").alias("v"), F.col("root").alias("rv")).distinct(), "candidates")
+    asked = stage(keys.select("h").distinct(), "asked")
+    few = _marked(every, F.col("h"), asked.select(F.col("h").alias("asked")), F.col("asked"), "mark").where("mark").select("h", "text")
+    texts = stage(few.join(asked, "h", "left_semi").dropDuplicates(["h"]), "candidate-texts")
+    drop(asked)
     own = pairs.select("u", F.col("u").alias("v"), "ru", F.col("ru").alias("rv")).distinct()
     rows = pairs.select("u", "v", "ru", "rv").union(own)
     dealt = rows.join(texts, F.col("v") == F.col("h")).select("u", "v", "ru", "rv", "text").repartition(parts, "u").sortWithinPartitions("u", F.col("u") != F.col("v"))
     star = stage(dealt.mapInArrow(_verified(shingle, similarity), "u long, v long").distinct(), "similar")
-    drop(pairs), drop(texts)
+    drop(pairs)
 
     roots = stage(components(star), "star-roots").withColumnRenamed("root", "wider")
-    moved = keys.join(roots, keys.root == roots.node, "left").select("key", F.coalesce("wider", "root").alias("root"), "h")
+    # the centre of a key has met all others
+    others = keys.where("h <> centre")
+    moved = others.join(roots, others.root == roots.node, "left").select("key", F.coalesce("wider", "root").alias("root"), "h")
     apart = moved.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     left = stage(moved.join(apart, "key", "left_semi"), "keys")
     drop(keys)
     left = stage(_in_blocks(left), "keys")
-    texts = every.join(left.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    sets = stage(texts.mapInArrow(_packed_sets(shingle), "h long, shingles binary"), "candidate-sets")
+    sets = stage(texts.join(left.select("h").distinct(), "h", "left_semi").mapInArrow(_packed_sets(shingle), "h long, shingles binary"), "candidate-sets")
     met = left.join(sets, "h").select("key", "root", "shingles").repartition(parts, "key").sortWithinPartitions("key", "root")
     rest = stage(met.mapInArrow(_all_met(similarity), "u long, v long").distinct(), "similar")
-    drop(left), drop(sets)
+    drop(left), drop(sets), drop(texts)
     return stage(components(star.unionByName(rest)), "similar-roots")
 
 
@@ -460,6 +504,7 @@ def groups(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4), i
     if similarity is None:
         return rooted.select("doc_id", "h", "root")
     rooted = stage(rooted.select("doc_id", "h", "root", "size", "bands"), "rooted")
+    drop(rows)
     joined = similar_components(rooted, docs, shingles[0], similarity, text_col).withColumnRenamed("root", "wider")
     return rooted.join(joined, rooted.root == joined.node, "left").select("doc_id", "h", F.coalesce("wider", "root").alias("root"))
 
@@ -475,6 +520,11 @@ def keep_one(docs: DataFrame, bits: int = 4, shingles: tuple[int, ...] = (5, 4),
     chosen = found.groupBy("root").agg(first).select(F.col("first.doc_id").alias(its_id), F.col("first.h").alias(its_hash))
     chosen = stage(chosen.distinct(), "chosen")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(its_id)) & (F.xxhash64(text_col) == F.col(its_hash))
-    kept = docs.join(chosen, same, "left_semi")
+    # rows that are surely not left out stay where they are, only others are moved to be looked up
+    out = found.select("doc_id", "h").distinct().join(chosen, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col("h") == F.col(its_hash)), "left_anti")
+    out = stage(out.select(F.xxhash64("doc_id", "h").alias("left_out")), "left-out")
+    mark, its = *free(docs, "_mark"), F.col("left_out")
+    marked = _marked(docs, F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text_col)), out, its, mark)
+    kept = marked.where(~F.col(mark)).drop(mark).unionByName(marked.where(mark).drop(mark).join(chosen, same, "left_semi"))
     repeated = found.groupBy("doc_id", "h").count().where("count > 1").join(chosen, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col("h") == F.col(its_hash)), "left_semi")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])
