@@ -22,8 +22,10 @@ POINTS = "dataset string, x double, y double, z double, classification int, retu
 #: points that are handed on together, and that a task reads
 CHUNK = 100_000
 RANGE_POINTS = 2_000_000
-#: points of a written file, about
+#: points of a written file, at most
 FILE_POINTS = 2_000_000
+#: points that a writing task gets, about
+TASK_POINTS = 500_000
 #: fixed values: EPSG keys of GeoTIFF, projected before geographic
 EPSG_KEYS = (3072, 2048)
 
@@ -186,8 +188,9 @@ def write_las(points: DataFrame, folder: str, scale: float = 0.001, wkt: str | N
     """(file, n, min_x, max_x, min_y, max_y): LAS files in folder of points (x, y, z, classification), written by tasks.
 
     A first pass gives bounds and count; a file holds a range of a space-filling curve of
-    about file_points points, so its bounds in its header are narrow and a reader with a box
-    opens few.  The scale is a step of the coordinates.  A point with a null or an infinite
+    up to file_points points, so its bounds in its header are narrow and a reader with a box
+    opens few.  A task writes many small files, so tasks follow the points and not the files.
+    The scale is a step of the coordinates.  A point with a null or an infinite
     coordinate is an error; without points nothing is written.
     """
     spark = points.sparkSession
@@ -202,18 +205,31 @@ def write_las(points: DataFrame, folder: str, scale: float = 0.001, wkt: str | N
         return spark.createDataFrame([], WRITTEN)
     unit = lambda v, low, high: F.least(F.lit(65535), F.floor((F.col(v) - low) / ((high - low) or 1.0) * 65536)).cast("long")
     code = F.shiftleft(_spread(unit("x", a, b)), 1).bitwiseOR(_spread(unit("y", c, d)))
-    parts = -(-n // file_points)
-    ranged = given.withColumn("_code", code).repartitionByRange(parts, "_code", "x", "y", "z").drop("_code")
+    order = ("_code", "x", "y", "z", "classification")
+    ranged = given.withColumn("_code", code).repartitionByRange(-(-n // TASK_POINTS), *order).sortWithinPartitions(*order).drop("_code")
 
     def run(batches):
         from pyspark import TaskContext
 
-        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if held:
+        task, made, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+        def written():
             x, y, z, classes = (np.concatenate([h[k] for h in held]) for k in range(4))
-            name = f"part-{TaskContext.get().partitionId():06d}.las"
+            name = f"part-{task:06d}-{made:06d}.las"
             with files.created(f"{folder.rstrip('/')}/{name}") as out:
                 out.write(las_bytes(x, y, z, np.nan_to_num(classes).astype(np.uint8), scale, wkt, kind))
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (name, len(x), x.min(), x.max(), y.min(), y.max())], ["file", "n", "min_x", "max_x", "min_y", "max_y"])
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in (name, len(x), x.min(), x.max(), y.min(), y.max())], ["file", "n", "min_x", "max_x", "min_y", "max_y"])
+
+        for b in batches:
+            columns, at = [c.to_numpy(zero_copy_only=False) for c in b.columns], 0
+            while at < b.num_rows:
+                to = min(b.num_rows, at + file_points - rows)
+                held.append([c[at:to] for c in columns])
+                rows, at = rows + to - at, to
+                if rows == file_points:
+                    yield written()
+                    made, held, rows = made + 1, [], 0
+        if rows:
+            yield written()
 
     return stage(ranged.mapInArrow(run, WRITTEN), "las-files")

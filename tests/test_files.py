@@ -160,6 +160,25 @@ def test_points_are_written_by_tasks_and_read_by_box(spark, tmp_path):
         las.write_las(wide, str(tmp_path / "d")).count()
 
 
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Files do not cost the driver a task each, and each of them holds a range of the curve."""
+    x, y, z, c = cloud(6000)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, y, z, c, strict=True)], "x double, y double, z double, classification double")
+    state = spark.sparkContext._jsc.sc()
+
+    def tasks():
+        state.listenerBus().waitUntilEmpty()
+        return state.statusStore().executorList(False).head().totalTasks()
+
+    before = tasks()
+    done = las.write_las(rows, str(tmp_path), file_points=20).collect()
+    assert tasks() - before < 60
+    assert len(done) == len(list(tmp_path.glob("*.las"))) == 300 and {r.n for r in done} == {20}
+    assert sum((r.max_x - r.min_x) * (r.max_y - r.min_y) for r in done) < 4 * 100 * 100
+    found = las.read_las(spark, str(tmp_path), None).toPandas()
+    assert np.abs(np.sort(found.x.to_numpy()) - np.sort(x)).max() < 0.0006 and sorted(found.classification) == sorted(c)
+
+
 def test_a_broken_tiff_is_an_error(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(geotiff.geotiff_bytes(np.ones((1, 50, 50), "f4"), 0, 0, 1, 1, deflate=False)[:2000])
     with pytest.raises(Exception, match="a.tif"):
